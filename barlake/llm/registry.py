@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barlake.llm import ann, bpe, packing, substring, topk
+from barlake.llm import ann, backoff, bpe, packing, substring, topk
 from barlake.llm.storage import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +51,11 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = backoff.score(read_table(spark, sf_dir, "documents"), stable=True)
+    return scores.withColumn("log_score", F.round("log_score", 4))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -57,8 +63,9 @@ def queries() -> dict[str, Query]:
         "op4_exact_top_k": op4_exact_top_k,
         "op6_packing": op6_packing,
         "op7_nearest_neighbours": op7_nearest_neighbours,
+        "op10_lm_scoring": op10_lm_scoring,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": OP4_SQL}
+    return {"op4_exact_top_k": OP4_SQL, "op10_lm_scoring": backoff.ORACLE_SQL}
