@@ -23,8 +23,8 @@ from barlake.llm.storage import durable, shards
 
 ORDER = 3
 ALPHA = 0.4
-BLOCK_BYTES = 8_000_000
-CHARS_PER_SHARD = 3_000_000
+BLOCK_BYTES = 3_000_000
+CHARS_PER_SHARD = 10_000_000
 SCORES = "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, n_unseen long, log_score double"
 
 
@@ -161,7 +161,7 @@ def _count_table(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "shard": table.column("shard"), "n": table.column("n"), "totals": pa.array(blobs, pa.binary())})
 
 
-def _scores(alpha: float, words_in_all: int):
+def _scores(alpha: float):
     def run(blocks: pa.Table, totals: pa.Table) -> pa.Table:
         out: list[pa.Table] = []
         parts = sorted(zip(totals.column("shard").to_pylist(), totals.column("n").to_pylist(), totals.column("totals").to_pylist(), strict=True))
@@ -170,19 +170,19 @@ def _scores(alpha: float, words_in_all: int):
             total = np.concatenate([_expand(b, n, "<i8") for _, n, b in parts]) if parts else np.zeros(0, np.int64)
             if len(total) != len(x.keys):
                 raise ValueError("a block's n-grams changed between two readings of the documents")
-            out.append(_score_block(x, total, alpha, words_in_all))
+            out.append(_score_block(x, total, alpha))
         return pa.concat_tables(out)
 
     return run
 
 
-def _score_block(x: _Grams, total: np.ndarray, alpha: float, words_in_all: int) -> pa.Table:
+def _score_block(x: _Grams, total: np.ndarray, alpha: float) -> pa.Table:
+    """Scores but for the number of words in other documents, which every lowest level divides by."""
     rows = len(x.ids)
     length = np.bincount(x.row, minlength=rows)
     others = total[x.entry] - x.in_document()
     for k in range(1, ORDER):
         others[k][x.place < k] = 0
-    n_other = (words_in_all - length)[x.row]
     uni, bi, tri = others
     # Counts of the contexts: the n-gram that ends one word earlier.
     before_uni, before_bi = np.r_[0, uni[:-1]], np.r_[0, bi[:-1]]
@@ -190,8 +190,8 @@ def _score_block(x: _Grams, total: np.ndarray, alpha: float, words_in_all: int)
     with np.errstate(divide="ignore", invalid="ignore"):
         log_p = np.select(
             levels,
-            [np.log(tri / before_bi), np.log(bi / before_uni), np.log(uni / n_other)],
-            -np.log(n_other + 1.0),
+            [np.log(tri / before_bi), np.log(bi / before_uni), np.log(uni)],
+            0.0,
         )
     level = np.select(levels, [3, 2, 1], 0)
     steps = np.minimum(x.place + 1, ORDER) - np.maximum(level, 1)
@@ -217,18 +217,16 @@ def score(docs: DataFrame, alpha: float = ALPHA, stable: bool = False) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     if not stable:
         docs = durable(docs, "texts")
-    size, words = docs.agg(F.sum(F.length("text")), F.sum(_word_count("text"))).first()
-    count = shards(spark, size or 0, CHARS_PER_SHARD)
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    count = shards(spark, size, CHARS_PER_SHARD)
     blocks = text_blocks(docs)
     exploded = blocks.mapInArrow(_exploded(count), "shard long, block long, n long, keys binary, times binary")
     totals = exploded.groupBy("shard").applyInArrow(_count_table, "block long, shard long, n long, totals binary")
-    return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_scores(alpha, int(words or 0)), SCORES)
-
-
-def _word_count(column: str):
-    """Words of a text, counted without splitting it: white space before a word, and a first word."""
-    spaced = F.concat(F.lit(" "), F.translate(F.col(column), "\t\n\x0b\x0c\r", "     "))
-    return F.regexp_count(spaced, F.lit(" [^ ]"))
+    scores = durable(blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_scores(alpha), SCORES), "scores")
+    words = scores.agg(F.sum("n_words")).first()[0] or 0
+    others = F.lit(words) - F.col("n_words")
+    lowest = F.when(F.col("n_unigram") > 0, F.col("n_unigram") * F.ln(others)).otherwise(0.0) + F.col("n_unseen") * F.ln(others + 1)
+    return scores.withColumn("log_score", F.col("log_score") - lowest)
 
 
 ORACLE_SQL = r"""
