@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import ann, backoff, bpe, packing, quality, substring, topk
+from barlake.llm import ann, backoff, bpe, neardup, packing, quality, substring, topk
 from barlake.llm.storage import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_quantised(read_table(spark, sf_dir, "embeddings"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group(read_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_exact_top_k": op4_exact_top_k,
+        "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_packing": op6_packing,
         "op7_nearest_neighbours": op7_nearest_neighbours,
         "op10_lm_scoring": op10_lm_scoring,
