@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import ann, backoff, bpe, neardup, packing, quality, substring, topk
+from barlake.llm import ann, backoff, bpe, neardup, packing, pii, quality, substring, topk, urls
 from barlake.llm.storage import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,14 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(read_table(spark, sf_dir, "documents"))
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(read_table(spark, sf_dir, "pages"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = backoff.score(read_table(spark, sf_dir, "documents"), stable=True)
     return scores.withColumn("log_score", F.round("log_score", 4))
@@ -73,6 +81,8 @@ def queries() -> dict[str, Query]:
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_packing": op6_packing,
         "op7_nearest_neighbours": op7_nearest_neighbours,
+        "op8_pii": op8_pii,
+        "op9_url_filters": op9_url_filters,
         "op10_lm_scoring": op10_lm_scoring,
     }
 
