@@ -5,7 +5,8 @@ the distinct ones with their counts, and deals them by hash to shards. A shard a
 counts - its part of the count table - and joins the totals back to the rows each block sent, in
 their order. The block's texts meet the returned totals, and scores are summed per document. An
 n-gram is in one shard, at most once for each block, so a frequent one is no task's burden, and
-what is gathered grows with the corpus. N-grams are identified by 64-bit hashes.
+what is gathered grows with the corpus. N-grams are identified by KEY_BITS bits of a hash: among n
+distinct ones about n * n / 2 ** (KEY_BITS + 1) pairs share a key.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from barlake.llm.storage import durable, shards
 
 ORDER = 3
 ALPHA = 0.4
+KEY_BITS = 60
 BLOCK_BYTES = 3_000_000
 CHARS_PER_SHARD = 10_000_000
 SCORES = "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, n_unseen long, log_score double"
@@ -36,7 +38,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
                 out.write_table(pa.Table.from_batches(held))
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
 
@@ -83,7 +85,7 @@ class _Grams:
         by_order = [np.concatenate(k) if k else none for k in keys]
         self.row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         self.place = np.concatenate(ends) if ends else np.zeros(0, np.int64)
-        flat = np.concatenate(by_order)
+        flat = np.concatenate(by_order) >> np.uint64(64 - KEY_BITS)
         self.keys, entry, self.times = np.unique(flat, return_inverse=True, return_counts=True)
         self.entry = entry.reshape(ORDER, -1)
 
@@ -107,7 +109,7 @@ def _chunks(column: pa.ChunkedArray) -> Iterator[tuple[int, pa.Array]]:
 
 def _shard_bounds(keys: np.ndarray, count: int) -> np.ndarray:
     """Where each shard's keys begin; a shard is a range of hashes."""
-    return np.searchsorted(keys, np.array([(i << 64) // count for i in range(count)], dtype=np.uint64)).tolist() + [len(keys)]
+    return np.searchsorted(keys, np.array([(i << KEY_BITS) // count for i in range(count)], dtype=np.uint64)).tolist() + [len(keys)]
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -146,7 +148,7 @@ def _exploded(count: int):
 
 
 def _count_table(table: pa.Table) -> pa.Table:
-    """One shard: totals over all blocks, given back to each block in the order of its keys."""
+    """One shard: totals over all other blocks, given back to each block in the order of its keys."""
     sizes = table.column("n").to_pylist()
     keys = np.concatenate([np.cumsum(_expand(b, n, "<u8"), dtype=np.uint64) for b, n in zip(table.column("keys").to_pylist(), sizes, strict=True)])
     times = np.concatenate([_expand(b, n, "<u4") for b, n in zip(table.column("times").to_pylist(), sizes, strict=True)])
@@ -156,6 +158,7 @@ def _count_table(table: pa.Table) -> pa.Table:
     sums = np.add.reduceat(times[order].astype(np.int64), first)
     total = np.empty(len(keys), dtype="<i8")
     total[order] = np.repeat(sums, np.diff(np.r_[first, len(keys)]))
+    total -= times  # mostly 0, which takes no room
     cut = np.r_[0, np.cumsum(sizes)]
     blobs = [_squeeze(total[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     return pa.table({"block": table.column("block"), "shard": table.column("shard"), "n": table.column("n"), "totals": pa.array(blobs, pa.binary())})
@@ -170,7 +173,7 @@ def _scores(alpha: float):
             total = np.concatenate([_expand(b, n, "<i8") for _, n, b in parts]) if parts else np.zeros(0, np.int64)
             if len(total) != len(x.keys):
                 raise ValueError("a block's n-grams changed between two readings of the documents")
-            out.append(_score_block(x, total, alpha))
+            out.append(_score_block(x, total + x.times, alpha))
         return pa.concat_tables(out)
 
     return run
