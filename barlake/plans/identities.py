@@ -1,0 +1,108 @@
+"""Aliases, evidence, interval algebra and listing episodes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barlake.operators import identity
+from barlake.plans import settings as S
+from barlake.plans.oracle import weekend
+from barlake.plans.registry import plan
+
+
+@plan("alias_asof", "SELECT b.instrument_id, b.date, b.close, (SELECT CASE WHEN count(DISTINCT a.ticker) = 1 THEN min(a.ticker) END FROM aliases a WHERE a.instrument_id = b.instrument_id AND b.date BETWEEN a.start_date AND a.end_date) AS ticker FROM long b")
+def _(t):
+    return identity.alias_asof(t.long.select("instrument_id", "date", "close"), t.aliases)
+
+
+@plan("alias_segments", "SELECT * FROM segs")
+def _(t):
+    return t.segments
+
+
+@plan("identifier_segments", """SELECT instrument_id, first, last, CASE WHEN n > 1 THEN 'conflict' WHEN n = 1 THEN state ELSE 'unverified' END AS status FROM (
+    SELECT p.instrument_id, p.first, p.last, count(DISTINCT CASE WHEN e.state <> 'unverified' THEN e.state END) AS n, min(CASE WHEN e.state <> 'unverified' THEN e.state END) AS state FROM (
+      SELECT instrument_id, first, lead(first) OVER (PARTITION BY instrument_id ORDER BY first) - 1 AS last FROM (SELECT DISTINCT instrument_id, unnest([start_date, end_date + 1]) AS first FROM evidence)) p
+    JOIN evidence e ON e.instrument_id = p.instrument_id AND e.start_date <= p.first AND e.end_date >= p.last WHERE p.last IS NOT NULL GROUP BY 1, 2, 3)""")
+def _(t):
+    return identity.identifier_segments(t.evidence)
+
+
+SPAN = ("1996-01-01", "1996-06-30")
+COVER = f"SELECT instrument_id, CAST(count(*) FILTER (WHERE NOT {weekend('a', 'b')}) AS BIGINT) AS n_gaps, count(*) FILTER (WHERE NOT {weekend('a', 'b')}) = 0 AS covered FROM cover_gaps GROUP BY 1"
+
+
+@plan("interval_cover", COVER)
+def _(t):
+    return identity.interval_cover(t.ranges, *SPAN)
+
+
+@plan("identifier_resolve", f"""WITH inside AS (SELECT * FROM evidence WHERE start_date <= DATE '1996-02-15' AND end_date >= DATE '1996-02-01'),
+    vcut AS (SELECT DISTINCT instrument_id, greatest(start_date, DATE '1996-02-01') AS s, least(end_date, DATE '1996-02-15') AS e, start_date FROM inside WHERE state = 'validated'),
+    vg AS (SELECT instrument_id, coalesce(max(e) OVER (PARTITION BY instrument_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), DATE '1996-01-31') + 1 AS a, s - 1 AS b FROM vcut
+      UNION ALL SELECT instrument_id, max(e) + 1, DATE '1996-02-15' FROM vcut GROUP BY 1)
+    SELECT c.instrument_id, c.owners, CASE WHEN c.owners > 1 THEN 'conflict' WHEN coalesce(g.ok, false) THEN 'resolved' ELSE 'incomplete' END AS status
+    FROM (SELECT i.instrument_id, CAST(max(o.n) AS BIGINT) AS owners FROM inside i JOIN (SELECT identifier, count(DISTINCT instrument_id) AS n FROM inside GROUP BY 1) o ON o.identifier = i.identifier GROUP BY 1) c
+    LEFT JOIN (SELECT instrument_id, count(*) FILTER (WHERE NOT {weekend('a', 'b')}) = 0 AS ok FROM vg GROUP BY 1) g ON g.instrument_id = c.instrument_id""")
+def _(t):
+    return identity.identifier_resolve(t.evidence, "1996-02-01", "1996-02-15")
+
+
+@plan("merge_ranges", "SELECT instrument_id, min(start_date) AS start_date, max(end_date) AS end_date, CAST(count(*) AS BIGINT) AS n_ranges FROM (SELECT *, sum(CASE WHEN coalesce(start_date > reach + 1, true) THEN 1 ELSE 0 END) OVER (PARTITION BY instrument_id ORDER BY start_date, end_date ROWS UNBOUNDED PRECEDING) AS island FROM reach) GROUP BY instrument_id, island")
+def _(t):
+    return identity.merge_ranges(t.ranges)
+
+
+@plan("coalesce_segments", f"SELECT instrument_id, min(start_date) AS start_date, max(end_date) AS end_date, CAST(count(*) AS BIGINT) AS n_segments FROM (SELECT *, sum(CASE WHEN coalesce(NOT {weekend('(reach + 1)', '(start_date - 1)')}, true) THEN 1 ELSE 0 END) OVER (PARTITION BY instrument_id ORDER BY start_date, end_date ROWS UNBOUNDED PRECEDING) AS island FROM reach) GROUP BY instrument_id, island")
+def _(t):
+    return identity.coalesce_segments(t.ranges)
+
+
+@plan("universe_resolve", """SELECT u.year, u.ticker, CAST(count(DISTINCT a.instrument_id) AS BIGINT) AS n_instruments, CASE count(DISTINCT a.instrument_id) WHEN 1 THEN 'resolved' WHEN 0 THEN 'unresolved' ELSE 'ambiguous' END AS status
+    FROM universe u LEFT JOIN aliases a ON a.ticker = u.ticker AND year(a.start_date) <= u.year AND year(a.end_date) >= u.year GROUP BY 1, 2""")
+def _(t):
+    wanted = t.aliases.filter(F.length("ticker") == 2).select(F.year("start_date").alias("year"), "ticker").distinct().union(t.spark.sql("SELECT 1996, 'NONE'"))
+    return identity.universe_resolve(wanted, t.aliases)
+
+
+@plan("unique_tickers_asof", "SELECT ticker, min(instrument_id) AS instrument_id FROM aliases WHERE DATE '1997-06-15' BETWEEN start_date AND end_date GROUP BY 1 HAVING count(DISTINCT instrument_id) = 1")
+def _(t):
+    return identity.unique_tickers(t.aliases, "1997-06-15")
+
+
+@plan("latest_alias", "SELECT instrument_id, ticker FROM aliases QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY end_date DESC, start_date DESC, ticker) = 1")
+def _(t):
+    return identity.latest_alias(t.aliases)
+
+
+@plan("archive_effective", "SELECT instrument_id AS anchor, ticker, start_date, end_date FROM aliases QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY end_date DESC, start_date DESC, ticker DESC) = 1")
+def _(t):
+    return identity.archive_effective(t.aliases.withColumnRenamed("instrument_id", "anchor"))
+
+
+@plan("archive_overlaps", "SELECT * FROM (SELECT a.ticker, a.instrument_id AS anchor_a, b.instrument_id AS anchor_b, greatest(a.start_date, b.start_date) AS start_date, least(a.end_date, b.end_date) AS end_date FROM aliases a JOIN aliases b ON a.ticker = b.ticker AND a.instrument_id < b.instrument_id) WHERE start_date <= end_date")
+def _(t):
+    return identity.archive_overlaps(t.aliases.withColumnRenamed("instrument_id", "anchor"))
+
+
+@plan("identity_sources", "SELECT a.instrument_id, a.ticker, a.start_date, a.end_date, min(e.identifier) AS identifier FROM aliases a JOIN evidence e ON e.instrument_id = a.instrument_id AND lower(e.name) = lower(a.ticker) AND e.start_date = a.start_date AND e.end_date = a.end_date GROUP BY 1, 2, 3, 4 HAVING count(*) = 1")
+def _(t):
+    return identity.identity_sources(t.aliases, t.evidence)
+
+
+@plan("episode_gaps", "SELECT * FROM gaps")
+def _(t):
+    return t.gaps
+
+
+@plan("episode_zero_bridge", f"""SELECT instrument_id, first_date, last_date, n_bars, next_traded FROM (SELECT r.instrument_id, r.run, min(r.date) AS first_date, max(r.date) AS last_date, CAST(count(*) AS BIGINT) AS n_bars, min(n.date) AS next_traded FROM (
+    SELECT *, sum(CASE WHEN volume <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY instrument_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS run FROM long) r
+    LEFT JOIN LATERAL (SELECT min(b.date) AS date FROM long b WHERE b.instrument_id = r.instrument_id AND b.date > r.date AND b.volume > 0) n ON true WHERE r.volume = 0 GROUP BY 1, 2) WHERE n_bars >= {S.BRIDGE}""")
+def _(t):
+    return identity.zero_bridges(t.long, S.BRIDGE)
+
+
+@plan("episode_assign", f"""SELECT instrument_id, episode, min(date) AS first_date, max(date) AS last_date, CAST(count(*) AS BIGINT) AS n_bars, CASE WHEN count(*) < {S.FEWEST} THEN 'quarantined' ELSE 'kept' END AS disposition FROM (
+    SELECT b.instrument_id, b.date, CAST(count(g.next_date) OVER (PARTITION BY b.instrument_id ORDER BY b.date ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode FROM long b LEFT JOIN gaps g ON g.instrument_id = b.instrument_id AND g.next_date = b.date) GROUP BY 1, 2""")
+def _(t):
+    return identity.assign_episodes(t.long, t.gaps, S.FEWEST)

@@ -1,4 +1,4 @@
-"""Named queries and their SQL counterparts."""
+"""Named queries and their SQL counterparts; every key of one plan stands beside its SQL."""
 
 from __future__ import annotations
 
@@ -6,16 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barlake.plans import oracle
+from barlake.plans.frames import Frames
+
 Query = Callable[[SparkSession, str], DataFrame]
+_plans: dict[str, Callable[[Frames], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def plan(name: str, sql: str | None = None):
+    """Register a plan over frames, and the SQL that gives the same rows where there is one."""
+
+    def add(f: Callable[[Frames], DataFrame]):
+        _plans[name] = f
+        if sql is not None:
+            _sql[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from barlake.plans import bars, identities, rankings, studies  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return {name: (lambda spark, sf_dir, f=f: f(Frames(spark, sf_dir))) for name, f in _plans.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return {name: oracle.complete(sql) for name, sql in _sql.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return queries()["gap_study_flagship"](spark, sf_dir)
