@@ -236,7 +236,8 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, size: int, coordina
 
     # A hub that is a repeated doc_id has several texts: any one will do.
     hub = sets.filter("rep = cloud").groupBy("cloud").agg(F.min("keys").alias("hub_keys"))
-    to_hub = sets.join(hub, "cloud").select("rep", "cloud", "keys", "hub_keys").mapInArrow(_to_hub(percent), "rep long, cloud long, far double, linked boolean")
+    # Tables between the joins by cloud and what groups by it let a large cloud be split over tasks.
+    to_hub = durable(sets.join(hub, "cloud").select("rep", "cloud", "keys", "hub_keys").mapInArrow(_to_hub(percent), "rep long, cloud long, far double, linked boolean"), "far")
     to_hub = durable(to_hub.groupBy("rep", "cloud").agg(F.min("far").alias("far"), F.max("far").alias("farthest"), F.max("linked").alias("linked")), "to_hub")
     first = to_hub.filter("linked and rep <> cloud").select(F.col("rep").alias("a"), F.col("cloud").alias("b"))
 
@@ -248,7 +249,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, size: int, coordina
     # Distances say nothing of an id with several texts; its cloud goes without bands.
     open_clouds = sizes.filter("several OR n > n_linked").withColumn("flat", F.expr(f"several OR n <= {block}")).select("cloud", "flat")
     placed = placed.join(open_clouds, "cloud").withColumn("band", F.when(F.col("flat"), F.lit(0)).otherwise(F.col("band")))
-    placed = placed.withColumn("far", F.when(F.col("farthest") > F.col("far"), F.lit(float("nan"))).otherwise(F.col("far")))
+    placed = durable(placed.withColumn("far", F.when(F.col("farthest") > F.col("far"), F.lit(float("nan"))).otherwise(F.col("far"))), "placed")
     widths = placed.groupBy("cloud", "band").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
     by_cloud = widths.groupBy("cloud").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts"))
     placed = placed.join(by_cloud, "cloud").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")[F.col("band")]).cast("int"))
