@@ -59,9 +59,9 @@ def lookback_complete(events: DataFrame, expected: DataFrame, bars: DataFrame, s
 
 def eligibility_audit(candidates: DataFrame, aliases: DataFrame, schedule: DataFrame, complete: DataFrame) -> DataFrame:
     """One status for each event: identity comes before calendar, and that before the lookback."""
-    spans = F.broadcast(aliases)
-    named = candidates.select(*EVENT).join(spans, (spans.instrument_id == candidates.instrument_id) & candidates.event_date.between(spans.start_date, spans.end_date), "left")
-    identity = named.groupBy(candidates.instrument_id, candidates.event_date).agg(F.countDistinct("ticker").alias("tickers"))
+    spans = aliases.select(F.col("instrument_id").alias("owner"), "ticker", "start_date", "end_date")
+    named = candidates.select(*EVENT).join(spans, (F.col("owner") == F.col("instrument_id")) & F.col("event_date").between(F.col("start_date"), F.col("end_date")), "left")
+    identity = named.groupBy(*EVENT).agg(F.countDistinct("ticker").alias("tickers"))
     sessions = F.broadcast(schedule).select(F.col("session_date").alias("event_date"), "session_open", "session_close")
     timed = candidates.select(*EVENT, "decision_ts").join(sessions, "event_date", "left").groupBy(*EVENT).agg(
         F.count("session_open").alias("n"), F.max(F.col("decision_ts").between(F.col("session_open"), F.col("session_close"))).alias("inside")

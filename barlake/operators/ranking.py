@@ -27,8 +27,7 @@ def windows(spark: SparkSession, pairs: list[tuple[str, date, date, date, date]]
 def walk_forward(scoped: DataFrame, years: int, excluded: tuple[str, ...] = ("test",)) -> DataFrame:
     """Yearly pairs: select on the ``years`` before, evaluate on the year; excluded periods aside."""
     y = scoped.filter(~F.col("period").isin(*excluded)).select(F.year("event_date").alias("year")).distinct()
-    first = y.agg(F.min("year").alias("first"))
-    pairs = y.crossJoin(F.broadcast(first)).filter(F.col("year") - years >= F.col("first"))  # one row
+    pairs = y.withColumn("first", F.min("year").over(Window.partitionBy(F.lit(0)))).filter(F.col("year") - years >= F.col("first"))  # a few years
     a = F.col("year") - years
     return pairs.select(
         F.concat_ws("-", a, F.col("year") - 1, F.col("year")).alias("pair"), F.make_date(a, F.lit(1), F.lit(1)).alias("select_start"), F.make_date(F.col("year") - 1, F.lit(12), F.lit(31)).alias("select_end"),
@@ -95,7 +94,7 @@ def groups(scoped: DataFrame, pairs: DataFrame, tags: DataFrame, prior: int = PR
     """Each tagged group on both windows, against the baseline of all instruments."""
     out = None
     for which in ("select", "eval"):
-        rows = in_windows(scoped, pairs, which).join(F.broadcast(tags), "instrument_id", "left")
+        rows = in_windows(scoped, pairs, which).join(tags, "instrument_id", "left")
         part = scores(rows, ["group"], prior).filter("group IS NOT NULL").withColumn("pass", F.lit(which))
         out = part if out is None else out.unionByName(part)
     return out

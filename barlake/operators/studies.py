@@ -112,7 +112,8 @@ def gap_observations(events: DataFrame, hourly: DataFrame, eod: DataFrame, sched
     grid = _checkpoints(events, "checkpoint_hour", HOURS)
     own = path.select(*EVENT, F.col("ny_hour").alias("checkpoint_hour"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("available"), F.col("close").alias("checkpoint_price"))
     bench = path.filter(F.col("instrument_id") == benchmark).select("event_date", F.col("ny_hour").alias("checkpoint_hour"), F.col("close").alias("benchmark_price"))
-    reach = path.join(F.broadcast(grid.select("checkpoint_hour").distinct()), F.col("ny_hour") <= F.col("checkpoint_hour"))
+    hours = F.broadcast(grid.sparkSession.createDataFrame([(h,) for h in HOURS], "checkpoint_hour int"))
+    reach = path.join(hours, F.col("ny_hour") <= F.col("checkpoint_hour"))
     extremes = reach.groupBy(*EVENT, "checkpoint_hour").agg(F.max("max_high").alias("max_high"), F.min("min_low").alias("min_low"))
     at_hours = (
         grid.join(own, [*EVENT, "checkpoint_hour"], "left").join(extremes, [*EVENT, "checkpoint_hour"], "left").join(F.broadcast(bench), ["event_date", "checkpoint_hour"], "left")
@@ -178,7 +179,7 @@ def multiday_observations(events: DataFrame, eod: DataFrame, indexed: DataFrame,
     bench = days.filter(F.col("instrument_id") == benchmark).select("target_date", F.col("checkpoint_price").alias("benchmark_price"))
     rows = (
         multiday_path(events, eod, indexed).join(days, ["instrument_id", "target_date"], "left").join(F.broadcast(bench), "target_date", "left")
-        .join(F.broadcast(asset_types), "instrument_id", "left").withColumn("asset_type", F.coalesce("asset_type", F.lit("unknown")))
+        .join(asset_types, "instrument_id", "left").withColumn("asset_type", F.coalesce("asset_type", F.lit("unknown")))
         .withColumn("observation_label", F.concat(F.lit("session_plus_"), F.col("horizon"))).withColumn("benchmark_basis", F.col("benchmark_adj_open"))
     )
     rows = measures(rows, "checkpoint_price", "adj_open", "prior_adj_close", target, "gap_recovered_fraction", F.lit(True))
