@@ -7,30 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import ann, backoff, bpe, neardup, packing, pii, quality, substring, topk, urls
+from barlake.llm import ann, backoff, bpe, neardup, oracle, packing, pii, quality, substring, topk, urls
 from barlake.llm.storage import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-OP4_SQL = """
-WITH usable AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
-  WHERE q.vec_id % 20 = 0
-), placed AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
-)
-SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 20
-"""
-
-
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -88,4 +70,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": OP4_SQL, "op10_lm_scoring": backoff.ORACLE_SQL}
+    return oracle.queries()
