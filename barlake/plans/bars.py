@@ -28,7 +28,7 @@ def _(t):
     return ingest.canonical(t.long)
 
 
-@plan("scan_file_bounds")
+@plan("scan_file_bounds", "SELECT 'events.parquet' AS file, CAST(count(*) AS BIGINT) AS n_rows, min(ts) AS first_value, max(ts) AS last_value FROM events")
 def _(t):
     return warehouse.file_bounds(t.read("events"), "ts")
 
@@ -85,7 +85,7 @@ def _(t):
     return ingest.normalize_eod(vendor.select([(F.concat(F.col(c).cast("string"), F.lit("T00:00:00Z")) if c == "date" else F.col(c).cast("string")).alias(c) for c in vendor.columns]))
 
 
-@plan("publish_upsert")
+@plan("publish_upsert", "SELECT instrument_id, CAST(count(*) AS BIGINT) AS n_rows, sum(open) AS sum_open FROM (SELECT * FROM incoming UNION ALL SELECT * FROM long b WHERE NOT EXISTS (SELECT 1 FROM incoming i WHERE i.instrument_id = b.instrument_id AND i.date = b.date)) GROUP BY 1")
 def _(t):
     folder = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="barlake-publish-")
     w = warehouse.Warehouse(t.spark, f"{folder}/publish-{t.spark.sparkContext.applicationId}-{id(t)}")
@@ -338,7 +338,7 @@ def _(t):
     return out
 
 
-@plan("input_manifest_bounds")
+@plan("input_manifest_bounds", "SELECT 'lineitem.parquet' AS file, CAST(count(*) AS BIGINT) AS n_rows, min(l_shipdate) AS first_value, max(l_shipdate) AS last_value FROM lineitem")
 def _(t):
     return warehouse.file_bounds(t.read("lineitem"), "l_shipdate")
 
