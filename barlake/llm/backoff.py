@@ -30,33 +30,29 @@ CHARS_PER_SHARD = 10_000_000
 SCORES = "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, n_unseen long, log_score double"
 
 
-def text_blocks(docs: DataFrame) -> DataFrame:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, payload): the documents of one partition in compressed runs of about BLOCK_BYTES."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-        def block() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
-                out.write_table(pa.Table.from_batches(held))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
-
-        for batch in batches:
-            _, at = textops.text_buffers(batch.column(1))
-            i = 0
-            while i < len(batch):
-                j = max(i + 1, int(np.searchsorted(at, at[i] + BLOCK_BYTES - size, side="right")) - 1)
-                held.append(batch.slice(i, j - i))
-                size += int(at[j] - at[i])
-                i = j
-                if size >= BLOCK_BYTES or i < len(batch):
-                    yield block()
-                    number, held, size = number + 1, [], 0
-        if held:
-            yield block()
-
-    return docs.mapInArrow(run, "block long, payload binary")
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def block() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+            out.write_table(pa.Table.from_batches(held))
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
+
+    for batch in batches:
+        _, at = textops.text_buffers(batch.column(1))
+        i = 0
+        while i < len(batch):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + BLOCK_BYTES - size, side="right")) - 1)
+            held.append(batch.slice(i, j - i))
+            size += int(at[j] - at[i])
+            i = j
+            if size >= BLOCK_BYTES or i < len(batch):
+                yield block()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield block()
 
 
 class _Grams:
@@ -86,6 +82,7 @@ class _Grams:
         self.row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         self.place = np.concatenate(ends) if ends else np.zeros(0, np.int64)
         flat = np.concatenate(by_order) >> np.uint64(64 - KEY_BITS)
+        del keys, by_order
         self.keys, entry, self.times = np.unique(flat, return_inverse=True, return_counts=True)
         self.entry = entry.reshape(ORDER, -1)
 
@@ -126,7 +123,7 @@ def _expand(blob: bytes, n: int, dtype: str) -> np.ndarray:
 
 def _exploded(count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _blocks(batches):  # in the same worker
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 x = _Grams(payload.as_py())
                 bounds = _shard_bounds(x.keys, count)
@@ -222,8 +219,8 @@ def score(docs: DataFrame, alpha: float = ALPHA, stable: bool = False) -> DataFr
         docs = durable(docs, "texts")
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     count = shards(spark, size, CHARS_PER_SHARD)
-    blocks = text_blocks(docs)
-    exploded = blocks.mapInArrow(_exploded(count), "shard long, block long, n long, keys binary, times binary")
+    blocks = docs.mapInArrow(_blocks, "block long, payload binary")
+    exploded = docs.mapInArrow(_exploded(count), "shard long, block long, n long, keys binary, times binary")
     totals = exploded.groupBy("shard").applyInArrow(_count_table, "block long, shard long, n long, totals binary")
     scores = durable(blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_scores(alpha), SCORES), "scores")
     words = scores.agg(F.sum("n_words")).first()[0] or 0
