@@ -1,4 +1,9 @@
-"""The study frames behind the registered queries, each built once per query."""
+"""The study frames behind the registered queries, each built once per query.
+
+Selected events and scoped observations feed several branches of a plan. They are few beside the
+bars they come from, so they are kept (in memory, then disk) rather than derived for each branch;
+a lost part is derived again.
+"""
 
 from __future__ import annotations
 
@@ -36,7 +41,7 @@ class Frames(Tables):
 
     @cached_property
     def chosen(self) -> DataFrame:
-        return studies.dense(self.cand, hourly_density=S.DENSITY)
+        return studies.dense(self.cand, hourly_density=S.DENSITY).persist()
 
     @cached_property
     def cand_l(self) -> DataFrame:
@@ -84,7 +89,7 @@ class Frames(Tables):
     def complete(self) -> DataFrame:
         labels = self.sessions.select(F.col("session_date").alias("label"))
         bars = self.eod.filter("volume > 2").select("instrument_id", F.col("date").alias("label"))
-        return events.lookback_complete(self.cand, labels, bars, "lookback_start_date", "prior_date")
+        return events.lookback_complete(self.cand.persist(), labels, bars, "lookback_start_date", "prior_date")
 
     @cached_property
     def audit(self) -> DataFrame:
@@ -92,15 +97,15 @@ class Frames(Tables):
 
     @cached_property
     def scoped(self) -> DataFrame:
-        return ranking.scope(self.obs_multi, "session_plus_0")
+        return ranking.scope(self.obs_multi, "session_plus_0").persist()
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return ranking.walk_forward(self.scoped, 2)
+        return ranking.walk_forward(self.scoped, 2).persist()
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return ranking.select_candidates(self.scoped, self.pairs, S.MIN_EVENTS, S.MIN_LIFT)
+        return ranking.select_candidates(self.scoped, self.pairs, S.MIN_EVENTS, S.MIN_LIFT).persist()
 
     @cached_property
     def evaluated(self) -> DataFrame:
