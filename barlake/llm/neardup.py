@@ -235,7 +235,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, size: int, coordina
     sets = durable(members.mapInArrow(_with_sets(size, coordinates), "rep long, cloud long, sig binary, keys binary"), "sets").filter("sig is not null")
 
     # A hub that is a repeated doc_id has several texts: any one will do.
-    hub = sets.filter("rep = cloud").groupBy("cloud").agg(F.min("keys").alias("hub_keys"))
+    hub = durable(sets.filter("rep = cloud").groupBy("cloud").agg(F.min("keys").alias("hub_keys")), "hubs")
     # Tables between the joins by cloud and what groups by it let a large cloud be split over tasks.
     to_hub = durable(sets.join(hub, "cloud").select("rep", "cloud", "keys", "hub_keys").mapInArrow(_to_hub(percent), "rep long, cloud long, far double, linked boolean"), "far")
     to_hub = durable(to_hub.groupBy("rep", "cloud").agg(F.min("far").alias("far"), F.max("far").alias("farthest"), F.max("linked").alias("linked")), "to_hub")
