@@ -80,7 +80,7 @@ class Frames(Tables):
     def evidence(self) -> DataFrame:
         start = F.col("o_orderdate").cast("date")
         state = F.when(F.col("o_orderstatus") == "F", "validated").when(F.col("o_orderstatus") == "O", "unverified").otherwise("rejected")
-        return self.read("orders").filter("o_orderkey % 7 = 0").select(
+        return self.read("orders").select(
             F.concat(F.lit("S"), F.col("o_custkey") % 50 + 1).alias("instrument_id"), F.concat(F.lit("V"), F.col("o_custkey") % 45).alias("identifier"), F.concat(F.lit("t"), F.col("o_custkey") % 20).alias("name"),
             start.alias("start_date"), F.date_add(start, 30).alias("end_date"), state.alias("state"),
         ).distinct()

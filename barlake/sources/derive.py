@@ -105,7 +105,7 @@ class Tables:
     def aliases(self) -> DataFrame:
         """Ticker spans of 30 days from orders: renames, reuse, gaps and overlaps all occur."""
         start = F.col("o_orderdate").cast("date")
-        return self.read("orders").filter("o_orderkey % 7 = 0").select(
+        return self.read("orders").select(
             F.concat(F.lit("S"), F.col("o_custkey") % 50 + 1).alias("instrument_id"), F.concat(F.lit("T"), F.col("o_custkey") % 20).alias("ticker"),
             start.alias("start_date"), F.date_add(start, 30).alias("end_date"),
         ).distinct()
