@@ -81,7 +81,7 @@ def _(t):
 
 @plan("normalize_eod", f"SELECT {EOD} FROM long WHERE length(instrument_id) = 2")
 def _(t):
-    vendor = t.long.filter(F.length("instrument_id") == 2).withColumnsRenamed({v: k for k, v in ingest.VENDOR.items()})
+    vendor = t.long.withColumnsRenamed({v: k for k, v in ingest.VENDOR.items()})
     return ingest.normalize_eod(vendor.select([(F.concat(F.col(c).cast("string"), F.lit("T00:00:00Z")) if c == "date" else F.col(c).cast("string")).alias(c) for c in vendor.columns]))
 
 
@@ -272,8 +272,7 @@ def _(t):
     FROM (SELECT instrument_id, date, div_cash AS d0, split_factor AS s0, 1 AS o FROM long WHERE length(instrument_id) = 2) FULL JOIN (SELECT instrument_id, date, div_cash AS d1, split_factor AS s1, 1 AS n FROM incoming WHERE length(instrument_id) = 2) USING (instrument_id, date) GROUP BY 1)
     WHERE lost_dates + changed_actions + new_dates > 0""")
 def _(t):
-    short = F.length("instrument_id") == 2
-    return ingest.refresh_validate(t.long.filter(short), t.incoming.filter(short))
+    return ingest.refresh_validate(t.long, t.redelivery)
 
 
 RANKED = "SELECT *, row_number() OVER (ORDER BY dollar_volume DESC, instrument_id) AS rank FROM (SELECT instrument_id, round(avg(close * volume), 6) AS dollar_volume, CAST(count(*) AS BIGINT) AS days FROM {0} WHERE volume >= 0 GROUP BY 1 HAVING count(*) >= {1}) QUALIFY rank <= {2}"

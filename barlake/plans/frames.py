@@ -119,12 +119,21 @@ class Frames(Tables):
     def tags(self) -> DataFrame:
         return self.read("supplier").filter("s_nationkey % 4 <> 0").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("instrument_id"), F.concat(F.lit("G"), F.col("s_nationkey") % 5).alias("group"))
 
+    def _delivery(self, held: DataFrame) -> DataFrame:
+        """The held bars from the sixth of each month on, changed, and new days for all instruments."""
+        day = F.dayofmonth("date")
+        changed = held.filter(day > 5).withColumns({"open": F.col("open") + 1, "high": F.col("high") + 1, "div_cash": F.when(day == 9, 9.0).otherwise(F.col("div_cash"))})
+        return changed.unionByName(self.long.filter(day == 8).withColumn("date", F.date_add("date", 4000)))
+
     @cached_property
     def incoming(self) -> DataFrame:
         """A later delivery: changed bars of the instruments with short names, and new days for all."""
-        day = F.dayofmonth("date")
-        short = self.long.filter((day > 5) & (F.length("instrument_id") == 2)).withColumns({"open": F.col("open") + 1, "high": F.col("high") + 1, "div_cash": F.when(day == 9, 9.0).otherwise(F.col("div_cash"))})
-        return short.unionByName(self.long.filter(day == 8).withColumn("date", F.date_add("date", 4000)))
+        return self._delivery(self.long.filter(F.length("instrument_id") == 2))
+
+    @cached_property
+    def redelivery(self) -> DataFrame:
+        """A later delivery of all instruments, which changes, loses and adds bars by day."""
+        return self._delivery(self.long)
 
     @cached_property
     def gaps(self) -> DataFrame:

@@ -36,3 +36,17 @@ def test_unique_tickers_by_brute_force(spark, tmp_path):
     want = {(ticker, *own) for ticker, own in owners.items() if len(own) == 1}
     got = registry.queries()["unique_tickers_asof"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 0
+
+
+ITEMS = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp_ntz, l_extendedprice double, l_quantity double, l_returnflag string, l_tax double, l_discount double"
+
+
+def test_bars_of_all_instruments_are_normalised_and_validated(spark, tmp_path):
+    days = [datetime(1996, 3, d) for d in (4, 8, 9, 20)]
+    rows = [(k, 1, 1, s, d, 100.0, 10.0, "N", 0.0, 0.0) for s in (7, 10, 123) for k, d in enumerate(days)]
+    spark.createDataFrame(rows, ITEMS).write.parquet(f"{tmp_path}/lineitem.parquet")
+    normal = registry.queries()["normalize_eod"](spark, str(tmp_path)).collect()
+    assert sorted((r.instrument_id, r.date) for r in normal) == sorted((f"S{s}", d.date()) for s in (7, 10, 123) for d in days)
+    changes = registry.queries()["refresh_validate"](spark, str(tmp_path)).collect()
+    # Of each instrument the 4th is lost, the 9th has another dividend, the 8th is delivered again as a new day.
+    assert {(r.instrument_id, r.lost_dates, r.changed_actions, r.new_dates) for r in changes} == {(f"S{s}", 1, 1, 1) for s in (7, 10, 123)}
