@@ -4,7 +4,8 @@ A pseudo-rotation is three rounds of random signs and a fast Hadamard transform.
 bucket in a table is the signed axis nearest to its rotation. A query probes, in every table, the
 axes it is nearest to; the union of the probed buckets is reranked by exact Euclidean distance. The
 index is split by a hash of the id: each part holds all tables of its rows, so that rows are moved
-once, whatever the number of tables, and no bucket is ever one task's.
+once, whatever the number of tables, and no bucket is ever one task's. Queries whose probes meet
+fewer than k rows are searched again over all rows, exactly.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm import topk
+from barlake.llm.storage import durable
 
 TABLES = 12
 PROBES = 10
@@ -51,6 +53,7 @@ def axis_products(unit: np.ndarray, table: int, seed: int) -> np.ndarray:
 
 
 def _search(queries: pa.Table, rows: pa.Table, k: int, tables: int, probes: int, seed: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The k nearest probed rows of each query; without tables every row is a candidate."""
     sizes_q, sizes_x = (np.diff(t.column("v").combine_chunks().offsets.to_numpy()) for t in (queries, rows))
     for d in np.unique(sizes_q):
         q_rows, x_rows = queries.filter(pa.array(sizes_q == d)), rows.filter(pa.array(sizes_x == d))
@@ -62,7 +65,7 @@ def _search(queries: pa.Table, rows: pa.Table, k: int, tables: int, probes: int,
         buckets = [np.argmax(axis_products(x_unit, t, seed), axis=1) for t in range(tables)]
         for at in range(0, len(q), CHUNK):
             part = slice(at, at + CHUNK)
-            hit = np.zeros((len(q[part]), len(x)), dtype=bool)
+            hit = np.full((len(q[part]), len(x)), tables == 0)
             for t in range(tables):
                 products = axis_products(q_unit[part], t, seed)
                 most = min(probes, products.shape[1])
@@ -93,7 +96,7 @@ def _rerank(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, hi
 
 
 def nearest(table: DataFrame, every: int = 100, k: int = 10, tables: int = TABLES, probes: int = PROBES, seed: int = 7, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """For each row whose vec_id is divisible by ``every`` its k nearest others found.
+    """For each row whose vec_id is divisible by ``every`` its k nearest others found: k, or all if fewer.
 
     Returns (query_id, rank, vec_id, score), the score the Euclidean distance of the given vectors
     in double precision, ties to the smaller id. Rows whose vector is null, empty, zero or holds a
@@ -104,4 +107,10 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, tables: int = TABLE
     rows = topk.least_ids(whole, k + 1)
     queries = whole.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"])
     found = topk.in_groups(queries, rows, group_rows, lambda q, x: _search(q, x, k, tables, probes, seed))
-    return topk.ranked(found, k, F.asc("score"))
+    found = durable(topk.ranked(found, k, F.asc("score")), "probed")
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
+    short = durable(queries.join(full, queries.id == full.query_id, "left_anti"), "short-queries")
+    if short.isEmpty():
+        return found
+    exact = topk.in_groups(short, rows, group_rows, lambda q, x: _search(q, x, k, 0, probes, seed))
+    return found.join(full, "query_id", "left_semi").select(found.columns).unionByName(topk.ranked(exact, k, F.asc("score")))

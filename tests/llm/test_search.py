@@ -95,6 +95,25 @@ def test_recall_on_the_given_table(spark):
     assert recall >= 0.9
 
 
+def test_nearest_gives_k_rows_or_all(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 128)) * 0.05
+    x[:, 0] -= 1  # most rows point away from the query 0 and from 100
+    x[0], x[100] = -x[0], -x[100]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    rows += [(400 + i, [float(v) for v in r]) for i, r in enumerate(np.eye(8))]  # fewer than k others, all orthogonal
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), group_rows=64).collect():
+        got.setdefault(r.query_id, []).append(r)
+    for q, v in rows:
+        if q % 100 == 0:
+            own = sorted(got[q], key=lambda r: r.rank)
+            others = sorted((math.dist(v, w), i) for i, w in rows if i != q and len(w) == len(v))
+            assert [r.rank for r in own] == list(range(1, min(10, len(others)) + 1))
+            if q in (0, 100, 400):
+                assert [r.vec_id for r in own] == [i for _, i in others[:10]]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert topk.top_quantised(empty).collect() == [] and ann.nearest(empty).collect() == []
