@@ -241,9 +241,10 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, size: int, coordina
     to_hub = durable(to_hub.groupBy("rep", "cloud").agg(F.min("far").alias("far"), F.max("far").alias("farthest"), F.max("linked").alias("linked")), "to_hub")
     first = to_hub.filter("linked and rep <> cloud").select(F.col("rep").alias("a"), F.col("cloud").alias("b"))
 
-    # Bands of the distance to the hub: links stay within a band or join two that touch.
+    # Bands of the distance to the hub: links stay within a band or join two that touch. A band holds
+    # its upper end, as band 0, the classes linked to the hub, holds those at exactly the gap.
     gap = 1 - percent / 100
-    band = F.when(F.col("linked"), F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.col("far") / gap + 1e-9).cast("int")))
+    band = F.when(F.col("linked"), F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("far") / gap - 1e-9).cast("int") - 1))
     placed = to_hub.withColumn("band", band).withColumn("label", F.when(F.col("linked"), F.col("cloud")).otherwise(F.col("rep")))
     sizes = placed.groupBy("cloud").agg(F.count("*").alias("n"), F.sum(F.col("linked").cast("int")).alias("n_linked"), F.max(F.col("farthest") > F.col("far")).alias("several"))
     # Distances say nothing of an id with several texts; its cloud goes without bands.

@@ -81,6 +81,18 @@ def test_equals_brute_force(spark, seed, percent, block):
     check(spark, corpus(seed), percent=percent, block=block)
 
 
+@pytest.mark.parametrize("percent,step", [(85, 15), (80, 20)])
+def test_chain_of_links_at_the_exact_threshold(spark, percent, step):
+    words = [f"w{i}" for i in range(104 + 4 * step)]
+    texts = []
+    for at in range(0, 4 * step, step):  # 100 - step shingles, then 100, then 100 - step of these
+        texts += [" ".join(words[at : at + 104 - step]), " ".join(words[at : at + 104])]
+    rows = list(enumerate(texts))
+    assert {i[2] for i in brute_force(rows, percent)} == {0}
+    for block in (2, 256):
+        check(spark, rows, percent=percent, block=block)
+
+
 def test_null_and_repeated_ids(spark):
     rows = corpus(4)[:60]
     rows += [(rows[3][0], rows[9][1]), (rows[3][0], rows[3][1]), (None, rows[3][1]), (None, None)]
