@@ -35,15 +35,18 @@ def usable(table: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
 def least_ids(vectors: DataFrame, keep: int) -> DataFrame:
     """Of each group of equal vectors the ``keep`` smallest ids, first within salted parts of a group.
 
-    A search for fewer than ``keep`` neighbours, with ties to smaller ids, needs no other copies.
+    A search for fewer than ``keep`` neighbours, with ties to smaller ids, needs no other copies. Rows
+    that repeat an id are kept up to one less than ``keep``: a query has no more of them either.
     """
     from pyspark.sql import Window
 
     salted = vectors.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
     near = Window.partitionBy("v", "part").orderBy("id")
+    copies = Window.partitionBy("v", "part", "id").orderBy("id")
     whole = Window.partitionBy("v").orderBy("id")
-    first = salted.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= keep)
-    return first.withColumn("n", F.row_number().over(whole)).filter(F.col("n") <= keep).select("id", "v")
+    first = salted.withColumn("n", F.dense_rank().over(near)).filter(F.col("n") <= keep)
+    first = first.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") < keep)
+    return first.withColumn("n", F.dense_rank().over(whole)).filter(F.col("n") <= keep).select("id", "v")
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

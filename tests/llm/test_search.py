@@ -114,6 +114,16 @@ def test_nearest_gives_k_rows_or_all(spark):
                 assert [r.vec_id for r in own] == [i for _, i in others[:10]]
 
 
+def test_repeated_rows_leave_copies_under_other_ids(spark):
+    rows = [(0, [1.0, 2.0])] * 30 + [(i, [1.0, 2.0]) for i in range(1, 26)] + [(50, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for found, k in ((topk.top_quantised(df), 20), (ann.nearest(df), 10)):
+        got = {r["rank"]: r.vec_id for r in found.collect() if r.query_id == 0}
+        assert got == {n: n for n in range(1, k + 1)}
+    other = {r["rank"]: r.vec_id for r in topk.top_quantised(df).collect() if r.query_id == 20}
+    assert other == {n: 0 for n in range(1, 21)}  # repeated rows are candidates of their own
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert topk.top_quantised(empty).collect() == [] and ann.nearest(empty).collect() == []
