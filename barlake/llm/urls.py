@@ -25,8 +25,9 @@ RULES: tuple[Rule, ...] = (
     ("block", "org", "/es/"),
 )
 DAMPING = 0.85
-ROUNDS = 12
+ROUNDS = 12  # at least
 ROUNDS_PER_TABLE = 4
+TOLERANCE = 1e-13  # of the largest change of a rank between two tables; below what verdicts round to
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/"'?#\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,17 +68,26 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, name: str) -> DataFrame:
     """(host, rank): personalised PageRank of ``seeds`` (host, mass adding up to 1) over the edges.
 
-    Mass at a host without out-links returns to nobody; ranks are compared, not read as chances.
+    Goes on, after at least ``rounds`` rounds, until no further host is reached and no rank changes by
+    more than ``TOLERANCE`` between two tables. Mass at a host without out-links returns to nobody;
+    ranks are compared, not read as chances.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     moves = durable(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total") * damping).alias("share")), f"{name}-moves")
     start = seeds.select("host", (F.col("mass") * (1 - damping)).alias("mass"))
     rank = seeds.select("host", F.col("mass").alias("rank"))
-    for done in range(1, rounds + 1):
-        sent = rank.join(moves, rank.host == moves.src).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("mass"))
-        rank = start.unionByName(sent).groupBy("host").agg(F.sum("mass").alias("rank"))
-        if done % ROUNDS_PER_TABLE == 0 or done == rounds:
-            rank = durable(rank, f"{name}-rank")
+    done, settled = 0, False
+    while done < rounds or not settled:
+        before = rank
+        for _ in range(ROUNDS_PER_TABLE):
+            sent = rank.join(moves, rank.host == moves.src).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("mass"))
+            rank = start.unionByName(sent).groupBy("host").agg(F.sum("mass").alias("rank"))
+        rank = durable(rank, f"{name}-rank")
+        done += ROUNDS_PER_TABLE
+        if done >= rounds:
+            # A host once reached stays so; one that is new has no rank before.
+            both = rank.join(before.select("host", F.col("rank").alias("old")), "host", "left")
+            settled = both.filter(F.col("old").isNull() | (F.abs(F.col("rank") - F.col("old")) > TOLERANCE)).isEmpty()
     return rank
 
 

@@ -77,6 +77,14 @@ def test_equals_brute_force(spark):
     assert {"allow", "block"} == {r[4] for r in want if r[3] is None}
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    # Each host links to the next, the last to a blocked one; distrust runs back over all 20 links.
+    rows = [(i, f"http://h{i}.xyz/a", f'<a href="http://h{i + 1}.xyz/a">') for i in range(20)] + [(20, "http://h20.xyz/a", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.verdicts(df, rules=(("block", "h20.xyz", "/"),)).collect()}
+    assert got == {i: "block" for i in range(21)}
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "http://a.com/en/1", None)], "page_id long, url string, html string")
     out = urls.verdicts(df)
