@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.storage import durable
+from barlake.llm.storage import discard, durable
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the undirected edges (a, b): the component's smallest node.
 
     Each round a node takes the smallest label among its own, its neighbours' and its label's label;
-    labels are written between rounds. Loops and repeated edges do no harm; no edges give no rows.
+    labels are written between rounds, and those of the round before removed. Loops and repeated
+    edges do no harm; no edges give no rows.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
     both = durable(both.distinct(), "edges")
@@ -22,6 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         moved = durable(step.join(up, "label", "left").select("node", "old", F.least("label", "up").alias("label")), "labels")
-        labels = moved.select("node", "label")
+        discard(labels)
+        labels = moved
         if not moved.filter("old <> label").take(1):
-            return labels
+            discard(both)
+            return moved.select("node", "label")

@@ -2,27 +2,67 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is configured (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where none is set and one machine runs all."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="barlake-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return a frame that reads it."""
+    """Write ``df`` as Parquet in the shared folder and return a frame that reads it.
+
+    The table is removed by ``discard``, by ``clear``, or at the end of the driver's process.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(_at_exit)
+    _written.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``durable`` returned and that nothing reads any more."""
+    for table in tables:
+        _remove(table.sparkSession, [table._durable_path])
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables written so far; frames that still read them become unusable."""
+    _remove(spark, list(_written))
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.discard(path)
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            clear(spark)
+        except Exception as problem:  # the session is going down; what is left is the folder owner's
+            print(f"intermediate tables were left behind: {problem}")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
