@@ -2,10 +2,10 @@
 
 A pseudo-rotation is three rounds of random signs and a fast Hadamard transform. A unit vector's
 bucket in a table is the signed axis nearest to its rotation. A query probes, in every table, the
-axes it is nearest to; the union of the probed buckets is reranked by exact Euclidean distance. The
-index is split by a hash of the id: each part holds all tables of its rows, so that rows are moved
-once, whatever the number of tables, and no bucket is ever one task's. Queries whose probes meet
-fewer than k rows are searched again over all rows, exactly.
+axes it is nearest to. Rows and queries meet by (table, bucket): a query is sent to the buckets it
+probes and to no others, and there every distance that is computed is that of a probed candidate.
+Each bucket gives a query its k nearest; the tables' results merge by query. Queries whose probes
+meet fewer than k rows are searched again over all rows, exactly.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from barlake.llm import topk
 from barlake.llm.storage import durable
 
-TABLES = 12
-PROBES = 10
+TABLES = 18
+PROBES = 3
 ROUNDS = 3
 GROUP_ROWS = 16_384
 CHUNK = 256
+FOUND = "query_id long, vec_id long, row long, score double"
 
 
 def hadamard(a: np.ndarray) -> np.ndarray:
@@ -52,47 +53,94 @@ def axis_products(unit: np.ndarray, table: int, seed: int) -> np.ndarray:
     return np.hstack([a, -a])
 
 
-def _search(queries: pa.Table, rows: pa.Table, k: int, tables: int, probes: int, seed: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The k nearest probed rows of each query; without tables every row is a candidate."""
+def _posted(tables: int, probes: int, seed: int):
+    """Each row under its bucket of every table, or under the ``probes`` buckets it is nearest to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            for d in np.unique(sizes):
+                part = batch.filter(pa.array(sizes == d))
+                x = topk.matrix(part.column(1)).astype(np.float64)
+                unit = x / np.abs(x).max(axis=1, keepdims=True)
+                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                for t in range(tables):
+                    products = axis_products(unit, t, seed)
+                    most = min(probes, products.shape[1])
+                    near = np.argpartition(-products, most - 1, axis=1)[:, :most]
+                    at = np.repeat(np.arange(len(x)), most)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), d), pa.int32()), pa.array(np.full(len(at), t), pa.int32()), pa.array(near.ravel(), pa.int32()), *(c.take(pa.array(at)) for c in part.columns)],
+                        names=["d", "t", "bucket", "id", "v", "row"],
+                    )
+
+    return run
+
+
+def _distances(queries: pa.Table, rows: pa.Table, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The k nearest rows of each query; every row is a candidate of every query of its length."""
     sizes_q, sizes_x = (np.diff(t.column("v").combine_chunks().offsets.to_numpy()) for t in (queries, rows))
     for d in np.unique(sizes_q):
         q_rows, x_rows = queries.filter(pa.array(sizes_q == d)), rows.filter(pa.array(sizes_x == d))
         if not x_rows.num_rows:
             continue
-        q, x = topk.matrix(q_rows.column("v")), topk.matrix(x_rows.column("v"))
-        q_id, x_id = q_rows.column("id").to_numpy(), x_rows.column("id").to_numpy()
-        q_unit, x_unit = (a / np.linalg.norm(a, axis=1, keepdims=True) for a in (q, x))
-        buckets = [np.argmax(axis_products(x_unit, t, seed), axis=1) for t in range(tables)]
+        q, x = (topk.matrix(t.column("v")).astype(np.float64) for t in (q_rows, x_rows))
+        q_id, x_id, x_row = q_rows.column("id").to_numpy(), x_rows.column("id").to_numpy(), x_rows.column("row").to_numpy()
         for at in range(0, len(q), CHUNK):
             part = slice(at, at + CHUNK)
-            hit = np.full((len(q[part]), len(x)), tables == 0)
-            for t in range(tables):
-                products = axis_products(q_unit[part], t, seed)
-                most = min(probes, products.shape[1])
-                near = np.argpartition(-products, most - 1, axis=1)[:, :most]
-                probed = np.zeros(products.shape, dtype=bool)
-                np.put_along_axis(probed, near, True, axis=1)
-                hit |= probed[:, buckets[t]]
-            hit &= x_id[None] != q_id[part, None]
-            yield from _rerank(q[part], q_id[part], x, x_id, hit, k)
-
-
-def _rerank(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, hit: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The k nearest of each query's candidates; distances of those in reach are computed directly."""
+            which, column, score = _rerank(q[part], q_id[part], x, x_id, k)
+            yield q_id[part][which], x_id[column], x_row[column], score
+
+
+def _rerank(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the k nearest others of each query; those in reach are computed directly."""
+    other = x_id[None] != q_id[:, None]
     scale = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None]
-    rough = np.where(hit, scale - 2 * (q @ x.T), np.inf)
+    with np.errstate(invalid="ignore", over="ignore"):
+        rough = np.where(other, scale - 2 * (q @ x.T), np.inf)
     room = 1e-9 * (1 + scale.max())
-    if len(x) > k:
+    # Squares beyond the range of doubles say nothing: all candidates are then computed directly.
+    if len(x) > k and np.isfinite(room):
         reach = np.partition(rough, k - 1, axis=1)[:, k - 1]
     else:
         reach = np.full(len(q), np.inf)
-    which, column = np.nonzero(hit & (rough <= (reach + room)[:, None]))
-    score = np.sqrt(((q[which] - x[column]) ** 2).sum(axis=1))
+    which, column = np.nonzero(other & ~(rough > (reach + room)[:, None]))
+    apart = np.abs(q[which] - x[column])
+    largest = apart.max(axis=1, initial=0.0)
+    safe = np.where((largest > 1e150) | ((largest > 0) & (largest < 1e-150)), largest, 1.0)
+    score = safe * np.sqrt(((apart / safe[:, None]) ** 2).sum(axis=1))
     order = np.lexsort((x_id[column], score, which))
     which, column, score = which[order], column[order], score[order]
     start = np.searchsorted(which, which)
     first = np.arange(len(which)) - start < k
-    yield q_id[which[first]], x_id[column[first]], score[first]
+    return which[first], column[first], score[first]
+
+
+def _met(k: int):
+    def run(q: pa.Table, x: pa.Table) -> pa.Table:
+        got = list(_distances(q, x, k)) if q.num_rows and x.num_rows else []
+        columns = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [*[np.zeros(0, np.int64)] * 3, np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "vec_id", "row", "score"), columns, strict=True)))
+
+    return run
+
+
+def probed_pairs(queries: DataFrame, rows: DataFrame, tables: int, probes: int, seed: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides under (d, t, bucket, part): a row once a table, a query where it probes.
+
+    A bucket of more than ``group_rows`` rows is dealt by the id to several parts, and the queries
+    that probe it are sent to all of them, so that no bucket is one task's.
+    """
+    schema = f"d int, t int, bucket int, id long, v {rows.schema['v'].dataType.simpleString()}, row long"
+    placed = rows.select("id", "v", "row").mapInArrow(_posted(tables, 1, seed), schema)
+    probing = queries.select("id", "v", "row").mapInArrow(_posted(tables, probes, seed), schema)
+    key = ["d", "t", "bucket"]
+    parts = placed.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(group_rows)).cast("int").alias("parts")).filter("parts > 1")
+    parts = F.broadcast(durable(parts, "large-buckets"))  # at most one row for each group_rows rows and table
+    one = F.coalesce("parts", F.lit(1))
+    placed = placed.join(parts, key, "left").withColumn("part", F.pmod(F.xxhash64("id"), one).cast("int")).drop("parts")
+    probing = probing.join(parts, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+    return placed, probing
 
 
 def nearest(table: DataFrame, every: int = 100, k: int = 10, tables: int = TABLES, probes: int = PROBES, seed: int = 7, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -103,14 +151,20 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, tables: int = TABLE
     null or non-finite component take no part, nor do null ids; vectors of another length are no
     candidates; equal vectors are all found, through the smallest ids. Every usable row is indexed.
     """
+    narrow = table.schema["embedding"].dataType.simpleString() == "array<float>"
     whole = topk.usable(table).filter(F.exists("v", lambda x: x != 0))
-    rows = topk.least_ids(whole, k + 1)
-    queries = whole.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"])
-    found = topk.in_groups(queries, rows, group_rows, lambda q, x: _search(q, x, k, tables, probes, seed))
-    found = durable(topk.ranked(found, k, F.asc("score")), "probed")
+    # Floats are moved as floats; a row's number tells apart rows that repeat an id.
+    kept = lambda df, name: durable(df.select("id", F.col("v").cast("array<float>" if narrow else "array<double>"), F.monotonically_increasing_id().alias("row")), name)
+    rows = kept(topk.least_ids(whole, k + 1), "rows")
+    queries = kept(whole.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"]), "queries")
+    placed, probing = probed_pairs(queries, rows, tables, probes, seed, group_rows)
+    key = ["d", "t", "bucket", "part"]
+    met = probing.groupBy(*key).cogroup(placed.groupBy(*key)).applyInArrow(_met(k), FOUND)
+    met = met.distinct()  # a pair may meet in several tables
+    found = durable(topk.ranked(met, k, F.asc("score")), "probed")
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
     short = durable(queries.join(full, queries.id == full.query_id, "left_anti"), "short-queries")
     if short.isEmpty():
         return found
-    exact = topk.in_groups(short, rows, group_rows, lambda q, x: _search(q, x, k, 0, probes, seed))
+    exact = topk.in_groups(short, rows, group_rows, _met(k), FOUND)
     return found.join(full, "query_id", "left_semi").select(found.columns).unionByName(topk.ranked(exact, k, F.asc("score")))

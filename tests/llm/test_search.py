@@ -45,7 +45,24 @@ def test_top_k_in_many_groups_and_with_large_components(spark):
     good = {r.id: [int(x) for x in r.v] for r in whole.collect()}
     for q in [i for i in good if i % 10 == 0]:
         best = sorted((-sum(a * b for a, b in zip(good[q], w, strict=True)), i) for i, w in good.items() if i != q and len(w) == len(good[q]))[:5]
-        assert [(r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [i for _, i in best]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == best
+
+
+def test_scores_beyond_doubles_and_beyond_longs(spark):
+    big = 128_000_001
+    rows = [(i, [(big + i % 3) / 64, 1.0 + i % 2]) for i in range(0, 50)] + [(60, [-2e6, 2e6]), (61, [1.0, 0.0]), (80, [1e30, 1.0]), (100, [-1e300, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    end = 2**63 - 1024
+    good = {i: [max(-end, min(end, math.floor(64 * x))) for x in v] for i, v in rows}
+    want = []
+    for q in [i for i in good if i % 20 == 0]:
+        scores = ((-max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(good[q], w, strict=True)))), i) for i, w in good.items() if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:20])]
+    assert any(2**53 < s < 2**60 and s % 2 for *_, s in want) and any(s == 2**63 - 1 for *_, s in want)
+    assert sorted(map(tuple, topk.top_quantised(df).collect())) == sorted(want)
+    for group in (7, 16_384):
+        whole = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in good.items()], "id long, v array<double>")
+        assert sorted(map(tuple, topk.top_inner_products(whole.filter("id % 20 = 0"), whole, 20, group).collect())) == sorted(want)
 
 
 def test_hadamard_is_orthonormal():
@@ -124,6 +141,28 @@ def test_repeated_rows_leave_copies_under_other_ids(spark):
     assert other == {n: 0 for n in range(1, 21)}  # repeated rows are candidates of their own
 
 
+def test_only_probed_candidates_are_measured(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    numbered = topk.usable(df).selectExpr("id", "v", "id AS row")
+    rows, queries = numbered, numbered.filter("id % 100 = 0")
+    placed, probing = ann.probed_pairs(queries, rows, ann.TABLES, ann.PROBES, 7, 50)
+    key = ["d", "t", "bucket", "part"]
+    pairs = probing.select(*key, probing.id.alias("q")).join(placed.select(*key, "row"), key)
+    computed, distinct, every = pairs.count(), pairs.select("q", "row").distinct().count(), queries.count() * rows.count()
+    print("computed", computed / every, "distinct", distinct / every)
+    assert computed <= 0.5 * every and distinct <= 0.4 * every
+    assert placed.groupBy(*key).count().agg({"count": "max"}).first()[0] <= 150 and placed.count() == ann.TABLES * rows.count()
+
+
+def test_vectors_of_extreme_length(spark):
+    rows = [(0, [1e200, 0.0]), (100, [1e-200, 0.0]), (1, [1e200, 1e190]), (2, [2e-200, 0.0]), (3, [0.0, 1e-200]), (4, [5.0, 5.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    for q, v in [r for r in rows if r[0] % 100 == 0]:
+        want = sorted((math.dist(v, w), i) for i, w in rows if i != q)
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in own] == [i for _, i in want] and np.allclose([r.score for r in own], [d for d, _ in want], rtol=1e-12, atol=0)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert topk.top_quantised(empty).collect() == [] and ann.nearest(empty).collect() == []
