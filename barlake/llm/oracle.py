@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from barlake.llm import backoff, urls
 
+ROUNDS = 80  # of propagation: 0.85 ** 80 is 2e-6
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
 SUBSTRING = f"""
@@ -74,11 +75,12 @@ def _url_filters() -> str:
     for name, column, a, b in (("t", "allowed", "src", "dst"), ("u", "blocked", "dst", "src")):
         parts.append(f"{name}_move AS (SELECT {a} AS src, {b} AS dst, weight / sum(weight) OVER (PARTITION BY {a}) * {urls.DAMPING} AS share FROM edges)")
         parts.append(f"{name}0 AS (SELECT host, {column} / (SELECT sum({column}) FROM hosts) AS rank FROM hosts WHERE {column} > 0)")
-        for i in range(1, urls.ROUNDS + 1):
+        for i in range(1, ROUNDS + 1):
             parts.append(f"""{name}{i} AS MATERIALIZED (SELECT host, sum(m) AS rank FROM (SELECT host, rank * {1 - urls.DAMPING} AS m FROM {name}0
                 UNION ALL SELECT dst, rank * share FROM {name}{i - 1} JOIN {name}_move ON src = host) GROUP BY 1)""")
-    last = urls.ROUNDS
-    parts.append(f"bad AS (SELECT host FROM (SELECT host, rank AS x FROM u{last} UNION ALL SELECT host, -rank FROM t{last}) GROUP BY 1 HAVING round(sum(x), 12) > 0)")
+    # Divided by their sum: the mass of hosts without out-links has gone back to the seeds.
+    share = "SELECT host, {0} rank / (SELECT sum(rank) FROM {1}) AS x FROM {1}"
+    parts.append(f"bad AS (SELECT host FROM ({share.format('', f'u{ROUNDS}')} UNION ALL {share.format('-', f't{ROUNDS}')}) GROUP BY 1 HAVING round(sum(x), 12) > 0)")
     return "WITH " + ",\n".join(parts) + "\nSELECT page_id, host, path, rule, coalesce(action, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM judged"
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.storage import durable
+from barlake.llm.storage import discard, durable
 
 Rule = tuple[str, str, str]  # action, host, path
 
@@ -49,7 +49,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def judge(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
     """(rule, action) of the longest rule that fits, or nulls; of equal lengths the first."""
     rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for what, name, prefix in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    # Later ones override, so the order is from short to long, and from last to first.
+    for what, name, prefix in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(prefix)
         rule, action = F.when(fits, F.lit(name + prefix)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(action)
     return rule, action
@@ -69,8 +70,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, n
     """(host, rank): personalised PageRank of ``seeds`` (host, mass adding up to 1) over the edges.
 
     Goes on, after at least ``rounds`` rounds, until no further host is reached and no rank changes by
-    more than ``TOLERANCE`` between two tables. Mass at a host without out-links returns to nobody;
-    ranks are compared, not read as chances.
+    more than ``TOLERANCE`` between two tables. What reaches a host without out-links goes back to the
+    seeds: that multiplies all ranks by one factor, so they are divided by their sum at the end.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     moves = durable(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total") * damping).alias("share")), f"{name}-moves")
@@ -88,7 +89,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, n
             # A host once reached stays so; one that is new has no rank before.
             both = rank.join(before.select("host", F.col("rank").alias("old")), "host", "left")
             settled = both.filter(F.col("old").isNull() | (F.abs(F.col("rank") - F.col("old")) > TOLERANCE)).isEmpty()
-    return rank
+        if done > ROUNDS_PER_TABLE:
+            discard(before)
+    total = rank.agg(F.sum("rank")).first()[0] or 1.0
+    return rank.select("host", (F.col("rank") / F.lit(float(total))).alias("rank"))
 
 
 def verdicts(

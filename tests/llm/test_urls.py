@@ -46,8 +46,11 @@ def brute_force(rows):
         total = sum(seeds.values()) or 1
         start = {h: n / total for h, n in seeds.items()}
         r = dict(start)
-        for _ in range(urls.ROUNDS):
-            nxt = {h: x * (1 - urls.DAMPING) for h, x in start.items()}
+        ends = set(hosts) - {a for a, _ in edges}
+        for _ in range(300 if seeds else 0):
+            # A step from a host without links leads to a seed, like a jump.
+            lost = sum(x for h, x in r.items() if h in ends)
+            nxt = {h: x * (1 - urls.DAMPING + urls.DAMPING * lost) for h, x in start.items()}
             for (a, b), w in edges.items():
                 out = sum(v for (x, _), v in edges.items() if x == a)
                 nxt[b] = nxt.get(b, 0) + urls.DAMPING * r.get(a, 0) * w / out
@@ -85,6 +88,24 @@ def test_distrust_reaches_the_end_of_a_long_chain(spark):
     assert got == {i: "block" for i in range(21)}
 
 
+def test_of_rules_of_equal_length_the_first_wins(spark):
+    df = spark.createDataFrame([(1, "http://a.com/x", None), (2, "http://b.a.com/xy", None)], "page_id long, url string, html string")
+    rules = (("block", "a.com", "/x"), ("allow", "a.com", "/x"), ("allow", "com", "/"), ("block", "a.com", "/xy"))
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.verdicts(df, rules=rules).collect()}
+    assert got == {1: ("a.com/x", "block"), 2: ("a.com/xy", "block")}
+
+
+def test_distrust_is_not_lost_at_hosts_without_links(spark):
+    # Half of the trust flows to a host without links; both sides still add up to one.
+    html = '<a href="http://good.xyz/"><a href="http://bad.xyz/">'
+    rows = [(1, "http://seed.xyz/a", '<a href="http://end.xyz/"><a href="http://mid.xyz/">'), (2, "http://end.xyz/", None), (3, "http://mid.xyz/", html), (4, "http://bad.xyz/", None), (5, "http://good.xyz/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = spark.createDataFrame([("seed", "end", 1.0), ("seed", "mid", 1.0), ("mid", "bad", 2.0)], "src string, dst string, weight double")
+    rank = urls.propagate(edges, spark.createDataFrame([("seed", 1.0)], "host string, mass double"), 0.85, 12, "t")
+    assert abs(rank.agg({"rank": "sum"}).first()[0] - 1) < 1e-12
+    assert {r.page_id for r in urls.verdicts(df, rules=(("allow", "seed.xyz", "/"), ("block", "bad.xyz", "/"))).collect() if r.verdict == "block"} == {3, 4}
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "http://a.com/en/1", None)], "page_id long, url string, html string")
     out = urls.verdicts(df)
