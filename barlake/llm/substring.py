@@ -237,11 +237,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
 
     Returns doc_id, n_words, n_removed, kept_sha256 for each input row; ``with_text`` adds the kept
     text (unchanged where nothing was removed, else the kept words joined by a space) and the
-    documents' other columns, and drops nothing else. Windows are judged on the input.
+    documents' other columns, which win where they are named like a figure: that figure is then left
+    out. Windows are judged on the input.
 
     Null and empty texts have no words. A null doc_id is no smaller than any and takes no part: its
     row stays whole. Rows that repeat a doc_id are one document in comparisons and one row each in
-    the result. Clashing column names do no harm: only doc_id and text are read.
+    the result. Of other columns none is read.
     """
     spark = docs.sparkSession
     other = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")] if with_text else []
@@ -266,7 +267,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     result = staged.filter("block is null").select(*schema.names).unionByName(done)
     if not with_text:
         return result.drop("text", "carry")
-    return result.select("doc_id", "text", *[F.col(f"carry.`{f.name}`").alias(f.name) for f in other if f.name not in ("n_words", "n_removed", "kept_sha256")], "n_words", "n_removed", "kept_sha256")
+    taken = {f.name.lower() for f in other}
+    return result.select("doc_id", "text", *[F.col(f"carry.`{f.name}`").alias(f.name) for f in other], *[c for c in ("n_words", "n_removed", "kept_sha256") if c not in taken])
 
 
 def _stage(docs: DataFrame, window: int, with_text: bool) -> DataFrame:

@@ -75,5 +75,14 @@ def test_with_text_keeps_other_columns(spark):
     assert all(r.key == "k" and r.block == 1 for r in got.values())
 
 
+def test_columns_named_like_figures_stay(spark):
+    rows = [(i, " ".join(f"p{j}" for j in range(60)), "mine", "k") for i in (1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string, KEPT_SHA256 string")
+    got = {r.doc_id: r for r in substring.remove_repeats(df, with_text=True).collect()}
+    assert all(r.n_words == "mine" and r.KEPT_SHA256 == "k" for r in got.values()) and got[2].n_removed == 60
+    plain = {r.doc_id: r for r in substring.remove_repeats(df).collect()}
+    assert plain[2].n_words == 60 and len(plain[2].kept_sha256) == 64
+
+
 def test_empty_table(spark):
     assert substring.remove_repeats(frame(spark, [])).collect() == []
