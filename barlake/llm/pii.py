@@ -1,17 +1,24 @@
 """Personal data: labelers vote on candidate spans, expectation-maximisation weighs their votes.
 
-Base spans follow four fixed patterns and always stay. Looser patterns propose more candidates.
-Labelers - the strict pattern, a checksum or range, a gazetteer, context words, the characters
-around and the shape - vote for, against or abstain. The vote patterns of all candidates in all
-documents are counted in Spark; on that small table EM estimates each labeler's reliability without
-any labels, and a logistic classifier is trained on the posteriors. A candidate the classifier
-accepts is added where it overlaps no base span.
+Base spans follow four fixed patterns and always stay. Looser patterns propose more candidates: what
+a base pattern drops because digits of a neighbour run into it, national phone numbers, spelled-out
+email addresses, and secrets (keys, tokens, passwords). Labelers - a checksum, range or entropy, a
+gazetteer, context words, the characters around and the shape - vote for, against or abstain; none
+knows whether a span is a base one. The vote patterns of all candidates in all documents are counted
+in Spark; on that small table EM estimates each labeler's reliability without any labels.
+
+The posteriors are the targets of the final classifier, a logistic regression on hashed features of
+the span itself and what stands around it: token shape, digits, separators, neighbouring characters
+and words, besides the votes. It is fitted on at most MAX_TRAIN distinct candidates of each kind, the
+first by a hash. A candidate it accepts is added where it overlaps no base span.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,10 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KINDS = ("email", "ip", "card", "phone")
-VOTERS = ("strict", "check", "gazetteer", "context", "border", "shape")
-MAX_DIGITS = 20  # digit counts above share one value in the classifier's features
+from barlake.llm.storage import discard, durable
+
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
+VOTERS = ("check", "gazetteer", "context", "border", "shape")
 LOOK_BACK = 40  # characters before a span that hold its context words
+MAX_TRAIN = 4_000
+DIMENSIONS = 1 << 14
 
 # The base patterns. Runs of digits are entered at their first digit only, where the
 # leftmost match starts anyway.
@@ -35,18 +46,25 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-LOOSE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z0-9-]{1,63})+")
-LOOSE_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
+DIGIT = re.compile("[0-9]")
+
+LOOSE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?(?:\[dot\]|\(dot\)| dot ) ?)[A-Za-z0-9-]{1,63})+")
+LOOSE_PHONE = re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
+LOOSE_CARD = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})(?![0-9])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,128}(?![A-Za-z0-9_+/-])")
+HEX = re.compile("[0-9a-f]+|[0-9A-F]+")
 OBFUSCATED = ("[at]", "(at)", "[dot]", "(dot)", " dot ")
 TOP_LEVEL = frozenset("com net org edu gov io de fr es eu uk info example".split())
 ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "60", "65", "2")
+KEY_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "sk-", "xox", "eyJ")
 CONTEXT = {
     "email": ("mail", "contact", "write", "correo", "courriel", "@"),
     "ip": ("ip", "addr", "host", "server", "login", "from"),
     "card": ("card", "visa", "pay", "credit", "tarjeta", "carte", "karte"),
-    "phone": ("tel", "phone", "call", "fax", "mobil", "+"),
+    "phone": ("tel", "phone", "call", "fax", "mobil"),
+    "secret": ("password", "passwd", "pwd", "token", "secret", "key", "auth", "bearer", "credential"),
 }
-AGAINST = ("version", "isbn", "order", "token", "sha", "id=", "release")
+AGAINST = ("version", "isbn", "order", "sha", "md5", "commit", "checksum", "uuid", "id=", "release", "http", "src=", "invoice", "serial")
 
 
 @dataclass(frozen=True)
@@ -91,17 +109,18 @@ def base_spans(text: str) -> list[Span]:
             end = domain.end()
             found.append(Span("email", start, end, True))
         at = text.find("@", max(at + 1, end))
-    for m in IP.finditer(text):
-        if in_range(m.group()):
-            found.append(Span("ip", *m.span(), True))
-    for m in CARD.finditer(text):
-        if m.end() - m.start() >= 12:
-            number = digits(m.group())
-            if 12 <= len(number) <= 19 and luhn(number):
-                found.append(Span("card", *m.span(), True))
-    for m in PHONE.finditer(text):
-        if 9 <= len(digits(m.group())) <= 15:
-            found.append(Span("phone", *m.span(), True))
+    if DIGIT.search(text):
+        for m in IP.finditer(text):
+            if in_range(m.group()):
+                found.append(Span("ip", *m.span(), True))
+        for m in CARD.finditer(text):
+            if m.end() - m.start() >= 12:
+                number = digits(m.group())
+                if 12 <= len(number) <= 19 and luhn(number):
+                    found.append(Span("card", *m.span(), True))
+        for m in PHONE.finditer(text):
+            if 9 <= len(digits(m.group())) <= 15:
+                found.append(Span("phone", *m.span(), True))
     return ordered(found)
 
 
@@ -114,31 +133,35 @@ def loose_spans(text: str, base: list[Span]) -> list[Span]:
     found = []
     if any(x in text for x in OBFUSCATED):
         found += [Span("email", *m.span(), False) for m in LOOSE_EMAIL.finditer(text) if any(x in m.group() for x in OBFUSCATED)]
-    found += [Span("phone", *m.span(), False) for m in LOOSE_PHONE.finditer(text)]
-    for m in CARD.finditer(text):
-        if m.end() - m.start() >= 13 and 13 <= len(digits(m.group())) <= 19:
-            found.append(Span("card", *m.span(), False))
-    for m in IP.finditer(text):
-        found.append(Span("ip", *m.span(), False))
+    if DIGIT.search(text):
+        for kind, loose in (("phone", LOOSE_PHONE), ("card", LOOSE_CARD), ("ip", IP)):
+            found += [Span(kind, *m.span(), False) for m in loose.finditer(text)]
+        for m in SECRET.finditer(text):
+            if DIGIT.search(m.group()) and not m.group().isdigit() and any(c.isalpha() for c in m.group()):
+                found.append(Span("secret", *m.span(), False))
     out: list[Span] = []
     taken = iter([*base, Span("email", len(text) + 1, len(text) + 1, True)])
     held, last = next(taken), -1
     for s in ordered(found):
         while held.end <= s.start and held.start <= len(text):
             held = next(taken)
-        clear = held.start >= s.end and all(b.end <= s.start or b.start >= s.end for b in (held,))
-        if clear and s.start >= last:
+        if held.start >= s.end and s.start >= last:
             out.append(s)
             last = s.end
     return out
 
 
+def entropy(text: str) -> float:
+    """Bits a character, by the frequencies in the text itself."""
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+
+
 def votes(text: str, s: Span) -> tuple[int, ...]:
     """Each labeler's vote for a candidate: 1 personal data, -1 not, 0 no opinion."""
     span, number = text[s.start : s.end], digits(text[s.start : s.end])
     before = text[max(0, s.start - LOOK_BACK) : s.start].lower()
-    after = text[s.end : s.end + 1]
-    strict = 1 if s.base else -1
+    last, after = text[s.start - 1 : s.start] if s.start else "", text[s.end : s.end + 1]
+    border = -1 if last.isalnum() or after.isalnum() else 1
     if s.kind == "card":
         check = 1 if luhn(number) else -1
         known = 1 if number.startswith(ISSUERS) else -1
@@ -147,27 +170,62 @@ def votes(text: str, s: Span) -> tuple[int, ...]:
         check = 1 if in_range(span) else -1
         known = -1 if span.startswith("0") else 1 if span.find(".") > 1 else 0
         shape = 1 if len(number) >= 8 else 0 if len(number) > 5 else -1
+        border = -1 if border < 0 or last in (".", "v", "V", "-") or (after == "." and text[s.end + 1 : s.end + 2].isdigit()) else 1
     elif s.kind == "phone":
         check = 1 if 9 <= len(number) <= 15 else -1
         known = 1 if "555" in number or span.startswith("+") else 0
-        shape = 1 if any(c in span for c in "()- ") else -1
-    else:
+        shape = 1 if any(c in span for c in "() ") else 0
+        border = -1 if border < 0 or last in "#-./" and last else 1
+    elif s.kind == "email":
         check = 1 if "@" in span or any(x in span for x in OBFUSCATED[:4]) else 0
-        last = re.split(r"[^A-Za-z0-9-]+", span)[-1].lower()
-        known = 1 if last in TOP_LEVEL else -1
+        known = 1 if re.split(r"[^A-Za-z0-9-]+", span)[-1].lower() in TOP_LEVEL else -1
         shape = 1 if len(span) <= 80 else -1
-    context = 1 if any(w in before for w in CONTEXT[s.kind]) else -1 if any(w in before for w in AGAINST) else 0
-    border = -1 if (s.start and text[s.start - 1].isalnum()) or after.isalnum() else 1
-    return strict, check, known, context, border, shape
+    else:
+        check = 1 if entropy(span) >= 3 else -1
+        known = 1 if span.startswith(KEY_PREFIXES) else 0
+        mixed = span.isalnum() and (span.upper() == span or (span.lower() != span and len(number) >= 3))
+        shape = 1 if mixed or (HEX.fullmatch(span) and len(span) >= 16) else -1
+        border = -1 if last in "/.-" and last else 1 if last in "=:\"'" and last else 0
+    words = CONTEXT[s.kind]
+    context = 1 if any(w in before for w in words) else -1 if any(w in before for w in AGAINST) else 0
+    return check, known, context, border, shape
 
 
 def pattern(text: str, s: Span) -> tuple[int, ...]:
-    """What the classifier sees: kind, votes, and the number of digits."""
-    return KINDS.index(s.kind), *votes(text, s), min(MAX_DIGITS, len(digits(text[s.start : s.end])))
-
-
-def count_patterns(docs: DataFrame) -> Counter:
-    """Candidates of all documents by pattern; the number of patterns is bounded by their make."""
+    """What expectation-maximisation sees: the kind and the votes."""
+    return KINDS.index(s.kind), *votes(text, s)
+
+
+def token_shape(text: str) -> str:
+    """Digits as 9, letters as a or A, runs with their length up to 4, other characters as they are."""
+    out: list[str] = []
+    run = 0
+    for c in text:
+        k = "9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c
+        run = run + 1 if out and out[-1] == k else 1
+        if run <= 4:
+            out.append(k)
+    return "".join(out)
+
+
+def features(text: str, s: Span) -> list[int]:
+    """Hashed features of a candidate: its shape and digits, what stands around it, and the votes."""
+    span = text[s.start : s.end]
+    number = digits(span)
+    before, after = text[max(0, s.start - LOOK_BACK) : s.start], text[s.end : s.end + LOOK_BACK]
+    previous, following = before.lower().split(), after.lower().split()
+    own = [
+        "bias", f"shape {token_shape(span)}", f"digits {len(number)}", f"length {min(len(span) // 4, 16)}", f"first {number[:1]}", f"two {number[:2]}",
+        f"separators {''.join(sorted({c for c in span if not c.isalnum()}))}", f"last {token_shape(before[-1:])}", f"next {token_shape(after[:1])}",
+        f"word {token_shape(previous[-1]) if previous and DIGIT.search(previous[-1]) else previous[-1] if previous else ''}",
+        f"word2 {previous[-2] if len(previous) > 1 else ''}", f"after {token_shape(following[0]) if following else ''}",
+    ]
+    own += [f"{name} {vote}" for name, vote in zip(VOTERS, votes(text, s), strict=True)]
+    return [zlib.crc32(f"{s.kind} {f}".encode()) % DIMENSIONS for f in own]
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """Distinct candidates of all documents, base ones too: (kind, votes, features, h, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,11 +234,20 @@ def count_patterns(docs: DataFrame) -> Counter:
                 text = text.as_py()
                 if text:
                     base = base_spans(text)
-                    found.update(pattern(text, s) for s in (*base, *loose_spans(text, base)))
-            yield pa.RecordBatch.from_arrays([pa.array([list(p) for p in found], pa.list_(pa.int32())), pa.array(found.values(), pa.int64())], names=["pattern", "n"])
+                    found.update((pattern(text, s), tuple(features(text, s))) for s in (*base, *loose_spans(text, base)))
+            keys = list(found)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([p[0] for p, _ in keys], pa.int32()),
+                    pa.array([list(p[1:]) for p, _ in keys], pa.list_(pa.int32())),
+                    pa.array([list(f) for _, f in keys], pa.list_(pa.int32())),
+                    pa.array(found.values(), pa.int64()),
+                ],
+                names=["kind", "votes", "features", "n"],
+            )
 
-    rows = docs.select("text").mapInArrow(run, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    return Counter({tuple(r.pattern): r.n for r in rows.collect()})
+    rows = docs.select("text").mapInArrow(run, "kind int, votes array<int>, features array<int>, n long")
+    return rows.groupBy("kind", "votes", "features").agg(F.sum("n").alias("n")).withColumn("h", F.xxhash64("kind", "votes", "features"))
 
 
 def reliabilities(counts: Counter, kind: int, rounds: int = 60) -> tuple[dict[tuple[int, ...], float], np.ndarray, float]:
@@ -188,14 +255,15 @@ def reliabilities(counts: Counter, kind: int, rounds: int = 60) -> tuple[dict[tu
     own = sorted(p for p in counts if p[0] == kind)
     if not own:
         return {}, np.full((2, len(VOTERS), 3), 1 / 3), 0.5
-    vote = np.array([p[1 : 1 + len(VOTERS)] for p in own]) + 1
+    vote = np.array([p[1:] for p in own]) + 1
     weight = np.array([counts[p] for p in own], dtype=float)
     posterior = 1 / (1 + np.exp(-(vote - 1).sum(axis=1).astype(float)))
     one_hot = np.eye(3)[vote]
+    # A few votes in favour of each labeler keep the classes in place; the first is "personal data".
+    trust = np.array([[1.0, 2.0, 4.0], [4.0, 2.0, 1.0]])[:, None]
     for _ in range(rounds):
-        # One added vote each way keeps unseen votes possible; the first class is "personal data".
         both = np.stack([weight * posterior, weight * (1 - posterior)])
-        table = np.einsum("cp,pvk->cvk", both, one_hot) + np.array([[1.0, 1.0, 2.0], [2.0, 1.0, 1.0]])[:, None]
+        table = np.einsum("cp,pvk->cvk", both, one_hot) + trust
         table /= table.sum(axis=2, keepdims=True)
         prior = (both[0].sum() + 1) / (both.sum() + 2)
         log = np.einsum("pvk,cvk->cp", one_hot, np.log(table)) + np.log([[prior], [1 - prior]])
@@ -203,38 +271,42 @@ def reliabilities(counts: Counter, kind: int, rounds: int = 60) -> tuple[dict[tu
     return dict(zip(own, posterior.tolist(), strict=True)), table, prior
 
 
-def features(patterns: list[tuple[int, ...]]) -> np.ndarray:
-    p = np.array(patterns).reshape(-1, len(VOTERS) + 2)
-    kind = np.eye(len(KINDS))[p[:, 0]]
-    vote = p[:, 1:-1].astype(float)
-    by_kind = (kind[:, :, None] * vote[:, None]).reshape(len(p), -1)
-    return np.hstack([kind, by_kind, kind * (p[:, -1:] / MAX_DIGITS)])
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 400, step: float = 0.5, ridge: float = 1e-3) -> np.ndarray:
+    """Logistic regression on rows of hashed features, by gradient steps scaled by their history."""
+    beta, seen = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-8)
+    weight = weight / weight.sum()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(beta[x].sum(axis=1), -30, 30)))
+        gradient = np.bincount(x.ravel(), weights=np.repeat(weight * (p - y), x.shape[1]), minlength=DIMENSIONS) + ridge * beta / len(y)
+        seen += gradient**2
+        beta -= step * gradient / np.sqrt(seen)
+    return beta.astype(np.float32)
+
+
+def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> np.ndarray:
+    """The span classifier's weights, from the votes on all documents' candidates and no labels."""
+    found = durable(candidates(docs), "candidates")
+    patterns = found.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()  # at most 3 ** 5 a kind
+    counts = Counter({(r.kind, *r.votes): r.n for r in patterns})
+    x, y, weight = [], [], []
+    for kind in range(len(KINDS)):
+        posterior = reliabilities(counts, kind)[0]
+        for r in found.filter(F.col("kind") == kind).orderBy("h").limit(max_train).collect():
+            x.append(r.features)
+            y.append(posterior[(kind, *r.votes)])
+            weight.append(math.log1p(r.n))  # so that a passage of many copies doesn't drown the rest
+    discard(found)
+    return fit(np.array(x), np.array(y), np.array(weight)) if x else np.zeros(DIMENSIONS, np.float32)
 
 
-def train(counts: Counter, rounds: int = 40, ridge: float = 1.0) -> dict[tuple[int, ...], float]:
-    """The final classifier's probability for every pattern seen; Newton steps on weighted posteriors."""
-    posterior: dict[tuple[int, ...], float] = {}
-    for kind in range(len(KINDS)):
-        posterior |= reliabilities(counts, kind)[0]
-    if not posterior:
-        return {}
-    own = sorted(posterior)
-    x, y = features(own), np.array([posterior[p] for p in own])
-    # Weights grow with the logarithm, so that one kind's common pattern doesn't drown the others.
-    w = np.log1p([counts[p] for p in own])
-    beta = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (w * (p - y)) + ridge * beta
-        hessian = (x * (w * p * (1 - p))[:, None]).T @ x + (ridge + 1e-6) * np.eye(x.shape[1])
-        beta -= np.linalg.solve(hessian, gradient)
-    return dict(zip(own, (1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))).tolist(), strict=True))
+def chance(text: str, s: Span, weights: np.ndarray) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(weights[features(text, s)].sum())))))
 
 
-def find_spans(text: str, accepted: set[tuple[int, ...]]) -> tuple[list[Span], list[Span]]:
+def find_spans(text: str, weights: np.ndarray, threshold: float) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans), each by start and kind."""
     base = base_spans(text)
-    added = [s for s in loose_spans(text, base) if pattern(text, s) in accepted]
+    added = [s for s in loose_spans(text, base) if chance(text, s, weights) >= threshold]
     return base, ordered([*base, *added])
 
 
@@ -252,43 +324,40 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def accepted_patterns(docs: DataFrame, threshold: float = 0.5) -> set[tuple[int, ...]]:
-    return {p for p, chance in train(count_patterns(docs)).items() if chance >= threshold}
-
-
-def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Personal data of each row: counts and digest of the base spans, and all spans.
+def detect(docs: DataFrame, threshold: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
+    """Personal data of each row: counts and digest of the base spans, all spans, and their number.
 
     Offsets are code points, ends exclusive. Null and empty texts have no spans. Rows with a null or
     repeated doc_id are judged each; an empty table gives no rows; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    accepted = accepted_patterns(docs, threshold)
+    weights = train(docs, max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(1):
-                base, spans = find_spans(text.as_py() or "", accepted)
+                base, spans = find_spans(text.as_py() or "", weights, threshold)
                 count = Counter(s.kind for s in base)
-                rows.append((*(count[k] for k in KINDS), hashlib.sha256(written(base).encode()).hexdigest(), written(spans)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
+                rows.append((*(count[k] for k in BASE), hashlib.sha256(written(base).encode()).hexdigest(), written(spans), len(spans)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])],
-                names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
+                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
-def mask(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def mask(docs: DataFrame, threshold: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
     """The same rows and columns with personal data in ``text`` replaced; null texts stay null."""
-    accepted = accepted_patterns(docs, threshold)
+    weights = train(docs, max_train)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is None else masked(t, find_spans(t, accepted)[1]) for t in batch.column(at).to_pylist()]
+            texts = [t if t is None else masked(t, find_spans(t, weights, threshold)[1]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at).with_type(pa.string()), pa.array(texts, pa.string()))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
