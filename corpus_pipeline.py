@@ -1,8 +1,12 @@
 """From raw documents to packed training sequences, in five stages over whole tables.
 
 Every stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept; all but the
-last return the columns of documents. Quality and near-duplicate decisions are by doc_id: rows that
-repeat an id stay or go together, rows without an id stay.
+last return the columns of documents, with their values, but for text and n_chars: also columns that
+are named like a figure of an operator. Quality and near-duplicate decisions are by doc_id: rows that
+repeat an id stay or go together, rows without an id stay. Rows with a null or empty text pass all
+stages; such a text is packed as its end mark alone. Of equal documents the smallest id stays. Null
+languages have the threshold of all languages, null lengths are counted anew. An empty table gives
+no rows; without labels nothing is rejected.
 """
 
 from __future__ import annotations
