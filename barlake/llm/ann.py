@@ -25,6 +25,7 @@ PROBES = 3
 ROUNDS = 3
 GROUP_ROWS = 16_384
 CHUNK = 256
+DTYPES = {"float": np.float32, "double": np.float64}
 FOUND = "query_id long, vec_id long, row long, score double"
 
 
@@ -61,7 +62,8 @@ def _posted(tables: int, probes: int, seed: int):
             sizes = np.diff(batch.column(1).offsets.to_numpy())
             for d in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == d))
-                x = topk.matrix(part.column(1)).astype(np.float64)
+                own = topk.matrix(part.column(1))
+                packed, x = _packed(own), own.astype(np.float64)
                 unit = x / np.abs(x).max(axis=1, keepdims=True)
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                 for t in range(tables):
@@ -70,21 +72,31 @@ def _posted(tables: int, probes: int, seed: int):
                     near = np.argpartition(-products, most - 1, axis=1)[:, :most]
                     at = np.repeat(np.arange(len(x)), most)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), d), pa.int32()), pa.array(np.full(len(at), t), pa.int32()), pa.array(near.ravel(), pa.int32()), *(c.take(pa.array(at)) for c in part.columns)],
+                        [pa.array(np.full(len(at), d), pa.int32()), pa.array(np.full(len(at), t), pa.int32()), pa.array(near.ravel(), pa.int32()), *(c.take(pa.array(at)) for c in (part.column(0), packed, part.column(2)))],
                         names=["d", "t", "bucket", "id", "v", "row"],
                     )
 
     return run
 
 
-def _distances(queries: pa.Table, rows: pa.Table, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _packed(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values, which Spark moves as they are."""
+    x = np.ascontiguousarray(x)
+    offsets = (np.arange(len(x) + 1) * x.shape[1] * x.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
+
+
+def _distances(queries: pa.Table, rows: pa.Table, k: int, kind: str) -> Iterator[tuple[np.ndarray, ...]]:
     """The k nearest rows of each query; every row is a candidate of every query of its length."""
-    sizes_q, sizes_x = (np.diff(t.column("v").combine_chunks().offsets.to_numpy()) for t in (queries, rows))
+    columns = [t.column("v").combine_chunks() for t in (queries, rows)]
+    columns = [pa.array([np.frombuffer(b.as_buffer(), DTYPES[kind]) for b in c]) if pa.types.is_binary(c.type) else c for c in columns]
+    sizes_q, sizes_x = (np.diff(c.offsets.to_numpy()) for c in columns)
     for d in np.unique(sizes_q):
-        q_rows, x_rows = queries.filter(pa.array(sizes_q == d)), rows.filter(pa.array(sizes_x == d))
+        of_q, of_x = pa.array(sizes_q == d), pa.array(sizes_x == d)
+        q_rows, x_rows = queries.filter(of_q), rows.filter(of_x)
         if not x_rows.num_rows:
             continue
-        q, x = (topk.matrix(t.column("v")).astype(np.float64) for t in (q_rows, x_rows))
+        q, x = (topk.matrix(c.filter(own)).astype(np.float64) for c, own in zip(columns, (of_q, of_x), strict=True))
         q_id, x_id, x_row = q_rows.column("id").to_numpy(), x_rows.column("id").to_numpy(), x_rows.column("row").to_numpy()
         for at in range(0, len(q), CHUNK):
             part = slice(at, at + CHUNK)
@@ -116,9 +128,9 @@ def _rerank(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k:
     return which[first], column[first], score[first]
 
 
-def _met(k: int):
+def _met(k: int, kind: str):
     def run(q: pa.Table, x: pa.Table) -> pa.Table:
-        got = list(_distances(q, x, k)) if q.num_rows and x.num_rows else []
+        got = list(_distances(q, x, k, kind)) if q.num_rows and x.num_rows else []
         columns = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [*[np.zeros(0, np.int64)] * 3, np.zeros(0)]
         return pa.table(dict(zip(("query_id", "vec_id", "row", "score"), columns, strict=True)))
 
@@ -131,7 +143,7 @@ def probed_pairs(queries: DataFrame, rows: DataFrame, tables: int, probes: int,
     A bucket of more than ``group_rows`` rows is dealt by the id to several parts, and the queries
     that probe it are sent to all of them, so that no bucket is one task's.
     """
-    schema = f"d int, t int, bucket int, id long, v {rows.schema['v'].dataType.simpleString()}, row long"
+    schema = "d int, t int, bucket int, id long, v binary, row long"
     placed = rows.select("id", "v", "row").mapInArrow(_posted(tables, 1, seed), schema)
     probing = queries.select("id", "v", "row").mapInArrow(_posted(tables, probes, seed), schema)
     key = ["d", "t", "bucket"]
@@ -151,20 +163,20 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, tables: int = TABLE
     null or non-finite component take no part, nor do null ids; vectors of another length are no
     candidates; equal vectors are all found, through the smallest ids. Every usable row is indexed.
     """
-    narrow = table.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "float" if table.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
     whole = topk.usable(table).filter(F.exists("v", lambda x: x != 0))
     # Floats are moved as floats; a row's number tells apart rows that repeat an id.
-    kept = lambda df, name: durable(df.select("id", F.col("v").cast("array<float>" if narrow else "array<double>"), F.monotonically_increasing_id().alias("row")), name)
+    kept = lambda df, name: durable(df.select("id", F.col("v").cast(f"array<{kind}>"), F.monotonically_increasing_id().alias("row")), name)
     rows = kept(topk.least_ids(whole, k + 1), "rows")
     queries = kept(whole.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"]), "queries")
     placed, probing = probed_pairs(queries, rows, tables, probes, seed, group_rows)
     key = ["d", "t", "bucket", "part"]
-    met = probing.groupBy(*key).cogroup(placed.groupBy(*key)).applyInArrow(_met(k), FOUND)
+    met = probing.groupBy(*key).cogroup(placed.groupBy(*key)).applyInArrow(_met(k, kind), FOUND)
     met = met.distinct()  # a pair may meet in several tables
     found = durable(topk.ranked(met, k, F.asc("score")), "probed")
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
     short = durable(queries.join(full, queries.id == full.query_id, "left_anti"), "short-queries")
     if short.isEmpty():
         return found
-    exact = topk.in_groups(short, rows, group_rows, _met(k), FOUND)
+    exact = topk.in_groups(short, rows, group_rows, _met(k, kind), FOUND)
     return found.join(full, "query_id", "left_semi").select(found.columns).unionByName(topk.ranked(exact, k, F.asc("score")))
