@@ -3,14 +3,18 @@
 Documents with equal sets of word shingles are one class. A class's signature has one minimum for
 each of ``coordinates`` hash functions; it is posted under every (coordinate, value) pair. Two sets
 with the wanted similarity agree in at least ``matches`` coordinates, but for a stated chance, so
-that, with pairs ordered from rare to frequent, they share one of their first
-(coordinates - matches + 1) postings: all others are skipped, and a pair that only one class has
-is skipped unread. Classes joined by such postings form clouds. In a cloud every class is compared
-with one hub; the rest is compared in blocks, where collisions are counted, pairs below the match
-threshold dropped, and the others confirmed on their sets unless they are connected already. By the
-triangle inequality of the Jaccard distance only classes at similar distances from the hub can be
-linked, and those linked to the hub need no comparison with each other, so that a group of copies
-costs as many comparisons as it has members. No pairs are emitted but links that connect.
+that, with postings ordered from rare to frequent, the rarest they share is among the first
+(coordinates - matches + 1) of both. Only the lists of these prefixes are merged, and a posting that
+only one class has is skipped unread. The frequent postings behind the prefix are never read as
+lists: they are probed, coordinate by coordinate, for the pairs that meet in a prefix list. Pairs
+below the match threshold are dropped, the others confirmed on their full sets.
+
+Frequent lists of near copies are collapsed on representatives first: every class of a list is
+compared with the list's smallest class, and once more with the smallest that the first round left
+apart. What is then connected needs no more comparison, so that a group of copies costs a few
+comparisons a member. In the lists that still hold several groups, classes of different groups are
+compared block by block; the largest group of a list is not compared with itself. A task holds two
+blocks at most, and no pairs leave it but links that connect.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ from barlake.llm.storage import durable
 SHINGLE = 5
 COORDINATES = 48
 MISS = 1e-7
-BLOCK = 256
+BLOCK = 128
+ROUNDS = 2
 SEED = 11
 
 
@@ -120,17 +125,16 @@ def postings(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "sig").mapInArrow(run, "rep long, key long")
 
 
-def clouds(classes: DataFrame, matches: int) -> DataFrame:
-    """(rep, cloud) of the classes that share one of their first postings with another class."""
+def prefix_lists(classes: DataFrame, matches: int) -> DataFrame:
+    """(key, rep): the lists of two classes or more that the classes' prefixes meet in."""
     posted = postings(classes)
     shared = posted.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
     own = posted.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("own"))
     # Of all coordinates those only this class has come first; the prefix is what is left of it.
     first = own.filter(F.size("own") >= matches).select("rep", F.explode(F.slice("own", F.lit(1), F.size("own") - matches + 1)).alias("p")).select("rep", "p.key")
-    first = durable(first, "prefixes")
-    hubs = first.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
-    edges = first.join(hubs, "key").select(F.col("rep").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
-    return components(edges).select(F.col("node").alias("rep"), F.col("label").alias("cloud"))
+    first = durable(first.distinct(), "prefixes")
+    several = first.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    return durable(first.join(several, "key").select("key", "rep"), "lists")
 
 
 def _with_sets(size: int, coordinates: int):
@@ -140,7 +144,7 @@ def _with_sets(size: int, coordinates: int):
                 n = len(bounds) - 1
                 blobs = [key[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 sigs = [s.tobytes() if len(k) else None for s, k in zip(_signatures_or_empty(key, bounds, coordinates), blobs, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.array(sigs, pa.binary()), pa.array(blobs, pa.binary())], names=["rep", "cloud", "sig", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(sigs, pa.binary()), pa.array(blobs, pa.binary())], names=["rep", "sig", "keys"])
 
     return run
 
@@ -153,32 +157,10 @@ def _signatures_or_empty(key: np.ndarray, bounds: np.ndarray, coordinates: int)
     return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted arrays of distinct values."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
 def _linked(both: int, a: int, b: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
-def _to_hub(percent: int):
-    """Exact similarity of each class with its cloud's hub."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            far, linked = [], []
-            for own, hub in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (own, hub))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                far.append(1 - both / (len(a) + len(b) - both))
-                linked.append(_linked(both, len(a), len(b), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], names=["rep", "cloud", "far", "linked"])
-
-    return run
-
-
 class _Forest:
     def __init__(self, labels: np.ndarray):
         _, self.up = np.unique(labels, return_inverse=True)
@@ -197,23 +179,22 @@ class _Forest:
 
 
 def _block_links(matches: int, percent: int):
-    """Links that connect classes of one block, or of two blocks, not connected before."""
+    """Links that connect classes of one block, or of the blocks of two sides, not connected before."""
 
     def run(table: pa.Table) -> pa.Table:
-        rep, label, far, side = (table.column(c).to_numpy() for c in ("rep", "label", "far", "side"))
+        rep, label, side = (table.column(c).to_numpy() for c in ("rep", "label", "side"))
         sig = np.stack([np.frombuffer(s, dtype=np.uint32) for s in table.column("sig").to_pylist()])
         sets = [np.frombuffer(k, dtype=np.uint64) for k in table.column("keys").to_pylist()]
         size = np.array([len(s) for s in sets])
         forest, out = _Forest(label), []
         left = np.arange(len(rep)) if (side == side[0]).all() else np.flatnonzero(side == 0)
         right = left if len(left) == len(rep) else np.flatnonzero(side == 1)
-        gap = 1 - percent / 100 + 1e-9
         found: list[tuple[int, int, int]] = []
         for i in left.tolist():
             others = right[right > i] if right is left else right
             count = (sig[others] == sig[i]).sum(axis=1)
             small, large = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
-            ok = (count >= matches) & (label[others] != label[i]) & ~(np.abs(far[others] - far[i]) > gap) & (100 * small >= percent * large)
+            ok = (count >= matches) & (label[others] != label[i]) & (100 * small >= percent * large)
             found += [(-int(c), i, int(j)) for c, j in zip(count[ok], others[ok], strict=True)]
         found.sort()
         for _, i, j in found:
@@ -227,47 +208,74 @@ def _block_links(matches: int, percent: int):
     return run
 
 
-def links(docs: DataFrame, classes: DataFrame, percent: int, size: int, coordinates: int, miss: float, block: int) -> DataFrame:
+def _labels(links: DataFrame) -> DataFrame:
+    """(rep, label) of linked classes: one label is one group, though a group may have several labels."""
+    both = links.select(F.col("a").alias("rep"), F.col("b").alias("label")).union(links.select(F.col("b").alias("rep"), F.col("a").alias("label")))
+    near = both.groupBy("rep").agg(F.least("rep", F.min("label")).alias("label"))
+    up = near.select(F.col("rep").alias("label"), F.col("label").alias("up"))
+    return durable(near.join(up, "label", "left").select("rep", F.coalesce("up", "label").alias("label")), "labels")
+
+
+def _with_hubs(lists: DataFrame, block: int) -> DataFrame:
+    """Tasks (task, x, y, side, rep, label): the classes of each list with its smallest class of another label.
+
+    That is the list's smallest class for those it is not connected with. Where it is connected with
+    all but some, the smallest of these is a second hub.
+    """
+    hub = F.min(F.struct(F.col("rep").alias("hub"), F.col("label").alias("hub_label")))
+    first = lists.groupBy("key").agg(hub.alias("h")).select("key", "h.*")
+    apart = lists.join(first, "key").filter("label <> hub_label")
+    second = apart.groupBy("key").agg(hub.alias("h")).select("key", "h.*")
+    one = apart.select("rep", "label", "hub", "hub_label")
+    two = apart.drop("hub", "hub_label").join(second, "key").filter("label <> hub_label").select("rep", "label", "hub", "hub_label")
+    pairs = durable(one.union(two).distinct(), "hub-pairs")
+    parts = F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")
+    hubs = pairs.groupBy("hub", "hub_label").agg(parts)
+    members = pairs.join(hubs.drop("hub_label"), "hub").select(F.col("hub").alias("task"), F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "rep", "label")
+    centres = hubs.select(F.col("hub").alias("task"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x"), F.lit(0).alias("y"), F.lit(1).alias("side"), F.col("hub").alias("rep"), F.col("hub_label").alias("label"))
+    return members.union(centres)
+
+
+def _open_lists(lists: DataFrame, block: int) -> DataFrame:
+    """Tasks (task, x, y, side, rep, label): pairs of blocks of lists that hold several labels.
+
+    Blocks of the list's most frequent label meet the blocks of the others, and these each other.
+    """
+    by_label = lists.groupBy("key", "label").agg(F.count("*").alias("n"))
+    kinds = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("a"), F.sum("n").alias("n")).filter("n > a")
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+    kinds = kinds.withColumn("b", F.col("n") - F.col("a")).select("key", "major", blocks("a").alias("a"), blocks("b").alias("b"))
+    held = lists.join(kinds, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("label") == F.col("major"), F.col("a")).otherwise(F.col("b"))).cast("int"))
+    # (x, y) is a block of the major label and one of the others, or, below 0, two of the others.
+    return held.selectExpr(
+        "key AS task", "rep", "label",
+        """explode(if(label = major,
+             transform(sequence(0, b - 1), j -> named_struct('x', own, 'y', j, 'side', 0)),
+             concat(transform(sequence(0, a - 1), i -> named_struct('x', i, 'y', own, 'side', 1)),
+                    transform(sequence(0, b - 1), j -> named_struct('x', -1 - least(own, j), 'y', greatest(own, j), 'side', if(own <= j, 0, 1)))))) AS at""",
+    ).select("task", "at.*", "rep", "label")
+
+
+def links(docs: DataFrame, classes: DataFrame, percent: int, size: int, coordinates: int, miss: float, block: int, rounds: int) -> DataFrame:
     """Edges (a, b) between classes: their components are those of all links."""
     matches = least_matches(coordinates, percent / 100, miss)
-    cloud = durable(clouds(classes, matches), "clouds")
-    members = docs.join(cloud.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "cloud")
-    sets = durable(members.mapInArrow(_with_sets(size, coordinates), "rep long, cloud long, sig binary, keys binary"), "sets").filter("sig is not null")
-
-    # A hub that is a repeated doc_id has several texts: any one will do.
-    hub = durable(sets.filter("rep = cloud").groupBy("cloud").agg(F.min("keys").alias("hub_keys")), "hubs")
-    # Tables between the joins by cloud and what groups by it let a large cloud be split over tasks.
-    to_hub = durable(sets.join(hub, "cloud").select("rep", "cloud", "keys", "hub_keys").mapInArrow(_to_hub(percent), "rep long, cloud long, far double, linked boolean"), "far")
-    to_hub = durable(to_hub.groupBy("rep", "cloud").agg(F.min("far").alias("far"), F.max("far").alias("farthest"), F.max("linked").alias("linked")), "to_hub")
-    first = to_hub.filter("linked and rep <> cloud").select(F.col("rep").alias("a"), F.col("cloud").alias("b"))
-
-    # Bands of the distance to the hub: links stay within a band or join two that touch. A band holds
-    # its upper end, as band 0, the classes linked to the hub, holds those at exactly the gap.
-    gap = 1 - percent / 100
-    band = F.when(F.col("linked"), F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("far") / gap - 1e-9).cast("int") - 1))
-    placed = to_hub.withColumn("band", band).withColumn("label", F.when(F.col("linked"), F.col("cloud")).otherwise(F.col("rep")))
-    sizes = placed.groupBy("cloud").agg(F.count("*").alias("n"), F.sum(F.col("linked").cast("int")).alias("n_linked"), F.max(F.col("farthest") > F.col("far")).alias("several"))
-    # Distances say nothing of an id with several texts; its cloud goes without bands.
-    open_clouds = sizes.filter("several OR n > n_linked").withColumn("flat", F.expr(f"several OR n <= {block}")).select("cloud", "flat")
-    placed = placed.join(open_clouds, "cloud").withColumn("band", F.when(F.col("flat"), F.lit(0)).otherwise(F.col("band")))
-    placed = durable(placed.withColumn("far", F.when(F.col("farthest") > F.col("far"), F.lit(float("nan"))).otherwise(F.col("far"))), "placed")
-    widths = placed.groupBy("cloud", "band").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
-    by_cloud = widths.groupBy("cloud").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts"))
-    placed = placed.join(by_cloud, "cloud").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")[F.col("band")]).cast("int"))
-    # Block pairs (band, part) - (band, part) of a class, the class on side 0 or 1 of each.
-    placed = placed.selectExpr(
-        "rep", "cloud", "label", "far",
-        """explode(filter(concat(
-             transform(sequence(0, parts[band] - 1), x -> named_struct('b1', band, 'p1', least(part, x), 'b2', band, 'p2', greatest(part, x), 'side', if(part <= x, 0, 1), 'skip', NOT flat AND band = 0)),
-             if(parts[band + 1] IS NULL, array(), transform(sequence(0, parts[band + 1] - 1), x -> named_struct('b1', band, 'p1', part, 'b2', band + 1, 'p2', x, 'side', 0, 'skip', false))),
-             if(parts[band - 1] IS NULL, array(), transform(sequence(0, parts[band - 1] - 1), x -> named_struct('b1', band - 1, 'p1', x, 'b2', band, 'p2', part, 'side', 1, 'skip', false)))
-           ), x -> NOT x.skip)) AS at""",
-    ).select("rep", "cloud", "label", "far", "at.*").drop("skip")
-    second = sets.join(placed, ["rep", "cloud"]).groupBy("cloud", "b1", "p1", "b2", "p2").applyInArrow(_block_links(matches, percent), "a long, b long")
-    return durable(first.union(second), "links")
-
-
-def group(docs: DataFrame, percent: int = 80, size: int = SHINGLE, coordinates: int = COORDINATES, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    lists = prefix_lists(classes, matches)
+    members = docs.join(lists.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    # A doc_id that repeats has several sets: it is one node, compared by each of them.
+    sets = durable(members.mapInArrow(_with_sets(size, coordinates), "rep long, sig binary, keys binary").filter("sig IS NOT NULL"), "sets")
+    found, known = [], lists.withColumn("label", F.col("rep"))
+    for tasks in [_with_hubs] * rounds + [_open_lists]:
+        rows = durable(tasks(known, block), "tasks").join(sets, "rep")
+        found.append(durable(rows.groupBy("task", "x", "y").applyInArrow(_block_links(matches, percent), "a long, b long"), "links"))
+        every = found[0]
+        for more in found[1:]:
+            every = every.union(more)
+        if tasks is not _open_lists:
+            known = lists.join(_labels(every).select("rep", "label"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    return every
+
+
+def group(docs: DataFrame, percent: int = 80, size: int = SHINGLE, coordinates: int = COORDINATES, miss: float = MISS, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """Group near-duplicates: (doc_id, n_shingles, component_id, kept) for each row.
 
     Documents are linked where 100 * intersection >= percent * union of their shingle sets;
@@ -280,7 +288,7 @@ def group(docs: DataFrame, percent: int = 80, size: int = SHINGLE, coordinates:
     described = durable(describe(docs, size, coordinates), "signatures")
     usable = described.filter("doc_id IS NOT NULL AND n > 0")
     classes = durable(usable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
-    found = links(docs.filter("doc_id IS NOT NULL"), classes, percent, size, coordinates, miss, block)
+    found = links(docs.filter("doc_id IS NOT NULL"), classes, percent, size, coordinates, miss, block, rounds)
     # The classes of a document that has several texts are connected by it.
     several = usable.groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1").select("doc_id")
     own = usable.join(several, "doc_id", "left_semi").join(classes, ["f1", "f2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

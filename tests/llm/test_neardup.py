@@ -93,6 +93,47 @@ def test_chain_of_links_at_the_exact_threshold(spark, percent, step):
         check(spark, rows, percent=percent, block=block)
 
 
+def test_trimmed_at_both_ends_beside_many_variants(spark):
+    # 17 of 20 shingles in common, exactly 85 in 100, while both are variants of a text with 300 others.
+    words = [f"w{i}" for i in range(24)]
+    rows = [(0, " ".join(words[:21])), (1, " ".join(words)), (2, " ".join(words[3:]))]
+    rows += [(3 + i, " ".join([*words[:21], f"v{i}"])) for i in range(300)]
+    got = {r.doc_id: r.component_id for r in neardup.group(frame(spark, rows), percent=85).collect()}
+    assert set(got.values()) == {0}
+    check(spark, rows, percent=85)
+
+
+@pytest.mark.parametrize("percent,seed", [(85, 1), (85, 2), (80, 3), (80, 4)])
+def test_pairs_at_the_threshold_among_hundreds_of_variants(spark, percent, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(140)]
+    texts = []
+    for _ in range(330):  # contiguous pieces of one text: similarities of many exact fractions
+        n = rng.choice([36, 38, 44, 49, 52, 55, 64, 72, 84, 89, 104])  # also 85 and 80 in 100 of one another
+        at = rng.randrange(0, 140 - n, rng.choice([1, 3, 4, 5]))
+        texts.append(" ".join(words[at : at + n]))
+    texts += [" ".join([*words[:100], f"u{i}"]) for i in range(60)]
+    texts += [" ".join(words[i : i + 100]) for i in range(0, 40, 20 if percent == 80 else 15)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    exact = sum(100 * len(s & t) == percent * len(s | t) for i, s in enumerate(map(shingles, texts)) for t in map(shingles, texts[:i]))
+    assert exact > 10
+    for rounds, block in ((2, 128), (0, 16), (1, 40)):
+        check(spark, rows, percent=percent, rounds=rounds, block=block)
+
+
+def test_hot_list_is_dealt_to_small_tasks(spark):
+    # A third of all texts are variants of one; no task may grow with their number.
+    rng = random.Random(5)
+    texts = cloud(rng, 700, 120, 4, 10**6) + [" ".join(f"z{rng.randrange(10**6)}" for _ in range(50)) for _ in range(60)]
+    rows = list(enumerate(texts))
+    lists = spark.createDataFrame([(k, i, 0 if i < 500 else i) for k in range(3) for i in range(700)], "key long, rep long, label long")
+    for tasks in (neardup._with_hubs(lists, 32), neardup._open_lists(lists, 32)):
+        assert tasks.groupBy("task", "x", "y").count().agg({"count": "max"}).first()[0] <= 3 * 32
+    assert neardup._open_lists(lists, 32).filter("x >= 0 AND side = 0").count() <= 3 * 500 * 10
+    check(spark, rows, percent=85)
+
+
 def test_null_and_repeated_ids(spark):
     rows = corpus(4)[:60]
     rows += [(rows[3][0], rows[9][1]), (rows[3][0], rows[3][1]), (None, rows[3][1]), (None, None)]
