@@ -13,8 +13,9 @@ Frequent lists of near copies are collapsed on representatives first: every clas
 compared with the list's smallest class, and once more with the smallest that the first round left
 apart. What is then connected needs no more comparison, so that a group of copies costs a few
 comparisons a member. In the lists that still hold several groups, classes of different groups are
-compared block by block; the largest group of a list is not compared with itself. A task holds two
-blocks at most, and no pairs leave it but links that connect.
+compared block by block; the largest group of a list is not compared with itself. Signatures are
+compared first, and sets are brought only to the classes that have a partner by them. A task holds
+some thousand rows, and no pairs leave it but links that connect.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ from pyspark.sql import functions as F
 
 from barlake.llm import textops
 from barlake.llm.graph import components
-from barlake.llm.storage import durable
+from barlake.llm.storage import discard, durable
 
 SHINGLE = 5
 COORDINATES = 48
 MISS = 1e-7
 BLOCK = 128
 ROUNDS = 2
+UNIT_ROWS = 2_000
+PAIRS_AT_ONCE = 100_000
 SEED = 11
 
 
@@ -133,7 +136,7 @@ def prefix_lists(classes: DataFrame, matches: int) -> DataFrame:
     # Of all coordinates those only this class has come first; the prefix is what is left of it.
     first = own.filter(F.size("own") >= matches).select("rep", F.explode(F.slice("own", F.lit(1), F.size("own") - matches + 1)).alias("p")).select("rep", "p.key")
     first = durable(first.distinct(), "prefixes")
-    several = first.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    several = durable(first.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-keys")
     return durable(first.join(several, "key").select("key", "rep"), "lists")
 
 
@@ -144,7 +147,7 @@ def _with_sets(size: int, coordinates: int):
                 n = len(bounds) - 1
                 blobs = [key[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 sigs = [s.tobytes() if len(k) else None for s, k in zip(_signatures_or_empty(key, bounds, coordinates), blobs, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(sigs, pa.binary()), pa.array(blobs, pa.binary())], names=["rep", "sig", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(np.diff(bounds), pa.int32()), pa.array(sigs, pa.binary()), pa.array(blobs, pa.binary())], names=["rep", "n", "sig", "keys"])
 
     return run
 
@@ -178,36 +181,90 @@ class _Forest:
         self.parent[self.find(i)] = self.find(j)
 
 
-def _block_links(matches: int, percent: int):
-    """Links that connect classes of one block, or of the blocks of two sides, not connected before."""
+def _close_pairs(table: pa.Table, matches: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left, right, collisions) of the pairs of a unit that reach the match threshold, in runs.
+
+    A unit (task, x, y) with rows of both sides pairs these; one with a single side pairs its rows.
+    """
+    unit = np.stack([table.column(c).to_numpy() for c in ("task", "x", "y")])
+    side, label, size = (table.column(c).to_numpy() for c in ("side", "label", "n"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(table.num_rows, -1)
+    order = np.lexsort((side, *unit[::-1]))
+    unit, side = unit[:, order], side[order]
+    new = np.r_[True, (unit[:, 1:] != unit[:, :-1]).any(axis=0)]
+    of = np.cumsum(new) - 1
+    start, end = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(of)]
+    ones = np.bincount(of, weights=side).astype(np.int64)
+    single = (ones == 0) | (ones == end - start)
+    place = np.arange(len(of))
+    low = np.where(single[of], place + 1, (end - ones)[of])
+    count = np.where(single[of] | (side == 0), end[of] - low, 0)
+    total = np.cumsum(count)
+    at = 0
+    while at < len(of):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+        own = count[at:to]
+        i = np.repeat(place[at:to], own)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own) + np.repeat(low[at:to], own)
+        i, j = order[i], order[j]
+        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        ok = (label[i] != label[j]) & (100 * small >= percent * large)
+        i, j = i[ok], j[ok]
+        collisions = (sig[i] == sig[j]).sum(axis=1)
+        ok = collisions >= matches
+        yield i[ok], j[ok], collisions[ok]
+        at = to
+
+
+def _with_partner(matches: int, percent: int):
+    """The rows of units that collide often enough with some row of another label, without signatures."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keep = np.zeros(table.num_rows, dtype=bool)
+        for i, j, _ in _close_pairs(table, matches, percent):
+            keep[i] = keep[j] = True
+        return table.filter(pa.array(keep)).select(["unit", "task", "x", "y", "side", "rep", "label"])
+
+    return run
+
+
+def _confirmed(matches: int, percent: int):
+    """Links (a, b) of pairs that collide often enough, confirmed on their sets; of each group only those that connect."""
 
     def run(table: pa.Table) -> pa.Table:
-        rep, label, side = (table.column(c).to_numpy() for c in ("rep", "label", "side"))
-        sig = np.stack([np.frombuffer(s, dtype=np.uint32) for s in table.column("sig").to_pylist()])
-        sets = [np.frombuffer(k, dtype=np.uint64) for k in table.column("keys").to_pylist()]
-        size = np.array([len(s) for s in sets])
+        rep, label = (table.column(c).to_numpy() for c in ("rep", "label"))
+        sets = [np.frombuffer(k.as_buffer(), dtype=np.uint64) for k in table.column("keys").combine_chunks()]
         forest, out = _Forest(label), []
-        left = np.arange(len(rep)) if (side == side[0]).all() else np.flatnonzero(side == 0)
-        right = left if len(left) == len(rep) else np.flatnonzero(side == 1)
-        found: list[tuple[int, int, int]] = []
-        for i in left.tolist():
-            others = right[right > i] if right is left else right
-            count = (sig[others] == sig[i]).sum(axis=1)
-            small, large = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
-            ok = (count >= matches) & (label[others] != label[i]) & (100 * small >= percent * large)
-            found += [(-int(c), i, int(j)) for c, j in zip(count[ok], others[ok], strict=True)]
-        found.sort()
-        for _, i, j in found:
-            if forest.find(i) != forest.find(j):
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if _linked(both, len(sets[i]), len(sets[j]), percent):
-                    forest.join(i, j)
-                    out.append((rep[i], rep[j]))
+        for left, right, collisions in _close_pairs(table, matches, percent):
+            likely = np.argsort(-collisions, kind="stable")
+            for i, j in zip(left[likely].tolist(), right[likely].tolist(), strict=True):
+                if forest.find(i) != forest.find(j):
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if _linked(both, len(sets[i]), len(sets[j]), percent):
+                        forest.join(i, j)
+                        out.append((rep[i], rep[j]))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
 
+def _compared(tasks: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Links (a, b) that the units of ``tasks`` confirm; many small units are one group of Python's.
+
+    Signatures are compared first. Sets are joined only to rows that have a partner by then.
+    """
+    tasks = durable(tasks, "tasks")
+    groups = max(1, -(-tasks.count() // UNIT_ROWS))
+    numbered = tasks.withColumn("unit", F.pmod(F.xxhash64("task", "x", "y"), F.lit(groups)))
+    schema = "unit long, task long, x int, y int, side int, rep long, label long"
+    rows = numbered.join(sets.select("rep", "n", "sig"), "rep").groupBy("unit").applyInArrow(_with_partner(matches, percent), schema)
+    rows = durable(rows.distinct(), "partners")
+    found = rows.join(sets, "rep").groupBy("unit").applyInArrow(_confirmed(matches, percent), "a long, b long")
+    found = durable(found, "links")
+    discard(tasks, rows)
+    return found
+
+
 def _labels(links: DataFrame) -> DataFrame:
     """(rep, label) of linked classes: one label is one group, though a group may have several labels."""
     both = links.select(F.col("a").alias("rep"), F.col("b").alias("label")).union(links.select(F.col("b").alias("rep"), F.col("a").alias("label")))
@@ -223,9 +280,10 @@ def _with_hubs(lists: DataFrame, block: int) -> DataFrame:
     all but some, the smallest of these is a second hub.
     """
     hub = F.min(F.struct(F.col("rep").alias("hub"), F.col("label").alias("hub_label")))
-    first = lists.groupBy("key").agg(hub.alias("h")).select("key", "h.*")
-    apart = lists.join(first, "key").filter("label <> hub_label")
-    second = apart.groupBy("key").agg(hub.alias("h")).select("key", "h.*")
+    # Tables between the joins by key and what groups by it let a long list be split over tasks.
+    first = durable(lists.groupBy("key").agg(hub.alias("h")).select("key", "h.*"), "hubs")
+    apart = durable(lists.join(first, "key").filter("label <> hub_label"), "apart")
+    second = durable(apart.groupBy("key").agg(hub.alias("h")).select("key", "h.*"), "hubs")
     one = apart.select("rep", "label", "hub", "hub_label")
     two = apart.drop("hub", "hub_label").join(second, "key").filter("label <> hub_label").select("rep", "label", "hub", "hub_label")
     pairs = durable(one.union(two).distinct(), "hub-pairs")
@@ -244,7 +302,7 @@ def _open_lists(lists: DataFrame, block: int) -> DataFrame:
     by_label = lists.groupBy("key", "label").agg(F.count("*").alias("n"))
     kinds = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("a"), F.sum("n").alias("n")).filter("n > a")
     blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
-    kinds = kinds.withColumn("b", F.col("n") - F.col("a")).select("key", "major", blocks("a").alias("a"), blocks("b").alias("b"))
+    kinds = durable(kinds.withColumn("b", F.col("n") - F.col("a")).select("key", "major", blocks("a").alias("a"), blocks("b").alias("b")), "kinds")
     held = lists.join(kinds, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("label") == F.col("major"), F.col("a")).otherwise(F.col("b"))).cast("int"))
     # (x, y) is a block of the major label and one of the others, or, below 0, two of the others.
     return held.selectExpr(
@@ -262,11 +320,10 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, size: int, coordina
     lists = prefix_lists(classes, matches)
     members = docs.join(lists.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
     # A doc_id that repeats has several sets: it is one node, compared by each of them.
-    sets = durable(members.mapInArrow(_with_sets(size, coordinates), "rep long, sig binary, keys binary").filter("sig IS NOT NULL"), "sets")
+    sets = durable(members.mapInArrow(_with_sets(size, coordinates), "rep long, n int, sig binary, keys binary").filter("sig IS NOT NULL"), "sets")
     found, known = [], lists.withColumn("label", F.col("rep"))
     for tasks in [_with_hubs] * rounds + [_open_lists]:
-        rows = durable(tasks(known, block), "tasks").join(sets, "rep")
-        found.append(durable(rows.groupBy("task", "x", "y").applyInArrow(_block_links(matches, percent), "a long, b long"), "links"))
+        found.append(_compared(tasks(known, block), sets, matches, percent))
         every = found[0]
         for more in found[1:]:
             every = every.union(more)
