@@ -12,10 +12,11 @@ below the match threshold are dropped, the others confirmed on their full sets.
 Frequent lists of near copies are collapsed on representatives first: every class of a list is
 compared with the list's smallest class, and once more with the smallest that the first round left
 apart. What is then connected needs no more comparison, so that a group of copies costs a few
-comparisons a member. In the lists that still hold several groups, classes of different groups are
-compared block by block; the largest group of a list is not compared with itself. Signatures are
-compared first, and sets are brought only to the classes that have a partner by them. A task holds
-some thousand rows, and no pairs leave it but links that connect.
+comparisons a member. Groups with classes that meet in a list and reach the match threshold form a
+family. In a family the classes of different groups are compared block by block, once, whatever the
+number of lists they share, and the largest group not with itself. Only here and for each class's
+best representative are the sets read. A task holds some thousand rows, and no pairs leave it but
+those that connect.
 """
 
 from __future__ import annotations
@@ -216,14 +217,37 @@ def _close_pairs(table: pa.Table, matches: int, percent: int) -> Iterator[tuple[
         at = to
 
 
-def _with_partner(matches: int, percent: int):
-    """The rows of units that collide often enough with some row of another label, without signatures."""
+def _best_partner(matches: int, percent: int):
+    """For each class of side 0 its partner with the most collisions: (rep, label, hub, hub_label, n)."""
 
     def run(table: pa.Table) -> pa.Table:
-        keep = np.zeros(table.num_rows, dtype=bool)
-        for i, j, _ in _close_pairs(table, matches, percent):
-            keep[i] = keep[j] = True
-        return table.filter(pa.array(keep)).select(["unit", "task", "x", "y", "side", "rep", "label"])
+        rep, label = (table.column(c).to_numpy() for c in ("rep", "label"))
+        parts = [np.stack([i, j, n]) for i, j, n in _close_pairs(table, matches, percent)]
+        i, j, n = np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), np.int64)
+        order = np.lexsort((rep[j], -n, rep[i]))
+        i, j, n = i[order], j[order], n[order]
+        first = np.r_[True, rep[i][1:] != rep[i][:-1]] if len(i) else np.zeros(0, bool)
+        i, j, n = i[first], j[first], n[first]
+        return pa.table({"rep": rep[i], "label": label[i], "hub": rep[j], "hub_label": label[j], "n": n.astype(np.int64)})
+
+    return run
+
+
+def _touching(matches: int, percent: int):
+    """Edges (a, b) between the labels of classes that collide often enough; only those that connect."""
+
+    def run(table: pa.Table) -> pa.Table:
+        label = table.column("label").to_numpy()
+        forest, out = _Forest(label), []
+        for left, right, _ in _close_pairs(table, matches, percent):
+            pairs = np.unique(np.sort(np.stack([label[left], label[right]]), axis=0), axis=1)
+            at = np.unique(label, return_index=True)
+            row = dict(zip(at[0].tolist(), at[1].tolist(), strict=True))
+            for a, b in pairs.T.tolist():
+                if forest.find(row[a]) != forest.find(row[b]):
+                    forest.join(row[a], row[b])
+                    out.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
@@ -248,20 +272,13 @@ def _confirmed(matches: int, percent: int):
     return run
 
 
-def _compared(tasks: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Links (a, b) that the units of ``tasks`` confirm; many small units are one group of Python's.
-
-    Signatures are compared first. Sets are joined only to rows that have a partner by then.
-    """
+def _run(tasks: DataFrame, sets: DataFrame, compare, schema: str, name: str) -> DataFrame:
+    """Run ``compare`` on the units of ``tasks`` with what ``sets`` has of their classes; many small units a group."""
     tasks = durable(tasks, "tasks")
     groups = max(1, -(-tasks.count() // UNIT_ROWS))
-    numbered = tasks.withColumn("unit", F.pmod(F.xxhash64("task", "x", "y"), F.lit(groups)))
-    schema = "unit long, task long, x int, y int, side int, rep long, label long"
-    rows = numbered.join(sets.select("rep", "n", "sig"), "rep").groupBy("unit").applyInArrow(_with_partner(matches, percent), schema)
-    rows = durable(rows.distinct(), "partners")
-    found = rows.join(sets, "rep").groupBy("unit").applyInArrow(_confirmed(matches, percent), "a long, b long")
-    found = durable(found, "links")
-    discard(tasks, rows)
+    rows = tasks.withColumn("unit", F.pmod(F.xxhash64("task", "x", "y"), F.lit(groups))).join(sets, "rep")
+    found = durable(rows.groupBy("unit").applyInArrow(compare, schema), name)
+    discard(tasks)
     return found
 
 
@@ -273,8 +290,8 @@ def _labels(links: DataFrame) -> DataFrame:
     return durable(near.join(up, "label", "left").select("rep", F.coalesce("up", "label").alias("label")), "labels")
 
 
-def _with_hubs(lists: DataFrame, block: int) -> DataFrame:
-    """Tasks (task, x, y, side, rep, label): the classes of each list with its smallest class of another label.
+def _hub_pairs(lists: DataFrame) -> DataFrame:
+    """(rep, label, hub, hub_label): the classes of each list with its smallest class of another label.
 
     That is the list's smallest class for those it is not connected with. Where it is connected with
     all but some, the smallest of these is a second hub.
@@ -286,16 +303,20 @@ def _with_hubs(lists: DataFrame, block: int) -> DataFrame:
     second = durable(apart.groupBy("key").agg(hub.alias("h")).select("key", "h.*"), "hubs")
     one = apart.select("rep", "label", "hub", "hub_label")
     two = apart.drop("hub", "hub_label").join(second, "key").filter("label <> hub_label").select("rep", "label", "hub", "hub_label")
-    pairs = durable(one.union(two).distinct(), "hub-pairs")
-    parts = F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")
-    hubs = pairs.groupBy("hub", "hub_label").agg(parts)
+    return durable(one.union(two).distinct(), "hub-pairs")
+
+
+def _stars(pairs: DataFrame, block: int) -> DataFrame:
+    """Tasks (task, x, y, side, rep, label): each hub with the classes it is paired with, a block at a time."""
+    hubs = pairs.groupBy("hub", "hub_label").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
+    hubs = durable(hubs, "hub-parts")
     members = pairs.join(hubs.drop("hub_label"), "hub").select(F.col("hub").alias("task"), F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "rep", "label")
     centres = hubs.select(F.col("hub").alias("task"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x"), F.lit(0).alias("y"), F.lit(1).alias("side"), F.col("hub").alias("rep"), F.col("hub_label").alias("label"))
     return members.union(centres)
 
 
 def _open_lists(lists: DataFrame, block: int) -> DataFrame:
-    """Tasks (task, x, y, side, rep, label): pairs of blocks of lists that hold several labels.
+    """Tasks (task, x, y, side, rep, label): pairs of blocks of lists (key, rep, label) of several labels.
 
     Blocks of the list's most frequent label meet the blocks of the others, and these each other.
     """
@@ -321,15 +342,28 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, size: int, coordina
     members = docs.join(lists.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
     # A doc_id that repeats has several sets: it is one node, compared by each of them.
     sets = durable(members.mapInArrow(_with_sets(size, coordinates), "rep long, n int, sig binary, keys binary").filter("sig IS NOT NULL"), "sets")
+    prints, link = sets.select("rep", "n", "sig"), "a long, b long"
     found, known = [], lists.withColumn("label", F.col("rep"))
-    for tasks in [_with_hubs] * rounds + [_open_lists]:
-        found.append(_compared(tasks(known, block), sets, matches, percent))
-        every = found[0]
-        for more in found[1:]:
-            every = every.union(more)
-        if tasks is not _open_lists:
-            known = lists.join(_labels(every).select("rep", "label"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    return every
+    for _ in range(rounds):
+        pairs = _hub_pairs(known)
+        best = _run(_stars(pairs, block), prints, _best_partner(matches, percent), "rep long, label long, hub long, hub_label long, n long", "best-hubs")
+        best = durable(best.groupBy("rep").agg(F.max_by(F.struct("label", "hub", "hub_label"), F.struct("n", "hub")).alias("h")).select("rep", "h.*"), "best-hub")
+        found.append(_run(_stars(best, block), sets, _confirmed(matches, percent), link, "links"))
+        labels = _labels(_union(found))
+        known = lists.join(labels, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    # What may still be linked touches in a list; those groups are families, and each is compared once.
+    touching = _run(_open_lists(known, block), prints, _touching(matches, percent), link, "touching")
+    family = components(touching).select(F.col("node").alias("label"), F.col("label").alias("key"))
+    members = durable(known.select("rep", "label").distinct().join(family, "label").select("key", "rep", "label"), "families")
+    found.append(_run(_open_lists(members, block), sets, _confirmed(matches, percent), link, "links"))
+    return _union(found)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
 
 
 def group(docs: DataFrame, percent: int = 80, size: int = SHINGLE, coordinates: int = COORDINATES, miss: float = MISS, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:

@@ -128,7 +128,7 @@ def test_hot_list_is_dealt_to_small_tasks(spark):
     texts = cloud(rng, 700, 120, 4, 10**6) + [" ".join(f"z{rng.randrange(10**6)}" for _ in range(50)) for _ in range(60)]
     rows = list(enumerate(texts))
     lists = spark.createDataFrame([(k, i, 0 if i < 500 else i) for k in range(3) for i in range(700)], "key long, rep long, label long")
-    for tasks in (neardup._with_hubs(lists, 32), neardup._open_lists(lists, 32)):
+    for tasks in (neardup._stars(neardup._hub_pairs(lists), 32), neardup._open_lists(lists, 32)):
         assert tasks.groupBy("task", "x", "y").count().agg({"count": "max"}).first()[0] <= 3 * 32
     assert neardup._open_lists(lists, 32).filter("x >= 0 AND side = 0").count() <= 3 * 500 * 10
     check(spark, rows, percent=85)
