@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,31 +55,34 @@ def axis_products(unit: np.ndarray, table: int, seed: int) -> np.ndarray:
     return np.hstack([a, -a])
 
 
-def _posted(tables: int, probes: int, seed: int):
-    """Each row under its bucket of every table, or under the ``probes`` buckets it is nearest to."""
+def _coded(tables: int, probes: int, seed: int, kind: str):
+    """Each vector, packed, with its buckets: for every table the ``probes`` signed axes it is nearest to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.diff(batch.column(1).offsets.to_numpy())
             for d in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == d))
-                own = topk.matrix(part.column(1))
-                packed, x = _packed(own), own.astype(np.float64)
+                x = topk.matrix(part.column(1))
                 unit = x / np.abs(x).max(axis=1, keepdims=True)
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                near = []
                 for t in range(tables):
                     products = axis_products(unit, t, seed)
                     most = min(probes, products.shape[1])
-                    near = np.argpartition(-products, most - 1, axis=1)[:, :most]
-                    at = np.repeat(np.arange(len(x)), most)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), d), pa.int32()), pa.array(np.full(len(at), t), pa.int32()), pa.array(near.ravel(), pa.int32()), *(c.take(pa.array(at)) for c in (part.column(0), packed, part.column(2)))],
-                        names=["d", "t", "bucket", "id", "v", "row"],
-                    )
+                    near.append(np.argpartition(-products, most - 1, axis=1)[:, :most])
+                codes = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(near, axis=1).astype(np.int32).ravel()), tables * most).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), d), pa.int32()), part.column(0), _packed(x.astype(DTYPES[kind])), codes], names=["d", "id", "v", "codes"])
 
     return run
 
 
+def indexed(vectors: DataFrame, tables: int, probes: int, seed: int, kind: str) -> DataFrame:
+    """(d, id, v, codes, row) of (id, v): written once, a number for each row."""
+    coded = vectors.select("id", "v").mapInArrow(_coded(tables, probes, seed, kind), "d int, id long, v binary, codes array<int>")
+    return durable(coded.withColumn("row", F.monotonically_increasing_id()), "vectors")
+
+
 def _packed(x: np.ndarray) -> pa.Array:
     """Rows of a matrix as binary values, which Spark moves as they are."""
     x = np.ascontiguousarray(x)
@@ -88,15 +92,11 @@ def _packed(x: np.ndarray) -> pa.Array:
 
 def _distances(queries: pa.Table, rows: pa.Table, k: int, kind: str) -> Iterator[tuple[np.ndarray, ...]]:
     """The k nearest rows of each query; every row is a candidate of every query of its length."""
-    columns = [t.column("v").combine_chunks() for t in (queries, rows)]
-    columns = [pa.array([np.frombuffer(b.as_buffer(), DTYPES[kind]) for b in c]) if pa.types.is_binary(c.type) else c for c in columns]
-    sizes_q, sizes_x = (np.diff(c.offsets.to_numpy()) for c in columns)
-    for d in np.unique(sizes_q):
-        of_q, of_x = pa.array(sizes_q == d), pa.array(sizes_x == d)
-        q_rows, x_rows = queries.filter(of_q), rows.filter(of_x)
+    for d in np.unique(queries.column("d").to_numpy()):
+        q_rows, x_rows = (t.filter(pa.compute.equal(t.column("d"), int(d))) for t in (queries, rows))
         if not x_rows.num_rows:
             continue
-        q, x = (topk.matrix(c.filter(own)).astype(np.float64) for c, own in zip(columns, (of_q, of_x), strict=True))
+        q, x = (np.frombuffer(b"".join(t.column("v").to_pylist()), DTYPES[kind]).reshape(-1, d).astype(np.float64) for t in (q_rows, x_rows))
         q_id, x_id, x_row = q_rows.column("id").to_numpy(), x_rows.column("id").to_numpy(), x_rows.column("row").to_numpy()
         for at in range(0, len(q), CHUNK):
             part = slice(at, at + CHUNK)
@@ -137,16 +137,20 @@ def _met(k: int, kind: str):
     return run
 
 
-def probed_pairs(queries: DataFrame, rows: DataFrame, tables: int, probes: int, seed: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides under (d, t, bucket, part): a row once a table, a query where it probes.
+def probed_pairs(queries: DataFrame, rows: DataFrame, tables: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides, as from ``indexed``, under (d, t, bucket, part): a row once a table, a query where it probes.
 
     A bucket of more than ``group_rows`` rows is dealt by the id to several parts, and the queries
     that probe it are sent to all of them, so that no bucket is one task's.
     """
-    schema = "d int, t int, bucket int, id long, v binary, row long"
-    placed = rows.select("id", "v", "row").mapInArrow(_posted(tables, 1, seed), schema)
-    probing = queries.select("id", "v", "row").mapInArrow(_posted(tables, probes, seed), schema)
     key = ["d", "t", "bucket"]
+
+    def posted(frame: DataFrame) -> DataFrame:
+        each = F.posexplode("codes").alias("at", "bucket")
+        t = F.floor(F.col("at") * tables / F.col("n")).cast("int").alias("t")
+        return frame.select("d", "id", "v", "row", F.size("codes").alias("n"), each).select("d", t, "bucket", "id", "v", "row")
+
+    placed, probing = posted(rows), posted(queries)
     parts = placed.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(group_rows)).cast("int").alias("parts")).filter("parts > 1")
     parts = F.broadcast(durable(parts, "large-buckets"))  # at most one row for each group_rows rows and table
     one = F.coalesce("parts", F.lit(1))
@@ -166,10 +170,9 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, tables: int = TABLE
     kind = "float" if table.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
     whole = topk.usable(table).filter(F.exists("v", lambda x: x != 0))
     # Floats are moved as floats; a row's number tells apart rows that repeat an id.
-    kept = lambda df, name: durable(df.select("id", F.col("v").cast(f"array<{kind}>"), F.monotonically_increasing_id().alias("row")), name)
-    rows = kept(topk.least_ids(whole, k + 1), "rows")
-    queries = kept(whole.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"]), "queries")
-    placed, probing = probed_pairs(queries, rows, tables, probes, seed, group_rows)
+    rows = indexed(topk.least_ids(whole, k + 1), tables, 1, seed, kind)
+    queries = indexed(whole.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"]), tables, probes, seed, kind)
+    placed, probing = probed_pairs(queries, rows, tables, group_rows)
     key = ["d", "t", "bucket", "part"]
     met = probing.groupBy(*key).cogroup(placed.groupBy(*key)).applyInArrow(_met(k, kind), FOUND)
     met = met.distinct()  # a pair may meet in several tables

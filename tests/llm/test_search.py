@@ -143,9 +143,9 @@ def test_repeated_rows_leave_copies_under_other_ids(spark):
 
 def test_only_probed_candidates_are_measured(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    numbered = topk.usable(df).selectExpr("id", "v", "id AS row")
-    rows, queries = numbered, numbered.filter("id % 100 = 0")
-    placed, probing = ann.probed_pairs(queries, rows, ann.TABLES, ann.PROBES, 7, 50)
+    vectors = topk.usable(df)
+    rows, queries = ann.indexed(vectors, ann.TABLES, 1, 7, "float"), ann.indexed(vectors.filter("id % 100 = 0"), ann.TABLES, ann.PROBES, 7, "float")
+    placed, probing = ann.probed_pairs(queries, rows, ann.TABLES, 50)
     key = ["d", "t", "bucket", "part"]
     pairs = probing.select(*key, probing.id.alias("q")).join(placed.select(*key, "row"), key)
     computed, distinct, every = pairs.count(), pairs.select("q", "row").distinct().count(), queries.count() * rows.count()
