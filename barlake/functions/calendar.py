@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from dataclasses import dataclass
 from datetime import date, datetime, time, timedelta
 from functools import lru_cache
 from zoneinfo import ZoneInfo
@@ -15,6 +16,8 @@ from barlake.functions import exprs
 ZONE = ZoneInfo(exprs.NEW_YORK)
 FULL_SESSION_BARS = {"1hour": 6, "5min": 78}
 BAR_MINUTES = {"1hour": 60, "5min": 5}
+ROW_CAP = 10_000
+NOT_BEFORE = time(23, 30)
 SEMANTICS = {"1hour": "eastern_clock_hour_start", "5min": "session_5min_start"}
 
 # Days the exchange was closed outside its yearly rules.
@@ -105,11 +108,88 @@ def latest_completed_session(now: datetime) -> date:
     return max(s[0] for s in sessions(day - timedelta(10), day) if s[2] <= now)
 
 
+@dataclass(frozen=True)
+class CollectionWindow:
+    session_date: date
+    opens_at: datetime
+    closes_at: datetime
+
+
+def overnight_window(now: datetime, morning_hour: int = 8) -> CollectionWindow | None:
+    """The window after the last closed session in which ``now`` (UTC, no zone) lies, or None.
+
+    It opens at the close, though not before 23:30 UTC of the session's day, and ends at
+    ``morning_hour`` New York time of the next session's day: a weekend is one long night.
+    """
+    if not 0 <= morning_hour <= 23:
+        raise ValueError("the morning hour lies in 0..23")
+    day = latest_completed_session(now)
+    opens = max(sessions(day, day)[0][2], datetime.combine(day, NOT_BEFORE))
+    closes = _utc(next_session_after(day), time(morning_hour))
+    return CollectionWindow(day, opens, closes) if opens <= now < closes else None
+
+
+@dataclass(frozen=True)
+class RequestChunk:
+    start: date
+    end: date
+    fetch_end: date
+    max_rows: int
+
+
+def weekday_count(start: date, end: date) -> int:
+    """Days from Monday to Friday in the closed range."""
+    days = (end - start).days + 1
+    weeks, rest = divmod(max(days, 0), 7)
+    return weeks * 5 + sum((start.weekday() + i) % 7 < 5 for i in range(rest))
+
+
+def probe_sessions(freq: str) -> int:
+    """The most sessions one request can hold beside the day it looks ahead."""
+    return (ROW_CAP - 1) // FULL_SESSION_BARS[freq] - 1
+
+
+def request_chunks(start: date, end: date, freq: str, reverse: bool = False) -> list[RequestChunk]:
+    """Cut [start, end] into requests below the row cap, each fetched through the session after its end.
+
+    Every weekday may have a full session's bars. A chunk ends on the last day whose next session still
+    fits; that day moves with the number of weekdays, so it is found from their count.
+    """
+    if start > end:
+        raise ValueError("the start lies after the end")
+    most = (ROW_CAP - 1) // FULL_SESSION_BARS[freq]
+    out = []
+    while start <= end:
+        fits = lambda day: weekday_count(start, next_session_after(day)) <= most  # noqa: B023, E731
+        if not fits(start):
+            raise ValueError("one day does not fit below the row cap")
+        # So many weekdays span at most this many days; from there back to a day that fits.
+        day = min(end, start + timedelta(most // 5 * 7 + 7))
+        while not fits(day):
+            day -= timedelta(1)
+        ahead = next_session_after(day)
+        out.append(RequestChunk(start, day, ahead, weekday_count(start, ahead) * FULL_SESSION_BARS[freq]))
+        start = day + timedelta(1)
+    return out[::-1] if reverse else out
+
+
 def session_schedule(spark: SparkSession, start: date, end: date) -> DataFrame:
     """The schedule as a frame; a few hundred rows a year, so joins broadcast it."""
     return spark.createDataFrame(list(sessions(start, end)), SCHEDULE)
 
 
+def next_sessions(days: DataFrame, schedule: DataFrame) -> DataFrame:
+    """(date, next_session) of each date before the schedule's last session: the first session after it.
+
+    Each session stands for the days from the session before it on, so that the join is an equality.
+    """
+    from pyspark.sql import Window
+
+    before = F.coalesce(F.lag("session_date").over(Window.orderBy("session_date")), F.date_sub("session_date", 366))
+    after = schedule.select("session_date", before.alias("before")).select(F.explode(F.sequence("before", F.date_sub("session_date", 1))).alias("date"), F.col("session_date").alias("next_session"))
+    return days.join(F.broadcast(after), "date").select("date", "next_session")
+
+
 def with_index(schedule: DataFrame) -> DataFrame:
     """Number sessions from 0 in order; dates are few, so the ranking is one small task."""
     from pyspark.sql import Window

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlake.sources.files import footer_rows, rename
+
 
 def canonical_json(value) -> str:
     """Sorted keys, no spaces, finite numbers only."""
@@ -49,10 +51,15 @@ class Catalog:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def _write(self, path: str, record: Mapping, overwrite: bool) -> None:
+        """Write beside the file, then rename: a reader sees the old record or the new, never a part."""
         fs, p = self._fs(path)
-        out = fs.create(p, overwrite)
+        _, beside = self._fs(f"{path}.{uuid.uuid4().hex}.tmp")
+        out = fs.create(beside, False)
         out.write(bytearray(canonical_json(record).encode()))
         out.close()
+        if not rename(self.spark, beside, p, overwrite):
+            fs.delete(beside, False)
+            raise RunError(f"{path} is there already")
 
     def record(self, run_id: str) -> dict:
         fs, p = self._fs(f"{self.root}/{run_id}/run.json")
@@ -103,8 +110,8 @@ class Catalog:
         for r in records:
             df = self.spark.read.schema(schema).parquet(f"{self.root}/{r['run_id']}/observations").withColumn("run_id", F.lit(r["run_id"]))
             out = df if out is None else out.unionByName(df)
-        counts = {r.run_id: r["count"] for r in out.groupBy("run_id").count().collect()}
-        if any(counts.get(r["run_id"], 0) != r["rows"] for r in records):
+        counts = {r["run_id"]: sum(footer_rows(self.spark, f"{self.root}/{r['run_id']}/observations").values()) for r in records}
+        if any(counts[r["run_id"]] != r["rows"] for r in records):
             raise RunError("a run's rows differ from its record")
         return out
 

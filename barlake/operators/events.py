@@ -48,10 +48,13 @@ def observation_contract(selected: DataFrame, observations: DataFrame, labels: i
 def lookback_complete(events: DataFrame, expected: DataFrame, bars: DataFrame, start: str, end: str) -> DataFrame:
     """(event, expected, matched, complete): sessions of the lookback, and those with a bar.
 
-    ``expected`` is (label) - a calendar, broadcast against events; a lookback is a few sessions.
+    ``expected`` is (label), a calendar of days or times. A lookback is a few sessions, so that it stands
+    as its days and the join with the calendar is an equality.
     """
     spans = events.select(*EVENT, F.col(start).alias("a"), F.col(end).alias("b"))
-    due = spans.join(F.broadcast(expected), F.col("label").between(F.col("a"), F.col("b")), "left")
+    spans = spans.withColumn("day", F.explode_outer(F.when(F.col("a") <= F.col("b"), F.sequence(F.col("a").cast("date"), F.col("b").cast("date")))))
+    due = spans.join(F.broadcast(expected.withColumn("day", F.col("label").cast("date"))), "day", "left")
+    due = due.withColumn("label", F.when(F.col("label").between(F.col("a"), F.col("b")), F.col("label")))
     held = bars.select("instrument_id", "label").distinct().withColumn("held", F.lit(1))
     counts = due.join(held, ["instrument_id", "label"], "left").groupBy(*EVENT).agg(F.countDistinct("label").alias("expected"), F.countDistinct(F.when(F.col("held") == 1, F.col("label"))).alias("matched"))
     return counts.withColumn("complete", (F.col("expected") > 0) & (F.col("expected") == F.col("matched")))

@@ -57,3 +57,8 @@ def density(eod: DataFrame, bars: DataFrame, labels: DataFrame, freq: str, lookb
     sums = days.select("instrument_id", "date", F.sum("traded_bars").over(prior).alias("prior_traded_bars"), F.sum("expected_bars").over(prior).alias("prior_expected_bars"))
     share = F.when(F.col("prior_expected_bars") > 0, F.col("prior_traded_bars") / F.col("prior_expected_bars"))
     return sums.withColumn("hourly_density" if freq == "1hour" else "five_min_density", share)
+
+
+def hourly_density(eod: DataFrame, hourly: DataFrame, schedule: DataFrame, lookback: int) -> DataFrame:
+    """``density`` of the hourly bars, whose expected labels follow from the schedule."""
+    return density(eod, hourly, calendar.expected_labels(schedule, "1hour"), "1hour", lookback)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The canonical columns and types, and the vendor's names for them.
 KEY = ["instrument_id", "date"]
 EOD_SCHEMA = T.StructType(
     [T.StructField("instrument_id", T.StringType()), T.StructField("date", T.DateType())]
@@ -19,6 +20,7 @@ INTRADAY_SCHEMA = T.StructType(
     + [T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close")]
     + [T.StructField("volume", T.LongType())]
 )
+BILLING_HOURS = 5
 VENDOR = {"adjOpen": "adj_open", "adjHigh": "adj_high", "adjLow": "adj_low", "adjClose": "adj_close", "adjVolume": "adj_volume", "divCash": "div_cash", "splitFactor": "split_factor"}
 
 
@@ -108,16 +110,20 @@ def liquidity_cohort(bars: DataFrame, indexed: DataFrame, asof: str, last: int,
 
 
 def ledger_usage(attempts: DataFrame, now: str) -> DataFrame:
-    """Requests and bytes of the last hour, day and month; what is unsettled counts its reservation."""
+    """Requests and bytes of the billing month that holds ``now`` (UTC), and its last hour and day.
+
+    The month is that of the billing clock, BILLING_HOURS behind UTC all year. An attempt whose bytes are settled and known is charged what was observed,
+    any other the larger of that and its reservation. Attempts before the month count nowhere.
+    """
     at = F.lit(now).cast("timestamp_ntz")
-    charged = F.when(F.col("settled"), F.col("observed")).otherwise(F.greatest("reserved", "observed"))
-    spans = {"hour": F.expr("INTERVAL 1 HOUR"), "day": F.expr("INTERVAL 1 DAY")}
-    out = []
-    for name, span in spans.items():
-        inside = (F.col("ts") > at - span) & (F.col("ts") <= at)
-        out += [F.count_if(inside).alias(f"requests_{name}"), F.coalesce(F.sum(F.when(inside, charged)), F.lit(0)).alias(f"bytes_{name}")]
-    month = (F.trunc(F.col("ts").cast("date"), "month") == F.trunc(at.cast("date"), "month")) & (F.col("ts") <= at)
-    return attempts.agg(*out, F.count_if(month).alias("requests_month"), F.coalesce(F.sum(F.when(month, charged)), F.lit(0)).alias("bytes_month"))
+    behind = F.expr(f"INTERVAL {BILLING_HOURS} HOUR")
+    month = F.trunc((at - behind).cast("date"), "month").cast("timestamp_ntz") + behind
+    charged = F.when(F.col("settled") & F.col("bytes_known"), F.col("observed")).otherwise(F.greatest("reserved", "observed"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return attempts.filter(F.col("ts") >= month).agg(
+        F.count_if(F.col("ts") > at - F.expr("INTERVAL 1 HOUR")).alias("hourly_requests"), F.count_if(F.col("ts") > at - F.expr("INTERVAL 1 DAY")).alias("daily_requests"),
+        F.count("*").alias("requests"), total(F.col("observed")).alias("observed_bytes"), total(charged).alias("charged_bytes"), F.count_if(~F.col("complete")).alias("incomplete_attempts"),
+    )
 
 
 def dominant(records: DataFrame, key: str, value: str) -> DataFrame:
@@ -136,19 +142,44 @@ def reconcile_coverage(files: DataFrame, coverage: DataFrame, known: DataFrame)
     return rows.select("instrument_id", "file_bucket", "first_bar", "last_bar", "n_rows", status.alias("status"))
 
 
-def cohort_freshness(cohort: DataFrame, coverage: DataFrame, latest: str, lag_days: int) -> DataFrame:
-    """How many members are fresh, stale or uncovered."""
-    age = F.datediff(F.lit(latest).cast("date"), F.col("last_date"))
-    status = F.when(F.col("last_date").isNull(), "uncovered").when(age <= lag_days, "fresh").otherwise("stale")
-    rows = cohort.select("instrument_id").join(coverage.select("instrument_id", "last_date"), "instrument_id", "left")
-    return rows.groupBy(status.alias("status")).agg(F.count("*").alias("members"))
-
+def budget_ramp(days: DataFrame, base: int, maximum: int, ramp_days: int) -> DataFrame:
+    """The byte limit of a billing day: the base, rising by equal steps over the month's last days to the maximum.
 
-def budget_ramp(days: DataFrame, limit: int, final_days: int) -> DataFrame:
-    """The byte limit of a day: half of the month's budget, rising evenly over the final days to all of it."""
+    The first of the ``ramp_days`` last days still has the base, the last has the maximum.
+    """
+    if ramp_days < 2 or maximum < base:
+        raise ValueError("a ramp spans two days at least and rises")
     left = F.datediff(F.last_day("day"), "day")
-    share = F.when(left >= final_days, 0.5).otherwise(1.0 - 0.5 * left / F.lit(final_days))
-    return days.select("day", F.floor(F.lit(limit) * share).cast("long").alias("byte_limit"))
+    step = F.greatest(F.lit(0), F.lit(ramp_days - 1) - left).cast("long")
+    return days.select("day", (F.lit(base) + F.floor(F.lit(maximum - base) * step / F.lit(ramp_days - 1))).cast("long").alias("byte_limit"))
+
+
+def envelope(bars: DataFrame, column: str) -> DataFrame:
+    """(file, n_rows, instruments, instrument_id, first, last, status) of each file read.
+
+    A file holds one instrument, and for timestamps one year.
+    """
+    day = F.col(column).cast("date")
+    rows = bars.select(F.col("_metadata.file_name").alias("file"), "instrument_id", day.alias("day"))
+    per = rows.groupBy("file").agg(F.count("*").alias("n_rows"), F.countDistinct("instrument_id").alias("instruments"), F.min("instrument_id").alias("instrument_id"), F.min("day").alias("first"), F.max("day").alias("last"))
+    years = F.lit(column == "ts") & (F.year("first") != F.year("last"))
+    status = F.when(F.col("instruments") != 1, "not_one_instrument").when(F.col("first").isNull(), "no_dates").when(years, "several_years").otherwise("ok")
+    return per.withColumn("status", status)
+
+
+def target_rows(rows: DataFrame, start: str, end: str, fetch_end: str, max_rows: int, cap: int = 10_000) -> DataFrame:
+    """Rows of an answer that lie in [start, end]; those up to ``fetch_end`` were fetched to look ahead.
+
+    An answer at the cap may be cut off, one beyond the planned ``max_rows`` or with a row outside the
+    fetched days is not what was asked for: each is an error.
+    """
+    day, lo, hi, until = F.to_date(F.substring("date", 1, 10)), *(F.lit(d).cast("date") for d in (start, end, fetch_end))
+    held = rows.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(day.between(lo, until), F.lit(False))).alias("outside")).first()
+    if held.n >= cap or held.n > max_rows:
+        raise ValueError(f"the answer has {held.n} rows; at most {min(cap - 1, max_rows)} are whole")
+    if held.outside:
+        raise ValueError(f"{held.outside} rows lie outside {start}..{fetch_end}")
+    return rows.filter(day <= hi)
 
 
 def listing_scope(listings: DataFrame) -> DataFrame:
@@ -164,9 +195,18 @@ def active_in_year(listings: DataFrame, year: int) -> DataFrame:
 
 
 def universe_import(rows: DataFrame) -> DataFrame:
-    """(year, ticker, rank): ranks follow volume where they are missing; of repeated tickers the best stays."""
-    w = Window.partitionBy("year")
-    named = rows.select("year", F.upper(F.trim("ticker")).alias("ticker"), "rank", "volume")
-    ranked = named.withColumn("rank", F.coalesce("rank", F.row_number().over(w.orderBy(F.desc_nulls_last("volume"), "ticker"))).cast("int"))
-    best = ranked.groupBy("year", "ticker").agg(F.min("rank").alias("rank"))
-    return best
+    """(year, ticker, rank, dollar_volume, conflicts) from lines of (line, year, ticker, rank, dollar_volume).
+
+    Tickers are trimmed and upper-cased; an empty one is an error. Of lines that disagree on a ticker
+    the one with the larger volume stays, an unknown one counting 0, the first of equals. If any rank
+    of a year is unknown, the whole year is ranked by volume, ties in the order of the lines.
+    """
+    name = F.upper(F.trim("ticker"))
+    checked = F.when(F.coalesce(name == "", F.lit(True)), F.raise_error(F.concat(F.lit("empty ticker in line "), F.col("line").cast("string")))).otherwise(name)
+    volume = F.coalesce("dollar_volume", F.lit(0.0))
+    best = F.max_by(F.struct("rank", "dollar_volume"), F.struct(volume, -F.col("line")))
+    one = rows.withColumn("ticker", checked).groupBy("year", "ticker").agg(best.alias("kept"), F.min("line").alias("line"), F.countDistinct(F.struct("rank", "dollar_volume")).alias("versions"))
+    one = one.select("year", "ticker", "line", "kept.*", (F.col("versions") - 1).alias("conflicts"))
+    by_volume = F.row_number().over(Window.partitionBy("year").orderBy(F.coalesce("dollar_volume", F.lit(0.0)).desc(), "line"))
+    unknown = F.max(F.col("rank").isNull()).over(Window.partitionBy("year"))
+    return one.select("year", "ticker", F.when(unknown, by_volume).otherwise(F.col("rank")).cast("int").alias("rank"), "dollar_volume", "conflicts")

@@ -20,12 +20,20 @@ CHECKS = {
     "off_session_intraday": ("warning", ("intraday",)),
     "coverage_delisting_summary": ("info", ("eod", "intraday")),
 }
+#: in the order of findings
+DATASETS = ["eod", "intraday_1hour", "intraday_5min"]
 SEVERE = ("warning", "error")
 
 
-def sample(values: Column) -> Column:
-    """The first few values in order, as text; collected per instrument, whose history bounds it."""
-    return F.array_join(F.slice(F.sort_array(F.collect_list(values)), 1, SAMPLE), ",")
+def numbered(rows: DataFrame, by: str, key: str = "instrument_id") -> DataFrame:
+    """Rows with their place within the key, for ``sample``; the sort spills where a key has many."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(by)))
+
+
+def sample(column: str) -> Column:
+    """The first few values of ``numbered`` rows in order, as text; no more are collected."""
+    first = F.collect_list(F.when(F.col("place") <= SAMPLE, F.struct("place", F.col(column).cast("string").alias("text"))))
+    return F.array_join(F.transform(F.sort_array(first), lambda x: x["text"]), ",")
 
 
 def scoped(bars: DataFrame, ids: list[str] | None = None, start: str | None = None, end: str | None = None, column: str = "date") -> DataFrame:
@@ -39,8 +47,8 @@ def scoped(bars: DataFrame, ids: list[str] | None = None, start: str | None = No
 
 def duplicate_keys(bars: DataFrame, key: str = "date") -> DataFrame:
     """Keys that repeat, the rows too many, and the first such keys."""
-    groups = bars.groupBy("instrument_id", key).agg(F.count("*").alias("n")).filter("n > 1")
-    return groups.groupBy("instrument_id").agg(F.count("*").alias("n_keys"), F.sum(F.col("n") - 1).alias("extra_rows"), sample(F.col(key).cast("string")).alias("sample"))
+    groups = numbered(bars.groupBy("instrument_id", key).agg(F.count("*").alias("n")).filter("n > 1"), key)
+    return groups.groupBy("instrument_id").agg(F.count("*").alias("n_keys"), F.sum(F.col("n") - 1).alias("extra_rows"), sample(key).alias("sample"))
 
 
 def ohlc_invariants(bars: DataFrame) -> DataFrame:
@@ -63,28 +71,66 @@ def negative_values(bars: DataFrame) -> DataFrame:
 def split_sanity(bars: DataFrame) -> DataFrame:
     """Split factors that are unknown, not finite or not positive."""
     s = F.col("split_factor")
-    bad = bars.filter(s.isNull() | ~exprs.is_finite(s) | (s <= 0))
-    return bad.groupBy("instrument_id").agg(F.count("*").alias("n"), sample(F.col("date").cast("string")).alias("sample"))
+    bad = numbered(bars.filter(s.isNull() | ~exprs.is_finite(s) | (s <= 0)), "date")
+    return bad.groupBy("instrument_id").agg(F.count("*").alias("n"), sample("date").alias("sample"))
+
+
+def _zero() -> Column:
+    """Whether all copies of a bar have a known volume, and it is 0."""
+    return (F.count("volume") == F.count("*")) & (F.min("volume") == 0) & (F.max("volume") == 0)
+
+
+def _runs(bars: DataFrame, time: str, step: Column, within: list[str], shortest: int) -> DataFrame:
+    """Runs of bars whose steps follow one another: their step less their place is the same number."""
+    w = Window.partitionBy("instrument_id", *within).orderBy(time)
+    runs = bars.withColumn("run", step - F.row_number().over(w))
+    found = runs.groupBy("instrument_id", *within, "run").agg(F.min(time).alias(f"first_{time}"), F.max(time).alias(f"last_{time}"), F.count("*").alias("n"))
+    return found.filter(F.col("n") >= shortest).drop("run")
 
 
 def zero_volume_runs(bars: DataFrame, indexed: DataFrame, shortest: int = ZERO_RUN) -> DataFrame:
-    """Runs of consecutive sessions without volume; a day with any traded duplicate is no zero day."""
-    days = bars.groupBy("instrument_id", "date").agg(F.max(F.coalesce("volume", F.lit(1))).alias("volume"))
+    """Runs of consecutive sessions without volume: (instrument_id, first_date, last_date, n_sessions).
+
+    A day counts where all its rows have a known volume of 0; a day off the calendar counts nowhere.
+    """
+    days = bars.groupBy("instrument_id", "date").agg(_zero().alias("zero")).filter("zero")
     days = days.join(F.broadcast(indexed.select(F.col("session_date").alias("date"), "session_index")), "date")
-    w = Window.partitionBy("instrument_id").orderBy("date")
-    zero = F.col("volume") == 0
-    breaks = ~zero | F.coalesce(F.lag("volume").over(w) != 0, F.lit(True)) | F.coalesce(F.lag("session_index").over(w) != F.col("session_index") - 1, F.lit(True))
-    runs = days.withColumn("starts", breaks.cast("int")).withColumn("run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(zero)
-    found = runs.groupBy("instrument_id", "run").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n_sessions"))
-    return found.filter(F.col("n_sessions") >= shortest).drop("run")
+    return _runs(days, "date", F.col("session_index"), [], shortest).withColumnRenamed("n", "n_sessions")
+
+
+def zero_volume_bar_runs(bars: DataFrame, schedule: DataFrame, freq: str, shortest: int = ZERO_RUN) -> DataFrame:
+    """Runs of regular intraday bars without volume, one step apart within a session.
+
+    (instrument_id, session_date, first_ts, last_ts, n_bars); bars off the session's grid count nowhere.
+    """
+    regular = calendar.label_sessions(bars, schedule, freq).groupBy("instrument_id", "session_date", "ts").agg(_zero().alias("zero"), F.min("minutes_from_open").alias("minutes")).filter("zero")
+    step = F.floor(F.col("minutes") / calendar.BAR_MINUTES[freq])
+    return _runs(regular, "ts", step, ["session_date"], shortest).withColumnRenamed("n", "n_bars")
+
+
+def clipped(coverage: DataFrame, ids: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Coverage within a scope: the selected ids' spans cut to the dates, those outside left out."""
+    if ids is not None:
+        coverage = coverage.filter(F.col("instrument_id").isin(ids) if ids else F.lit(False))
+    if start:
+        coverage = coverage.withColumn("first_date", F.greatest("first_date", F.lit(start).cast("date")))
+    if end:
+        coverage = coverage.withColumn("last_date", F.least("last_date", F.lit(end).cast("date")))
+    return coverage.filter("first_date <= last_date")
+
+
+def ordered_findings(findings: DataFrame) -> DataFrame:
+    """Findings (dataset_key, check, instrument_id, severity, message) by dataset, check, id and severity."""
+    place = lambda column, names: F.array_position(F.array(*map(F.lit, names)), F.col(column))
+    return findings.orderBy(place("dataset_key", DATASETS), place("check", list(CHECKS)), F.coalesce("instrument_id", F.lit("")), "severity", "message")
 
 
 def missing_sessions(bars: DataFrame, coverage: DataFrame, schedule: DataFrame) -> DataFrame:
     """Sessions inside an instrument's coverage without a bar; spans explode to days, an equality."""
     days = coverage.select("instrument_id", F.explode(F.sequence("first_date", "last_date")).alias("date"))
     due = days.join(F.broadcast(schedule.select(F.col("session_date").alias("date"))), "date", "left_semi")
-    gone = due.join(bars.select("instrument_id", "date"), ["instrument_id", "date"], "left_anti")
-    return gone.groupBy("instrument_id").agg(F.count("*").alias("n"), sample(F.col("date").cast("string")).alias("sample"))
+    gone = numbered(due.join(bars.select("instrument_id", "date"), ["instrument_id", "date"], "left_anti"), "date")
+    return gone.groupBy("instrument_id").agg(F.count("*").alias("n"), sample("date").alias("sample"))
 
 
 def off_session(bars: DataFrame, schedule: DataFrame, freq: str) -> DataFrame:

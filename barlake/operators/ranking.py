@@ -41,7 +41,9 @@ def scope(observations: DataFrame, checkpoint: str) -> DataFrame:
 
 
 def in_windows(scoped: DataFrame, pairs: DataFrame, which: str) -> DataFrame:
-    return scoped.join(F.broadcast(pairs), F.col("event_date").between(F.col(f"{which}_start"), F.col(f"{which}_end")))
+    """Observations in the selection or evaluation windows; windows stand as their days, an equality join."""
+    days = pairs.withColumn("event_date", F.explode(F.sequence(f"{which}_start", f"{which}_end")))
+    return scoped.join(F.broadcast(days), "event_date")
 
 
 def scores(rows: DataFrame, keys: list[str], prior: int) -> DataFrame:
@@ -123,6 +125,48 @@ def opening_window(opening: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def write_two_pass(path: str, candidates: DataFrame, evaluated: DataFrame, groups: DataFrame | None = None, form: str = "parquet") -> list[str]:
+    """Write the three tables of all window pairs beside one another; returns their paths.
+
+    The evaluation is at ``path``, the others at ``path-candidates`` and ``path-groups``; each keeps its
+    pair as ``window``. Tables without rows of groups are not written.
+    """
+    if form not in ("parquet", "csv"):
+        raise ValueError("the form is parquet or csv")
+    out = []
+    for name, df in (("", evaluated), ("-candidates", candidates), ("-groups", groups)):
+        if df is None or (name == "-groups" and df.isEmpty()):
+            continue
+        writer = df.withColumnRenamed("pair", "window").write.mode("overwrite")
+        (writer.parquet if form == "parquet" else writer.option("header", True).csv)(path + name)
+        out.append(path + name)
+    return out
+
+
+def render_two_pass(summary: DataFrame, candidates: DataFrame, evaluated: DataFrame, names: DataFrame, top: int = 25) -> list[str]:
+    """Lines of text: the pooled rates, and for each window pair its ``top`` candidates by evaluation.
+
+    ``names`` is (instrument_id, ticker). Only what is printed is collected.
+    """
+    percent = lambda x: "n/a" if x is None else f"{x:.1%}"
+    total = pooled(summary).first()
+    pairs = summary.orderBy("pair").collect()  # one row for each pair of windows
+    lines = [
+        f"{len(pairs)} window pairs, {sum((p.lift or 0) > 0 for p in pairs)} with a lift on evaluation",
+        f"pooled: candidates {percent(total.candidate_hit_rate)}, baseline {percent(total.baseline_hit_rate)}, lift {percent(total.lift)}, {total.candidate_events or 0} events",
+    ]
+    before = candidates.filter("selected").select("pair", "instrument_id", F.col("events").alias("before"), F.col("hit_rate").alias("rate_before"))
+    rows = evaluated.join(before, ["pair", "instrument_id"]).join(names, "instrument_id", "left")
+    order = Window.partitionBy("pair").orderBy(F.desc_nulls_last("shrunk_hit_rate"), F.desc("events"), "instrument_id")
+    shown = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top).orderBy("pair", "place").collect()
+    for p in pairs:
+        lines += ["", f"{p.pair}: {p.candidates} candidates, {p.above_baseline} above the baseline of {percent(p.baseline_hit_rate)}; hit rate {percent(p.candidate_hit_rate)} on {p.candidate_events} events"]
+        lines.append(f"  {'ticker':10}{'n':>6}{'rate':>8}{'n':>6}{'rate':>8}{'shrunk':>8}{'lift':>8}")
+        for r in (r for r in shown if r.pair == p.pair):
+            lines.append(f"  {r.ticker or r.instrument_id:10}{r.before:6d}{percent(r.rate_before):>8}{r.events:6d}{percent(r.hit_rate):>8}{percent(r.shrunk_hit_rate):>8}{percent(r.lift):>8}")
+    return lines
+
+
 def walk_order() -> list:
     return [F.desc("selected"), F.desc("shrunk_hit_rate"), F.desc("events"), F.col("instrument_id")]
 

@@ -159,18 +159,37 @@ def opening_observations(events: DataFrame, five: DataFrame, hourly: DataFrame,
     )
 
 
+def _session_steps(indexed: DataFrame) -> DataFrame:
+    """(date, step) of every day up to the last session: ten a session, which itself ends its ten.
+
+    A day without session has the ten of the next one, so that a path of days is a range of steps.
+    """
+    before = F.coalesce(F.lag("session_date").over(Window.orderBy("session_date")), F.date_sub("session_date", 1))
+    days = indexed.select("session_date", "session_index", before.alias("before"))
+    each = days.select(F.explode(F.sequence(F.date_add("before", 1), "session_date")).alias("date"), "session_date", "session_index")
+    return each.select("date", (F.col("session_index") * 10 + F.when(F.col("date") == F.col("session_date"), 9).otherwise(0)).alias("step"))
+
+
 def multiday_path(events: DataFrame, eod: DataFrame, indexed: DataFrame) -> DataFrame:
-    """For each event and horizon the target date and the adjusted extremes of the days up to it."""
+    """For each event and horizon the target date and the adjusted extremes of the days up to it.
+
+    Events stand as marks among their instrument's bars in the order of sessions; one sort by
+    instrument gives a mark the extremes of every horizon's range.
+    """
     calendar = F.broadcast(indexed.select("session_date", "session_index"))
     start = calendar.select(F.col("session_date").alias("event_date"), F.col("session_index").alias("at"))
     target = calendar.select(F.col("session_date").alias("target_date"), F.col("session_index").alias("target_index"))
-    grid = _checkpoints(events.join(start, "event_date"), "horizon", HORIZONS).withColumn("target_index", F.col("at") + F.col("horizon")).join(target, "target_index", "left")
-    # A path is at most as long as the longest horizon, so the range becomes an equality on days.
-    days = grid.filter("target_date IS NOT NULL").select(*EVENT, "horizon", F.explode(F.sequence("event_date", "target_date")).alias("date"))
-    path = days.join(eod.select("instrument_id", "date", "adj_high", "adj_low"), ["instrument_id", "date"]).groupBy(*EVENT, "horizon").agg(
-        F.max("adj_high").alias("max_high"), F.min("adj_low").alias("min_low"), F.count("*").alias("sessions_observed")
-    )
-    return grid.drop("at", "target_index").join(path, [*EVENT, "horizon"], "left")
+    marks = events.select("instrument_id", F.col("event_date").alias("date"), F.lit(None).cast("double").alias("adj_high"), F.lit(None).cast("double").alias("adj_low"), F.lit(0).alias("bar"))
+    rows = eod.select("instrument_id", "date", "adj_high", "adj_low", F.lit(1).alias("bar")).union(marks).join(F.broadcast(_session_steps(indexed)), "date")
+    order = Window.partitionBy("instrument_id").orderBy("step")
+    ahead = {h: order.rangeBetween(0, 10 * h) for h in HORIZONS}
+    parts = [F.struct(F.lit(h).alias("horizon"), F.max("adj_high").over(w).alias("max_high"), F.min("adj_low").over(w).alias("min_low"), F.sum("bar").over(w).alias("n")) for h, w in ahead.items()]
+    path = rows.select("instrument_id", F.col("date").alias("event_date"), "bar", F.array(*parts).alias("paths")).filter("bar = 0").drop("bar")
+    grid = events.join(start, "event_date").join(path, EVENT).withColumn("path", F.explode("paths")).withColumn("horizon", F.col("path.horizon"))
+    grid = grid.withColumn("target_index", F.col("at") + F.col("horizon")).join(target, "target_index", "left")
+    known = F.col("target_date").isNotNull() & (F.col("path.n") > 0)
+    taken = {"max_high": "path.max_high", "min_low": "path.min_low", "sessions_observed": "path.n"}
+    return grid.withColumns({name: F.when(known, F.col(c)) for name, c in taken.items()}).drop("at", "target_index", "path", "paths")
 
 
 def multiday_observations(events: DataFrame, eod: DataFrame, indexed: DataFrame, asset_types: DataFrame, benchmark: str, target: float) -> DataFrame:
@@ -186,28 +205,69 @@ def multiday_observations(events: DataFrame, eod: DataFrame, indexed: DataFrame,
     return rows.withColumn("touched_target", F.col("max_favorable_excursion") >= target)
 
 
-def summary(extra: Mapping[str, Column] | None = None) -> list[Column]:
-    """Aggregates of observations: two denominators for hit rates, exact quantiles of returns."""
+QUANTILES = {"median_return": 0.5, "p10_return": 0.1, "p90_return": 0.9}
+BINS = 1_000  # a unit of a return
+
+
+def _same(keys: list[str], prefix: str) -> Column:
+    """Equality, of nulls too, of the keys with those under a prefix."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return out
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles of ``value`` by the keys, interpolated between neighbours; unknown values don't count.
+
+    A first pass counts values by narrow bins. Its sums say which bins hold the ranks that are wanted,
+    and only those bins' values are counted and put in order: no task sees all values of a group.
+    """
+    held = rows.filter(F.col(value).isNotNull()).withColumn("bin", F.floor(F.col(value) * BINS))
+    by, of = Window.partitionBy(*keys), [*keys, "bin"]
+    upto = F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    bins = held.groupBy(*of).agg(F.count("*").alias("n")).select(*of, (upto - F.col("n")).alias("before"), upto.alias("upto"), F.sum("n").over(by).alias("total"))
+    place = {name: p * (F.col("total") - 1) for name, p in wanted.items()}
+    ranks = [r for at in place.values() for r in (F.floor(at), F.ceil(at))]
+    inside = F.lit(False)
+    for r in ranks:
+        inside = inside | ((F.col("before") <= r) & (r < F.col("upto")))
+    # Two bins at most for each quantile of a group.
+    few = F.broadcast(bins.filter(inside).select(*[F.col(c).alias(f"bin_{c}") for c in of], "before", "total"))
+    values = held.join(few, _same(of, "bin_")).groupBy(*of, "before", "total", value).agg(F.count("*").alias("n"))
+    within = Window.partitionBy(*of).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    counted = values.withColumn("upto", F.col("before") + F.sum("n").over(within))
+    at_rank = lambda r: F.min(F.when(F.col("upto") > r, F.col(value)))
+    sides = [side for name, at in place.items() for side in (at_rank(F.floor(at)).alias(f"{name}_low"), at_rank(F.ceil(at)).alias(f"{name}_high"))]
+    out = counted.groupBy(*keys, "total").agg(*sides)
+    between = lambda name, at: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (at - F.floor(at))
+    return out.select(*keys, *[between(name, at).alias(name) for name, at in place.items()])
+
+
+def summarize(observations: DataFrame, keys: list[str], extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """Aggregates of observations by the keys: two denominators for hit rates, exact quantiles of returns."""
     ok = F.col("outcome_status") == "evaluable"
-    r = F.when(ok, F.col("measured_return"))
     hits = F.count_if(ok & F.col("reached_target_at_checkpoint"))
     evaluable = F.count_if(ok)
-    out = {
+    mean = lambda c: F.avg(F.when(ok, F.col(c)))
+    plain = {
         "evaluable": evaluable,
         "missing_outcome": F.count_if(~ok),
-        "mean_return": F.avg(r),
-        "median_return": F.percentile(r, 0.5),
-        "p10_return": F.percentile(r, 0.1),
-        "p90_return": F.percentile(r, 0.9),
-        "mean_excess_return": F.avg(F.when(ok, F.col("excess_return"))),
-        "mean_favorable_excursion": F.avg(F.when(ok, F.col("max_favorable_excursion"))),
-        "mean_adverse_excursion": F.avg(F.when(ok, F.col("max_adverse_excursion"))),
-        "mean_gap_recovered_fraction": F.avg(F.when(ok, F.col("gap_recovered_fraction"))),
+        "mean_return": mean("measured_return"),
+        "mean_excess_return": mean("excess_return"),
+        "mean_favorable_excursion": mean("max_favorable_excursion"),
+        "mean_adverse_excursion": mean("max_adverse_excursion"),
+        "mean_gap_recovered_fraction": mean("gap_recovered_fraction"),
         "hit_rate_target": exprs.ratio(hits, evaluable),
         "hit_rate_target_missing_as_miss": hits / F.count("*"),
         **(extra or {}),
     }
-    return [(c if n in ("evaluable", "missing_outcome") else F.round(c, 6)).alias(n) for n, c in out.items()]
+    base = observations.groupBy(*keys).agg(*[c.alias(n) for n, c in plain.items()])
+    found = quantiles(observations.filter(ok), keys, "measured_return", QUANTILES)
+    found = F.broadcast(found.select(*[F.col(k).alias(f"of_{k}") for k in keys], *QUANTILES))  # a row for each group
+    rows = base.join(found, _same(keys, "of_"), "left")
+    names = ["evaluable", "missing_outcome", "mean_return", *QUANTILES, *[n for n in plain if n not in ("evaluable", "missing_outcome", "mean_return")]]
+    return rows.select(*keys, *[(F.col(n) if n in ("evaluable", "missing_outcome") else F.round(n, 6)).alias(n) for n in names])
 
 
 def opening_extra() -> dict[str, Column]:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from datetime import date
 
 from pyspark.sql import functions as F
 
 from barlake.functions import calendar, exprs
-from barlake.operators import features, identity, ingest, quality
+from barlake.operators import features, health, identity, ingest, quality
 from barlake.plans import oracle
 from barlake.plans import settings as S
 from barlake.plans.registry import plan
-from barlake.sources import warehouse
+from barlake.sources import files, warehouse
 
 EOD = "instrument_id, date, open, high, low, close, volume, adj_open, adj_high, adj_low, adj_close, adj_volume, div_cash, split_factor"
 ROUNDED = "adv_dollars realized_vol prior_5_return prior_window_return gap_return gap_vol_normalized".split()
@@ -51,9 +53,9 @@ def _labelled(relation: str, freq: str) -> str:
         FROM {relation} b JOIN sessions s ON s.session_date = CAST(b.ts AS DATE) WHERE b.ts >= session_open AND b.ts + INTERVAL {step} MINUTE <= session_close AND {rule}"""
 
 
-@plan("load_intraday_sessions", _labelled("hourly", "1hour") + " AND b.instrument_id IN ('view-0', 'cart-1', 'click-2')")
+@plan("load_intraday_sessions", _labelled("hourly", "1hour") + " AND b.instrument_id IN ('view-0', 'error-1', 'click-2')")
 def _(t):
-    return calendar.label_sessions(quality.scoped(t.hourly, ["view-0", "cart-1", "click-2"]), t.sessions, "1hour")
+    return calendar.label_sessions(quality.scoped(t.hourly, ["view-0", "error-1", "click-2"]), t.sessions, "1hour")
 
 
 @plan("label_sessions_hourly", _labelled("hourly", "1hour"))
@@ -71,37 +73,76 @@ def _(t):
     return warehouse.by_segments(t.long, t.segments.filter(F.col("ticker").isin("T1", "T2", "T3")))
 
 
-@plan("universe_import", """SELECT year, ticker, CAST(min(r) AS INTEGER) AS rank FROM (SELECT year, upper(trim(t)) AS ticker, coalesce(rank, row_number() OVER (PARTITION BY year ORDER BY volume DESC NULLS LAST, upper(trim(t)))) AS r
-    FROM (SELECT CAST(1995 + c_custkey % 3 AS INTEGER) AS year, ' k' || c_custkey AS t, CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey AS INTEGER) END AS rank, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS volume FROM customer)) GROUP BY 1, 2""")
+UNIVERSE = """SELECT c_custkey AS line, CAST(1995 + c_custkey % 3 AS INTEGER) AS year, 'K' || (c_custkey // 90 * 30 + c_custkey % 30) AS ticker,
+    CASE WHEN c_custkey % 5 <> 0 OR c_custkey % 3 = 2 THEN CAST(c_custkey AS INTEGER) END AS rank, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS dollar_volume FROM customer"""
+
+
+@plan("universe_import", f"""SELECT k.year, k.ticker, CAST(CASE WHEN bool_or(k.rank IS NULL) OVER (PARTITION BY k.year) THEN rank() OVER (PARTITION BY k.year ORDER BY coalesce(k.dollar_volume, 0) DESC, f.line) ELSE k.rank END AS INTEGER) AS rank, k.dollar_volume, f.conflicts
+    FROM (SELECT DISTINCT ON (year, ticker) * FROM ({UNIVERSE}) ORDER BY year, ticker, coalesce(dollar_volume, 0) DESC, line) k
+    JOIN (SELECT year, ticker, min(line) AS line, count(DISTINCT concat_ws('/', coalesce(rank, -1), coalesce(dollar_volume, -1e9))) - 1 AS conflicts FROM ({UNIVERSE}) GROUP BY 1, 2) f ON f.year = k.year AND f.ticker = k.ticker""")
 def _(t):
     k = F.col("c_custkey")
-    rows = t.read("customer").select((k % 3 + 1995).cast("int").alias("year"), F.concat(F.lit(" k"), k).alias("ticker"), F.when(k % 5 == 0, k.cast("int")).alias("rank"), F.when(k % 7 != 0, F.col("c_acctbal")).alias("volume"))
-    return ingest.universe_import(rows)
+    ticker = F.concat(F.lit(" k"), F.floor(k / 90) * 30 + k % 30)
+    rank = F.when((k % 5 != 0) | (k % 3 == 2), k.cast("int"))
+    return ingest.universe_import(t.read("customer").select(k.alias("line"), (k % 3 + 1995).cast("int").alias("year"), ticker.alias("ticker"), rank.alias("rank"), F.when(k % 7 != 0, F.col("c_acctbal")).alias("dollar_volume")))
 
 
-@plan("normalize_eod", f"SELECT {EOD} FROM long WHERE length(instrument_id) = 2")
+@plan("normalize_eod", f"SELECT {EOD} FROM long")
 def _(t):
     vendor = t.long.withColumnsRenamed({v: k for k, v in ingest.VENDOR.items()})
     return ingest.normalize_eod(vendor.select([(F.concat(F.col(c).cast("string"), F.lit("T00:00:00Z")) if c == "date" else F.col(c).cast("string")).alias(c) for c in vendor.columns]))
 
 
-@plan("publish_upsert", "SELECT instrument_id, CAST(count(*) AS BIGINT) AS n_rows, sum(open) AS sum_open FROM (SELECT * FROM incoming UNION ALL SELECT * FROM long b WHERE NOT EXISTS (SELECT 1 FROM incoming i WHERE i.instrument_id = b.instrument_id AND i.date = b.date)) GROUP BY 1")
+UPSERT = "SELECT * FROM incoming UNION ALL SELECT * FROM long b WHERE NOT EXISTS (SELECT 1 FROM incoming i WHERE i.instrument_id = b.instrument_id AND i.date = b.date)"
+
+
+def _store(t, name: str) -> warehouse.Warehouse:
+    """A warehouse of the query's own in the folder that all executors share."""
+    folder = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="barlake-publish-")
+    return warehouse.Warehouse(t.spark, f"{folder}/{name}-{t.spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
+
+
+@plan("publish_upsert", f"SELECT instrument_id, CAST(count(*) AS BIGINT) AS n_rows, sum(open) AS sum_open FROM ({UPSERT}) GROUP BY 1")
 def _(t):
-    folder = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="barlake-publish-")
-    w = warehouse.Warehouse(t.spark, f"{folder}/publish-{t.spark.sparkContext.applicationId}-{id(t)}")
+    w = _store(t, "publish")
     w.publish("eod", t.long)
     w.publish("eod", t.incoming)
     return w.read("eod").groupBy("instrument_id").agg(F.count("*").alias("n_rows"), F.sum("open").alias("sum_open"))
 
 
-@plan("merge_upsert", "SELECT * FROM incoming UNION ALL SELECT * FROM long b WHERE NOT EXISTS (SELECT 1 FROM incoming i WHERE i.instrument_id = b.instrument_id AND i.date = b.date)")
+@plan("metadata_relations", "SELECT b.instrument_id, CAST(count(*) AS BIGINT) AS n_bars, min(b.date) AS first_bar, c.first_date, c.last_date FROM eod b JOIN coverage c ON c.instrument_id = b.instrument_id WHERE b.instrument_id IN ('view-1', 'click-2') GROUP BY ALL")
+def _(t):
+    """Bars, a metadata relation and a list from the driver's memory in one statement."""
+    w = _store(t, "metadata")
+    w.publish("eod", t.eod)
+    w.put_metadata("coverage", t.coverage)
+    w.register_frame("wanted", [("view-1",), ("click-2",)], "instrument_id string")
+    return w.sql("""SELECT b.instrument_id, count(*) AS n_bars, min(b.date) AS first_bar, c.first_date, c.last_date FROM eod b JOIN wanted w ON w.instrument_id = b.instrument_id
+        JOIN meta_coverage c ON c.instrument_id = b.instrument_id GROUP BY b.instrument_id, c.first_date, c.last_date""")
+
+
+@plan("footer_counts", " UNION ALL ".join(f"SELECT '{n}' AS dataset_key, CAST(count(*) AS BIGINT) AS n_rows FROM {r}" for n, r in (("eod", "eod"), ("intraday_1hour", "hourly"))))
+def _(t):
+    """Rows of published datasets by their files' footers."""
+    w = _store(t, "footers")
+    w.publish("eod", t.eod)
+    w.publish("intraday_1hour", t.hourly)
+    rows = [(d, sum(files.footer_rows(t.spark, w.path(d)).values())) for d in ("eod", "intraday_1hour")]
+    return t.spark.createDataFrame(rows, "dataset_key string, n_rows long")
+
+
+@plan("merge_upsert", UPSERT)
 def _(t):
     return ingest.merge_upsert(t.long, t.incoming)
 
 
-@plan("snapshot_replace", "SELECT * FROM incoming WHERE length(instrument_id) = 2 UNION ALL SELECT * FROM long WHERE instrument_id NOT IN (SELECT instrument_id FROM incoming WHERE length(instrument_id) = 2)")
+@plan("snapshot_replace", "SELECT * FROM incoming WHERE instrument_id IN (SELECT instrument_id FROM funds) UNION ALL SELECT * FROM long WHERE instrument_id NOT IN (SELECT f.instrument_id FROM funds f JOIN incoming i ON i.instrument_id = f.instrument_id)")
 def _(t):
-    return ingest.snapshot_replace(t.long, t.incoming.filter(F.length("instrument_id") == 2))
+    return ingest.snapshot_replace(t.long, t.incoming.join(t.funds, "instrument_id", "left_semi"))
 
 
 @plan("point_read", "SELECT instrument_id, date, open, close, volume FROM long WHERE instrument_id = 'S5'")
@@ -146,15 +187,49 @@ def _(t):
     return quality.split_sanity(t.dirty)
 
 
-@plan("q_zero_volume_runs", """SELECT instrument_id, min(date) AS first_date, max(date) AS last_date, CAST(count(*) AS BIGINT) AS n_sessions FROM (
-    SELECT *, sum(starts) OVER (PARTITION BY instrument_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS run FROM (
-      SELECT *, CASE WHEN volume <> 0 OR coalesce(lag(volume) OVER w <> 0, true) OR coalesce(lag(session_index) OVER w <> session_index - 1, true) THEN 1 ELSE 0 END AS starts FROM (
-        SELECT instrument_id, date, session_index, max(volume) AS volume FROM (SELECT d.*, s.session_index FROM dirty d JOIN long_sessions s ON s.session_date = d.date) GROUP BY 1, 2, 3)
-      WINDOW w AS (PARTITION BY instrument_id ORDER BY date))) WHERE volume = 0 GROUP BY instrument_id, run HAVING count(*) >= 2""")
+#: a bar is zero where every copy of it has a known volume of 0
+ZERO = "count(volume) = count(*) AND min(volume) = 0 AND max(volume) = 0"
+
+
+@plan("q_zero_volume_runs", f"""SELECT instrument_id, min(date) AS first_date, max(date) AS last_date, CAST(count(*) AS BIGINT) AS n_sessions FROM (
+    SELECT *, sum(CASE WHEN held AND before AND session_index = last_index + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY instrument_id ORDER BY date) AS run FROM (
+      SELECT *, lag(held, 1, false) OVER w AS before, lag(session_index) OVER w AS last_index FROM (
+        SELECT instrument_id, date, session_index, {ZERO} AS held FROM dirty JOIN long_sessions ON session_date = date GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY instrument_id ORDER BY date)))
+    WHERE held GROUP BY instrument_id, run HAVING count(*) >= 2""")
 def _(t):
     return quality.zero_volume_runs(t.dirty, t.indexed, 2)
 
 
+@plan("q_zero_volume_bars", f"""SELECT instrument_id, session_date, min(ts) AS first_ts, max(ts) AS last_ts, CAST(count(*) AS BIGINT) AS n_bars FROM (
+    SELECT *, sum(CASE WHEN held AND before AND session_date = last_session AND ts = last_ts + INTERVAL 5 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY instrument_id ORDER BY ts) AS run FROM (
+      SELECT *, lag(held, 1, false) OVER w AS before, lag(session_date) OVER w AS last_session, lag(ts) OVER w AS last_ts FROM (
+        SELECT instrument_id, ts, session_date, {ZERO} AS held FROM ({_labelled("five", "5min")}) GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY instrument_id ORDER BY ts)))
+    WHERE held GROUP BY instrument_id, session_date, run""")
+def _(t):
+    return quality.zero_volume_bar_runs(t.five, t.sessions, "5min", 1)
+
+
+@plan("quality_scope", "SELECT instrument_id, dataset_key, greatest(first_date, DATE '2024-01-10') AS first_date, least(last_date, DATE '2024-01-20') AS last_date FROM coverage WHERE instrument_id IN ('view-0', 'error-1', 'click-2') AND first_date <= DATE '2024-01-20' AND last_date >= DATE '2024-01-10'")
+def _(t):
+    return quality.clipped(t.coverage, ["view-0", "error-1", "click-2"], "2024-01-10", "2024-01-20")
+
+
+def _finding(check: str, message: str, relation: str) -> str:
+    return f"SELECT 'eod' AS dataset_key, '{check}' AS \"check\", instrument_id, 'error' AS severity, {message} AS message FROM {relation}"
+
+
+@plan("quality_findings", " UNION ALL ".join([
+    _finding("ohlc_invariants", "(n_raw + n_adjusted) || ' invalid'", f"(SELECT instrument_id, count(*) FILTER (WHERE {RAW}) AS n_raw, count(*) FILTER (WHERE {ADJUSTED}) AS n_adjusted FROM dirty GROUP BY 1) WHERE n_raw + n_adjusted > 0"),
+    _finding("duplicate_keys", "(count(*) || ' repeated')", "(SELECT instrument_id, date FROM dirty GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY instrument_id"),
+    _finding("split_sanity", "(count(*) || ' invalid')", "dirty WHERE split_factor IS NULL OR split_factor <= 0 GROUP BY instrument_id"),
+]))
+def _(t):
+    found = lambda check, df, text: df.select(F.lit("eod").alias("dataset_key"), F.lit(check).alias("check"), "instrument_id", F.lit(quality.CHECKS[check][0]).alias("severity"), text.alias("message"))
+    every = found("ohlc_invariants", quality.ohlc_invariants(t.dirty), F.concat(F.col("n_raw") + F.col("n_adjusted"), F.lit(" invalid")))
+    every = every.union(found("duplicate_keys", quality.duplicate_keys(t.dirty), F.concat("n_keys", F.lit(" repeated"))))
+    return quality.ordered_findings(every.union(found("split_sanity", quality.split_sanity(t.dirty), F.concat("n", F.lit(" invalid")))))
+
+
 @plan("q_missing_sessions", f"""SELECT instrument_id, CAST(count(*) AS BIGINT) AS n, {SAMPLE.format('session_date')} AS sample FROM (
     SELECT c.instrument_id, s.session_date FROM coverage c JOIN sessions s ON s.session_date BETWEEN c.first_date AND c.last_date
     WHERE NOT EXISTS (SELECT 1 FROM eod b WHERE b.instrument_id = c.instrument_id AND b.date = s.session_date AND b.volume > 2)) GROUP BY 1""")
@@ -173,9 +248,9 @@ HELD = "SELECT instrument_id, CAST(count(*) AS BIGINT) AS n_rows, min(date) AS f
 
 @plan("q_coverage_summary", f"""SELECT instrument_id, coalesce(n_rows, 0) AS n_rows, first_bar, last_bar, first_date, last_date, CASE WHEN n_rows IS NULL THEN 'no_rows' WHEN first_date IS NULL THEN 'orphan_rows'
     WHEN first_bar < first_date OR last_bar > last_date THEN 'outside_coverage' ELSE 'ok' END AS status
-    FROM ({HELD}) FULL JOIN (SELECT instrument_id, first_date, last_date FROM coverage WHERE instrument_id <> 'cart-1' UNION ALL SELECT 'ghost', DATE '2024-01-02', DATE '2024-01-03') USING (instrument_id)""")
+    FROM ({HELD}) FULL JOIN (SELECT instrument_id, first_date, last_date FROM coverage WHERE instrument_id <> 'error-1' UNION ALL SELECT 'ghost', DATE '2024-01-02', DATE '2024-01-03') USING (instrument_id)""")
 def _(t):
-    more = t.coverage.filter("instrument_id <> 'cart-1'").select("instrument_id", "first_date", "last_date").union(t.spark.sql("SELECT 'ghost', DATE'2024-01-02', DATE'2024-01-03'"))
+    more = t.coverage.filter("instrument_id <> 'error-1'").select("instrument_id", "first_date", "last_date").union(t.spark.sql("SELECT 'ghost', DATE'2024-01-02', DATE'2024-01-03'"))
     return quality.coverage_summary(t.eod, more)
 
 
@@ -234,8 +309,7 @@ def _(t):
 
 @plan("next_session", "SELECT d.date, min(s.session_date) AS next_session FROM (SELECT DISTINCT date FROM eod) d JOIN sessions s ON s.session_date > d.date GROUP BY 1")
 def _(t):
-    days = t.eod.select("date").distinct()
-    return days.join(F.broadcast(t.sessions), F.col("session_date") > F.col("date")).groupBy("date").agg(F.min("session_date").alias("next_session"))
+    return calendar.next_sessions(t.eod.select("date").distinct(), t.sessions)
 
 
 @plan("expected_labels", "SELECT ts, session_date FROM labels_five")
@@ -269,7 +343,7 @@ def _(t):
 
 
 @plan("refresh_validate", """SELECT * FROM (SELECT instrument_id, CAST(count(*) FILTER (WHERE n IS NULL) AS BIGINT) AS lost_dates, CAST(count(*) FILTER (WHERE n = 1 AND o = 1 AND (d0 IS DISTINCT FROM d1 OR s0 IS DISTINCT FROM s1)) AS BIGINT) AS changed_actions, CAST(count(*) FILTER (WHERE o IS NULL) AS BIGINT) AS new_dates
-    FROM (SELECT instrument_id, date, div_cash AS d0, split_factor AS s0, 1 AS o FROM long WHERE length(instrument_id) = 2) FULL JOIN (SELECT instrument_id, date, div_cash AS d1, split_factor AS s1, 1 AS n FROM incoming WHERE length(instrument_id) = 2) USING (instrument_id, date) GROUP BY 1)
+    FROM (SELECT instrument_id, date, div_cash AS d0, split_factor AS s0, 1 AS o FROM long) FULL JOIN (SELECT instrument_id, date, div_cash AS d1, split_factor AS s1, 1 AS n FROM redelivery) USING (instrument_id, date) GROUP BY 1)
     WHERE lost_dates + changed_actions + new_dates > 0""")
 def _(t):
     return ingest.refresh_validate(t.long, t.redelivery)
@@ -288,17 +362,61 @@ def _(t):
     return ingest.liquidity_cohort(t.long, t.indexed, "1999-06-30", 60, 5, 15)
 
 
-def _ledger(name: str, where: str) -> str:
-    return f"CAST(count(*) FILTER (WHERE {where}) AS BIGINT) AS requests_{name}, CAST(coalesce(sum(c) FILTER (WHERE {where}), 0) AS BIGINT) AS bytes_{name}"
+NOW = "TIMESTAMP '2024-01-20 12:00:00'"
+#: the billing month begins at 05:00 UTC of its first day
+USAGE = f"""SELECT CAST(count(*) FILTER (WHERE ts > {NOW} - INTERVAL 1 HOUR) AS BIGINT) AS hourly_requests, CAST(count(*) FILTER (WHERE ts > {NOW} - INTERVAL 1 DAY) AS BIGINT) AS daily_requests, CAST(count(*) AS BIGINT) AS requests,
+    CAST(coalesce(sum(observed), 0) AS BIGINT) AS observed_bytes, CAST(coalesce(sum(CASE WHEN settled AND bytes_known THEN observed ELSE greatest(reserved, observed) END), 0) AS BIGINT) AS charged_bytes,
+    CAST(count(*) FILTER (WHERE NOT complete) AS BIGINT) AS incomplete_attempts FROM attempts WHERE ts >= TIMESTAMP '2024-01-01 05:00:00'"""
 
 
-NOW = "TIMESTAMP '2024-01-20 12:00:00'"
+def _attempts(t):
+    return t.read("events").select(
+        F.col("ts").cast("timestamp_ntz").alias("ts"), (F.col("user_id") * 10).alias("reserved"), F.floor("value").alias("observed"),
+        (F.col("event_type") == "purchase").alias("settled"), (F.col("user_id") % 2 == 0).alias("bytes_known"), (F.col("event_type") != "view").alias("complete"),
+    )
 
 
-@plan("ledger_usage", f"SELECT {_ledger('hour', f'ts > {NOW} - INTERVAL 1 HOUR AND ts <= {NOW}')}, {_ledger('day', f'ts > {NOW} - INTERVAL 1 DAY AND ts <= {NOW}')}, {_ledger('month', f'ts >= date_trunc(chr(109)||chr(111)||chr(110)||chr(116)||chr(104), {NOW}) AND ts <= {NOW}').replace('chr(109)||chr(111)||chr(110)||chr(116)||chr(104)', repr('month'))} FROM (SELECT ts, CASE WHEN settled THEN observed ELSE greatest(reserved, observed) END AS c FROM attempts)")
+@plan("ledger_usage", USAGE)
 def _(t):
-    attempts = t.read("events").select(F.col("ts").cast("timestamp_ntz").alias("ts"), (F.col("user_id") * 10).alias("reserved"), F.floor("value").alias("observed"), (F.col("event_type") == "purchase").alias("settled"))
-    return ingest.ledger_usage(attempts, "2024-01-20 12:00:00")
+    return ingest.ledger_usage(_attempts(t), "2024-01-20 12:00:00")
+
+
+@plan("request_rate", f"SELECT 'request_rate' AS \"check\", CASE WHEN greatest(hourly_requests / 50, daily_requests / 400) >= 1 THEN 'error' WHEN greatest(hourly_requests / 50, daily_requests / 400) >= 0.8 THEN 'warning' ELSE 'ok' END AS severity, daily_requests AS affected, CAST(400 AS BIGINT) AS total, hourly_requests || '/50' AS detail FROM ({USAGE})")
+def _(t):
+    return health.request_rate(ingest.ledger_usage(_attempts(t), "2024-01-20 12:00:00"), 50, 400)
+
+
+TARGETS = "SELECT CASE WHEN c_custkey % 9 = 0 THEN 'current_retry_exhausted' WHEN c_custkey % 4 = 0 THEN 'current_retry_pending' WHEN c_custkey % 4 = 1 THEN 'done' END AS last_status, CAST(c_custkey % 3 AS INTEGER) AS depth, CAST(c_nationkey AS INTEGER) AS turns, c_custkey FROM customer"
+
+
+def _targets(t):
+    k = F.col("c_custkey")
+    status = F.when(k % 9 == 0, "current_retry_exhausted").when(k % 4 == 0, "current_retry_pending").when(k % 4 == 1, "done")
+    return t.read("customer").select(status.alias("last_status"), (k % 3).alias("successful_depth"), F.col("c_nationkey").alias("attempted_turns"), "c_custkey")
+
+
+@plan("retry_progress", f"""SELECT 'ongoing_progress' AS "check", CASE WHEN (s + e) / n >= 0.1 THEN 'error' ELSE 'warning' END AS severity, CAST(s + e AS BIGINT) AS affected, CAST(n AS BIGINT) AS total, s || ' stuck ' || e || ' exhausted' AS detail FROM (
+    SELECT count(*) AS n, count(*) FILTER (WHERE last_status = 'current_retry_pending' AND depth = 0 AND turns >= 5) AS s, count(*) FILTER (WHERE last_status = 'current_retry_exhausted') AS e FROM ({TARGETS})) WHERE s + e > 0""")
+def _(t):
+    return health.retry_progress(_targets(t))
+
+
+@plan("only_retries_left", f"SELECT CAST(count(*) AS BIGINT) AS active, count(*) > 0 AND count(*) FILTER (WHERE last_status IS DISTINCT FROM 'current_retry_pending') = 0 AS only_retries FROM ({TARGETS}) WHERE c_custkey % 6 <> 0 AND c_custkey % 5 <> 0")
+def _(t):
+    rows = _targets(t).withColumns({"status": F.when(F.col("c_custkey") % 6 != 0, "active").otherwise("done"), "terminal_blocked": F.col("c_custkey") % 5 == 0})
+    return health.only_retries_left(rows)
+
+
+@plan("exclusions", "SELECT 'ongoing_exclusions' AS \"check\", 'warning' AS severity, CAST(count(*) AS BIGINT) AS affected, CAST(sum(count(*)) OVER () AS BIGINT) AS total, status AS detail FROM (SELECT 'alias_' || status AS status FROM segs WHERE status <> 'resolved') GROUP BY status")
+def _(t):
+    return health.exclusions(t.segments.filter("status <> 'resolved'").select("ticker", F.concat(F.lit("alias_"), "status").alias("status")))
+
+
+@plan("unresolved_listings", """SELECT 'unresolved_listings' AS "check", CASE WHEN count(*) FILTER (WHERE u.ticker IS NULL) > 0 THEN 'warning' ELSE 'ok' END AS severity, CAST(count(*) FILTER (WHERE u.ticker IS NULL) AS BIGINT) AS affected, CAST(count(*) AS BIGINT) AS total,
+    coalesce(array_to_string(list_slice(list(l.ticker ORDER BY l.ticker) FILTER (WHERE u.ticker IS NULL), 1, 10), ','), '') AS detail
+    FROM (SELECT DISTINCT ticker FROM aliases WHERE year(start_date) = 1997) l LEFT JOIN (SELECT ticker FROM aliases WHERE DATE '1997-06-15' BETWEEN start_date AND end_date GROUP BY 1 HAVING count(DISTINCT instrument_id) = 1) u ON u.ticker = l.ticker""")
+def _(t):
+    return health.unresolved_listings(t.aliases.filter(F.year("start_date") == 1997), identity.unique_tickers(t.aliases, "1997-06-15"))
 
 
 @plan("dominant_asset_type", "SELECT instrument_id, event_type, CAST(n AS BIGINT) AS n FROM (SELECT CAST(user_id AS BIGINT) AS instrument_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY n DESC, event_type) = 1")
@@ -342,25 +460,45 @@ def _(t):
     return warehouse.file_bounds(t.read("lineitem"), "l_shipdate")
 
 
-@plan("reconcile_coverage", """SELECT f.instrument_id, f.file_bucket, f.first_bar, f.last_bar, f.n_rows, CASE WHEN f.instrument_id LIKE 'cart-%' THEN 'unknown_instrument' WHEN f.file_bucket <> substr(sha256(f.instrument_id), 1, 2) THEN 'wrong_bucket'
+@plan("reconcile_coverage", """SELECT f.instrument_id, f.file_bucket, f.first_bar, f.last_bar, f.n_rows, CASE WHEN f.instrument_id LIKE 'error-%' THEN 'unknown_instrument' WHEN f.file_bucket <> substr(sha256(f.instrument_id), 1, 2) THEN 'wrong_bucket'
     WHEN c.first_date IS NULL THEN 'no_coverage' WHEN f.first_bar < c.first_date OR f.last_bar > c.last_date THEN 'outside_coverage' ELSE 'ok' END AS status
     FROM (SELECT instrument_id, CASE WHEN instrument_id = 'view-1' THEN 'zz' ELSE substr(sha256(instrument_id), 1, 2) END AS file_bucket, min(date) AS first_bar, max(date) AS last_bar, CAST(count(*) AS BIGINT) AS n_rows FROM eod GROUP BY 1) f
     LEFT JOIN (SELECT * FROM coverage WHERE instrument_id NOT LIKE '%-2') c ON c.instrument_id = f.instrument_id""")
 def _(t):
     files = t.eod.groupBy("instrument_id").agg(F.min("date").alias("first_bar"), F.max("date").alias("last_bar"), F.count("*").alias("n_rows"))
     files = files.withColumn("file_bucket", F.when(F.col("instrument_id") == "view-1", "zz").otherwise(exprs.bucket()))
-    return ingest.reconcile_coverage(files, t.coverage.filter("instrument_id NOT LIKE '%-2'"), t.eod.filter("instrument_id NOT LIKE 'cart-%'").select("instrument_id").distinct())
+    return ingest.reconcile_coverage(files, t.coverage.filter("instrument_id NOT LIKE '%-2'"), t.eod.filter("instrument_id NOT LIKE 'error-%'").select("instrument_id").distinct())
 
 
-@plan("budget_ramp", "SELECT day, CAST(floor(1000000 * CASE WHEN l >= 7 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE - 0.5::DOUBLE * l / 7 END) AS BIGINT) AS byte_limit FROM (SELECT DISTINCT date AS day, last_day(date) - date AS l FROM eod)")
+@plan("budget_ramp", "SELECT day, CAST(500000 + 500000 * CASE WHEN l >= 7 THEN 0 ELSE 6 - l END // 6 AS BIGINT) AS byte_limit FROM (SELECT DISTINCT date AS day, last_day(date) - date AS l FROM eod)")
 def _(t):
-    return ingest.budget_ramp(t.eod.select(F.col("date").alias("day")).distinct(), 1_000_000, 7)
+    return ingest.budget_ramp(t.eod.select(F.col("date").alias("day")).distinct(), 500_000, 1_000_000, 7)
 
 
-@plan("cohort_freshness", "SELECT CASE WHEN l IS NULL THEN 'uncovered' WHEN DATE '2001-11-20' - l <= 20 THEN 'fresh' ELSE 'stale' END AS status, CAST(count(*) AS BIGINT) AS members FROM (SELECT 'S' || s_suppkey AS instrument_id FROM supplier) LEFT JOIN (SELECT instrument_id, max(date) AS l FROM long WHERE instrument_id <> 'S4' GROUP BY 1) USING (instrument_id) GROUP BY 1")
+@plan("cohort_freshness", """SELECT 'coverage_freshness' AS "check", CASE WHEN n = 0 THEN 'ok' WHEN top > 0 OR n >= 0.25 * members THEN 'error' ELSE 'warning' END AS severity, CAST(n AS BIGINT) AS affected, CAST(members AS BIGINT) AS total, 'top ' || top AS detail FROM (
+    SELECT count(*) AS members, count(*) FILTER (WHERE gone) AS n, count(*) FILTER (WHERE gone AND rank <= 5) AS top FROM (
+      SELECT s_suppkey AS rank, NOT EXISTS (SELECT 1 FROM long b WHERE b.instrument_id = 'S' || s_suppkey AND b.instrument_id <> 'S4' AND b.date >= DATE '2001-10-20') AS gone FROM supplier))""")
 def _(t):
     cover = t.long.filter("instrument_id <> 'S4'").groupBy("instrument_id").agg(F.max("date").alias("last_date"))
-    return ingest.cohort_freshness(t.assets, cover, "2001-11-20", 20)
+    members = t.read("supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("instrument_id"), F.col("s_suppkey").alias("rank"))
+    return health.coverage_freshness(members, cover, "2001-10-20", 5)
+
+
+@plan("file_envelope", "SELECT 'events.parquet' AS file, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT event_type) AS BIGINT) AS instruments, min(event_type) AS instrument_id, CAST(min(ts) AS DATE) AS first, CAST(max(ts) AS DATE) AS last, 'not_one_instrument' AS status FROM events")
+def _(t):
+    return ingest.envelope(t.read("events").select("_metadata", F.col("event_type").alias("instrument_id"), "ts"), "ts")
+
+
+@plan("lookahead_rows", "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) || 'T00:00:00Z' AS date FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-12' AND event_type = 'view'")
+def _(t):
+    rows = t.read("events").filter("event_type = 'view' AND ts >= '2024-01-08' AND ts < '2024-01-13'").select("event_id", F.concat(F.col("ts").cast("date").cast("string"), F.lit("T00:00:00Z")).alias("date"))
+    return ingest.target_rows(rows, "2024-01-08", "2024-01-11", "2024-01-12", 10**9, 10**9)
+
+
+@plan("request_chunks")
+def _(t):
+    chunks = calendar.request_chunks(date(2023, 1, 1), date(2025, 12, 31), "5min")
+    return t.spark.createDataFrame([(c.start, c.end, c.fetch_end, c.max_rows) for c in chunks], "start date, end date, fetch_end date, max_rows long")
 
 
 @plan("fn_label_format", "SELECT CAST(h AS INTEGER) AS hour, format('{:02d}:00_close_of_{:02d}:00_bar', CAST(h AS INTEGER) + 1, CAST(h AS INTEGER)) AS hour_label, format('{:02d}:{:02d}_close_of_5min_bar', CAST(floor((570 + h * 5) / 60) AS INTEGER), CAST((570 + h * 5) % 60 AS INTEGER)) AS minute_label FROM (SELECT DISTINCT l_linenumber AS h FROM lineitem)")

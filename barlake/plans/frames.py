@@ -2,7 +2,7 @@
 
 Selected events and scoped observations feed several branches of a plan. They are few beside the
 bars they come from, so they are kept (in memory, then disk) rather than derived for each branch;
-a lost part is derived again.
+a lost part is derived again. The next query releases them.
 """
 
 from __future__ import annotations
@@ -18,6 +18,21 @@ from barlake.plans import settings as S
 from barlake.sources.derive import Tables
 
 
+_kept: list[DataFrame] = []
+
+
+def release() -> None:
+    """Give up what earlier queries kept; a result of theirs that is still read derives it again."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Hold a frame that several branches of one query read."""
+    _kept.append(df.persist())
+    return df
+
+
 class Frames(Tables):
     @cached_property
     def feat_l(self) -> DataFrame:
@@ -41,7 +56,7 @@ class Frames(Tables):
 
     @cached_property
     def chosen(self) -> DataFrame:
-        return studies.dense(self.cand, hourly_density=S.DENSITY).persist()
+        return keep(studies.dense(self.cand, hourly_density=S.DENSITY))
 
     @cached_property
     def cand_l(self) -> DataFrame:
@@ -50,11 +65,11 @@ class Frames(Tables):
 
     @cached_property
     def obs_gap(self) -> DataFrame:
-        return studies.gap_observations(self.chosen, self.hourly, self.eod, self.sessions, S.BENCHMARK, S.TARGET)
+        return keep(studies.gap_observations(self.chosen, self.hourly, self.eod, self.sessions, S.BENCHMARK, S.TARGET))
 
     @cached_property
     def obs_open(self) -> DataFrame:
-        return studies.opening_observations(self.chosen, self.five, self.hourly, self.sessions, S.BENCHMARK, S.TARGET)
+        return keep(studies.opening_observations(self.chosen, self.five, self.hourly, self.sessions, S.BENCHMARK, S.TARGET))
 
     @cached_property
     def indexed(self) -> DataFrame:
@@ -80,8 +95,10 @@ class Frames(Tables):
     def evidence(self) -> DataFrame:
         start = F.col("o_orderdate").cast("date")
         state = F.when(F.col("o_orderstatus") == "F", "validated").when(F.col("o_orderstatus") == "O", "unverified").otherwise("rejected")
+        own, ticker = F.col("o_custkey") + F.col("o_orderkey") % 2, F.col("o_custkey") + F.col("o_orderkey") % 3
+        identifier = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("vendor:V"), own)).otherwise(F.concat(F.lit("ticker:T"), F.col("o_custkey") + F.col("o_orderkey") % 7 % 3))
         return self.read("orders").select(
-            F.concat(F.lit("S"), F.col("o_custkey") % 50 + 1).alias("instrument_id"), F.concat(F.lit("V"), F.col("o_custkey") % 45).alias("identifier"), F.concat(F.lit("t"), F.col("o_custkey") % 20).alias("name"),
+            F.concat(F.lit("S"), F.col("o_custkey")).alias("instrument_id"), identifier.alias("identifier"), F.concat(F.lit("t"), ticker).alias("name"),
             start.alias("start_date"), F.date_add(start, 30).alias("end_date"), state.alias("state"),
         ).distinct()
 
@@ -89,7 +106,7 @@ class Frames(Tables):
     def complete(self) -> DataFrame:
         labels = self.sessions.select(F.col("session_date").alias("label"))
         bars = self.eod.filter("volume > 2").select("instrument_id", F.col("date").alias("label"))
-        return events.lookback_complete(self.cand.persist(), labels, bars, "lookback_start_date", "prior_date")
+        return events.lookback_complete(keep(self.cand), labels, bars, "lookback_start_date", "prior_date")
 
     @cached_property
     def audit(self) -> DataFrame:
@@ -97,15 +114,15 @@ class Frames(Tables):
 
     @cached_property
     def scoped(self) -> DataFrame:
-        return ranking.scope(self.obs_multi, "session_plus_0").persist()
+        return keep(ranking.scope(self.obs_multi, "session_plus_0"))
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return ranking.walk_forward(self.scoped, 2).persist()
+        return keep(ranking.walk_forward(self.scoped, 2))
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return ranking.select_candidates(self.scoped, self.pairs, S.MIN_EVENTS, S.MIN_LIFT).persist()
+        return keep(ranking.select_candidates(self.scoped, self.pairs, S.MIN_EVENTS, S.MIN_LIFT))
 
     @cached_property
     def evaluated(self) -> DataFrame:
@@ -127,8 +144,12 @@ class Frames(Tables):
 
     @cached_property
     def incoming(self) -> DataFrame:
-        """A later delivery: changed bars of the instruments with short names, and new days for all."""
-        return self._delivery(self.long.filter(F.length("instrument_id") == 2))
+        """A later delivery: changed bars of the funds, and new days for all."""
+        return self._delivery(self.long.join(self.funds, "instrument_id", "left_semi"))
+
+    @cached_property
+    def funds(self) -> DataFrame:
+        return self.assets.filter("asset_type = 'etf'").select("instrument_id")
 
     @cached_property
     def redelivery(self) -> DataFrame:

@@ -28,6 +28,41 @@ def _(t):
     return identity.identifier_segments(t.evidence)
 
 
+@plan("identifier_ranges", "SELECT * FROM claims")
+def _(t):
+    spans = t.segments.filter("status = 'resolved'").select(F.col("owner").alias("instrument_id"), F.col("first").alias("start_date"), F.col("last").alias("end_date")).distinct()
+    return identity.identifier_ranges(t.evidence, spans)
+
+
+#: parts of owned spans, without the gaps that two ready parts of one identifier have between them
+PLANNED = f"""SELECT * FROM (SELECT *, lag(row(status, identifier)) OVER w AS before, lead(row(status, identifier)) OVER w AS after FROM (
+    SELECT o.ticker, o.span_start, c.first, c.last, c.instrument_id, c.identifier, CASE WHEN c.status = 'zero_matches' AND {weekend('c.first', 'c.last')} THEN 'non_session_gap'
+      WHEN c.status = 'resolved' AND c.identifier LIKE 'ticker:%' AND upper(substr(c.identifier, 8)) <> o.ticker THEN 'identifier_alias_mismatch' WHEN c.status = 'resolved' THEN 'ready' ELSE 'identifier_' || c.status END AS status
+    FROM owned o JOIN claims c ON c.instrument_id = o.instrument_id AND c.span_start = o.span_start AND c.span_end = o.span_end) WINDOW w AS (PARTITION BY ticker, span_start ORDER BY first))
+    WHERE NOT (status = 'non_session_gap' AND before IS NOT DISTINCT FROM after AND before[1] IS NOT DISTINCT FROM 'ready')"""
+
+
+@plan("plan_segments", f"""SELECT ticker, first, last, CASE WHEN status = 'zero' AND {weekend('first', 'last')} THEN 'non_session_gap' ELSE 'alias_' || status END AS status, NULL AS instrument_id, NULL AS identifier FROM segs WHERE status <> 'resolved'
+    UNION ALL SELECT ticker, min(first), max(last), status, instrument_id, identifier FROM (
+      SELECT *, sum(CASE WHEN status = 'ready' AND last_status = 'ready' AND last_identifier = identifier THEN 0 ELSE 1 END) OVER (PARTITION BY ticker, span_start ORDER BY first) AS run FROM (
+        SELECT *, lag(status) OVER w AS last_status, lag(identifier) OVER w AS last_identifier FROM ({PLANNED}) WINDOW w AS (PARTITION BY ticker, span_start ORDER BY first)))
+    GROUP BY ticker, span_start, run, status, instrument_id, identifier""")
+def _(t):
+    return identity.plan_segments(t.aliases, t.evidence, "1996-01-01", "1997-12-31")
+
+
+@plan("metadata_agreement", """SELECT l.ticker, concat_ws(',', CASE WHEN m.ticker IS NULL THEN 'ticker' END, CASE WHEN l.exchange IS DISTINCT FROM m.exchange THEN 'exchange' END, CASE WHEN l.start_date IS DISTINCT FROM m.start_date THEN 'start_date' END,
+    CASE WHEN NOT coalesce(l.end_date - m.end_date BETWEEN 0 AND 7, false) THEN 'end_date' END) AS mismatches
+    FROM (SELECT 'T' || s_suppkey AS ticker, 'NYSE' AS exchange, DATE '1995-01-01' AS start_date, DATE '2001-01-01' + CAST(s_nationkey AS INTEGER) AS end_date FROM supplier) l
+    LEFT JOIN (SELECT 'T' || s_suppkey AS ticker, CASE WHEN s_suppkey % 7 = 0 THEN 'AMEX' ELSE 'NYSE' END AS exchange, CASE WHEN s_suppkey % 8 = 0 THEN DATE '1996-01-01' ELSE DATE '1995-01-01' END AS start_date, DATE '2001-01-08' AS end_date FROM supplier WHERE s_suppkey % 9 <> 0) m ON m.ticker = l.ticker""")
+def _(t):
+    k, day = F.col("s_suppkey"), lambda text: F.lit(text).cast("date")
+    ticker = F.concat(F.lit("T"), k).alias("ticker")
+    archive = t.read("supplier").select(ticker, F.lit("NYSE").alias("exchange"), day("1995-01-01").alias("start_date"), F.date_add(day("2001-01-01"), F.col("s_nationkey")).alias("end_date"))
+    found = t.read("supplier").filter(k % 9 != 0).select(F.lower(ticker).alias("ticker"), F.when(k % 7 == 0, "AMEX").otherwise("NYSE").alias("exchange"), F.when(k % 8 == 0, day("1996-01-01")).otherwise(day("1995-01-01")).alias("start_date"), day("2001-01-08").alias("end_date"))
+    return identity.metadata_agrees(archive, found)
+
+
 SPAN = ("1996-01-01", "1996-06-30")
 COVER = f"SELECT instrument_id, CAST(count(*) FILTER (WHERE NOT {weekend('a', 'b')}) AS BIGINT) AS n_gaps, count(*) FILTER (WHERE NOT {weekend('a', 'b')}) = 0 AS covered FROM cover_gaps GROUP BY 1"
 
@@ -61,7 +96,7 @@ def _(t):
 @plan("universe_resolve", """SELECT u.year, u.ticker, CAST(count(DISTINCT a.instrument_id) AS BIGINT) AS n_instruments, CASE count(DISTINCT a.instrument_id) WHEN 1 THEN 'resolved' WHEN 0 THEN 'unresolved' ELSE 'ambiguous' END AS status
     FROM universe u LEFT JOIN aliases a ON a.ticker = u.ticker AND year(a.start_date) <= u.year AND year(a.end_date) >= u.year GROUP BY 1, 2""")
 def _(t):
-    wanted = t.aliases.filter(F.length("ticker") == 2).select(F.year("start_date").alias("year"), "ticker").distinct().union(t.spark.sql("SELECT 1996, 'NONE'"))
+    wanted = t.aliases.select(F.year("start_date").alias("year"), "ticker").distinct().union(t.spark.sql("SELECT 1996, 'NONE'"))
     return identity.universe_resolve(wanted, t.aliases)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barlake.plans import oracle
-from barlake.plans.frames import Frames
+from barlake.plans.frames import Frames, release
 
 Query = Callable[[SparkSession, str], DataFrame]
 _plans: dict[str, Callable[[Frames], DataFrame]] = {}
@@ -32,7 +32,15 @@ def _load() -> None:
 
 def queries() -> dict[str, Query]:
     _load()
-    return {name: (lambda spark, sf_dir, f=f: f(Frames(spark, sf_dir))) for name, f in _plans.items()}
+
+    def query(f: Callable[[Frames], DataFrame]) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            release()
+            return f(Frames(spark, sf_dir))
+
+        return run
+
+    return {name: query(f) for name, f in _plans.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,6 +8,7 @@ from barlake.functions import exprs
 from barlake.operators import events, studies
 from barlake.plans import oracle
 from barlake.plans import settings as S
+from barlake.plans.frames import keep
 from barlake.plans.registry import plan
 
 EVENT = "instrument_id, event_date"
@@ -75,7 +76,7 @@ def _(t):
 
 @plan("gap_metrics", oracle.summary("obs_gap", "period, observation_label"))
 def _(t):
-    return t.obs_gap.groupBy("period", "observation_label").agg(*studies.summary())
+    return studies.summarize(t.obs_gap, ["period", "observation_label"])
 
 
 MEASURES = "evaluable missing_outcome mean_return median_return p10_return p90_return mean_excess_return mean_favorable_excursion mean_adverse_excursion mean_gap_recovered_fraction hit_rate_target hit_rate_target_missing_as_miss".split()
@@ -86,7 +87,7 @@ MEASURES = "evaluable missing_outcome mean_return median_return p10_return p90_r
 def _(t):
     """Candidates, screen, outcomes and metrics end to end; test-period events are observed, not reported."""
     reported = t.obs_gap.filter("period <> 'test'")
-    return studies.tidy(reported.groupBy("period", "observation_label").agg(*studies.summary()), ["period", "observation_label"])
+    return studies.tidy(studies.summarize(reported, ["period", "observation_label"]), ["period", "observation_label"])
 
 
 OPEN_OBS = ["instrument_id", "event_date", "observation_label", "outcome_status", "checkpoint_price", "checkpoint_bar_volume", "first_bar_close", "first_bar_volume", "max_high", "min_low", "bars_through_checkpoint", "zero_volume_bars", "benchmark_price", "hourly_close", "hourly_matches_5min", "reached_target_at_checkpoint", "reached_target_from_first_bar"]
@@ -106,7 +107,7 @@ OPENING_EXTRA = f"""round(avg(return_from_first_bar) FILTER (WHERE {_OK}), 6) AS
 
 @plan("opening_metrics", oracle.summary("obs_open", "period, observation_label").replace("\n      FROM obs_open", f", {OPENING_EXTRA}\n      FROM obs_open"))
 def _(t):
-    return t.obs_open.groupBy("period", "observation_label").agg(*studies.summary(studies.opening_extra()))
+    return studies.summarize(t.obs_open, ["period", "observation_label"], studies.opening_extra())
 
 
 @plan("multiday_path", "SELECT g.instrument_id, g.event_date, CAST(g.horizon AS INTEGER) AS horizon, g.target_date, p.max_high, p.min_low, CAST(p.sessions_observed AS BIGINT) AS sessions_observed FROM multi_grid g LEFT JOIN multi_path p ON p.instrument_id = g.instrument_id AND p.event_date = g.event_date AND p.horizon = g.horizon")
@@ -125,21 +126,22 @@ def _(t):
 FLAGGED = f"(SELECT *, {REGIME} AS market_regime, {TREND} AS market_trend FROM obs_multi)"
 
 
+MEASURED = ["outcome_status", "measured_return", "excess_return", "max_favorable_excursion", "max_adverse_excursion", "gap_recovered_fraction", "reached_target_at_checkpoint"]
+
+
 @plan("multiday_metrics", " UNION ALL ".join(
     f"SELECT '{name}' AS dimension, {value} AS member, * EXCLUDE ({exclude}) FROM ({oracle.summary(FLAGGED, keys)})"
     for name, value, keys, exclude in (("all", "'all'", "period, observation_label", "none_"), ("asset_type", "asset_type", "period, observation_label, asset_type", "asset_type"), ("market_regime", "market_regime", "period, observation_label, market_regime", "market_regime"), ("market_trend", "market_trend", "period, observation_label, market_trend", "market_trend"))
 ).replace(" EXCLUDE (none_)", ""))
 def _(t):
-    """Four groupings in one pass of grouping sets."""
+    """Four groupings at once: a row stands under each of its members."""
     rows = t.obs_multi.withColumns({"market_regime": exprs.market_regime(F.col("benchmark_realized_vol"), S.STRESS), "market_trend": exprs.market_trend(F.col("benchmark_prior_window_return"))})
-    base = [F.col("period"), F.col("observation_label")]
-    extra = [F.col(c) for c in ("asset_type", "market_regime", "market_trend")]
-    sets = [base, *[[*base, c] for c in extra]]
-    out = rows.groupingSets(sets, *base, *extra).agg(F.grouping_id().alias("g"), *studies.summary())
-    # The id's bits say which of the last three columns are aggregated away.
-    name = F.when(F.col("g") == 7, "all").when(F.col("g") == 3, "asset_type").when(F.col("g") == 5, "market_regime").otherwise("market_trend")
-    member = F.when(F.col("g") == 7, F.lit("all")).when(F.col("g") == 3, F.col("asset_type")).when(F.col("g") == 5, F.col("market_regime")).otherwise(F.col("market_trend"))
-    return out.select(name.alias("dimension"), member.alias("member"), "period", "observation_label", *MEASURES)
+    rows = keep(rows.select("period", "observation_label", "asset_type", "market_regime", "market_trend", *MEASURED))
+    members = [F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("member"))]
+    members += [F.struct(F.lit(c).alias("dimension"), F.col(c).alias("member")) for c in ("asset_type", "market_regime", "market_trend")]
+    rows = rows.withColumn("of", F.explode(F.array(*members))).withColumns({"dimension": F.col("of.dimension"), "member": F.col("of.member")})
+    keys = ["dimension", "member", "period", "observation_label"]
+    return studies.summarize(rows, keys).select(*keys, *MEASURES)
 
 
 @plan("events_by_year", "SELECT period, CAST(year(event_date) AS INTEGER) AS year, CAST(count(*) AS BIGINT) AS events FROM (SELECT DISTINCT instrument_id, event_date, period FROM obs_multi) GROUP BY 1, 2")

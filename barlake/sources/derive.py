@@ -103,10 +103,13 @@ class Tables:
 
     @cached_property
     def aliases(self) -> DataFrame:
-        """Ticker spans of 30 days from orders: renames, reuse, gaps and overlaps all occur."""
+        """Ticker spans of 30 days from orders: renames, reuse, gaps and overlaps all occur.
+
+        An instrument has three tickers and a ticker three instruments at most, whatever the scale.
+        """
         start = F.col("o_orderdate").cast("date")
         return self.read("orders").select(
-            F.concat(F.lit("S"), F.col("o_custkey") % 50 + 1).alias("instrument_id"), F.concat(F.lit("T"), F.col("o_custkey") % 20).alias("ticker"),
+            F.concat(F.lit("S"), F.col("o_custkey")).alias("instrument_id"), F.concat(F.lit("T"), F.col("o_custkey") + F.col("o_orderkey") % 3).alias("ticker"),
             start.alias("start_date"), F.date_add(start, 30).alias("end_date"),
         ).distinct()
 

@@ -1,18 +1,22 @@
-"""The bar warehouse on Parquet: buckets by id hash, loaders that fail closed, publishing by swap.
+"""The bar warehouse on Parquet: buckets by id hash, loaders that fail closed, publishing by manifest.
 
-Files lie under ``<root>/eod/bucket=HH`` and ``<root>/intraday_<freq>/year=YYYY/bucket=HH``. Reads
-give the schema explicitly and drop partition columns; a write stages the buckets it touches and
-replaces only those.
+A dataset is split by bucket, intraday ones by year and bucket. A publication writes the buckets it
+touches to a folder of its own, then one numbered manifest that says for every bucket where its rows
+are. The manifest's file appears in one step and only once for each number: readers see all of a
+publication or nothing of it, a failed one leaves the old rows, and of two writers one fails. Reads
+take only the folders that ids and dates select, with an explicit schema.
 """
 
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import json
 import uuid
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +24,7 @@ from pyspark.sql import types as T
 
 from barlake.functions import calendar, exprs
 from barlake.operators import identity, ingest
+from barlake.sources import files
 
 DATASETS = {"eod": ingest.EOD_SCHEMA, "intraday_1hour": ingest.INTRADAY_SCHEMA, "intraday_5min": ingest.INTRADAY_SCHEMA}
 
@@ -28,6 +33,14 @@ class SelectorError(ValueError):
     """A selection names something the warehouse cannot resolve."""
 
 
+class ConflictError(RuntimeError):
+    """Another publication of the dataset came first."""
+
+
+def bucket_of(instrument: str) -> str:
+    return hashlib.sha256(instrument.encode()).hexdigest()[:2]
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -35,34 +48,82 @@ class Warehouse:
     def path(self, dataset: str) -> str:
         return f"{self.root}/{dataset}"
 
-    def exists(self, dataset: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(dataset))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _manifest(self, dataset: str) -> tuple[int, dict[str, str]]:
+        """(number, folder by partition) of the last publication; 0 and nothing before the first."""
+        folder = f"{self.path(dataset)}/_manifests"
+        numbers = [int(n.removesuffix(".json")) for n in files.names(self.spark, folder) if n.endswith(".json")]
+        if not numbers:
+            return 0, {}
+        return max(numbers), json.loads(files.read_text(self.spark, f"{folder}/{max(numbers)}.json"))
 
-    def read(self, dataset: str, ids: Sequence[str] | None = None) -> DataFrame:
-        """A dataset in canonical columns; ids become a bucket list, so that other folders are not read."""
+    def exists(self, dataset: str) -> bool:
+        return self._manifest(dataset)[0] > 0
+
+    def _selected(self, dataset: str, partitions: Mapping[str, str], ids: Sequence[str] | None, start: str | None, end: str | None) -> list[str]:
+        """Folders of the partitions that may hold rows of the ids and dates."""
+        buckets = None if ids is None else {bucket_of(i) for i in ids}
+        out = []
+        for name, folder in sorted(partitions.items()):
+            part = dict(p.split("=") for p in name.split("/"))
+            if buckets is not None and part["bucket"] not in buckets:
+                continue
+            if "year" in part and ((start and part["year"] < start[:4]) or (end and part["year"] > end[:4])):
+                continue
+            out.append(f"{self.path(dataset)}/{folder}/{name}")
+        return out
+
+    def _read_folders(self, dataset: str, folders: Sequence[str]) -> DataFrame:
         schema = DATASETS[dataset]
-        if not self.exists(dataset):
-            return self.spark.createDataFrame([], schema)
-        parts = [T.StructField("bucket", T.StringType())] + ([T.StructField("year", T.IntegerType())] if dataset != "eod" else [])
-        df = self.spark.read.schema(T.StructType(schema.fields + parts)).parquet(self.path(dataset))
-        if ids is not None:
-            import hashlib
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-            df = df.filter(F.col("bucket").isin(sorted({hashlib.sha256(i.encode()).hexdigest()[:2] for i in ids})) & F.col("instrument_id").isin(list(ids)))
-        return df.select(schema.names)
+    def read(self, dataset: str, ids: Sequence[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+        """A dataset in canonical columns; ids and dates choose the folders, so that others are not read."""
+        df = self._read_folders(dataset, self._selected(dataset, self._manifest(dataset)[1], ids, start, end))
+        if ids is not None:
+            df = df.filter(F.col("instrument_id").isin(list(ids)))
+        return in_range(df, start, end)
 
     def read_files(self, paths: Sequence[str], dataset: str = "eod") -> DataFrame:
         """Exactly the given files."""
         return self.spark.read.schema(DATASETS[dataset]).parquet(*paths)
 
     def register_views(self) -> list[str]:
-        """A temporary view for each dataset that exists."""
+        """A temporary view for each dataset that exists, and ``meta_<name>`` for each metadata relation."""
         names = [d for d in DATASETS if self.exists(d)]
         for d in names:
             self.read(d).createOrReplaceTempView(d)
+        for name in self.metadata_names():
+            self.metadata(name).createOrReplaceTempView(f"meta_{name}")
+            names.append(f"meta_{name}")
         return names
 
+    def metadata_names(self) -> list[str]:
+        return sorted(files.names(self.spark, f"{self.root}/meta"))
+
+    def put_metadata(self, name: str, rows: DataFrame) -> None:
+        """Replace a metadata relation (aliases, coverage, universes, ...) by a new numbered version."""
+        folder = f"{self.root}/meta/{name}"
+        version = 1 + max((int(n) for n in files.names(self.spark, folder) if n.isdigit()), default=0)
+        staged = f"{folder}/.{uuid.uuid4().hex}"
+        rows.write.parquet(staged)
+        if not files.rename(self.spark, files.path_of(self.spark, staged), files.path_of(self.spark, f"{folder}/{version}"), overwrite=False):
+            files.remove(self.spark, staged)
+            raise ConflictError(f"version {version} of {name} is there already")
+
+    def metadata(self, name: str) -> DataFrame:
+        """The last version of a metadata relation."""
+        folder = f"{self.root}/meta/{name}"
+        versions = [int(n) for n in files.names(self.spark, folder) if n.isdigit()]
+        if not versions:
+            raise SelectorError(f"no metadata relation {name}")
+        return self.spark.read.parquet(f"{folder}/{max(versions)}")
+
+    def register_frame(self, name: str, rows: Sequence[tuple], schema: str) -> DataFrame:
+        """A view of rows in the driver's memory, for lists that a query joins."""
+        df = self.spark.createDataFrame(list(rows), schema)
+        df.createOrReplaceTempView(name)
+        return df
+
     def sql(self, text: str, **args) -> DataFrame:
         self.register_views()
         return self.spark.sql(text, args=args or None)
@@ -82,8 +143,8 @@ class Warehouse:
         """Bars of the ids between inclusive UTC dates, in key order; no ids give an empty frame."""
         if ids is not None and not list(ids):
             return self.spark.createDataFrame([], DATASETS[dataset])
-        df = self.read(dataset, self.validated(dataset, ids) if ids is not None else None)
-        return select_range(df, start, end)
+        df = self.read(dataset, self.validated(dataset, ids) if ids is not None else None, start, end)
+        return df.orderBy("instrument_id", time_column(df))
 
     def load_sessions(self, dataset: str, ids: Sequence[str] | None, start, end) -> DataFrame:
         bars = self.load(dataset, ids, str(start), str(end))
@@ -97,48 +158,84 @@ class Warehouse:
         bad = [t for t in names if states.get(t, 1)]
         if bad:
             raise SelectorError(f"tickers that do not resolve over the whole span: {bad}")
-        return by_segments(self.read(dataset), segments)
+        return by_segments(self.read(dataset, start=start, end=end), segments)
 
     def publish(self, dataset: str, incoming: DataFrame, replace_instruments: bool = False) -> None:
-        """Merge rows into the touched buckets, or replace their instruments, and swap those buckets in."""
+        """Merge rows into the buckets they touch, or replace all their instruments had, in one step."""
         schema = DATASETS[dataset]
         key = ["instrument_id", "date" if dataset == "eod" else "ts"]
-        rows = ingest.canonical(incoming, schema)
-        counts = ingest.duplicate_conflicts(rows, key).first()
-        if counts.conflicting_keys or counts.null_keys:
-            raise ValueError(f"{counts.conflicting_keys} keys conflict and {counts.null_keys} are null")
-        rows = rows.distinct()
         parts = ["bucket"] if dataset == "eod" else ["year", "bucket"]
-        located = lambda df: df.withColumn("bucket", exprs.bucket()) if dataset == "eod" else df.withColumn("year", F.year("ts")).withColumn("bucket", exprs.bucket())
-        stored = self.read(dataset)
-        touched = [r for r in located(rows).select(*parts).distinct().collect()]  # at most 256 a year
-        if self.exists(dataset) and touched:
-            hit = F.lit(False)
-            for r in touched:
-                one = F.lit(True)
-                for p in parts:
-                    one = one & (F.col(p) == r[p])
-                hit = hit | one
-            stored = located(stored).filter(hit).select(schema.names)
-        merged = ingest.snapshot_replace(stored, rows) if replace_instruments else ingest.merge_upsert(stored, rows, key)
-        staged = f"{self.root}/.staging-{uuid.uuid4().hex}"
-        located(merged).repartition(*parts).sortWithinPartitions(*parts, *key).write.partitionBy(*parts).option("compression", "zstd").parquet(staged)
-        again = self.spark.read.schema(located(merged).schema).parquet(staged)
-        again.write.mode("overwrite").partitionBy(*parts).option("compression", "zstd").option("partitionOverwriteMode", "dynamic").parquet(self.path(dataset))
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        number, partitions = self._manifest(dataset)
+        own = uuid.uuid4().hex
+        staged = f"{self.root}/.staging-{own}"
+        try:
+            # Written once: it is read for its faults, for the buckets it touches, and for the merge.
+            located(ingest.canonical(incoming, schema), parts).write.parquet(staged)
+            rows = self.spark.read.schema(located(self.spark.createDataFrame([], schema), parts).schema).parquet(staged)
+            counts = ingest.duplicate_conflicts(rows.select(schema.names), key).first()
+            if counts.conflicting_keys or counts.null_keys:
+                raise ValueError(f"{counts.conflicting_keys} keys conflict and {counts.null_keys} are null")
+            touched = {"/".join(f"{p}={r[p]}" for p in parts) for r in rows.select(*parts).distinct().collect()}  # at most 256 a year
+            if replace_instruments:
+                buckets = {name.split("bucket=")[1] for name in touched}
+                touched |= {name for name in partitions if name.split("bucket=")[1] in buckets}
+            held = {name: folder for name, folder in partitions.items() if name in touched}
+            stored = self._read_folders(dataset, self._selected(dataset, held, None, None, None))
+            fresh = rows.select(schema.names).distinct()
+            merged = located(ingest.snapshot_replace(stored, fresh) if replace_instruments else ingest.merge_upsert(stored, fresh, key), parts)
+            # Rebalancing splits a bucket that outgrows a task and joins small ones.
+            folder = f"data-{own}"
+            merged.hint("rebalance", *parts).sortWithinPartitions(*parts, *key).write.partitionBy(*parts).option("compression", "zstd").parquet(f"{self.path(dataset)}/{folder}")
+            written = set(self._partitions(f"{self.path(dataset)}/{folder}", len(parts)))
+            now = {name: at for name, at in partitions.items() if name not in touched} | dict.fromkeys(written, folder)
+            if not files.write_new(self.spark, f"{self.path(dataset)}/_manifests/{number + 1}.json", json.dumps(now, sort_keys=True)):
+                raise ConflictError(f"{dataset} was published by another writer meanwhile")
+        finally:
+            files.remove(self.spark, staged)
+
+    def _partitions(self, folder: str, depth: int) -> list[str]:
+        own = [n for n in files.names(self.spark, folder) if "=" in n]
+        return own if depth == 1 else [f"{n}/{m}" for n in own for m in self._partitions(f"{folder}/{n}", depth - 1)]
+
+    def vacuum(self, dataset: str) -> list[str]:
+        """Remove folders and manifests that the last publication does not name; readers must be done with them."""
+        number, partitions = self._manifest(dataset)
+        stale = [n for n in files.names(self.spark, self.path(dataset)) if n.startswith("data-") and n not in set(partitions.values())]
+        stale += [f"_manifests/{n}" for n in files.names(self.spark, f"{self.path(dataset)}/_manifests") if n != f"{number}.json"]
+        for name in stale:
+            files.remove(self.spark, f"{self.path(dataset)}/{name}")
+        return stale
 
     def quarantine(self, rows: DataFrame, reason: str) -> None:
         rows.withColumn("quarantine_reason", F.lit(reason)).write.mode("append").parquet(f"{self.root}/quarantine")
 
 
-def select_range(bars: DataFrame, start: str | None, end: str | None) -> DataFrame:
-    column = "date" if "date" in bars.columns else "ts"
+def located(rows: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """Rows with the partition columns they belong to."""
+    if "year" in parts:
+        rows = rows.withColumn("year", F.year("ts"))
+    return rows.withColumn("bucket", exprs.bucket())
+
+
+def time_column(bars: DataFrame) -> str:
+    return "date" if "date" in bars.columns else "ts"
+
+
+def in_range(bars: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """Bars between inclusive UTC dates; times are compared as they are stored, so that the scan filters them."""
+    column = time_column(bars)
+    kind = "date" if column == "date" else "timestamp_ntz"
     if start:
-        bars = bars.filter(exprs.utc_date(F.col(column)) >= F.lit(start).cast("date"))
+        bars = bars.filter(F.col(column) >= F.lit(start).cast(kind))
     if end:
-        bars = bars.filter(exprs.utc_date(F.col(column)) <= F.lit(end).cast("date"))
-    return bars.orderBy("instrument_id", column)
+        after = (date.fromisoformat(end) + timedelta(1)).isoformat()
+        bars = bars.filter(F.col(column) < F.lit(after).cast(kind))
+    return bars
+
+
+def select_range(bars: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """``in_range`` in key order."""
+    return in_range(bars, start, end).orderBy("instrument_id", time_column(bars))
 
 
 def by_segments(bars: DataFrame, segments: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ SAMPLE = [
     "load_eod_by_ticker", "universe_import", "merge_upsert", "snapshot_replace", "quarantine_ohlc", "q_duplicate_keys", "q_zero_volume_runs", "q_missing_sessions", "q_off_session",
     "q_coverage_summary", "quality_gate", "eod_features", "density_hourly", "density_5min", "label_sessions_5min", "coverage_gaps", "refresh_validate", "ledger_usage", "universe_rank",
     "alias_asof", "alias_segments", "identifier_segments", "interval_cover", "coalesce_segments", "episode_zero_bridge", "gap_observations", "gap_study_flagship", "opening_metrics",
-    "multiday_metrics", "eligibility_audit", "event_funnel", "propensity_two_pass", "propensity_groups", "compare_agreement",
+    "multiday_metrics", "multiday_path", "identifier_ranges", "plan_segments", "metadata_agreement", "metadata_relations", "footer_counts", "q_zero_volume_bars", "quality_findings", "quality_scope",
+    "budget_ramp", "cohort_freshness", "request_rate", "retry_progress", "exclusions", "unresolved_listings", "next_session", "lookback_complete", "publish_upsert", "eligibility_audit", "event_funnel", "propensity_two_pass", "propensity_groups", "compare_agreement",
 ]
 
 

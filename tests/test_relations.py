@@ -13,7 +13,7 @@ def orders(n=40):
 
 
 def alias_rows(rows):
-    return {(f"S{c % 50 + 1}", f"T{c % 20}", d.date(), d.date() + timedelta(days=30)) for _, c, _, _, d, _ in rows}
+    return {(f"S{c}", f"T{c + k % 3}", d.date(), d.date() + timedelta(days=30)) for k, c, _, _, d, _ in rows}
 
 
 def test_aliases_and_evidence_hold_every_order(spark, tmp_path):
@@ -22,7 +22,8 @@ def test_aliases_and_evidence_hold_every_order(spark, tmp_path):
     t = Frames(spark, str(tmp_path))
     assert {tuple(r) for r in t.aliases.collect()} == alias_rows(rows)
     state = {"F": "validated", "O": "unverified", "P": "rejected"}
-    want = {(f"S{c % 50 + 1}", f"V{c % 45}", f"t{c % 20}", d.date(), d.date() + timedelta(days=30), state[s]) for _, c, s, _, d, _ in rows}
+    named = lambda k, c: f"vendor:V{c + k % 2}" if k % 4 == 0 else f"ticker:T{c + k % 7 % 3}"
+    want = {(f"S{c}", named(k, c), f"t{c + k % 3}", d.date(), d.date() + timedelta(days=30), state[s]) for k, c, s, _, d, _ in rows}
     assert {tuple(r) for r in t.evidence.collect()} == want
 
 

@@ -67,7 +67,7 @@ def test_hand_worked_observations(spark, world):
     missing = {k for k, r in divy.items() if r.outcome_status == "missing_outcome"}
     assert missing == {"14:00_close_of_13:00_bar", "15:00_close_of_14:00_bar"}
     assert divy["15:00_close_of_14:00_bar"].max_high == 98.0  # extremes so far need no bar at the checkpoint
-    totals = {r.observation_label: r for r in obs.groupBy("observation_label").agg(*studies.summary()).collect()}
+    totals = {r.observation_label: r for r in studies.summarize(obs, ["observation_label"]).collect()}
     assert totals["14:00_close_of_13:00_bar"].hit_rate_target == 1.0 and totals["14:00_close_of_13:00_bar"].hit_rate_target_missing_as_miss == 0.5
 
 

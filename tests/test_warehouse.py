@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlake.operators import catalog, identity, ingest, quality
-from barlake.sources import warehouse
+from barlake.sources import files, warehouse
 from barlake.streaming.upsert import upsert_stream
 from tests.test_studies import EOD, bar
 
@@ -68,7 +68,62 @@ def test_intraday_is_split_by_year(spark, store):
 
 def test_point_reads_prune_buckets(spark, store):
     store.publish("eod", spark.createDataFrame([bar(n, day(2), 1.0, 2.0) for n in "ABCDEFGH"], EOD))
-    assert "PartitionFilters: [isnotnull(bucket" in store.read("eod", ["A"])._jdf.queryExecution().toString()
+    one = {warehouse.bucket_of("A")}
+    assert {f.split("bucket=")[1][:2] for f in store.read("eod", ["A"]).inputFiles()} == one
+    assert len(store.read("eod").inputFiles()) == len({warehouse.bucket_of(n) for n in "ABCDEFGH"})
+
+
+def test_intraday_loads_prune_years_and_push_times(spark, store):
+    schema = "instrument_id string, ts timestamp_ntz, open double, high double, low double, close double, volume long"
+    rows = [(n, datetime(y, 3, 1, 15), 1.0, 1.0, 1.0, 1.0, 1) for n in "AB" for y in (2022, 2023, 2024)]
+    store.publish("intraday_1hour", spark.createDataFrame(rows, schema))
+    got = store.load("intraday_1hour", None, "2023-02-01", "2023-12-31")
+    assert {f.split("year=")[1][:4] for f in got.inputFiles()} == {"2023"} and got.count() == 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2023-02-01T00:00)" in plan and "LessThan(ts,2024-01-01T00:00)" in plan
+    assert store.load("intraday_1hour", None, "2022-03-01", "2022-03-01").count() == 2
+
+
+def test_a_failed_publication_leaves_the_old_rows(spark, store):
+    store.publish("eod", spark.createDataFrame([bar("A", day(2), 1.0, 2.0)], EOD))
+    broken = spark.createDataFrame([bar("A", day(3), 1.0, 2.0)], EOD).withColumn("close", F.expr("IF(close > 0, raise_error('no'), close)"))
+    with pytest.raises(Exception):
+        store.publish("eod", broken)
+    with pytest.raises(ValueError):
+        store.publish("eod", spark.createDataFrame([bar("A", day(2), 1.0, 2.0), bar("A", day(2), 1.0, 3.0)], EOD))
+    assert [r.date.day for r in store.read("eod").collect()] == [2]
+    assert not [n for n in files.names(spark, store.root) if n.startswith(".staging")]
+
+
+def test_of_two_writers_one_fails(spark, store, monkeypatch):
+    store.publish("eod", spark.createDataFrame([bar("A", day(2), 1.0, 2.0)], EOD))
+    before = store._manifest("eod")
+    store.publish("eod", spark.createDataFrame([bar("B", day(2), 1.0, 2.0)], EOD))
+    monkeypatch.setattr(store, "_manifest", lambda dataset: before)  # a writer that began before the last one ended
+    with pytest.raises(warehouse.ConflictError):
+        store.publish("eod", spark.createDataFrame([bar("C", day(2), 1.0, 2.0)], EOD))
+    monkeypatch.undo()
+    assert sorted(r.instrument_id for r in store.read("eod").collect()) == ["A", "B"]
+    assert len(store.vacuum("eod")) >= 2 and store.read("eod").count() == 2
+
+
+def test_replacing_an_instrument_reaches_all_its_years(spark, store):
+    schema = "instrument_id string, ts timestamp_ntz, open double, high double, low double, close double, volume long"
+    rows = [("A", datetime(y, 3, 1, 15), 1.0, 1.0, 1.0, 1.0, 1) for y in (2022, 2023)]
+    store.publish("intraday_1hour", spark.createDataFrame(rows, schema))
+    store.publish("intraday_1hour", spark.createDataFrame(rows[1:], schema).withColumn("volume", F.lit(9).cast("long")), replace_instruments=True)
+    assert [(r.ts.year, r.volume) for r in store.read("intraday_1hour").collect()] == [(2023, 9)]
+
+
+def test_metadata_and_frames_beside_the_bars(spark, store):
+    store.publish("eod", spark.createDataFrame([bar(n, day(2), 1.0, 2.0) for n in "AB"], EOD))
+    for name in ("old", "new"):
+        store.put_metadata("tickers", spark.createDataFrame([("A", name)], "instrument_id string, ticker string"))
+    store.register_frame("wanted", [("A",)], "instrument_id string")
+    assert [r.ticker for r in store.sql("SELECT ticker FROM eod JOIN meta_tickers USING (instrument_id) JOIN wanted USING (instrument_id)").collect()] == ["new"]
+    assert sum(files.footer_rows(spark, store.path("eod")).values()) == 2
+    with pytest.raises(warehouse.SelectorError):
+        store.metadata("none")
 
 
 def test_streamed_batches_merge(spark, store, tmp_path):
