@@ -15,46 +15,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm import textops
+from barlake.llm.blocks import BLOCK_BYTES, chunks, expand, squeeze, text_blocks
 from barlake.llm.storage import durable, shards
 
 ORDER = 3
 ALPHA = 0.4
 KEY_BITS = 60
-BLOCK_BYTES = 3_000_000
 CHARS_PER_SHARD = 10_000_000
 SCORES = "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, n_unseen long, log_score double"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, payload): the documents of one partition in compressed runs of about BLOCK_BYTES."""
-    number, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-    def block() -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
-            out.write_table(pa.Table.from_batches(held))
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
-
-    for batch in batches:
-        _, at = textops.text_buffers(batch.column(1))
-        i = 0
-        while i < len(batch):
-            j = max(i + 1, int(np.searchsorted(at, at[i] + BLOCK_BYTES - size, side="right")) - 1)
-            held.append(batch.slice(i, j - i))
-            size += int(at[j] - at[i])
-            i = j
-            if size >= BLOCK_BYTES or i < len(batch):
-                yield block()
-                number, held, size = number + 1, [], 0
-    if held:
-        yield block()
-
-
 class _Grams:
     """A block's distinct n-grams in the order of their hashes, and where each stands in the texts."""
 
@@ -64,7 +38,7 @@ class _Grams:
         keys: list[list[np.ndarray]] = [[], [], []]
         rows: list[np.ndarray] = []
         ends: list[np.ndarray] = []
-        for chunk_at, chunk in _chunks(table.column(1)):
+        for chunk_at, chunk in chunks(table.column(1)):
             for words in textops.split_words(chunk):
                 h = textops.word_hashes(words)
                 for k in range(ORDER):
@@ -97,33 +71,14 @@ class _Grams:
         return out
 
 
-def _chunks(column: pa.ChunkedArray) -> Iterator[tuple[int, pa.Array]]:
-    at = 0
-    for chunk in column.chunks:
-        yield at, chunk
-        at += len(chunk)
-
-
 def _shard_bounds(keys: np.ndarray, count: int) -> np.ndarray:
     """Where each shard's keys begin; a shard is a range of hashes."""
     return np.searchsorted(keys, np.array([(i << KEY_BITS) // count for i in range(count)], dtype=np.uint64)).tolist() + [len(keys)]
 
 
-def _squeeze(values: np.ndarray) -> bytes:
-    """Byte planes of the values, compressed; the high planes of small values nearly vanish."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
-    return pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def _expand(blob: bytes, n: int, dtype: str) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    planes = pa.decompress(blob, n * size, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(dtype).ravel()
-
-
 def _exploded(count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _blocks(batches):  # in the same worker
+        for batch in text_blocks(batches, BLOCK_BYTES):  # in the same worker
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 x = _Grams(payload.as_py())
                 bounds = _shard_bounds(x.keys, count)
@@ -135,8 +90,8 @@ def _exploded(count: int):
                         pa.array([i for i, _, _ in pairs], pa.int64()),
                         pa.array([number] * len(pairs), pa.int64()),
                         pa.array([b - a for _, a, b in pairs], pa.int64()),
-                        pa.array([_squeeze(np.diff(x.keys[a:b], prepend=np.uint64(0))) for _, a, b in pairs], pa.binary()),
-                        pa.array([_squeeze(times[a:b]) for _, a, b in pairs], pa.binary()),
+                        pa.array([squeeze(np.diff(x.keys[a:b], prepend=np.uint64(0))) for _, a, b in pairs], pa.binary()),
+                        pa.array([squeeze(times[a:b]) for _, a, b in pairs], pa.binary()),
                     ],
                     names=["shard", "block", "n", "keys", "times"],
                 )
@@ -147,8 +102,8 @@ def _exploded(count: int):
 def _count_table(table: pa.Table) -> pa.Table:
     """One shard: totals over all other blocks, given back to each block in the order of its keys."""
     sizes = table.column("n").to_pylist()
-    keys = np.concatenate([np.cumsum(_expand(b, n, "<u8"), dtype=np.uint64) for b, n in zip(table.column("keys").to_pylist(), sizes, strict=True)])
-    times = np.concatenate([_expand(b, n, "<u4") for b, n in zip(table.column("times").to_pylist(), sizes, strict=True)])
+    keys = np.concatenate([np.cumsum(expand(b, n, "<u8"), dtype=np.uint64) for b, n in zip(table.column("keys").to_pylist(), sizes, strict=True)])
+    times = np.concatenate([expand(b, n, "<u4") for b, n in zip(table.column("times").to_pylist(), sizes, strict=True)])
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -157,7 +112,7 @@ def _count_table(table: pa.Table) -> pa.Table:
     total[order] = np.repeat(sums, np.diff(np.r_[first, len(keys)]))
     total -= times  # mostly 0, which takes no room
     cut = np.r_[0, np.cumsum(sizes)]
-    blobs = [_squeeze(total[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    blobs = [squeeze(total[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     return pa.table({"block": table.column("block"), "shard": table.column("shard"), "n": table.column("n"), "totals": pa.array(blobs, pa.binary())})
 
 
@@ -167,7 +122,7 @@ def _scores(alpha: float):
         parts = sorted(zip(totals.column("shard").to_pylist(), totals.column("n").to_pylist(), totals.column("totals").to_pylist(), strict=True))
         for payload in blocks.column("payload").to_pylist():
             x = _Grams(payload)
-            total = np.concatenate([_expand(b, n, "<i8") for _, n, b in parts]) if parts else np.zeros(0, np.int64)
+            total = np.concatenate([expand(b, n, "<i8") for _, n, b in parts]) if parts else np.zeros(0, np.int64)
             if len(total) != len(x.keys):
                 raise ValueError("a block's n-grams changed between two readings of the documents")
             out.append(_score_block(x, total + x.times, alpha))
@@ -219,10 +174,12 @@ def score(docs: DataFrame, alpha: float = ALPHA, stable: bool = False) -> DataFr
         docs = durable(docs, "texts")
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     count = shards(spark, size, CHARS_PER_SHARD)
-    blocks = docs.mapInArrow(_blocks, "block long, payload binary")
+    blocks = docs.mapInArrow(lambda batches: text_blocks(batches, BLOCK_BYTES), "block long, payload binary")
     exploded = docs.mapInArrow(_exploded(count), "shard long, block long, n long, keys binary, times binary")
-    totals = exploded.groupBy("shard").applyInArrow(_count_table, "block long, shard long, n long, totals binary")
-    scores = durable(blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_scores(alpha), SCORES), "scores")
+    # As many partitions as shards, so that no task's share grows with the corpus.
+    totals = exploded.repartition(count, "shard").groupBy("shard").applyInArrow(_count_table, "block long, shard long, n long, totals binary")
+    dealt = blocks.repartition(count, "block").groupBy("block").cogroup(totals.repartition(count, "block").groupBy("block"))
+    scores = durable(dealt.applyInArrow(_scores(alpha), SCORES), "scores")
     words = scores.agg(F.sum("n_words")).first()[0] or 0
     others = F.lit(words) - F.col("n_words")
     lowest = F.when(F.col("n_unigram") > 0, F.col("n_unigram") * F.ln(others)).otherwise(0.0) + F.col("n_unseen") * F.ln(others + 1)
