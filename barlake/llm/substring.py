@@ -116,7 +116,9 @@ def sketch(keys: DataFrame, count: int, width: int) -> DataFrame:
             total[at] = np.minimum(total[at] + np.frombuffer(times, dtype=np.uint8), 2)
         return pa.table({"shard": table.column("shard").slice(0, 1), "bits": pa.array([np.packbits(total >= 2).tobytes()], pa.binary())})
 
-    return keys.mapInArrow(partial, "shard long, cells binary, times binary").groupBy("shard").applyInArrow(merge, "shard long, bits binary")
+    # As many partitions as shards, here and below, so that no task's share grows with the corpus.
+    partials = keys.mapInArrow(partial, "shard long, cells binary, times binary").repartition(count, "shard")
+    return partials.groupBy("shard").applyInArrow(merge, "shard long, bits binary")
 
 
 def estimated_repeated(keys: DataFrame, sketches: DataFrame, count: int, width: int) -> DataFrame:
@@ -140,8 +142,8 @@ def estimated_repeated(keys: DataFrame, sketches: DataFrame, count: int, width:
             out = key[np.logical_and.reduce([bits[c] for c in _cells(key, width)])]
         return pa.table({"key": pa.array(out.view(np.int64))})
 
-    probe = keys.mapInArrow(probes, "shard long, keys binary")
-    return probe.groupBy("shard").cogroup(sketches.groupBy("shard")).applyInArrow(keep, "key long")
+    probe = keys.mapInArrow(probes, "shard long, keys binary").repartition(count, "shard")
+    return probe.groupBy("shard").cogroup(sketches.repartition(count, "shard").groupBy("shard")).applyInArrow(keep, "key long")
 
 
 def _pack_block(rows: list[dict], carry: pa.DataType) -> bytes:
@@ -261,9 +263,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     blocks = staged.filter("block is not null").select("block", "payload", "entries")
     entries = blocks.agg(F.sum("entries")).first()[0] or 0
     final = shards(spark, entries, ENTRIES_PER_SHARD)
-    verdicts = block_entries(blocks, window, final).groupBy("shard").applyInArrow(_earlier, "block long, shard long, bits binary")
+    verdicts = block_entries(blocks, window, final).repartition(final, "shard").groupBy("shard").applyInArrow(_earlier, "block long, shard long, bits binary")
     schema = T.StructType([f for f in staged.schema.fields if f.name not in ("block", "payload", "entries")])
-    done = blocks.select("block", "payload").groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_settle(window, final, with_text), schema)
+    dealt = blocks.select("block", "payload").repartition(final, "block").groupBy("block").cogroup(verdicts.repartition(final, "block").groupBy("block"))
+    done = dealt.applyInArrow(_settle(window, final, with_text), schema)
     result = staged.filter("block is null").select(*schema.names).unionByName(done)
     if not with_text:
         return result.drop("text", "carry")
