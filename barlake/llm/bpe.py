@@ -12,6 +12,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,7 @@ class WordBpe:
         self.token_bytes = np.array([None if t is None else t.encode("utf-8") for t in self.tokens], dtype=object)
         # By chunk; values are plain bytes, which the garbage collector need not visit.
         self.ids_of: dict[str, bytes] = {}
+        self.ids_of_word: dict[str, bytes] = {}
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and the bounds of each word's ids. No word is empty."""
@@ -126,19 +128,19 @@ class WordBpe:
         self.learn_plain(new)
 
     def learn_plain(self, chunks: Iterable[str]) -> None:
-        """As learn, for chunks without special tokens; many at once."""
+        """As learn, for chunks without special tokens; many at once, each word of them once."""
         chunks = list(chunks)
         for i in range(0, len(chunks), MISSING_AT_ONCE):
             part = chunks[i : i + MISSING_AT_ONCE]
-            words: list[str] = []
-            ends = [0]
-            for chunk in part:
-                words += WORD.findall(normalise(chunk))
-                ends.append(len(words))
+            owned = [WORD.findall(normalise(chunk)) for chunk in part]
+            if len(self.ids_of_word) > CACHE_CHUNKS:
+                self.ids_of_word.clear()
+            words = list(set(chain.from_iterable(owned)).difference(self.ids_of_word))
             ids, bounds = self.encode_words([w.encode("utf-8", "surrogatepass") for w in words])
-            flat, cut = ids.astype("<u4").tobytes(), (4 * bounds[ends]).tolist()
-            for chunk, a, b in zip(part, cut, cut[1:], strict=False):
-                self.ids_of[chunk] = flat[a:b]
+            flat, cut = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
+            known = self.ids_of_word
+            known.update(zip(words, [flat[x:y] for x, y in zip(cut, cut[1:], strict=False)], strict=False))
+            self.ids_of.update(zip(part, [known[own[0]] if len(own) == 1 else b"".join([known[w] for w in own]) for own in owned], strict=True))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Tokens joined by a space, special tokens included, in UTF-8; the file names no decoder."""
