@@ -12,7 +12,6 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +21,11 @@ from pyspark.sql import DataFrame
 # The white space the tokenizer's normaliser knows, and its word pattern.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
+WORD_OR_END = regex.compile(f"{WORD.pattern}|\x20")
 CHUNK = regex.compile(f"[^{WHITE}]+")
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 1_000_000
 MISSING_AT_ONCE = 20_000
 SLICE_CHARS = 1_000_000
 NO_RANK = np.int64(1 << 40)
@@ -70,7 +70,6 @@ class WordBpe:
         self.token_bytes = np.array([None if t is None else t.encode("utf-8") for t in self.tokens], dtype=object)
         # By chunk; values are plain bytes, which the garbage collector need not visit.
         self.ids_of: dict[str, bytes] = {}
-        self.ids_of_word: dict[str, bytes] = {}
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and the bounds of each word's ids. No word is empty."""
@@ -115,32 +114,30 @@ class WordBpe:
         known = (self.keys[found] == key) & (owner[at] == owner[after]) & (after > at)
         return np.where(known, self.rank[found], NO_RANK)
 
-    def learn(self, chunks: Iterable[str]) -> None:
+    def learn(self, chunks: set[str]) -> None:
         """Put the ids of chunks (text without white space) into the cache."""
-        new = [c for c in chunks if c not in self.ids_of]
+        new = chunks.difference(self.ids_of)
         marked = [c for c in new if "<|" in c]
         if marked:
             parts = {c: [x for x in self.special_pattern.split(c) if x] for c in marked}
             self.learn_plain({x for own in parts.values() for x in own if x not in self.special and x not in self.ids_of})
             for c, own in parts.items():
                 self.ids_of[c] = b"".join(self.special[x].to_bytes(4, "little") if x in self.special else self.ids_of[x] for x in own)
-            new = [c for c in new if "<|" not in c]
+            new.difference_update(marked)
         self.learn_plain(new)
 
     def learn_plain(self, chunks: Iterable[str]) -> None:
-        """As learn, for chunks without special tokens; many at once, each word of them once."""
+        """As learn, for chunks without special tokens; many at once."""
         chunks = list(chunks)
         for i in range(0, len(chunks), MISSING_AT_ONCE):
             part = chunks[i : i + MISSING_AT_ONCE]
-            owned = [WORD.findall(normalise(chunk)) for chunk in part]
-            if len(self.ids_of_word) > CACHE_CHUNKS:
-                self.ids_of_word.clear()
-            words = list(set(chain.from_iterable(owned)).difference(self.ids_of_word))
+            # Neither normalisation nor words reach across a space, so that one text holds all chunks.
+            found = WORD_OR_END.findall(normalise(" ".join(part) + " "))
+            ends = np.flatnonzero(np.array(found, dtype=object) == " ")
+            words = list(filter(" ".__ne__, found))
             ids, bounds = self.encode_words([w.encode("utf-8", "surrogatepass") for w in words])
-            flat, cut = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
-            known = self.ids_of_word
-            known.update(zip(words, [flat[x:y] for x, y in zip(cut, cut[1:], strict=False)], strict=False))
-            self.ids_of.update(zip(part, [known[own[0]] if len(own) == 1 else b"".join([known[w] for w in own]) for own in owned], strict=True))
+            flat, cut = ids.astype("<u4").tobytes(), [0, *(4 * bounds[ends - np.arange(len(ends))]).tolist()]
+            self.ids_of.update(zip(part, map(flat.__getitem__, map(slice, cut, cut[1:])), strict=True))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Tokens joined by a space, special tokens included, in UTF-8; the file names no decoder."""
