@@ -26,7 +26,9 @@ def tables(spark, tmp_path):
             text += " " + passage + " end"
         rows.append((i, text, "en", f"s{i % 3}", len(text)))
     rows += [(200, rows[5][1], "en", "s", 1), (201, rows[5][1] + " more", "en", "s", 1), (202, None, None, None, None), (203, "", "fr", "s", 0), (None, rows[5][1], "en", "s", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    # The last columns are named like figures of the operators.
+    rows = [(*r, f"own {r[0]}", f"mine {r[0]}", True) for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept_sha256 string, keep boolean")
     docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     labels = [(i, int(i % 10 != 0), 0) for i in range(120) if i % 3]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -58,9 +60,10 @@ def test_stages_equal_brute_force(spark, tables):
     for doc, n, n_removed, _ in by_words:
         assert len((texts[doc].text or "").split()) == n - n_removed and texts[doc].n_chars == (None if texts[doc].text is None else len(texts[doc].text))
     assert sum(x[2] > 0 for x in by_words) > 3
+    assert all((r.n_words, r.kept_sha256, r.keep) == (f"own {doc}", f"mine {doc}", True) for doc, r in texts.items())
 
     masked = {r.doc_id: r for r in corpus_pipeline.mask_personal_data(spark, cut, tables).collect()}
-    assert set(masked) == set(texts)
+    assert set(masked) == set(texts) and all(r.n_words == f"own {doc}" for doc, r in masked.items())
     for doc, r in masked.items():
         for s in pii.base_spans(texts[doc].text or ""):
             assert texts[doc].text[s.start : s.end] not in r.text
