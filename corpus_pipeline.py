@@ -22,7 +22,7 @@ SIMILARITY = 80
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose perplexity exceeds their language's threshold."""
-    judged = quality.classify(docs, read_table(spark, sf_dir, "labels"))
+    judged = quality.classify(docs, read_table(spark, sf_dir, "labels"), stable=True)  # docs are a table in files
     return without(docs, judged.filter(~F.col("keep")))
 
 
