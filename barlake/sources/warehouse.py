@@ -268,6 +268,34 @@ def vendor_csv(spark: SparkSession, text: str, columns: Sequence[str]) -> DataFr
     return spark.createDataFrame([tuple(r[i] or None for i in at) for r in rows[1:]], schema)
 
 
+#: fixed values: names of a volume column in universe lists, case and underscores aside
+VOLUME_NAMES = ("avgdollarvolume", "mediandollarvolume", "dollarvolume", "adv")
+
+
+def universe_csv(spark: SparkSession, text: str, year: int | None = None) -> DataFrame:
+    """Lines of a universe list for ``universe_import``: (line, year, ticker, rank, dollar_volume).
+
+    Names of columns count without case and underscores. A ticker column is needed, and a year column
+    or ``year``; rank and volume are optional. A field that is no number is an error with its line.
+    """
+    reader = csv.DictReader(io.StringIO(text.removeprefix("\ufeff")))
+    names = {c.lower().replace("_", "").strip(): c for c in reader.fieldnames or []}
+    if "ticker" not in names:
+        raise ValueError("a universe list needs a ticker column")
+    if "year" not in names and year is None:
+        raise ValueError("the list has no year column, so a year must be given")
+    volume = next((names[n] for n in VOLUME_NAMES if n in names), None)
+    rows = []
+    for line, row in enumerate(reader, start=2):
+        try:
+            own = int(row[names["year"]]) if "year" in names else year
+            rank = int(row[names["rank"]]) if row.get(names.get("rank")) else None
+            rows.append((line, own, row[names["ticker"]], rank, float(row[volume]) if volume and row.get(volume) else None))
+        except ValueError as problem:
+            raise ValueError(f"line {line}: {problem}") from None
+    return spark.createDataFrame(rows, "line long, year int, ticker string, rank int, dollar_volume double")
+
+
 def zipped_csv(spark: SparkSession, data: bytes, columns: Sequence[str], tickers: Sequence[str] | None = None) -> DataFrame:
     """The one CSV in a zip archive, restricted to tickers."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:

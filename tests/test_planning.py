@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from barlake.functions import calendar
 from barlake.operators import health, identity, ingest, quality, ranking, registry
+from barlake.sources import warehouse
 
 
 def day(text):
@@ -99,6 +100,16 @@ def test_universe_import(spark):
         ingest.universe_import(spark.createDataFrame([(2, 2020, " ", 1, 1.0)], LINES)).collect()
 
 
+def test_universe_lists_of_any_header(spark):
+    one = ingest.universe_import(warehouse.universe_csv(spark, "ticker,rank\nAAA,2\nBBB,1\n", 2020))
+    assert {(r.year, r.ticker, r["rank"]) for r in one.collect()} == {(2020, "AAA", 2), (2020, "BBB", 1)}
+    two = ingest.universe_import(warehouse.universe_csv(spark, "Year,Ticker,Median_DollarVolume\n2021,aaa,5\n2021,bbb,9.5\n2022,aaa,\n"))
+    assert {(r.year, r.ticker, r["rank"]) for r in two.collect()} == {(2021, "AAA", 2), (2021, "BBB", 1), (2022, "AAA", 1)}
+    for text in ("rank\n1\n", "ticker\nA\n", "ticker,year\nA,x\n"):
+        with pytest.raises(ValueError):
+            warehouse.universe_csv(spark, text)
+
+
 def test_budget_ramp(spark):
     days = spark.createDataFrame([(day(f"2024-01-{d:02d}"),) for d in (1, 24, 25, 26, 30, 31)], "day date")
     got = {r.day.day: r.byte_limit for r in ingest.budget_ramp(days, 500_000, 1_000_000, 7).collect()}
