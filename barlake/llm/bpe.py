@@ -11,6 +11,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -139,6 +140,10 @@ class WordBpe:
             flat, cut = ids.astype("<u4").tobytes(), [0, *(4 * bounds[ends - np.arange(len(ends))]).tolist()]
             self.ids_of.update(zip(part, map(flat.__getitem__, map(slice, cut, cut[1:])), strict=True))
 
+    def forget(self) -> None:
+        """Give the cache back; partitions have few chunks in common, and the worker outlives them."""
+        self.ids_of = {}
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Tokens joined by a space, special tokens included, in UTF-8; the file names no decoder."""
         return b" ".join(self.token_bytes[ids].tolist())
@@ -195,6 +200,16 @@ def encoder(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+@contextmanager
+def borrowed(path: str) -> Iterator[WordBpe]:
+    """The worker's encoder, whose cache is given back in the end."""
+    bpe = encoder(path)
+    try:
+        yield bpe
+    finally:
+        bpe.forget()
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -210,17 +225,17 @@ def digests(docs: DataFrame, path: str | None = None, text: str = "text", key: s
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
-        for batch in batches:
-            count, ids_sha, text_sha = [], [], []
-            for ids in bpe.encode_texts(batch.column(1).to_pylist()):
-                count.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(np.frombuffer(ids, dtype="<u4"))).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        with borrowed(path) as bpe:
+            for batch in batches:
+                count, ids_sha, text_sha = [], [], []
+                for ids in bpe.encode_texts(batch.column(1).to_pylist()):
+                    count.append(len(ids) // 4)
+                    ids_sha.append(hashlib.sha256(ids).hexdigest())
+                    text_sha.append(hashlib.sha256(bpe.decode(np.frombuffer(ids, dtype="<u4"))).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).cast(pa.int64()), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                    names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return docs.select(key, text).mapInArrow(run, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -230,10 +245,10 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: st
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
-        for batch in batches:
-            got = [np.frombuffer(ids, dtype="<i4") for ids in bpe.encode_texts(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(got, pa.list_(pa.int32()))], names=[key, "ids"])
+        with borrowed(path) as bpe:
+            for batch in batches:
+                got = [np.frombuffer(ids, dtype="<i4") for ids in bpe.encode_texts(batch.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(got, pa.list_(pa.int32()))], names=[key, "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} long, ids array<int>")
 

@@ -218,6 +218,7 @@ def pack(
                     placed = []
                     needed = {p[0] for p in packer.pieces}
                     waiting = {k: v for k, v in waiting.items() if k in needed}
+        coder.forget()
         placed += packer.finish()
         if placed:
             yield rows(placed)
