@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from barlake.operators.quality import SAMPLE
 
-# What a warning and an error begin at.
+# Statuses of a target's last attempt, and what a warning and an error begin at.
+PENDING, EXHAUSTED = "current_retry_pending", "current_retry_exhausted"
 RATE_WARNING, STALE_ERROR, STUCK_ERROR = 0.8, 0.25, 0.1
 TOP_RANKS, STUCK_TURNS = 100, 5
 
@@ -38,8 +39,8 @@ def coverage_freshness(cohort: DataFrame, coverage: DataFrame, target: str, top_
 
 def retry_progress(targets: DataFrame, stuck_turns: int = STUCK_TURNS) -> DataFrame:
     """Targets (last_status, successful_depth, attempted_turns) that retry without advance, or gave up."""
-    stuck = (F.col("last_status") == "current_retry_pending") & (F.col("successful_depth") == 0) & (F.col("attempted_turns") >= stuck_turns)
-    gone = F.coalesce(F.col("last_status") == "current_retry_exhausted", F.lit(False))
+    stuck = (F.col("last_status") == PENDING) & (F.col("successful_depth") == 0) & (F.col("attempted_turns") >= stuck_turns)
+    gone = F.coalesce(F.col("last_status") == EXHAUSTED, F.lit(False))
     held = targets.agg(F.count("*").alias("total"), F.count_if(stuck).alias("stuck"), F.count_if(gone).alias("exhausted")).filter("stuck + exhausted > 0")
     bad = F.col("stuck") + F.col("exhausted")
     severity = F.when(bad / F.col("total") >= STUCK_ERROR, "error").otherwise("warning")
@@ -49,7 +50,7 @@ def retry_progress(targets: DataFrame, stuck_turns: int = STUCK_TURNS) -> DataFr
 def only_retries_left(ranges: DataFrame) -> DataFrame:
     """Whether some active range is left and every one belongs to a target that waits for its retry."""
     live = ranges.filter((F.col("status") == "active") & ~F.col("terminal_blocked"))
-    other = F.count_if(~F.coalesce(F.col("last_status") == "current_retry_pending", F.lit(False)))
+    other = F.count_if(~F.coalesce(F.col("last_status") == PENDING, F.lit(False)))
     return live.agg(F.count("*").alias("active"), other.alias("other")).select("active", ((F.col("active") > 0) & (F.col("other") == 0)).alias("only_retries"))
 
 
