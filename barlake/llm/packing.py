@@ -173,12 +173,14 @@ def pack(
     text: str = "text",
     key: str = "doc_id",
     with_ids: bool = False,
+    keep_cache: bool = False,
 ) -> DataFrame:
     """Pack every document's ids and an end id into sequences; one row for each piece.
 
     Null and empty texts have the end id alone, repeated rows are packed each, an empty table gives
-    no rows; other columns are not read. ``with_ids`` adds the piece's ids. Sequence numbers are
-    unique over the result; each partition packs its own documents, so nothing is shuffled.
+    no rows; other columns are not read. ``with_ids`` adds the piece's ids. ``keep_cache`` lets a
+    worker keep its encoder's cache for the next partition, some 150 MB, which is for sessions that go on
+    to no other stage. Sequence numbers are unique over the result; each partition packs its own documents, so nothing is shuffled.
     """
     path = path or bpe.default_path()
 
@@ -218,7 +220,8 @@ def pack(
                     placed = []
                     needed = {p[0] for p in packer.pieces}
                     waiting = {k: v for k, v in waiting.items() if k in needed}
-        coder.forget()
+        if not keep_cache:
+            coder.forget()
         placed += packer.finish()
         if placed:
             yield rows(placed)
