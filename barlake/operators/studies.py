@@ -170,7 +170,7 @@ def _session_steps(indexed: DataFrame) -> DataFrame:
     return each.select("date", (F.col("session_index") * 10 + F.when(F.col("date") == F.col("session_date"), 9).otherwise(0)).alias("step"))
 
 
-def multiday_path(events: DataFrame, eod: DataFrame, indexed: DataFrame) -> DataFrame:
+def multiday_path(events: DataFrame, eod: DataFrame, indexed: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """For each event and horizon the target date and the adjusted extremes of the days up to it.
 
     Events stand as marks among their instrument's bars in the order of sessions; one sort by
@@ -182,7 +182,7 @@ def multiday_path(events: DataFrame, eod: DataFrame, indexed: DataFrame) -> Data
     marks = events.select("instrument_id", F.col("event_date").alias("date"), F.lit(None).cast("double").alias("adj_high"), F.lit(None).cast("double").alias("adj_low"), F.lit(0).alias("bar"))
     rows = eod.select("instrument_id", "date", "adj_high", "adj_low", F.lit(1).alias("bar")).union(marks).join(F.broadcast(_session_steps(indexed)), "date")
     order = Window.partitionBy("instrument_id").orderBy("step")
-    ahead = {h: order.rangeBetween(0, 10 * h) for h in HORIZONS}
+    ahead = {h: order.rangeBetween(0, 10 * h) for h in horizons}
     parts = [F.struct(F.lit(h).alias("horizon"), F.max("adj_high").over(w).alias("max_high"), F.min("adj_low").over(w).alias("min_low"), F.sum("bar").over(w).alias("n")) for h, w in ahead.items()]
     path = rows.select("instrument_id", F.col("date").alias("event_date"), "bar", F.array(*parts).alias("paths")).filter("bar = 0").drop("bar")
     grid = events.join(start, "event_date").join(path, EVENT).withColumn("path", F.explode("paths")).withColumn("horizon", F.col("path.horizon"))
@@ -192,12 +192,12 @@ def multiday_path(events: DataFrame, eod: DataFrame, indexed: DataFrame) -> Data
     return grid.withColumns({name: F.when(known, F.col(c)) for name, c in taken.items()}).drop("at", "target_index", "path", "paths")
 
 
-def multiday_observations(events: DataFrame, eod: DataFrame, indexed: DataFrame, asset_types: DataFrame, benchmark: str, target: float) -> DataFrame:
+def multiday_observations(events: DataFrame, eod: DataFrame, indexed: DataFrame, asset_types: DataFrame, benchmark: str, target: float, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """Each event at the adjusted closes of later sessions, by horizon."""
     days = eod.select("instrument_id", F.col("date").alias("target_date"), F.col("adj_close").alias("checkpoint_price"))
     bench = days.filter(F.col("instrument_id") == benchmark).select("target_date", F.col("checkpoint_price").alias("benchmark_price"))
     rows = (
-        multiday_path(events, eod, indexed).join(days, ["instrument_id", "target_date"], "left").join(F.broadcast(bench), "target_date", "left")
+        multiday_path(events, eod, indexed, horizons).join(days, ["instrument_id", "target_date"], "left").join(F.broadcast(bench), "target_date", "left")
         .join(asset_types, "instrument_id", "left").withColumn("asset_type", F.coalesce("asset_type", F.lit("unknown")))
         .withColumn("observation_label", F.concat(F.lit("session_plus_"), F.col("horizon"))).withColumn("benchmark_basis", F.col("benchmark_adj_open"))
     )

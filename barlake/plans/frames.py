@@ -114,7 +114,10 @@ class Frames(Tables):
 
     @cached_property
     def scoped(self) -> DataFrame:
-        return keep(ranking.scope(self.obs_multi, "session_plus_0"))
+        # A ranking reads one checkpoint: only that horizon is observed.
+        at_close = studies.multiday_observations(self.cand_l, self.long, self.indexed, self.assets, S.LONG_BENCHMARK, S.TARGET, (0,))
+        rows = ranking.scope(at_close, "session_plus_0")
+        return keep(rows.select("instrument_id", "event_date", "period", "adv_dollars", "measured_return", "excess_return", "reached_target_at_checkpoint"))
 
     @cached_property
     def pairs(self) -> DataFrame:
