@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barlake.llm import backoff, urls
+from barlake.llm import backoff, rolling, urls
 
 ROUNDS = 80  # of propagation: 0.85 ** 80 is 2e-6
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -91,4 +91,5 @@ def queries() -> dict[str, str]:
         "op5_minhash_near_dedup": NEAR,
         "op9_url_filters": _url_filters(),
         "op10_lm_scoring": backoff.ORACLE_SQL,
+        "op11_rolling_windows": rolling.ORACLE_SQL,
     }

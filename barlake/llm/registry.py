@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import ann, backoff, bpe, neardup, oracle, packing, pii, quality, substring, topk, urls
+from barlake.llm import ann, backoff, bpe, neardup, oracle, packing, pii, quality, rolling, substring, topk, urls
 from barlake.llm.storage import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("log_score", F.round("log_score", 4))
 
 
+def op11_rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling.features(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -66,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op8_pii": op8_pii,
         "op9_url_filters": op9_url_filters,
         "op10_lm_scoring": op10_lm_scoring,
+        "op11_rolling_windows": op11_rolling_windows,
     }
 
 
