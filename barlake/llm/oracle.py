@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barlake.llm import backoff, rolling, urls
+from barlake.llm import backoff, prefixes, rolling, urls
 
 ROUNDS = 80  # of propagation: 0.85 ** 80 is 2e-6
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -92,4 +92,5 @@ def queries() -> dict[str, str]:
         "op9_url_filters": _url_filters(),
         "op10_lm_scoring": backoff.ORACLE_SQL,
         "op11_rolling_windows": rolling.ORACLE_SQL,
+        "op12_prefix_trie": prefixes.ORACLE_SQL,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import ann, backoff, bpe, neardup, oracle, packing, pii, quality, rolling, substring, topk, urls
+from barlake.llm import ann, backoff, bpe, neardup, oracle, packing, pii, prefixes, quality, rolling, substring, topk, toxicity, urls
 from barlake.llm.storage import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,14 @@ def op11_rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.features(read_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -71,6 +79,8 @@ def queries() -> dict[str, Query]:
         "op9_url_filters": op9_url_filters,
         "op10_lm_scoring": op10_lm_scoring,
         "op11_rolling_windows": op11_rolling_windows,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_toxicity": op13_toxicity,
     }
 
 

@@ -32,7 +32,7 @@ RESULT = "source string, event_s long, window_s long, n_events long, sum_chars l
 def event_time(doc_id: Column) -> Column:
     """60 * floor((doc_id + crc32(doc_id) mod 4000) / 6), the checksum over the decimal digits."""
     minutes = doc_id + F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4000))
-    return F.expr("60L") * ((minutes - F.pmod(minutes, F.lit(6))) / 6).cast("long")
+    return F.lit(10) * (minutes - F.pmod(minutes, F.lit(6)))  # whole sixths of 60, without a division
 
 
 def _ranks(times: np.ndarray, value: np.ndarray, weight: np.ndarray, asked: np.ndarray, window: int, totals: np.ndarray) -> list[list[int | None]]:
@@ -122,14 +122,14 @@ def _distinct(code: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def chunk_features(events: pa.Table, chunk: int, chunk_s: int, windows: tuple[int, ...]) -> pa.Table:
-    """Figures of a chunk's own times from its events and its halo; see ``features``."""
+    """Figures of the times of the chunk that begins at ``chunk``, from its events and its halo; see ``features``."""
     events = events.sort_by("event_s")
     times, n = events.column("event_s").to_numpy(), events.column("n").to_numpy()
     chars = events.column("chars")
     known = chars.is_valid().to_numpy()
     size = chars.fill_null(0).to_numpy()
     code = events.column("lang").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
-    asked = np.unique(times[times // chunk_s == chunk])
+    asked = np.unique(times[(times >= chunk) & (times < chunk + chunk_s)])
     if not len(asked):
         return pa.table([pa.array([], f.type) for f in _schema(events)], schema=_schema(events))
     running = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
@@ -154,9 +154,9 @@ def window_figures(events: DataFrame, windows: tuple[int, ...] = WINDOWS, chunk_
     """Figures of (source, event_s, chars, lang) events for each distinct (source, event_s) and window."""
     longest = max(windows)
     chunk_s = chunk_s or max(1, longest // CHUNKS_PER_WINDOW)
-    chunk = lambda t: ((t - F.pmod(t, F.lit(chunk_s))) / chunk_s).cast("long")
+    chunk = lambda t: t - F.pmod(t, F.lit(chunk_s))  # noqa: E731  the time at which it begins
     timed = events.filter("event_s IS NOT NULL").groupBy("source", "event_s", "chars", "lang").agg(F.count("*").alias("n"))
-    dealt = timed.withColumn("chunk", F.explode(F.sequence(chunk(F.col("event_s")), chunk(F.col("event_s") + longest))))
+    dealt = timed.withColumn("chunk", F.explode(F.sequence(chunk(F.col("event_s")), chunk(F.col("event_s") + longest), F.lit(chunk_s).cast("long"))))
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         return chunk_features(table, key[1].as_py(), chunk_s, windows)
