@@ -223,7 +223,7 @@ def trie(conversations: DataFrame) -> DataFrame:
 #: Prefixes by list slices; ancestors of a node lie on its smallest member's path.
 ORACLE_SQL = f"""
 WITH t AS (
-  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) - 1 AS at,
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) - 1 AS i,
     sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS x, length(coalesce(text, '')) AS size
   FROM conversations WHERE conv_id IS NOT NULL
 ), hashed AS (
@@ -231,9 +231,9 @@ WITH t AS (
       lambda a, d: list_reduce(list_prepend(xor(a, d), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda p, q: xor(p >> 1, (p & 1) * 3988292384::BIGINT)))) % {MOST_SHARED} AS h
   FROM (SELECT DISTINCT c FROM t)
 ), r AS (
-  SELECT t.c, at, x, size FROM t JOIN hashed USING (c) WHERE at >= h OR c = base
-  UNION ALL SELECT k.c, at, x, size FROM hashed k JOIN t ON t.c = k.base WHERE k.c <> k.base AND at < h
-), lists AS (SELECT c, list(x ORDER BY at) AS xs, list(size ORDER BY at) AS sizes FROM r GROUP BY 1),
+  SELECT t.c, i, x, size FROM t JOIN hashed USING (c) WHERE i >= h OR c = base
+  UNION ALL SELECT k.c, i, x, size FROM hashed k JOIN t ON t.c = k.base WHERE k.c <> k.base AND i < h
+), lists AS (SELECT c, list(x ORDER BY i) AS xs, list(size ORDER BY i) AS sizes FROM r GROUP BY 1),
 p AS (SELECT c, CAST(d AS BIGINT) AS d, sha256(array_to_string(xs[1:d], ',')) AS k, sizes[d] AS size, d = len(xs) AS last FROM (SELECT c, xs, sizes, unnest(range(1, len(xs) + 1)) AS d FROM lists)
   UNION ALL SELECT c, 0, '', 0, c NOT IN (SELECT c FROM lists) FROM hashed),
 n AS (SELECT d, k, min(c) AS m, count(*) AS n, max(size) AS size, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS e FROM p GROUP BY 1, 2),

@@ -34,7 +34,7 @@ MAX_STEMS = 512
 LEAST_Z, LEAST_DOCS = 4.0, 3
 STEM_BYTES = (4, 5, 6, 8)
 NEAR = 5  # words between an abusive word and a pronoun
-TREES, DEPTH, STEP = 40, 3, 0.2
+TREES, DEPTH, STEP = 20, 3, 0.3
 
 # Common words of abuse and second-person pronouns in the four languages.
 ABUSE = """
