@@ -12,12 +12,14 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from barlake.functions import exprs
+from barlake.functions import calendar
 from barlake.operators import identity, quality, registry, runs
 from barlake.operators.catalog import Catalog
 from barlake.session import build_session
 from barlake.sources.warehouse import DATASETS, Warehouse, time_column
 
+SHOWN = 1000  # findings printed, those of the most rows first
+
 
 def status(store: Warehouse) -> list[dict]:
     """Rows, instruments and dates of every dataset there is."""
@@ -31,21 +33,22 @@ def status(store: Warehouse) -> list[dict]:
     return out
 
 
-def findings(store: Warehouse, dataset: str, checks: list[str], start: str | None, end: str | None) -> tuple[list[dict], bool]:
-    """What the declared checks find in a dataset, and whether anything severe is among it."""
-    bars = store.read(dataset, start=start, end=end)
-    key = time_column(bars)
-    run = {
-        "duplicate_keys": lambda: quality.duplicate_keys(bars, key),
-        "ohlc_invariants": lambda: bars.filter(exprs.ohlc_invalid()).groupBy("instrument_id").agg(F.count("*").alias("n")) if key == "ts" else quality.ohlc_invariants(bars),
-        "negative_values": lambda: bars.filter("volume IS NULL OR volume < 0").groupBy("instrument_id").agg(F.count("*").alias("n")) if key == "ts" else quality.negative_values(bars),
-        "split_sanity": lambda: quality.split_sanity(bars),
-    }
-    unknown = [c for c in checks if c not in run or (c == "split_sanity" and key == "ts")]
+def findings(store: Warehouse, dataset: str, checks: list[str], start: str | None, end: str | None) -> tuple[list[dict], list[str]]:
+    """The first findings of the declared checks on a dataset, and why the gate fails; the dataset is read once."""
+    unknown = [c for c in checks if c not in quality.CHECKS or not quality.applicable(c, dataset)]
     if unknown:
         raise ValueError(f"no checks {unknown} of {dataset}")
-    out = [{"check": c, "severity": quality.CHECKS[c][0], **r.asDict()} for c in checks for r in run[c]().orderBy("instrument_id").collect()]  # a row for each instrument at fault
-    return out, any(f["severity"] in quality.SEVERE for f in out)
+    bars = store.read(dataset, start=start, end=end)
+    span = bars.agg(F.min(time_column(bars)).cast("date"), F.max(time_column(bars)).cast("date")).first()
+    if span[0] is None:
+        return [], []
+    coverage = store.metadata("coverage").filter(F.col("dataset_key") == dataset) if "coverage" in store.metadata_names() else None
+    found = quality.run_checks({dataset: bars}, calendar.session_schedule(store.spark, *span), checks, coverage).persist()
+    try:
+        shown = found.filter("findings > 0").orderBy(F.desc("findings"), "check", "instrument_id").limit(SHOWN).collect()
+        return [r.asDict() for r in shown], quality.blocks(found, checks, [dataset])
+    finally:
+        found.unpersist()
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -57,7 +60,7 @@ def main(arguments: list[str] | None = None) -> int:
     commands.add_parser("sql").add_argument("text")
     q = commands.add_parser("quality")
     q.add_argument("dataset", choices=list(DATASETS))
-    q.add_argument("checks", nargs="+")
+    q.add_argument("checks", nargs="*", help="all that apply, if none is named")
     q.add_argument("--start")
     q.add_argument("--end")
     r = commands.add_parser("research-run")
@@ -77,10 +80,12 @@ def main(arguments: list[str] | None = None) -> int:
         elif a.command == "sql":
             store.sql(a.text).show(1000, truncate=False)
         elif a.command == "quality":
-            rows, severe = findings(store, a.dataset, a.checks, a.start, a.end)
+            rows, blocking = findings(store, a.dataset, a.checks or [c for c in quality.CHECKS if quality.applicable(c, a.dataset)], a.start, a.end)
             for row in rows:
                 print(json.dumps(row, default=str))
-            return int(severe)
+            for reason in blocking:
+                print(reason, file=sys.stderr)
+            return int(bool(blocking))
         elif a.command == "research-run":
             print(registry.dispatch(a.study, store, catalog, json.loads(a.parameters)))
         else:

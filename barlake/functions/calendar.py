@@ -8,6 +8,7 @@ from datetime import date, datetime, time, timedelta
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,16 @@ SEMANTICS = {"1hour": "eastern_clock_hour_start", "5min": "session_5min_start"}
 CLOSED = frozenset(
     date(*d) for d in [(1994, 4, 27), (2001, 9, 11), (2001, 9, 12), (2001, 9, 13), (2001, 9, 14), (2004, 6, 11), (2007, 1, 2), (2012, 10, 29), (2012, 10, 30), (2018, 12, 5), (2025, 1, 9)]
 )
+# Days that closed at 13:00 in the years when practice varied.
+EARLY = frozenset(
+    date.fromisoformat(d) for d in """
+    1993-11-26 1994-11-25 1995-07-03 1995-11-24 1996-07-05 1996-11-29 1996-12-24 1997-07-03 1997-11-28 1997-12-24 1997-12-26 1998-11-27 1998-12-24
+    1999-11-26 1999-12-31 2000-07-03 2000-11-24 2001-07-03 2001-11-23 2001-12-24 2002-07-05 2002-11-29 2002-12-24 2003-07-03 2003-11-28 2003-12-24 2003-12-26
+    2004-11-26 2005-11-25 2006-07-03 2006-11-24 2007-07-03 2007-11-23 2007-12-24 2008-07-03 2008-11-28 2008-12-24 2009-11-27 2009-12-24
+    2010-11-26 2011-11-25 2012-07-03 2012-11-23 2012-12-24
+    """.split()
+)
+EARLY_BY_RULE = 2013  # the first year that follows the rule
 SCHEDULE = "session_date date, session_open timestamp_ntz, session_close timestamp_ntz, is_early_close boolean"
 
 
@@ -74,10 +85,12 @@ def is_session(day: date) -> bool:
 
 
 def is_early_close(day: date) -> bool:
-    """The day after Thanksgiving, and July 3 and December 24 where they are sessions.
+    """Whether a session closes at 13:00: a table up to 2012, none before 1993.
 
-    Rules of the 1990s for the days around those holidays varied; these are applied throughout.
+    From 2013 on these are the day after Thanksgiving, and July 3 and December 24 where they are sessions.
     """
+    if day.year < EARLY_BY_RULE:
+        return day in EARLY
     return is_session(day) and (day == _nth(day.year, 11, 3, 4) + timedelta(1) or (day.month, day.day) in ((7, 3), (12, 24)))
 
 
@@ -173,6 +186,19 @@ def request_chunks(start: date, end: date, freq: str, reverse: bool = False) ->
     return out[::-1] if reverse else out
 
 
+def chunked(spans: DataFrame, freq: str) -> DataFrame:
+    """(instrument_id, start, end, fetch_end, max_rows): the requests that cover each (instrument_id, start_date, end_date)."""
+
+    def cut(batches):
+        for batch in batches:
+            parts = [(i, c) for i, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for c in request_chunks(a, b, freq)]
+            columns = [[i for i, _ in parts], *([getattr(c, k) for _, c in parts] for k in ("start", "end", "fetch_end", "max_rows"))]
+            kinds = [pa.string(), pa.date32(), pa.date32(), pa.date32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["instrument_id", "start", "end", "fetch_end", "max_rows"])
+
+    return spans.select("instrument_id", "start_date", "end_date").filter("start_date <= end_date").mapInArrow(cut, "instrument_id string, start date, end date, fetch_end date, max_rows long")
+
+
 def session_schedule(spark: SparkSession, start: date, end: date) -> DataFrame:
     """The schedule as a frame; a few hundred rows a year, so joins broadcast it."""
     return spark.createDataFrame(list(sessions(start, end)), SCHEDULE)
@@ -197,6 +223,16 @@ def with_index(schedule: DataFrame) -> DataFrame:
     return schedule.withColumn("session_index", (F.row_number().over(Window.orderBy("session_date")) - 1).cast("int"))
 
 
+def sessions_upto(schedule: DataFrame) -> DataFrame:
+    """(day, upto, is_session) for every day from a year before the schedule to a year after it: sessions up to the day."""
+    from pyspark.sql import Window
+
+    span = schedule.agg(F.min("session_date").alias("a"), F.max("session_date").alias("b"))
+    days = span.select(F.explode(F.sequence(F.date_sub("a", 366), F.date_add("b", 366))).alias("day"))
+    marked = days.join(schedule.select(F.col("session_date").alias("day"), F.lit(True).alias("is_session")), "day", "left").withColumn("is_session", F.coalesce("is_session", F.lit(False)))
+    return marked.withColumn("upto", F.sum(F.col("is_session").cast("int")).over(Window.orderBy("day")))
+
+
 def expected_labels(schedule: DataFrame, freq: str) -> DataFrame:
     """(ts, session_date) of every regular bar: clock hours from 10:00, or five minutes from the open."""
     step = BAR_MINUTES[freq]

@@ -5,9 +5,10 @@ A contract is one aggregate of violation counts, so checking it costs one job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlake.functions import calendar
 from barlake.operators.studies import EVENT
 
 
@@ -45,19 +46,59 @@ def observation_contract(selected: DataFrame, observations: DataFrame, labels: i
     )
 
 
-def lookback_complete(events: DataFrame, expected: DataFrame, bars: DataFrame, start: str, end: str) -> DataFrame:
-    """(event, expected, matched, complete): sessions of the lookback, and those with a bar.
+def _expected_upto(schedule: DataFrame, freq: str) -> DataFrame:
+    """(day, before, first, n) for every day of the schedule's span: labels due before the day, its first one, and how many it has.
 
-    ``expected`` is (label), a calendar of days or times. A lookback is a few sessions, so that it stands
-    as its days and the join with the calendar is an equality.
+    A calendar of days, some hundreds a year, whatever the number of bars.
     """
-    spans = events.select(*EVENT, F.col(start).alias("a"), F.col(end).alias("b"))
-    spans = spans.withColumn("day", F.explode_outer(F.when(F.col("a") <= F.col("b"), F.sequence(F.col("a").cast("date"), F.col("b").cast("date")))))
-    due = spans.join(F.broadcast(expected.withColumn("day", F.col("label").cast("date"))), "day", "left")
-    due = due.withColumn("label", F.when(F.col("label").between(F.col("a"), F.col("b")), F.col("label")))
-    held = bars.select("instrument_id", "label").distinct().withColumn("held", F.lit(1))
-    counts = due.join(held, ["instrument_id", "label"], "left").groupBy(*EVENT).agg(F.countDistinct("label").alias("expected"), F.countDistinct(F.when(F.col("held") == 1, F.col("label"))).alias("matched"))
-    return counts.withColumn("complete", (F.col("expected") > 0) & (F.col("expected") == F.col("matched")))
+    if freq == "eod":
+        due = schedule.select(F.col("session_date").alias("day"), F.col("session_date").cast("timestamp_ntz").alias("first"), F.lit(1).alias("n"))
+    else:
+        due = calendar.expected_labels(schedule, freq).groupBy(F.col("session_date").alias("day")).agg(F.min("ts").alias("first"), F.count("*").cast("int").alias("n"))
+    span = schedule.agg(F.min("session_date").alias("a"), F.max("session_date").alias("b"))
+    days = span.select(F.explode(F.sequence(F.date_sub("a", 400), F.date_add("b", 400))).alias("day")).join(due, "day", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return days.withColumn("before", F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)))
+
+
+def lookback_complete(events: DataFrame, bars: DataFrame, schedule: DataFrame, start: str, end: str, dataset: str = "eod") -> DataFrame:
+    """(event, expected, matched, complete): labels due between two columns, both included, and those with a bar.
+
+    ``bars`` is (instrument_id, label), ``label`` a day or a time. Labels due up to a time are a number that
+    the calendar gives, so ``expected`` is the difference of two such numbers. Bars held up to a time are a
+    running count in which both ends of every lookback stand as marks among the instrument's bars: one
+    sort, and no event is multiplied by its labels.
+    """
+    freq = dataset.removeprefix("intraday_")
+    step = 86_400 if freq == "eod" else 60 * calendar.BAR_MINUTES[freq]
+    known = F.broadcast(_expected_upto(schedule, freq))
+    past_first = lambda at: F.timestamp_diff("MICROSECOND", F.col("first"), F.col(at).cast("timestamp_ntz")) / (step * 1_000_000)
+
+    def due(at: str, inclusive: bool) -> Column:
+        """Labels due up to ``at``, or before it."""
+        past = past_first(at)
+        number = F.floor(past) + 1 if inclusive else F.ceil(past)
+        return F.coalesce("before", F.lit(0)) + F.least(F.greatest(F.coalesce(number, F.lit(0)), F.lit(0)), F.coalesce("n", F.lit(0)))
+
+    spans = events.select(*EVENT, F.col(start).alias("a"), F.col(end).alias("b")).distinct()
+    rows = spans.withColumn("day", F.col("a").cast("date")).join(known, "day", "left").withColumn("due_before", due("a", False)).drop("day", "first", "n", "before")
+    rows = rows.withColumn("day", F.col("b").cast("date")).join(known, "day", "left").withColumn("due", due("b", True)).drop("day", "first", "n", "before")
+    expected = F.when(F.col("a") <= F.col("b"), F.col("due") - F.col("due_before")).otherwise(0)
+    rows = rows.select(*EVENT, "a", "b", F.coalesce(expected, F.lit(0)).alias("expected"))
+
+    # Bars on a due label, once each: the label's number grows from just before it to it.
+    labels = bars.select("instrument_id", F.col("label").cast("timestamp_ntz").alias("at")).withColumn("day", F.col("at").cast("date")).join(known, "day")
+    past = past_first("at")
+    held = labels.filter((past >= 0) & (past < F.col("n")) & (past == F.floor(past))).select("instrument_id", "at").distinct()
+    none = F.lit(None).cast("date")
+    marks = rows.select("instrument_id", F.explode(F.array(*[F.struct(F.col(c).cast("timestamp_ntz").alias("at"), F.lit(place).alias("place")) for c, place in (("a", 0), ("b", 2))])).alias("m"), "event_date", "a", "b", "expected")
+    marks = marks.select("instrument_id", "m.at", "m.place", "event_date", "a", "b", "expected")
+    kinds = dict(rows.dtypes)
+    line = held.select("instrument_id", "at", F.lit(1).alias("place"), none.alias("event_date"), F.lit(None).cast(kinds["a"]).alias("a"), F.lit(None).cast(kinds["b"]).alias("b"), F.lit(None).cast("bigint").alias("expected")).unionByName(marks)
+    running = F.sum((F.col("place") == 1).cast("int")).over(Window.partitionBy("instrument_id").orderBy("at", "place").rowsBetween(Window.unboundedPreceding, 0))
+    ends = line.withColumn("held", running).filter("place <> 1")
+    counts = ends.groupBy(*EVENT, "a", "b", "expected").agg((F.max(F.when(F.col("place") == 2, F.col("held"))) - F.max(F.when(F.col("place") == 0, F.col("held")))).alias("matched"))
+    matched = F.greatest(F.coalesce("matched", F.lit(0)), F.lit(0)).cast("bigint")
+    return counts.select(*EVENT, F.col("expected").cast("bigint").alias("expected"), matched.alias("matched")).withColumn("complete", (F.col("expected") > 0) & (F.col("expected") == F.col("matched")))
 
 
 def eligibility_audit(candidates: DataFrame, aliases: DataFrame, schedule: DataFrame, complete: DataFrame) -> DataFrame:

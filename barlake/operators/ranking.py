@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlake.functions import exprs
+from barlake.operators import studies
 from barlake.operators.studies import EVENT
 
 PRIOR_STRENGTH, MIN_EVENTS, MIN_LIFT = 20, 10, 0.05
@@ -48,18 +49,25 @@ def in_windows(scoped: DataFrame, pairs: DataFrame, which: str) -> DataFrame:
 
 def scores(rows: DataFrame, keys: list[str], prior: int) -> DataFrame:
     """Hits by key with shrinkage toward the pair's pooled rate: (..., baseline, shrunk_hit_rate, lift)."""
-    hit = F.count_if("reached_target_at_checkpoint")
-    base = rows.groupBy("pair").agg((hit / F.count("*")).alias("baseline"))
     stats = rows.groupBy("pair", *keys).agg(
-        F.count("*").alias("events"), hit.alias("hits"), F.percentile("measured_return", 0.5).alias("median_return"), F.avg("excess_return").alias("mean_excess_return"),
-        F.countDistinct("instrument_id").alias("instruments"),
-    )
-    joined = stats.join(F.broadcast(base), "pair")
+        F.count("*").alias("events"), F.count_if("reached_target_at_checkpoint").alias("hits"), F.avg("excess_return").alias("mean_excess_return"), F.countDistinct("instrument_id").alias("instruments")
+    )
+    base = stats.groupBy("pair").agg((F.sum("hits") / F.sum("events")).alias("baseline"))
+    joined = with_medians(stats, rows, ["pair", *keys]).join(F.broadcast(base), "pair")
     shrunk = (F.col("hits") + prior * F.col("baseline")) / (F.col("events") + prior)
     # Rounded before comparing, so that the order of additions decides nothing.
     return joined.withColumn("hit_rate", F.col("hits") / F.col("events")).withColumn("shrunk_hit_rate", F.round(shrunk, 9)).withColumn("lift", F.round(shrunk - F.col("baseline"), 9))
 
 
+def with_medians(stats: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The groups' rows with their exact ``median_return``; no task holds a group's values."""
+    found = studies.quantiles(rows, keys, "measured_return", {"median_return": 0.5})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    return stats.join(found.select(*[F.col(k).alias(f"of_{k}") for k in keys], "median_return"), same, "left").drop(*[f"of_{k}" for k in keys])
+
+
 def select_candidates(scoped: DataFrame, pairs: DataFrame, min_events: int = MIN_EVENTS, min_lift: float = MIN_LIFT, prior: int = PRIOR_STRENGTH) -> DataFrame:
     """Pass 1: every instrument of the selection window with its score, and whether it is chosen."""
     ranked = scores(in_windows(scoped, pairs, "select"), ["instrument_id"], prior)
@@ -119,10 +127,10 @@ def common(a: DataFrame, b: DataFrame) -> DataFrame:
 def opening_window(opening: DataFrame, events: DataFrame) -> DataFrame:
     """Returns and traded bars of the opening checkpoints, for events both studies have."""
     rows = opening.join(events.select(*EVENT).distinct(), EVENT, "left_semi").filter("outcome_status = 'evaluable'")
-    return rows.groupBy("observation_label").agg(
-        F.count("*").alias("events"), F.percentile("measured_return", 0.5).alias("median_return"), F.avg("measured_return").alias("mean_return"),
-        F.sum("bars_through_checkpoint").alias("bars"), F.sum("zero_volume_bars").alias("zero_volume_bars"),
-    )
+    stats = rows.groupBy("observation_label").agg(
+        F.count("*").alias("events"), F.avg("measured_return").alias("mean_return"), F.sum("bars_through_checkpoint").alias("bars"), F.sum("zero_volume_bars").alias("zero_volume_bars")
+    )
+    return with_medians(stats, rows, ["observation_label"])
 
 
 def write_two_pass(path: str, candidates: DataFrame, evaluated: DataFrame, groups: DataFrame | None = None, form: str = "parquet") -> list[str]:

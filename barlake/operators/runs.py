@@ -1,4 +1,4 @@
-"""The built-in studies over a warehouse: parameters, audited events, observations, and their publication."""
+"""The built-in studies over a warehouse: parameters, candidates, selection and observations, run in two phases."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.functions import calendar
-from barlake.operators import events, features, ranking, registry, studies
+from barlake.functions import calendar, exprs
+from barlake.operators import features, phases, ranking, registry, studies
 from barlake.operators.catalog import Catalog
+from barlake.operators.phases import Context, Gate, Lookback, Study
 from barlake.sources.warehouse import Warehouse
 
 VERSION = 1
@@ -19,63 +20,108 @@ DEFAULTS = {
     "periods": {"development": ["2020-01-01", "2021-12-31"], "validation": ["2022-01-01", "2022-12-31"], "test": ["2023-01-01", "2023-12-31"]},
     "metric_periods": ["development", "validation"], "benchmark_ticker": "SPY",
 }
+EXTRA = {
+    "gap_recovery": {},
+    "gap_recovery_opening": {"min_five_min_density": 0.2},
+    "gap_recovery_multiday": {"min_gap_volatilities": 0.0, "stress_volatility": 0.02},
+}
 HORIZON_DAYS = 30  # of bars read after the last event
 DAYS_A_SESSION = 2  # read before the first event, for each session of the lookback
+GATE = ("duplicate_keys", "ohlc_invariants", "negative_values")
+SLICES = ("asset_type", "market_regime", "market_trend")
 
 
-class Inputs:
-    """What a study reads: bars around the studied dates, the schedule, aliases and the benchmark."""
-
-    def __init__(self, store: Warehouse, p: Mapping):
-        start, end = date.fromisoformat(p["start"]), date.fromisoformat(p["end"])
-        first, last = start - timedelta(DAYS_A_SESSION * p["lookback_sessions"] + 10), end + timedelta(HORIZON_DAYS)
-        self.aliases = store.metadata("aliases")
-        self.benchmark = registry.resolve_benchmark(self.aliases, p["benchmark_ticker"], p["start"], p["end"])
-        self.schedule = calendar.session_schedule(store.spark, first, last)
-        self.eod = store.read("eod", start=str(first), end=str(last))
-        self.hourly = store.read("intraday_1hour", start=str(first), end=str(last))
-        self.five = store.read("intraday_5min", start=str(first), end=str(last))
-        self.periods = {name: tuple(date.fromisoformat(d) for d in span) for name, span in p["periods"].items()}
-
-    def events(self, p: Mapping) -> DataFrame:
-        """Candidates in the studied dates that are eligible and dense enough."""
-        feat = features.eod_features(self.eod, p["lookback_sessions"])
-        density = features.hourly_density(self.eod, self.hourly, self.schedule, p["lookback_sessions"])
-        found = studies.gap_candidates(feat, self.schedule, density, self.benchmark, p["lookback_sessions"], p["gap_threshold"], p["min_adv_dollars"], self.periods)
-        found = found.filter(F.col("event_date").between(F.lit(p["start"]).cast("date"), F.lit(p["end"]).cast("date")))
-        labels = self.schedule.select(F.col("session_date").alias("label"))
-        complete = events.lookback_complete(found, labels, self.eod.select("instrument_id", F.col("date").alias("label")), "lookback_start_date", "prior_date")
-        audit = events.eligibility_audit(found, self.aliases, self.schedule, complete)
-        found = found.join(audit.filter("eligibility = 'eligible'").select(*studies.EVENT), studies.EVENT, "left_semi")
-        return studies.dense(found, hourly_density=p["min_hourly_density"])
-
-
-def _observe(study: str, x: Inputs, chosen: DataFrame, target: float) -> tuple[DataFrame, dict | None]:
-    if study == "gap_recovery":
-        return studies.gap_observations(chosen, x.hourly, x.eod, x.schedule, x.benchmark, target), None
-    if study == "gap_recovery_opening":
-        return studies.opening_observations(chosen, x.five, x.hourly, x.schedule, x.benchmark, target), studies.opening_extra()
-    kinds = x.eod.select("instrument_id").distinct().withColumn("asset_type", F.lit(None).cast("string"))
-    return studies.multiday_observations(chosen, x.eod, calendar.with_index(x.schedule), kinds, x.benchmark, target), None
-
-
-def _runner(study: str):
-    def run(store: Warehouse, catalog: Catalog, parameters: Mapping) -> str:
-        p = registry.normalize_parameters(parameters, DEFAULTS, study)
-        x = Inputs(store, p)
-        observations, extra = _observe(study, x, x.events(p), p["target_return"])
+def _days(p: Mapping) -> tuple[date, date]:
+    """First and last day of the bars that a study reads."""
+    start, end = date.fromisoformat(p["start"]), date.fromisoformat(p["end"])
+    return start - timedelta(DAYS_A_SESSION * p["lookback_sessions"] + 10), end + timedelta(HORIZON_DAYS)
+
+
+def _benchmark(context: Context) -> str:
+    p = context.parameters
+    return registry.resolve_benchmark(context.metadata("aliases"), p["benchmark_ticker"], p["start"], p["end"])
+
+
+def _read(context: Context, dataset: str) -> DataFrame:
+    first, last = _days(context.parameters)
+    return context.read(dataset, start=str(first), end=str(last))
+
+
+def _schedule(context: Context) -> DataFrame:
+    return calendar.session_schedule(context.spark, *_days(context.parameters))
+
+
+def _candidates(context: Context) -> DataFrame:
+    """Gap-down sessions within the studied dates, with the density of the bars that outcomes will come from."""
+    p, schedule, eod = context.parameters, _schedule(context), _read(context, "eod")
+    n = p["lookback_sessions"]
+    periods = {name: tuple(date.fromisoformat(d) for d in span) for name, span in p["periods"].items()}
+    density = features.hourly_density(eod, _read(context, "intraday_1hour"), schedule, n)
+    found = studies.gap_candidates(features.eod_features(eod, n), schedule, density, _benchmark(context), n, p["gap_threshold"], p["min_adv_dollars"], periods)
+    if "min_five_min_density" in p:
+        five = features.density(eod, _read(context, "intraday_5min"), calendar.expected_labels(schedule, "5min"), "5min", n)
+        found = found.join(five.select("instrument_id", F.col("date").alias("event_date"), "five_min_density"), studies.EVENT, "left")
+    return found.filter(F.col("event_date").between(F.lit(p["start"]).cast("date"), F.lit(p["end"]).cast("date")))
+
+
+def _select(context: Context, eligible: DataFrame) -> DataFrame:
+    p = context.parameters
+    least = {"hourly_density": p["min_hourly_density"]} | ({"five_min_density": p["min_five_min_density"]} if "min_five_min_density" in p else {})
+    return studies.large_gaps(studies.dense(eligible, **least), p.get("min_gap_volatilities", 0.0))
+
 
-        def produce() -> tuple[DataFrame, DataFrame]:
-            reported = observations.filter(F.col("period").isin(p["metric_periods"]))
-            return observations, studies.tidy(studies.summarize(reported, ["period", "observation_label"], extra), ["period", "observation_label"])
+def _metrics(context: Context, observations: DataFrame, slices: tuple[str, ...] = (), extra: Mapping | None = None) -> DataFrame:
+    """Metrics of the reported periods by period and checkpoint, and by each slice of them."""
+    reported = observations.filter(F.col("period").isin(context.parameters["metric_periods"]))
+    out = None
+    for keys in [("period", "observation_label"), *(("period", "observation_label", s) for s in slices)]:
+        tidy = studies.tidy(studies.summarize(reported, list(keys), extra), list(keys))
+        one = tidy.select("metric_name", "value", F.lit("").alias("unit"), F.create_map(*[x for k in keys for x in (F.lit(k), F.col(k).cast("string"))]).alias("dimensions"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
-        inputs = sorted({*x.eod.inputFiles(), *x.hourly.inputFiles(), *x.five.inputFiles()})
-        return catalog.publish(study, VERSION, p, inputs, produce)
+
+def _gap(context: Context, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = studies.gap_observations(selected, _read(context, "intraday_1hour"), _read(context, "eod"), _schedule(context), _benchmark(context), context.parameters["target_return"])
+    return rows, _metrics(context, rows)
+
+
+def _opening(context: Context, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    five, hourly = _read(context, "intraday_5min"), _read(context, "intraday_1hour")
+    rows = studies.opening_observations(selected, five, hourly, _schedule(context), _benchmark(context), context.parameters["target_return"])
+    return rows, _metrics(context, rows, extra=studies.opening_extra())
+
+
+def _multiday(context: Context, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """By asset type where the warehouse knows it (metadata relation instruments), by regime and trend of the benchmark."""
+    p, eod = context.parameters, _read(context, "eod")
+    kinds = context.metadata("instruments").select("instrument_id", "asset_type") if context.has_metadata("instruments") else eod.select("instrument_id").distinct().withColumn("asset_type", F.lit(None).cast("string"))
+    rows = studies.multiday_observations(selected, eod, calendar.with_index(_schedule(context)), kinds, _benchmark(context), p["target_return"])
+    rows = rows.withColumns({"market_regime": exprs.market_regime(F.col("benchmark_realized_vol"), p["stress_volatility"]), "market_trend": exprs.market_trend(F.col("benchmark_prior_window_return"))})
+    return rows, _metrics(context, rows, SLICES)
+
+
+OBSERVE = {"gap_recovery": _gap, "gap_recovery_opening": _opening, "gap_recovery_multiday": _multiday}
+SELECTION = {"gap_recovery": ("eod", "intraday_1hour"), "gap_recovery_opening": ("eod", "intraday_1hour", "intraday_5min"), "gap_recovery_multiday": ("eod", "intraday_1hour")}
+
+
+def study(name: str, parameters: Mapping) -> Study:
+    """A built-in study as the two-phase runner takes it."""
+    first, last = _days(parameters)
+    return Study(
+        name, VERSION, SELECTION[name], (), (Lookback("eod", "lookback_start_date", "prior_date"),), Gate(GATE, ("eod",), str(first), str(last)), _candidates, _select, OBSERVE[name], (first, last),
+    )
+
+
+def _runner(name: str):
+    def run(store: Warehouse, catalog: Catalog, parameters: Mapping) -> str:
+        p = registry.normalize_parameters(parameters, DEFAULTS | EXTRA[name], name)
+        return phases.run(study(name, p), store, catalog, p)
 
     return run
 
 
-for _name in ("gap_recovery", "gap_recovery_opening", "gap_recovery_multiday"):
+for _name in OBSERVE:
     registry.register(_name, _runner(_name), replace=True)
 
 

@@ -6,7 +6,7 @@ grids are a handful of literal rows, so they multiply events by a constant.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,28 +97,30 @@ def measures(rows: DataFrame, price: str, basis: str, prior: str, target: float,
     )
 
 
-def _checkpoints(events: DataFrame, name: str, values: tuple[int, ...]) -> DataFrame:
-    return events.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+def _paths(bars: DataFrame, column: str, marks: tuple[int, ...], at: Mapping[str, Column], upto: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """(event, path): for each instrument's session one entry a mark, with the bar at it and what all bars up to it show.
+
+    The marks are a handful of literals, so that one aggregate by session holds them all; no bar is repeated.
+    """
+    entries = [
+        F.struct(*[F.max(F.when(F.col(column) == m, value)).alias(name) for name, value in at.items()], *[measure(F.col(column) <= m).alias(name) for name, measure in upto.items()]) for m in marks
+    ]
+    return bars.groupBy(*EVENT).agg(F.array(*entries).alias("path"))
+
+
+_EXTREMES = {"max_high": lambda held: F.max(F.when(held, F.col("high"))), "min_low": lambda held: F.min(F.when(held, F.col("low")))}
 
 
 def gap_observations(events: DataFrame, hourly: DataFrame, eod: DataFrame, schedule: DataFrame, benchmark: str, target: float) -> DataFrame:
     """Each event at six hourly closes and the session close, missing outcomes as rows of their own."""
-    valid = valid_hourly(of_events(hourly, events, benchmark, exprs.ny_date(F.col("ts"))).drop("session_date"), schedule)
-    run = Window.partitionBy("instrument_id", "session_date").orderBy("ny_hour").rowsBetween(Window.unboundedPreceding, 0)
-    # Extremes so far at each bar; a checkpoint takes them from its last bar at or before it.
-    path = valid.withColumns({"max_high": F.max("high").over(run), "min_low": F.min("low").over(run)}).select(
-        "instrument_id", F.col("session_date").alias("event_date"), "ny_hour", "ts", "close", "max_high", "min_low"
-    )
-    grid = _checkpoints(events, "checkpoint_hour", HOURS)
-    own = path.select(*EVENT, F.col("ny_hour").alias("checkpoint_hour"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("available"), F.col("close").alias("checkpoint_price"))
-    bench = path.filter(F.col("instrument_id") == benchmark).select("event_date", F.col("ny_hour").alias("checkpoint_hour"), F.col("close").alias("benchmark_price"))
-    hours = F.broadcast(grid.sparkSession.createDataFrame([(h,) for h in HOURS], "checkpoint_hour int"))
-    reach = path.join(hours, F.col("ny_hour") <= F.col("checkpoint_hour"))
-    extremes = reach.groupBy(*EVENT, "checkpoint_hour").agg(F.max("max_high").alias("max_high"), F.min("min_low").alias("min_low"))
-    at_hours = (
-        grid.join(own, [*EVENT, "checkpoint_hour"], "left").join(extremes, [*EVENT, "checkpoint_hour"], "left").join(F.broadcast(bench), ["event_date", "checkpoint_hour"], "left")
-        .withColumn("observation_label", exprs.hour_label(F.col("checkpoint_hour"))).drop("checkpoint_hour")
-    )
+    valid = valid_hourly(of_events(hourly, events, benchmark, exprs.ny_date(F.col("ts"))).drop("session_date"), schedule).withColumnRenamed("session_date", "event_date")
+    paths = _paths(valid, "ny_hour", HOURS, {"available": F.col("ts") + F.expr("INTERVAL 1 HOUR"), "checkpoint_price": F.col("close")}, _EXTREMES)
+    bench = paths.filter(F.col("instrument_id") == benchmark).select("event_date", F.col("path.checkpoint_price").alias("benchmark_path"))
+    each = events.join(paths, EVENT, "left").join(F.broadcast(bench), "event_date", "left").select("*", F.posexplode(F.array(*map(F.lit, HOURS))).alias("place", "checkpoint_hour"))
+    own = F.get("path", F.col("place"))
+    at_hours = each.withColumns(
+        {**{name: own[name] for name in ("available", "checkpoint_price", "max_high", "min_low")}, "benchmark_price": F.get("benchmark_path", F.col("place")), "observation_label": exprs.hour_label(F.col("checkpoint_hour"))}
+    ).drop("path", "benchmark_path", "place", "checkpoint_hour")
     days = eod.select("instrument_id", F.col("date").alias("event_date"), "close", "high", "low")
     day = days.select(*EVENT, F.col("close").alias("checkpoint_price"), F.col("high").alias("max_high"), F.col("low").alias("min_low"))
     day_bench = days.filter(F.col("instrument_id") == benchmark).select("event_date", F.col("close").alias("benchmark_price"))
@@ -131,23 +133,27 @@ def gap_observations(events: DataFrame, hourly: DataFrame, eod: DataFrame, sched
 def opening_observations(events: DataFrame, five: DataFrame, hourly: DataFrame, schedule: DataFrame, benchmark: str, target: float) -> DataFrame:
     """Each event at ten five-minute checkpoints, also measured from the first bar and against hourly bars."""
     valid = valid_5min(of_events(five, events, benchmark, exprs.ny_date(F.col("ts"))).drop("session_date"), schedule).withColumnRenamed("session_date", "event_date")
-    grid = _checkpoints(events, "checkpoint_minutes", MINUTES)
-    own = valid.select(*EVENT, F.col("end_minutes").alias("checkpoint_minutes"), F.col("close").alias("checkpoint_price"), F.col("volume").alias("checkpoint_bar_volume"))
-    first = valid.filter(F.col("end_minutes") == FIRST_BAR).select(*EVENT, F.col("close").alias("first_bar_close"), F.col("volume").alias("first_bar_volume"))
-    bench = valid.filter(F.col("instrument_id") == benchmark).select("event_date", F.col("end_minutes").alias("checkpoint_minutes"), F.col("close").alias("benchmark_price"))
-    marks = F.broadcast(grid.sparkSession.createDataFrame([(m,) for m in MINUTES], "checkpoint_minutes int"))
-    stats = valid.join(marks, F.col("end_minutes") <= F.col("checkpoint_minutes")).groupBy(*EVENT, "checkpoint_minutes").agg(
-        F.max("high").alias("max_high"), F.min("low").alias("min_low"), F.count("*").alias("bars_through_checkpoint"), F.count_if(F.col("volume") == 0).alias("zero_volume_bars")
-    )
+    some = lambda held, n: F.when(F.count_if(held) > 0, n)  # noqa: E731  unknown before the first bar
+    counted = {
+        "bars_through_checkpoint": lambda held: some(held, F.count_if(held)), "zero_volume_bars": lambda held: some(held, F.count_if(held & (F.col("volume") == 0))),
+    }
+    paths = _paths(valid, "end_minutes", MINUTES, {"checkpoint_price": F.col("close"), "checkpoint_bar_volume": F.col("volume")}, _EXTREMES | counted)
     local = exprs.ny(F.col("ts"))
     hours = hourly.withColumn("event_date", local.cast("date")).join(F.broadcast(schedule.withColumnRenamed("session_date", "event_date")), "event_date")
     hours = hours.filter((F.minute(local) == 0) & (F.hour(local) >= 10) & (F.col("ts") + F.expr("INTERVAL 1 HOUR") <= F.col("session_close")))
-    hours = hours.select(*EVENT, (exprs.minutes_between(F.col("session_open"), F.col("ts")) + 60).alias("checkpoint_minutes"), F.col("close").alias("hourly_close"))
-    key = [*EVENT, "checkpoint_minutes"]
-    rows = (
-        grid.join(own, key, "left").join(first, EVENT, "left").join(stats, key, "left").join(hours, key, "left").join(F.broadcast(bench), ["event_date", "checkpoint_minutes"], "left")
-        .withColumn("observation_label", exprs.minute_label(F.col("checkpoint_minutes"))).withColumn("benchmark_basis", F.col("benchmark_open_raw"))
-    )
+    hours = hours.withColumn("end_minutes", exprs.minutes_between(F.col("session_open"), F.col("ts")) + 60)
+    hours = _paths(hours, "end_minutes", MINUTES, {"hourly_close": F.col("close")}, {}).withColumnRenamed("path", "hourly_path")
+    bench = paths.filter(F.col("instrument_id") == benchmark).select("event_date", F.col("path.checkpoint_price").alias("benchmark_path"))
+    each = events.join(paths, EVENT, "left").join(hours, EVENT, "left").join(F.broadcast(bench), "event_date", "left")
+    each = each.select("*", F.posexplode(F.array(*map(F.lit, MINUTES))).alias("place", "checkpoint_minutes"))
+    first, own = F.get("path", F.lit(MINUTES.index(FIRST_BAR))), F.get("path", F.col("place"))
+    taken = ("checkpoint_price", "checkpoint_bar_volume", "max_high", "min_low", "bars_through_checkpoint", "zero_volume_bars")
+    rows = each.withColumns(
+        {
+            "first_bar_close": first["checkpoint_price"], "first_bar_volume": first["checkpoint_bar_volume"], **{name: own[name] for name in taken}, "hourly_close": F.get("hourly_path", F.col("place"))["hourly_close"],
+            "benchmark_price": F.get("benchmark_path", F.col("place")), "observation_label": exprs.minute_label(F.col("checkpoint_minutes")), "benchmark_basis": F.col("benchmark_open_raw"),
+        }
+    ).drop("path", "hourly_path", "benchmark_path", "place")
     rows = measures(rows, "checkpoint_price", "open_raw", "prior_close_raw", target, "gap_recovered_fraction", ~F.col("event_day_corporate_action"))
     from_first = exprs.ratio_minus_one(F.col("checkpoint_price"), F.col("first_bar_close"))
     return rows.withColumns(
@@ -232,8 +238,8 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: Mapping[str,
     inside = F.lit(False)
     for r in ranks:
         inside = inside | ((F.col("before") <= r) & (r < F.col("upto")))
-    # Two bins at most for each quantile of a group.
-    few = F.broadcast(bins.filter(inside).select(*[F.col(c).alias(f"bin_{c}") for c in of], "before", "total"))
+    # Two bins at most for each quantile of a group; Spark knows the size and chooses how to join.
+    few = (bins.filter(inside).select(*[F.col(c).alias(f"bin_{c}") for c in of], "before", "total"))
     values = held.join(few, _same(of, "bin_")).groupBy(*of, "before", "total", value).agg(F.count("*").alias("n"))
     within = Window.partitionBy(*of).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     counted = values.withColumn("upto", F.col("before") + F.sum("n").over(within))
@@ -264,7 +270,7 @@ def summarize(observations: DataFrame, keys: list[str], extra: Mapping[str, Colu
     }
     base = observations.groupBy(*keys).agg(*[c.alias(n) for n, c in plain.items()])
     found = quantiles(observations.filter(ok), keys, "measured_return", QUANTILES)
-    found = F.broadcast(found.select(*[F.col(k).alias(f"of_{k}") for k in keys], *QUANTILES))  # a row for each group
+    found = found.select(*[F.col(k).alias(f"of_{k}") for k in keys], *QUANTILES)  # a row for each group
     rows = base.join(found, _same(keys, "of_"), "left")
     names = ["evaluable", "missing_outcome", "mean_return", *QUANTILES, *[n for n in plain if n not in ("evaluable", "missing_outcome", "mean_return")]]
     return rows.select(*keys, *[(F.col(n) if n in ("evaluable", "missing_outcome") else F.round(n, 6)).alias(n) for n in names])

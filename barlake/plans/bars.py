@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from datetime import date
-
 from pyspark.sql import functions as F
 
 from barlake.functions import calendar, exprs
-from barlake.operators import features, health, identity, ingest, quality
+from barlake.operators import catalog, health, identity, ingest, quality
 from barlake.plans import oracle
 from barlake.plans import settings as S
+from barlake.plans.frames import own_warehouse
 from barlake.plans.registry import plan
 from barlake.sources import files, warehouse
 
@@ -96,19 +93,9 @@ def _(t):
 UPSERT = "SELECT * FROM incoming UNION ALL SELECT * FROM long b WHERE NOT EXISTS (SELECT 1 FROM incoming i WHERE i.instrument_id = b.instrument_id AND i.date = b.date)"
 
 
-def _store(t, name: str) -> warehouse.Warehouse:
-    """A warehouse of the query's own in the folder that all executors share."""
-    folder = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not t.spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="barlake-publish-")
-    return warehouse.Warehouse(t.spark, f"{folder}/{name}-{t.spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
-
-
 @plan("publish_upsert", f"SELECT instrument_id, CAST(count(*) AS BIGINT) AS n_rows, sum(open) AS sum_open FROM ({UPSERT}) GROUP BY 1")
 def _(t):
-    w = _store(t, "publish")
+    w = own_warehouse(t, "publish")
     w.publish("eod", t.long)
     w.publish("eod", t.incoming)
     return w.read("eod").groupBy("instrument_id").agg(F.count("*").alias("n_rows"), F.sum("open").alias("sum_open"))
@@ -117,7 +104,7 @@ def _(t):
 @plan("metadata_relations", "SELECT b.instrument_id, CAST(count(*) AS BIGINT) AS n_bars, min(b.date) AS first_bar, c.first_date, c.last_date FROM eod b JOIN coverage c ON c.instrument_id = b.instrument_id WHERE b.instrument_id IN ('view-1', 'click-2') GROUP BY ALL")
 def _(t):
     """Bars, a metadata relation and a list from the driver's memory in one statement."""
-    w = _store(t, "metadata")
+    w = own_warehouse(t, "metadata")
     w.publish("eod", t.eod)
     w.put_metadata("coverage", t.coverage)
     w.register_frame("wanted", [("view-1",), ("click-2",)], "instrument_id string")
@@ -128,11 +115,43 @@ def _(t):
 @plan("footer_counts", " UNION ALL ".join(f"SELECT '{n}' AS dataset_key, CAST(count(*) AS BIGINT) AS n_rows FROM {r}" for n, r in (("eod", "eod"), ("intraday_1hour", "hourly"))))
 def _(t):
     """Rows of published datasets by their files' footers."""
-    w = _store(t, "footers")
+    w = own_warehouse(t, "footers")
     w.publish("eod", t.eod)
     w.publish("intraday_1hour", t.hourly)
-    rows = [(d, sum(files.footer_rows(t.spark, w.path(d)).values())) for d in ("eod", "intraday_1hour")]
-    return t.spark.createDataFrame(rows, "dataset_key string, n_rows long")
+    found = files.footers(t.spark, [w.path(d) for d in ("eod", "intraday_1hour")])
+    return found.groupBy(F.element_at(F.split("folder", "/"), -1).alias("dataset_key")).agg(F.sum("n_rows").alias("n_rows"))
+
+
+@plan("footer_bounds", """SELECT substr(sha256(instrument_id), 1, 2) AS bucket, CAST(count(*) AS BIGINT) AS n_rows, min(instrument_id) AS first_instrument, max(instrument_id) AS last_instrument, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date FROM long GROUP BY 1""")
+def _(t):
+    """Bounds of a published dataset's buckets, from the statistics of its row groups alone."""
+    w = own_warehouse(t, "bounds")
+    w.publish("eod", t.long)
+    found = files.footers(t.spark, [w.path("eod")], ["instrument_id", "date"])
+    of = lambda column, value: F.when(F.col("column") == column, F.col(value))
+    return found.groupBy(F.regexp_extract("file", "bucket=([0-9a-f]+)", 1).alias("bucket")).agg(
+        F.sum(of("date", "n_rows")).alias("n_rows"), F.min(of("instrument_id", "least")).alias("first_instrument"), F.max(of("instrument_id", "most")).alias("last_instrument"),
+        F.min(of("date", "least")).alias("first_date"), F.max(of("date", "most")).alias("last_date"),
+    )
+
+
+BEFORE = "SELECT * FROM long WHERE instrument_id NOT LIKE '%4'"
+AFTER = "SELECT * REPLACE (CASE WHEN instrument_id LIKE '%2' THEN volume + 1 ELSE volume END AS volume) FROM long WHERE instrument_id NOT LIKE '%5'"
+_HELD = "SELECT substr(sha256(instrument_id), 1, 2) AS bucket, CAST(count(*) AS BIGINT) AS n FROM ({0}) GROUP BY 1"
+
+
+@plan("manifest_diff", f"""SELECT bucket, CASE WHEN a.n IS NULL THEN 'missing' WHEN b.n IS NULL THEN 'added' WHEN d.bucket IS NULL THEN 'unchanged' ELSE 'changed' END AS status, b.n AS rows_before, a.n AS rows_after
+    FROM ({_HELD.format(BEFORE)}) b FULL JOIN ({_HELD.format(AFTER)}) a USING (bucket)
+    LEFT JOIN (SELECT DISTINCT substr(sha256(instrument_id), 1, 2) AS bucket FROM (((SELECT * FROM ({BEFORE})) EXCEPT (SELECT * FROM ({AFTER}))) UNION ALL ((SELECT * FROM ({AFTER})) EXCEPT (SELECT * FROM ({BEFORE}))))) d USING (bucket)""")
+def _(t):
+    """Buckets that two publications have in common, changed, lost and gained, by the content of their files."""
+    found = []
+    changed = t.long.withColumn("volume", F.when(F.col("instrument_id").like("%2"), F.col("volume") + 1).otherwise(F.col("volume")))
+    for name, rows in (("before", t.long.filter("instrument_id NOT LIKE '%4'")), ("after", changed.filter("instrument_id NOT LIKE '%5'"))):
+        w = own_warehouse(t, name)
+        w.publish("eod", rows)
+        found.append(catalog.input_manifest(t.spark, {"eod": w.pin(["eod"]).files("eod")}, by_partition=True).withColumn("bucket", F.regexp_extract("path", "bucket=([0-9a-f]+)", 1)))
+    return catalog.manifest_diff(*found, key="bucket")
 
 
 @plan("merge_upsert", UPSERT)
@@ -274,6 +293,49 @@ def _(t):
     return quality.gate(counts, ("duplicate_keys", "split_sanity", "off_session_intraday"))
 
 
+def _ran(dataset: str, checks: dict[str, str]) -> str:
+    """Findings by instrument of each check, and a row that says that it ran; each relation is (instrument_id, n)."""
+    severity = {k: v[0] for k, v in quality.CHECKS.items()}
+    parts = [f"SELECT '{dataset}' AS dataset_key, '{c}' AS \"check\", instrument_id, '{severity[c]}' AS severity, CAST(n AS BIGINT) AS findings FROM ({sql}) WHERE n > 0" for c, sql in checks.items()]
+    return " UNION ALL ".join([*parts, *(f"SELECT '{dataset}', '{c}', NULL, '{severity[c]}', CAST(0 AS BIGINT)" for c in checks)])
+
+
+def _zero_runs(relation: str, key: str, within: str, step: str, shortest: int) -> str:
+    return f"""SELECT instrument_id, count(*) AS n FROM (SELECT instrument_id, {within}, d FROM (SELECT instrument_id, {within}, {step} - row_number() OVER (PARTITION BY instrument_id, {within} ORDER BY {key}) AS d
+        FROM (SELECT instrument_id, {key}, {within}, {step}, {ZERO} AS held FROM {relation} GROUP BY ALL) WHERE held) GROUP BY ALL HAVING count(*) >= {shortest}) GROUP BY 1"""
+
+
+_BADLY = "count(*) FILTER (WHERE volume IS NULL OR volume < 0) + count(*) FILTER (WHERE {0})"
+_LOW = " OR ".join(f"coalesce({c} < 0, false)" for c in ("open", "high", "low", "close"))
+_DAILY_CHECKS = {
+    "missing_expected_sessions": "SELECT i.instrument_id, count(*) AS n FROM (SELECT instrument_id, min(date) AS a, max(date) AS z FROM dirty GROUP BY 1) i JOIN long_sessions s ON s.session_date BETWEEN i.a AND i.z WHERE NOT EXISTS (SELECT 1 FROM dirty b WHERE b.instrument_id = i.instrument_id AND b.date = s.session_date) GROUP BY 1",
+    "duplicate_keys": "SELECT instrument_id, count(*) AS n FROM (SELECT instrument_id, date FROM dirty GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1",
+    "ohlc_invariants": f"SELECT instrument_id, count(*) FILTER (WHERE {RAW}) + count(*) FILTER (WHERE {ADJUSTED}) AS n FROM dirty GROUP BY 1",
+    "negative_values": f"SELECT instrument_id, {_BADLY.format(NEGATIVE)} AS n FROM dirty GROUP BY 1",
+    "zero_volume_runs": _zero_runs("dirty JOIN long_sessions ON session_date = date", "date", "1 AS within_all", "session_index", 2).replace("1 AS within_all, session_index", "session_index").replace("1 AS within_all, ", "").replace(", 1 AS within_all", ""),
+    "split_sanity": "SELECT instrument_id, count(*) AS n FROM dirty WHERE split_factor IS NULL OR split_factor <= 0 GROUP BY 1",
+    "coverage_delisting_summary": "SELECT instrument_id, 0 AS n FROM dirty",
+}
+
+
+def _bar_checks(relation: str, freq: str) -> dict[str, str]:
+    regular = _labelled(relation, freq)
+    return {
+        "duplicate_keys": f"SELECT instrument_id, count(*) AS n FROM (SELECT instrument_id, ts FROM {relation} GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1",
+        "ohlc_invariants": f"SELECT instrument_id, count(*) FILTER (WHERE {RAW}) AS n FROM {relation} GROUP BY 1",
+        "negative_values": f"SELECT instrument_id, {_BADLY.format(_LOW)} AS n FROM {relation} GROUP BY 1",
+        "zero_volume_runs": _zero_runs(f"(SELECT *, CAST(floor(minutes_from_open / {calendar.BAR_MINUTES[freq]}) AS BIGINT) AS step FROM ({regular}))", "ts", "session_date", "step", 2),
+        "off_session_intraday": f"SELECT a.instrument_id, a.n - coalesce(r.n, 0) AS n FROM (SELECT instrument_id, count(*) AS n FROM {relation} GROUP BY 1) a LEFT JOIN (SELECT instrument_id, count(*) AS n FROM ({regular}) GROUP BY 1) r USING (instrument_id)",
+        "coverage_delisting_summary": f"SELECT instrument_id, 0 AS n FROM {relation}",
+    }
+
+
+@plan("quality_run", " UNION ALL ".join([_ran("eod", _DAILY_CHECKS), _ran("intraday_1hour", _bar_checks("hourly", "1hour"))]))
+def _(t):
+    """All eight checks over daily and hourly bars, each dataset read once."""
+    return quality.run_checks({"eod": t.dirty, "intraday_1hour": t.hourly}, t.all_sessions, shortest=2)
+
+
 FEATURES = f"instrument_id, date, open_raw, adj_open, prior_date, prior_close_raw, prior_adj_close, lookback_start_date, prior_sessions_present, adj_close_6_back, event_day_corporate_action, {_round(ROUNDED)}"
 
 
@@ -297,14 +359,18 @@ def _(t):
     return t.density_f.withColumns(exprs.rounded(["five_min_density"]))
 
 
-@plan("session_schedule", f"SELECT {LABEL} FROM long_sessions")
+@plan("session_schedule", f"SELECT {LABEL}, CAST(count(b.instrument_id) AS BIGINT) AS n_bars FROM long_sessions LEFT JOIN long b ON b.date = session_date GROUP BY ALL")
 def _(t):
-    return t.long_sessions
+    """Every session with its times, and how many instruments have a bar on it."""
+    held = t.long.groupBy(F.col("date").alias("session_date")).agg(F.count("*").alias("n_bars"))
+    return t.long_sessions.join(held, "session_date", "left").withColumn("n_bars", F.coalesce("n_bars", F.lit(0)))
 
 
-@plan("session_index", "SELECT session_date, session_index FROM long_sessions")
+@plan("session_index", "SELECT instrument_id, min(session_index) AS first_session, max(session_index) AS last_session, CAST(count(*) AS BIGINT) AS n_bars FROM long JOIN long_sessions ON session_date = date GROUP BY 1")
 def _(t):
-    return t.indexed.select("session_date", "session_index")
+    """The first and last session on which an instrument has a bar, by number."""
+    numbered = t.long.join(F.broadcast(t.indexed.select(F.col("session_date").alias("date"), "session_index")), "date")
+    return numbered.groupBy("instrument_id").agg(F.min("session_index").alias("first_session"), F.max("session_index").alias("last_session"), F.count("*").alias("n_bars"))
 
 
 @plan("next_session", "SELECT d.date, min(s.session_date) AS next_session FROM (SELECT DISTINCT date FROM eod) d JOIN sessions s ON s.session_date > d.date GROUP BY 1")
@@ -312,9 +378,11 @@ def _(t):
     return calendar.next_sessions(t.eod.select("date").distinct(), t.sessions)
 
 
-@plan("expected_labels", "SELECT ts, session_date FROM labels_five")
+@plan("expected_labels", "SELECT l.ts, l.session_date, CAST(count(b.instrument_id) AS BIGINT) AS n_bars FROM labels_five l LEFT JOIN five b ON b.ts = l.ts GROUP BY 1, 2")
 def _(t):
-    return calendar.expected_labels(t.sessions, "5min")
+    """Every bar that a session should have, and how many instruments have it."""
+    held = t.five.groupBy("ts").agg(F.count("*").alias("n_bars"))
+    return calendar.expected_labels(t.sessions, "5min").join(held, "ts", "left").withColumn("n_bars", F.coalesce("n_bars", F.lit(0)))
 
 
 @plan("canonical_dup_check", "SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(v) AS BIGINT) AS distinct_rows, CAST(count(*) FILTER (WHERE v > 1) AS BIGINT) AS conflicting_keys, CAST(count(*) FILTER (WHERE instrument_id IS NULL OR date IS NULL) AS BIGINT) AS null_keys FROM (SELECT instrument_id, date, count(*) AS v, sum(c) AS n FROM (SELECT *, count(*) AS c FROM (SELECT * FROM dirty UNION ALL SELECT * FROM incoming) GROUP BY ALL) GROUP BY 1, 2)")
@@ -495,10 +563,24 @@ def _(t):
     return ingest.target_rows(rows, "2024-01-08", "2024-01-11", "2024-01-12", 10**9, 10**9)
 
 
-@plan("request_chunks")
+#: a request holds 128 weekdays of 78 bars, the day it looks ahead included
+CHUNKS = """WITH RECURSIVE days AS (
+    SELECT day, (SELECT min(s.session_date) FROM long_sessions s WHERE s.session_date > day) AS ahead FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-10', INTERVAL 1 DAY)) AS DATE) AS day)),
+  weekdays AS (SELECT day, ahead, sum(CASE WHEN isodow(day) < 6 THEN 1 ELSE 0 END) OVER (ORDER BY day) AS number FROM days),
+  known AS MATERIALIZED (SELECT w.day, w.ahead, w.number - CASE WHEN isodow(w.day) < 6 THEN 1 ELSE 0 END AS before, a.number AS through FROM weekdays w JOIN weekdays a ON a.day = w.ahead),
+  wanted AS MATERIALIZED (SELECT instrument_id, min(date) AS a, max(date) AS b FROM long GROUP BY 1),
+  chunks AS (
+    SELECT s.instrument_id, s.b, s.a AS start, max(k.day) AS stop FROM wanted s JOIN known f ON f.day = s.a JOIN known k ON k.day BETWEEN s.a AND s.b AND k.through - f.before <= 128 GROUP BY ALL
+    UNION ALL
+    SELECT c.instrument_id, c.b, c.stop + 1, max(k.day) FROM chunks c JOIN known f ON f.day = c.stop + 1 JOIN known k ON k.day BETWEEN c.stop + 1 AND c.b AND k.through - f.before <= 128 WHERE c.stop < c.b GROUP BY ALL)
+  SELECT instrument_id, c.start, c.stop AS "end", k.ahead AS fetch_end, CAST((k.through - f.before) * 78 AS BIGINT) AS max_rows FROM chunks c JOIN known f ON f.day = c.start JOIN known k ON k.day = c.stop"""
+
+
+@plan("request_chunks", CHUNKS)
 def _(t):
-    chunks = calendar.request_chunks(date(2023, 1, 1), date(2025, 12, 31), "5min")
-    return t.spark.createDataFrame([(c.start, c.end, c.fetch_end, c.max_rows) for c in chunks], "start date, end date, fetch_end date, max_rows long")
+    """The requests that five-minute bars of each instrument's days would take."""
+    spans = t.long.groupBy("instrument_id").agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"))
+    return calendar.chunked(spans, "5min")
 
 
 @plan("fn_label_format", "SELECT CAST(h AS INTEGER) AS hour, format('{:02d}:00_close_of_{:02d}:00_bar', CAST(h AS INTEGER) + 1, CAST(h AS INTEGER)) AS hour_label, format('{:02d}:{:02d}_close_of_5min_bar', CAST(floor((570 + h * 5) / 60) AS INTEGER), CAST((570 + h * 5) % 60 AS INTEGER)) AS minute_label FROM (SELECT DISTINCT l_linenumber AS h FROM lineitem)")

@@ -7,6 +7,8 @@ a lost part is derived again. The next query releases them.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -16,6 +18,7 @@ from barlake.functions import calendar
 from barlake.operators import events, features, identity, ranking, studies
 from barlake.plans import settings as S
 from barlake.sources.derive import Tables
+from barlake.sources.warehouse import Warehouse
 
 
 _kept: list[DataFrame] = []
@@ -33,6 +36,16 @@ def keep(df: DataFrame) -> DataFrame:
     return df
 
 
+def own_warehouse(t: Tables, name: str) -> Warehouse:
+    """A warehouse of the query's own in the folder that all executors share."""
+    folder = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="barlake-publish-")
+    return Warehouse(t.spark, f"{folder}/{name}-{t.spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
+
+
 class Frames(Tables):
     @cached_property
     def feat_l(self) -> DataFrame:
@@ -104,9 +117,8 @@ class Frames(Tables):
 
     @cached_property
     def complete(self) -> DataFrame:
-        labels = self.sessions.select(F.col("session_date").alias("label"))
         bars = self.eod.filter("volume > 2").select("instrument_id", F.col("date").alias("label"))
-        return events.lookback_complete(keep(self.cand), labels, bars, "lookback_start_date", "prior_date")
+        return events.lookback_complete(keep(self.cand), bars, self.sessions, "lookback_start_date", "prior_date")
 
     @cached_property
     def audit(self) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barlake.operators import identity
+from barlake.operators import episodes, identity
 from barlake.plans import settings as S
 from barlake.plans.oracle import weekend
 from barlake.plans.registry import plan
@@ -141,3 +141,46 @@ def _(t):
     SELECT b.instrument_id, b.date, CAST(count(g.next_date) OVER (PARTITION BY b.instrument_id ORDER BY b.date ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode FROM long b LEFT JOIN gaps g ON g.instrument_id = b.instrument_id AND g.next_date = b.date) GROUP BY 1, 2""")
 def _(t):
     return identity.assign_episodes(t.long, t.gaps, S.FEWEST)
+
+
+HOLE, ZEROES, LEAST = 12, 3, 60
+SOURCES = "SELECT instrument_id, 'T' || instrument_id AS ticker, min(date) - 10 AS start_date, max(date) + 10 AS end_date FROM long WHERE instrument_id NOT LIKE '%7' GROUP BY 1"
+_VALID = "open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL AND high >= greatest(open, low, close) AND low <= least(open, high, close)"
+EPISODES = f"""WITH src AS ({SOURCES}),
+  b AS (SELECT d.*, s.session_index AS i, NOT ({_VALID}) AS invalid FROM dirty_once d LEFT JOIN long_sessions s ON s.session_date = d.date WHERE instrument_id IN (SELECT instrument_id FROM src)),
+  cal AS (SELECT *, sum(CASE WHEN volume = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY instrument_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS g, i - lag(i) OVER (PARTITION BY instrument_id ORDER BY date) - 1 AS hole FROM b WHERE i IS NOT NULL),
+  runs AS (SELECT instrument_id, g, min(date) AS a, max(date) AS z FROM cal WHERE volume = 0 AND g > 0 GROUP BY 1, 2 HAVING count(*) >= {ZEROES}),
+  bridges AS (SELECT r.instrument_id, r.a, r.z, min(c.date) AS split FROM runs r JOIN cal c ON c.instrument_id = r.instrument_id AND c.date > r.z AND c.volume <> 0 GROUP BY 1, 2, 3),
+  cuts AS (SELECT instrument_id, date AS split FROM cal WHERE hole >= {HOLE} UNION SELECT instrument_id, split FROM bridges),
+  counted AS (SELECT b.*, (SELECT count(*) FROM cuts c WHERE c.instrument_id = b.instrument_id AND c.split <= b.date) AS part,
+    EXISTS (SELECT 1 FROM bridges r WHERE r.instrument_id = b.instrument_id AND b.date BETWEEN r.a AND r.z AND b.i IS NOT NULL) AS bridged FROM b),
+  parts AS (SELECT instrument_id, part, count(*) AS n, min(date) AS first, max(date) AS last FROM counted WHERE NOT invalid AND NOT bridged GROUP BY 1, 2),
+  short AS (SELECT instrument_id, part FROM parts WHERE n < {LEAST} AND instrument_id IN (SELECT instrument_id FROM cuts)),
+  large AS (SELECT p.*, row_number() OVER (PARTITION BY instrument_id ORDER BY part) AS ordinal, count(*) OVER (PARTITION BY instrument_id) AS episodes FROM parts p WHERE n >= {LEAST} AND instrument_id IN (SELECT instrument_id FROM cuts))"""
+
+
+def _assigned(t):
+    sources = t.long.filter("instrument_id NOT LIKE '%7'").groupBy("instrument_id").agg(F.date_sub(F.min("date"), 10).alias("start_date"), F.date_add(F.max("date"), 10).alias("end_date"))
+    sources = sources.withColumn("ticker", F.concat(F.lit("T"), "instrument_id"))
+    return episodes.assigned(t.dirty.distinct(), sources, t.indexed, HOLE, LEAST, ZEROES)
+
+
+_UUID = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('market-data-eod-episode-v1|' || instrument_id || '|' || ticker || '|' || start_date || '|' || ordinal))"
+
+
+@plan("episode_plan", EPISODES + f"""
+  SELECT instrument_id AS source_id, CAST(ordinal AS BIGINT) AS ordinal, substr(u, 1, 12) || '5' || substr(u, 14, 3) || translate(substr(u, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(u, 18, 15) AS instrument_id,
+    ticker || '@' || strftime(start_date, '%Y%m%d') AS display_label, start_date, end_date, first AS observed_first, last AS observed_last, CAST(n AS BIGINT) AS n_bars, ticker
+  FROM (SELECT *, {_UUID} AS u FROM (SELECT l.*, s.ticker, CASE WHEN ordinal = 1 THEN s.start_date ELSE l.first END AS start_date, CASE WHEN ordinal = episodes THEN s.end_date ELSE l.last END AS end_date
+    FROM large l JOIN src s USING (instrument_id) WHERE episodes > 1))""")
+def _(t):
+    """The instruments that take the place of those whose history is several listings."""
+    return episodes.plan(_assigned(t))
+
+
+@plan("episode_quarantine", EPISODES + f"""
+  SELECT instrument_id, date, open, high, low, close, volume, CASE WHEN invalid THEN 'ohlc_invariants' WHEN bridged THEN 'zero_volume_episode_bridge' ELSE 'short_inferred_episode' END AS quarantine_reason
+  FROM counted c WHERE invalid OR bridged OR EXISTS (SELECT 1 FROM short s WHERE s.instrument_id = c.instrument_id AND s.part = c.part)""")
+def _(t):
+    """Bars that a repair sets aside, with the reason."""
+    return episodes.quarantined(_assigned(t), ["instrument_id", "date", "open", "high", "low", "close", "volume"])

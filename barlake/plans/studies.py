@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barlake.functions import exprs
-from barlake.operators import events, studies
+from barlake.functions import calendar, exprs
+from barlake.operators import catalog, events, features, phases, ranking, studies
 from barlake.plans import oracle
 from barlake.plans import settings as S
-from barlake.plans.frames import keep
+from barlake.plans.frames import keep, own_warehouse
 from barlake.plans.registry import plan
+from barlake.sources.derive import EVENT_END, EVENT_START
 
 EVENT = "instrument_id, event_date"
 DECISION = "open_raw adj_open prior_close_raw prior_adj_close benchmark_open_raw benchmark_adj_open".split()
@@ -196,7 +197,9 @@ def _(t):
 @plan("slice_liquidity_year", "SELECT CASE WHEN adv_dollars >= 1e7 THEN 'large' WHEN adv_dollars >= 2e6 THEN 'middle' ELSE 'small' END AS liquidity, CAST(year(event_date) AS INTEGER) AS year, CAST(count(*) AS BIGINT) AS events, round(avg(measured_return), 6) AS mean_return, round(quantile_cont(measured_return, 0.5), 6) AS median_return FROM obs_multi WHERE observation_label = 'session_plus_0' AND outcome_status = 'evaluable' GROUP BY 1, 2")
 def _(t):
     rows = t.scoped.withColumn("liquidity", exprs.liquidity(F.col("adv_dollars"), 1e7, 2e6))
-    return rows.groupBy("liquidity", F.year("event_date").alias("year")).agg(F.count("*").alias("events"), F.round(F.avg("measured_return"), 6).alias("mean_return"), F.round(F.percentile("measured_return", 0.5), 6).alias("median_return"))
+    rows = rows.withColumn("year", F.year("event_date"))
+    stats = rows.groupBy("liquidity", "year").agg(F.count("*").alias("events"), F.round(F.avg("measured_return"), 6).alias("mean_return"))
+    return ranking.with_medians(stats, rows, ["liquidity", "year"]).withColumn("median_return", F.round("median_return", 6))
 
 
 @plan("slice_regime", f"SELECT asset_type, market_regime, market_trend, CAST(count(*) AS BIGINT) AS events, round(avg(measured_return), 6) AS mean_return FROM {FLAGGED} WHERE outcome_status = 'evaluable' GROUP BY 1, 2, 3")
@@ -215,5 +218,82 @@ def _(t):
     gap = exprs.ratio_minus_one(F.col("open"), F.col("prior_close"))
     found = days.filter((gap <= -0.03) & (F.col("volume") >= 3)).select("instrument_id", F.col("date").alias("session_date"), F.col("open").alias("event_open"))
     bars = studies.valid_hourly(t.hourly, t.sessions).filter(F.col("ny_hour").isin(10, 11, 12))
-    r = F.col("close") / F.col("event_open") - 1
-    return found.join(bars, ["instrument_id", "session_date"]).groupBy(F.col("ny_hour").alias("checkpoint_hour")).agg(F.count("*").alias("events"), F.round(F.avg(r), 6).alias("mean_return"), F.round(F.percentile(r, 0.5), 6).alias("median_return"))
+    rows = found.join(bars, ["instrument_id", "session_date"]).select(F.col("ny_hour").alias("checkpoint_hour"), (F.col("close") / F.col("event_open") - 1).alias("measured_return"))
+    stats = rows.groupBy("checkpoint_hour").agg(F.count("*").alias("events"), F.round(F.avg("measured_return"), 6).alias("mean_return"))
+    return ranking.with_medians(stats, rows, ["checkpoint_hour"]).withColumn("median_return", F.round("median_return", 6))
+
+
+def _run_candidates(context):
+    """The candidates of the coarse study, from what the first phase may read."""
+    eod, hourly, schedule = context.read("eod"), context.read("intraday_1hour"), calendar.session_schedule(context.spark, EVENT_START, EVENT_END)
+    density = features.hourly_density(eod, hourly, schedule, S.LOOKBACK)
+    return studies.gap_candidates(features.eod_features(eod, S.LOOKBACK), schedule, density, S.BENCHMARK, S.LOOKBACK, S.GAP, 0.0, S.PERIODS)
+
+
+def _run_observations(context, selected):
+    schedule = calendar.session_schedule(context.spark, EVENT_START, EVENT_END)
+    rows = studies.gap_observations(selected, context.read("intraday_1hour"), context.read("eod"), schedule, S.BENCHMARK, S.TARGET)
+    keys = ["period", "observation_label"]
+    tidy = studies.tidy(studies.summarize(rows, keys), keys)
+    return rows, tidy.select("metric_name", "value", F.lit("").alias("unit"), F.create_map(F.lit("period"), F.col("period"), F.lit("observation_label"), F.col("observation_label")).alias("dimensions"))
+
+
+def _published_run(t):
+    """A warehouse of the query's own with a published two-phase run; (catalog, run id)."""
+    store = own_warehouse(t, "run")
+    store.publish("eod", t.eod)
+    store.publish("intraday_1hour", t.hourly)
+    store.put_metadata("aliases", t.event_aliases)
+    study = phases.Study(
+        "coarse", 1, ("eod", "intraday_1hour"), (), (phases.Lookback("eod", "lookback_start_date", "prior_date"),), phases.Gate(("duplicate_keys", "ohlc_invariants", "negative_values"), ("eod",), "2024-01-01", "2024-01-31"),
+        _run_candidates, lambda context, eligible: studies.dense(eligible, hourly_density=S.DENSITY), _run_observations, (EVENT_START, EVENT_END),
+    )
+    runs = catalog.Catalog(t.spark, f"{store.root}/research")
+    return runs, phases.run(study, store, runs, {"lookback": S.LOOKBACK})
+
+
+_RUN_COUNTS = {
+    "candidates": "count(*) FROM cand", "eligible": "count(*) FROM audit_all WHERE eligibility = 'eligible'", "identity_excluded": "count(*) FROM audit_all WHERE eligibility = 'identity_unresolved'",
+    "calendar_excluded": "count(*) FROM audit_all WHERE eligibility = 'not_in_session'", "lookback_incomplete": "count(*) FROM audit_all WHERE eligibility = 'lookback_incomplete'", "selected": "count(*) FROM run_chosen",
+    "evaluable": "count(*) FILTER (WHERE NOT m) FROM run_events", "missing_outcome": "count(*) FILTER (WHERE m) FROM run_events",
+    "evaluable_observations": "count(*) FROM obs_run WHERE outcome_status = 'evaluable'", "missing_outcome_observations": "count(*) FROM obs_run WHERE outcome_status <> 'evaluable'",
+}
+
+
+@plan("run_audit", " UNION ALL ".join([*(f"SELECT 'event_audit.{k}' AS metric_name, CAST(NULL AS VARCHAR) AS severity, CAST(n AS DOUBLE) AS value FROM (SELECT {v.replace('count(*)', 'count(*)').replace(' FROM', ' AS n FROM', 1)})" for k, v in _RUN_COUNTS.items()), *(f"SELECT 'event_audit.quality_findings', '{s}', 0.0::DOUBLE" for s in ("info", "warning", "error"))]))
+def _(t):
+    """What a published run counted of itself: events of every step, outcomes and quality findings."""
+    runs, run_id = _published_run(t)
+    return runs.metrics(run_id).filter(F.col("metric_name").startswith(phases.RESERVED)).select("metric_name", F.col("dimensions")["severity"].alias("severity"), "value")
+
+
+@plan("run_observations", f"SELECT {EVENT}, observation_label, outcome_status, round(measured_return, 6) AS measured_return FROM obs_run WHERE outcome_status = 'evaluable' AND period IN ('development', 'validation')")
+def _(t):
+    """Observations of a published run, loaded through its catalog."""
+    runs, run_id = _published_run(t)
+    rows = runs.load_observations([run_id]).filter("outcome_status = 'evaluable'").filter(F.col("period").isin("development", "validation"))
+    return _out(rows, ["instrument_id", "event_date", "observation_label", "outcome_status"], ["measured_return"])
+
+
+def _looked_back(labels: str, bars: str, first: str, last: str) -> str:
+    return f"""SELECT e.instrument_id, e.event_date, CAST(count(DISTINCT l.ts) AS BIGINT) AS expected, CAST(count(DISTINCT CASE WHEN b.ts IS NOT NULL THEN l.ts END) AS BIGINT) AS matched,
+        count(DISTINCT l.ts) > 0 AND count(DISTINCT l.ts) = count(DISTINCT CASE WHEN b.ts IS NOT NULL THEN l.ts END) AS complete
+      FROM (SELECT DISTINCT instrument_id, event_date, {first} AS a, {last} AS z FROM cand) e LEFT JOIN {labels} l ON l.ts BETWEEN e.a AND e.z
+      LEFT JOIN (SELECT DISTINCT instrument_id, ts FROM {bars}) b ON b.instrument_id = e.instrument_id AND b.ts = l.ts GROUP BY 1, 2"""
+
+
+_HOURS_BACK, _MINUTES_BACK = ("hourly_lookback_start", "decision_ts - INTERVAL 1 HOUR"), ("decision_ts - INTERVAL 3 DAY", "decision_ts - INTERVAL 5 MINUTE")
+
+
+@plan("lookback_complete_hourly", _looked_back("labels_hourly", "hourly", *_HOURS_BACK))
+def _(t):
+    """Whether every regular hour from the prior day to an hour before the decision has a bar."""
+    spans = t.cand.select("instrument_id", "event_date", F.col("hourly_lookback_start").alias("a"), F.expr(_HOURS_BACK[1]).alias("z"))
+    return events.lookback_complete(spans, t.hourly.select("instrument_id", F.col("ts").alias("label")), t.sessions, "a", "z", "intraday_1hour").drop("a", "b")
+
+
+@plan("lookback_complete_5min", _looked_back("labels_five", "five", *_MINUTES_BACK))
+def _(t):
+    """Whether every regular five minutes of the three days before the decision has a bar."""
+    spans = t.cand.select("instrument_id", "event_date", F.expr(_MINUTES_BACK[0]).alias("a"), F.expr(_MINUTES_BACK[1]).alias("z"))
+    return events.lookback_complete(spans, t.five.select("instrument_id", F.col("ts").alias("label")), t.sessions, "a", "z", "intraday_5min").drop("a", "b")

@@ -101,6 +101,11 @@ class Tables:
     def long_sessions(self) -> DataFrame:
         return calendar.session_schedule(self.spark, LONG_START, LONG_END)
 
+    @cached_property
+    def all_sessions(self) -> DataFrame:
+        """The sessions of both sets of bars."""
+        return self.long_sessions.unionByName(self.sessions)
+
     @cached_property
     def aliases(self) -> DataFrame:
         """Ticker spans of 30 days from orders: renames, reuse, gaps and overlaps all occur.

@@ -78,11 +78,18 @@ class Warehouse:
 
     def read(self, dataset: str, ids: Sequence[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
         """A dataset in canonical columns; ids and dates choose the folders, so that others are not read."""
-        df = self._read_folders(dataset, self._selected(dataset, self._manifest(dataset)[1], ids, start, end))
+        return self._read_at(dataset, self._manifest(dataset)[1], ids, start, end)
+
+    def _read_at(self, dataset: str, partitions: Mapping[str, str], ids: Sequence[str] | None, start: str | None, end: str | None) -> DataFrame:
+        df = self._read_folders(dataset, self._selected(dataset, partitions, ids, start, end))
         if ids is not None:
             df = df.filter(F.col("instrument_id").isin(list(ids)))
         return in_range(df, start, end)
 
+    def pin(self, datasets: Sequence[str], metadata: Sequence[str] = ()) -> Snapshot:
+        """What the datasets and metadata relations hold now, for reads that later publications don't change."""
+        return Snapshot(self, {d: self._manifest(d)[1] for d in datasets}, {m: self._version(m) for m in metadata})
+
     def read_files(self, paths: Sequence[str], dataset: str = "eod") -> DataFrame:
         """Exactly the given files."""
         return self.spark.read.schema(DATASETS[dataset]).parquet(*paths)
@@ -112,11 +119,14 @@ class Warehouse:
 
     def metadata(self, name: str) -> DataFrame:
         """The last version of a metadata relation."""
+        return self.spark.read.parquet(self._version(name))
+
+    def _version(self, name: str) -> str:
         folder = f"{self.root}/meta/{name}"
         versions = [int(n) for n in files.names(self.spark, folder) if n.isdigit()]
         if not versions:
             raise SelectorError(f"no metadata relation {name}")
-        return self.spark.read.parquet(f"{folder}/{max(versions)}")
+        return f"{folder}/{max(versions)}"
 
     def register_frame(self, name: str, rows: Sequence[tuple], schema: str) -> DataFrame:
         """A view of rows in the driver's memory, for lists that a query joins."""
@@ -210,6 +220,24 @@ class Warehouse:
         rows.withColumn("quarantine_reason", F.lit(reason)).write.mode("append").parquet(f"{self.root}/quarantine")
 
 
+class Snapshot:
+    """Datasets and metadata relations as they were at one moment."""
+
+    def __init__(self, store: Warehouse, partitions: Mapping[str, Mapping[str, str]], versions: Mapping[str, str]):
+        self.store, self.spark, self.partitions, self.versions = store, store.spark, dict(partitions), dict(versions)
+
+    def read(self, dataset: str, ids: Sequence[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+        """As ``Warehouse.read``, of the pinned publication."""
+        return self.store._read_at(dataset, self.partitions[dataset], ids, start, end)
+
+    def metadata(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.versions[name])
+
+    def files(self, dataset: str) -> list[str]:
+        """The folders of the pinned publication."""
+        return self.store._selected(dataset, self.partitions[dataset], None, None, None)
+
+
 def located(rows: DataFrame, parts: Sequence[str]) -> DataFrame:
     """Rows with the partition columns they belong to."""
     if "year" in parts:
@@ -239,10 +267,9 @@ def select_range(bars: DataFrame, start: str | None, end: str | None) -> DataFra
 
 
 def by_segments(bars: DataFrame, segments: DataFrame) -> DataFrame:
-    """Bars within resolved segments of their instrument, with the segment's ticker."""
-    s = segments.filter("status = 'resolved'").select(F.col("owner").alias("instrument_id"), "ticker", "first", "last")
-    day = exprs.utc_date(F.col("date" if "date" in bars.columns else "ts"))
-    return bars.join(s, "instrument_id").filter(day.between(F.col("first"), F.col("last"))).drop("first", "last")
+    """Bars within resolved segments of their instrument, with the segment's ticker; segments stand as their days."""
+    days = segments.filter("status = 'resolved'").select(F.col("owner").alias("instrument_id"), "ticker", F.explode(F.sequence("first", "last")).alias("_day"))
+    return bars.withColumn("_day", exprs.utc_date(F.col(time_column(bars)))).join(days, ["instrument_id", "_day"]).drop("_day")
 
 
 def file_bounds(df: DataFrame, column: str) -> DataFrame:

@@ -30,6 +30,32 @@ def test_early_close_and_labels(spark):
     assert [h.hour for h in hours] == [14, 15, 16, 17, 18, 19]
 
 
+@pytest.mark.parametrize("day,early", [
+    ("1995-07-03", True), ("1996-07-03", False), ("1996-07-05", True), ("1997-12-26", True), ("1999-12-31", True), ("1999-12-30", False), ("2000-07-03", True), ("2002-07-03", False), ("2002-07-05", True),
+    ("2003-12-26", True), ("2008-12-24", True), ("2012-07-03", True), ("2013-07-03", True), ("2019-07-03", True), ("2013-07-05", False), ("2018-12-24", True), ("2023-11-24", True), ("2022-12-23", False),
+])
+def test_early_closes_by_year(day, early):
+    day = date.fromisoformat(day)
+    assert calendar.is_session(day) and calendar.is_early_close(day) == early
+
+
+def test_every_tabled_day_is_a_session():
+    assert all(calendar.is_session(d) and d.year < calendar.EARLY_BY_RULE for d in calendar.EARLY)
+
+
+def test_sessions_of_a_year():
+    """Published numbers of trading days."""
+    counts = {1995: 252, 1996: 254, 1997: 253, 1998: 252, 1999: 252, 2000: 252, 2001: 248, 2012: 250, 2018: 251, 2020: 253, 2021: 252, 2024: 252}
+    assert {y: len(calendar.sessions(date(y, 1, 1), date(y, 12, 31))) for y in counts} == counts
+
+
+def test_chunks_of_spans(spark):
+    spans = spark.createDataFrame([("A", date(2023, 1, 1), date(2024, 12, 31)), ("B", date(2024, 1, 2), date(2024, 1, 2)), ("C", date(2024, 2, 2), date(2024, 1, 1))], "instrument_id string, start_date date, end_date date")
+    rows = calendar.chunked(spans, "5min").collect()
+    assert [(r.start, r.end) for r in rows if r.instrument_id == "A"] == [(c.start, c.end) for c in calendar.request_chunks(date(2023, 1, 1), date(2024, 12, 31), "5min")]
+    assert [r.fetch_end for r in rows if r.instrument_id == "B"] == [date(2024, 1, 3)] and not [r for r in rows if r.instrument_id == "C"]
+
+
 def test_next_and_latest_session():
     assert calendar.next_session_after(date(2024, 1, 1)) == date(2024, 1, 2)
     assert calendar.next_session_after(date(2022, 1, 2)) == date(2022, 1, 3)
