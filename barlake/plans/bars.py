@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from barlake.functions import calendar, exprs
-from barlake.operators import catalog, health, identity, ingest, quality
+from barlake.operators import catalog, health, identity, ingest, quality, reconcile
 from barlake.plans import oracle
 from barlake.plans import settings as S
 from barlake.plans.frames import own_warehouse
@@ -538,6 +540,27 @@ def _(t):
     return ingest.reconcile_coverage(files, t.coverage.filter("instrument_id NOT LIKE '%-2'"), t.eod.filter("instrument_id NOT LIKE 'error-%'").select("instrument_id").distinct())
 
 
+CAP = "2024-01-24"
+_FILES = f"""SELECT instrument_id, 'eod' AS dataset_key, CASE WHEN instrument_id = 'error-3' THEN 'unknown_instrument' ELSE 'ok' END AS status, min(date) AS first_date, max(date) AS last_date, CAST(count(*) AS BIGINT) AS n_rows FROM eod GROUP BY 1
+    UNION ALL SELECT instrument_id, 'eod', 'wrong_bucket', min(date), max(date), CAST(count(*) AS BIGINT) FROM eod WHERE instrument_id = 'view-1' AND date > DATE '2024-01-20' GROUP BY 1
+    UNION ALL SELECT instrument_id, 'intraday_1hour', status, a, CASE WHEN status = 'ok' THEN least(z, DATE '{CAP}') ELSE z END, CAST(n AS BIGINT) FROM (
+      SELECT instrument_id, CASE WHEN instrument_id = 'error-3' THEN 'unknown_instrument' WHEN instrument_id = 'error-1' THEN 'disconnected_years' WHEN min(day) > DATE '{CAP}' THEN 'current_day_only' ELSE 'ok' END AS status, min(day) AS a, max(day) AS z, count(*) AS n
+      FROM (SELECT instrument_id, CAST(ts AS DATE) AS day FROM hourly WHERE instrument_id <> 'click-2' OR CAST(ts AS DATE) > DATE '{CAP}'
+        UNION ALL SELECT instrument_id, CAST(ts + INTERVAL 2 YEAR AS DATE) FROM hourly WHERE instrument_id = 'error-1') GROUP BY 1)"""
+
+
+@plan("reconcile_files", _FILES)
+def _(t):
+    """Coverage from published files with planted faults: a stray file, an unknown instrument, a hole of a year, a last day alone."""
+    w = own_warehouse(t, "reconcile")
+    w.publish("eod", t.eod)
+    hourly = t.hourly.filter(F.expr(f"instrument_id <> 'click-2' OR CAST(ts AS DATE) > DATE'{CAP}'"))
+    w.publish("intraday_1hour", hourly.unionByName(t.hourly.filter("instrument_id = 'error-1'").withColumn("ts", F.expr("ts + INTERVAL 2 YEAR"))))
+    (stray,) = [f for f in w.pin(["eod"]).files("eod") if f.endswith(f"bucket={warehouse.bucket_of('click-0')}")]
+    ingest.canonical(t.eod.filter("instrument_id = 'view-1' AND date > '2024-01-20'")).write.mode("append").parquet(stray)
+    return reconcile.judged(w, t.eod.filter("instrument_id <> 'error-3'").select("instrument_id").distinct(), date.fromisoformat(CAP))
+
+
 @plan("budget_ramp", "SELECT day, CAST(500000 + 500000 * CASE WHEN l >= 7 THEN 0 ELSE 6 - l END // 6 AS BIGINT) AS byte_limit FROM (SELECT DISTINCT date AS day, last_day(date) - date AS l FROM eod)")
 def _(t):
     return ingest.budget_ramp(t.eod.select(F.col("date").alias("day")).distinct(), 500_000, 1_000_000, 7)

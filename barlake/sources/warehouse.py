@@ -216,8 +216,19 @@ class Warehouse:
             files.remove(self.spark, f"{self.path(dataset)}/{name}")
         return stale
 
-    def quarantine(self, rows: DataFrame, reason: str) -> None:
-        rows.withColumn("quarantine_reason", F.lit(reason)).write.mode("append").parquet(f"{self.root}/quarantine")
+    def quarantine(self, rows: DataFrame, run: str, reason: str | None = None) -> None:
+        """Set rows aside under the run that found them; a repetition of the run replaces what it had set aside.
+
+        ``reason`` stands for a column quarantine_reason that the rows don't have.
+        """
+        if not run or any(c in run for c in "/=\\"):
+            raise ValueError(f"a run's name is part of a path: {run!r}")
+        rows = rows.withColumn("quarantine_reason", F.lit(reason)) if reason is not None else rows
+        rows.write.mode("overwrite").parquet(f"{self.root}/quarantine/run={run}")
+
+    def quarantined(self) -> DataFrame:
+        """All rows set aside, with their run."""
+        return self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/quarantine")
 
 
 class Snapshot:
