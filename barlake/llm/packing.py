@@ -4,8 +4,9 @@ Each document's ids are cut: full windows first, each a sequence of its own, the
 ``piece`` ids. Pieces gather in groups that hold a whole number of windows less a small slack. Within
 a group the Karmarkar-Karp method keeps partial partitions (k sums each) in a heap by imbalance and
 merges the two most unbalanced, largest sums against smallest; the k near-equal sums are the
-windows. If a sum exceeds the capacity, k rises by one and the group is done again. What remains at
-the end of a partition is cut to lengths that are powers of two, which need no padding.
+windows. If a sum exceeds the capacity, k rises by one and the group is done again. At the end of a
+partition all that fills windows is packed the same way, in finer pieces; the tail that is left, less
+than a window, is cut to lengths that are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -65,12 +66,30 @@ def near_equal_windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
+def finer(pieces: list[Piece], most: int) -> Iterator[Piece]:
+    """The pieces in parts of at most ``most`` ids."""
+    for doc, start, length in pieces:
+        for at in range(0, length, most):
+            yield doc, start + at, min(most, length - at)
+
+
+def joined(pieces: list[Piece]) -> list[Piece]:
+    """Pieces by document and place, those that follow one another as one."""
+    out: list[Piece] = []
+    for doc, start, length in sorted(pieces):
+        if out and out[-1][0] == doc and out[-1][1] + out[-1][2] == start:
+            out[-1] = doc, out[-1][1], out[-1][2] + length
+        else:
+            out.append((doc, start, length))
+    return out
+
+
 class Packer:
     """Packs the documents of one partition; memory holds one group of windows."""
 
     def __init__(self, first_sequence: int, capacity: int, piece: int, windows: int, slack: int):
         self.sequence, self.capacity, self.piece = first_sequence, capacity, piece
-        self.room = windows * (capacity - slack)
+        self.slack, self.room = slack, windows * (capacity - slack)
         self.pieces: list[Piece] = []
         self.size = 0
 
@@ -96,21 +115,23 @@ class Packer:
         self.pieces, self.size = [], 0
 
     def finish(self) -> Iterator[tuple[Piece, int, int]]:
-        """Place the rest: near-equal windows while they fill, then sequences of a power of two."""
-        tail: list[Piece] = []
-        left = self.size % self.capacity
-        while left and self.pieces:
-            doc, start, length = self.pieces.pop()
-            take = min(left, length)
-            tail.append((doc, start + length - take, take))
-            if take < length:
-                self.pieces.append((doc, start, length - take))
-            left -= take
-        self.size -= sum(p[2] for p in tail)
-        if self.size:
-            # Without slack the sums fit only if all are equal; cut what exceeds and fill with it.
-            yield from self._fill()
-        tail.reverse()
+        """Place the rest: near-equal windows of all that fills them, then the tail in sequences of a power of two.
+
+        Few pieces are seldom near-equal: where their sums exceed the capacity they are cut finer first, down to
+        the slack of a window, and only then the count rises. The tail is less than a window and gives twelve
+        short sequences at most.
+        """
+        full = self.capacity - self.slack
+        k = self.size // full
+        tail = self._cut_off(self.size - k * full)
+        if k:
+            for most in (self.piece, self.piece // 4, self.piece // 16, max(1, self.slack)):
+                pieces = list(finer(self.pieces, max(1, most)))
+                sets = near_equal_windows([p[2] for p in pieces], self.capacity)
+                if len(sets) == k:
+                    break
+            for own in sets:
+                yield from self._place(joined([pieces[i] for i in own]))
         total = sum(p[2] for p in tail)
         for bit in range(total.bit_length() - 1, -1, -1):
             if total >> bit & 1:
@@ -125,31 +146,18 @@ class Packer:
                 yield from self._place(own)
         self.pieces, self.size = [], 0
 
-    def _fill(self) -> Iterator[tuple[Piece, int, int]]:
-        """Exactly full windows: near-equal sums, then the excess of each goes where room is left."""
-        k = self.size // self.capacity
-        sets = [[self.pieces[i] for i in own] for own in difference([p[2] for p in self.pieces], k)]
-        spare: list[Piece] = []
-        short: list[tuple[list[Piece], int]] = []
-        for own in sets:
-            over = sum(p[2] for p in own) - self.capacity
-            while over > 0:
-                doc, start, length = own.pop()
-                take = min(over, length)
-                spare.append((doc, start + length - take, take))
-                if take < length:
-                    own.append((doc, start, length - take))
-                over -= take
-            short.append((own, -over if over < 0 else 0))
-        for own, need in short:
-            while need:
-                doc, start, length = spare.pop()
-                take = min(need, length)
-                own.append((doc, start, take))
-                if take < length:
-                    spare.append((doc, start + take, length - take))
-                need -= take
-            yield from self._place(own)
+    def _cut_off(self, left: int) -> list[Piece]:
+        """The last ``left`` ids of what is gathered."""
+        tail: list[Piece] = []
+        while left:
+            doc, start, length = self.pieces.pop()
+            take = min(left, length)
+            tail.append((doc, start + length - take, take))
+            if take < length:
+                self.pieces.append((doc, start, length - take))
+            left -= take
+        tail.reverse()
+        return tail
 
     def _place(self, own: list[Piece]) -> Iterator[tuple[Piece, int, int]]:
         offset = 0

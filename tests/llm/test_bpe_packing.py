@@ -1,7 +1,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -122,3 +122,22 @@ def test_differencing_balances():
     assert max(sums) - min(sums) <= 60
     assert packing.difference([], 3) == [[], [], []]
     assert sorted(sum([5, 5, 5, 5][i] for i in s) for s in packing.difference([5, 5, 5, 5], 2)) == [10, 10]
+
+
+@pytest.mark.parametrize("seed,count,longest", [(1, 3, 9000), (2, 40, 3000), (3, 400, 900), (4, 1, 40_000), (5, 2000, 5), (6, 1, 3)])
+def test_the_end_of_a_partition_is_packed_by_differencing(seed, count, longest):
+    """Whole windows come from near-equal sums; only a tail shorter than a window is cut to powers of two."""
+    rng = random.Random(seed)
+    packer = packing.Packer(0, 4096, 1024, 64, 8)
+    lengths = [rng.randint(1, longest) for _ in range(count)]
+    placed = [x for i, n in enumerate(lengths) for x in packer.add(i, n)] + list(packer.finish())
+    fill = Counter()
+    for (_, _, length), sequence, offset in placed:
+        assert offset == fill[sequence]
+        fill[sequence] += length
+    ids = sorted((doc, start, length) for (doc, start, length), _, _ in placed)
+    assert [sum(p[2] for p in ids if p[0] == i) for i in range(count)] == lengths
+    assert all(a[1] + a[2] == b[1] for a, b in zip(ids, ids[1:], strict=False) if a[0] == b[0])
+    short = [n for n in fill.values() if n < 4096 - 8 - 1024]
+    assert len(short) <= 12 and all(n & (n - 1) == 0 for n in short) and sum(short) < 4096
+    assert sum(4096 - n for n in fill.values() if n & (n - 1)) <= 0.02 * sum(lengths) + 4096
