@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.llm import neardup, packing, pii, quality, substring
-from barlake.llm.storage import durable, read_table
+from barlake.llm.storage import discard, finished, read_table
 
 SIMILARITY = 80
 
@@ -71,7 +71,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table documents; each result is written before the next stage reads it."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        docs = finished(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        discard(*before)  # of each stage only its result stays, until the next one is written
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
