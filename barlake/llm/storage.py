@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: set[str] = set()
+_local: dict[str, str] = {}  # the temporary folder of each application on one machine
+_scopes = threading.local()  # of each thread: the tables of what it is making now
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,8 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="barlake-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _local:
+            _local[application] = "file://" + tempfile.mkdtemp(prefix="barlake-shared-")
+        folder = _local[application]
     return folder.rstrip("/")
 
 
@@ -33,11 +39,29 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(_at_exit)
     _written.add(path)
+    for scope in getattr(_scopes, "open", [])[-1:]:
+        scope.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out
 
 
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``make`` gives, written; what it wrote on the way is removed."""
+    stack = _scopes.open = getattr(_scopes, "open", [])
+    stack.append([])
+    try:
+        df = make()
+        own, stack[-1] = stack[-1], []
+        out = durable(df, name)
+    finally:
+        stack.pop()
+    _remove(out.sparkSession, [path for path in own if path in _written])
+    for scope in stack[-1:]:
+        scope.append(out._durable_path)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that ``durable`` returned and that nothing reads any more."""
     for table in tables:
