@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from barlake.llm.storage import discard, durable
+from barlake.llm.storage import durable, finished
 
 OPENING = 100  # conversations with ids from a multiple of this up share that one's first turns
 MOST_SHARED = 6  # the number of shared turns is a checksum modulo this
@@ -131,8 +131,9 @@ def _walk_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def placed(paths: DataFrame) -> DataFrame:
     """Prefixes with their nodes: smallest member, number of members and of those that end there."""
-    nodes = paths.groupBy("depth", "digest").agg(F.min("conv_id").alias("node"), F.count("*").alias("n_convs"), F.count_if("last").alias("n_ends"))
-    # Each key is one row of nodes; prefixes with a frequent beginning are split where Spark finds them large.
+    # Each key is one row of nodes. As they stand in a table, both sides are shuffled for the join alone, and
+    # prefixes with a frequent beginning are split where Spark finds them large.
+    nodes = durable(paths.groupBy("depth", "digest").agg(F.min("conv_id").alias("node"), F.count("*").alias("n_convs"), F.count_if("last").alias("n_ends")), "node-counts")
     return paths.join(nodes, ["depth", "digest"]).drop("digest")
 
 
@@ -175,6 +176,11 @@ def ends(members: DataFrame) -> DataFrame:
 
 
 def trie(conversations: DataFrame) -> DataFrame:
+    """``nodes`` of the conversations, written once; the tables on the way are removed."""
+    return finished(lambda: nodes(conversations), "nodes").select(NODE)
+
+
+def nodes(conversations: DataFrame) -> DataFrame:
     """Nodes of the prefix trie of rebuilt conversations (conv_id, turn, role, text).
 
     A conversation's turns are ordered by turn, null first; ties by a digest of role and text. Null roles
@@ -210,14 +216,10 @@ def trie(conversations: DataFrame) -> DataFrame:
     ).filter(F.lit(n > 0))
     below = own.join(sums, ["node", "n_convs"]).select("node", "depth", "parent", "n_convs", "n_leaves", (F.col("saved") - F.col("above")).alias("saved_tokens"))
     every = below.unionByName(root).join(children, ["node", "depth"], "left").join(ends(ended), ["node", "depth"], "left")
-    out = durable(
-        every.select(
-            F.col("node").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"),
-            "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(EMPTY)).alias("ends_sha256"),
-        ), "nodes",
+    return every.select(
+        F.col("node").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"),
+        "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(EMPTY)).alias("ends_sha256"),
     )
-    discard(turns, paths, on_nodes, by_path)
-    return out.select(NODE)
 
 
 #: Prefixes by list slices; ancestors of a node lie on its smallest member's path.
