@@ -54,9 +54,23 @@ LOOSE_CARD = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9
 SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,128}(?![A-Za-z0-9_+/-])")
 HEX = re.compile("[0-9a-f]+|[0-9A-F]+")
 OBFUSCATED = ("[at]", "(at)", "[dot]", "(dot)", " dot ")
-TOP_LEVEL = frozenset("com net org edu gov io de fr es eu uk info example".split())
-ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "60", "65", "2")
-KEY_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "sk-", "xox", "eyJ")
+# Generic top-level names; every name of two letters is a country's.
+TOP_LEVEL = frozenset("""
+    com net org edu gov mil int info biz name pro aero coop museum jobs mobi travel tel cat asia post app dev page blog cloud online site website store shop tech
+    space xyz club live life world today news media email agency company group team work digital network systems solutions services support software studio
+    academy school university health care clinic bank finance money legal law consulting engineering global international design art music video photo game games
+""".split())
+# Leading digits of card issuers.
+ISSUERS = ("4", "34", "37", "36", "38", *map(str, range(300, 306)), *map(str, range(51, 56)), *map(str, range(2221, 2721)), "6011", *map(str, range(644, 650)), "65", *map(str, range(3528, 3590)), "62", "50", "56", "57", "58", "6304", "6759")
+# Country calling codes of one and two digits, and the zones whose codes have three.
+CALLING = ("1", "7", "20", "27", *map(str, range(30, 35)), "36", "39", "40", "41", *map(str, range(43, 50)), *map(str, range(51, 59)), *map(str, range(60, 67)), "81", "82", "84", "86", *map(str, range(90, 96)), "98")
+CALLING_ZONES = ("21", "22", "23", "24", "25", "26", "29", "35", "37", "38", "42", "50", "59", "67", "68", "69", "80", "85", "87", "88", "96", "97", "99")
+# Prefixes that issuers give their keys.
+KEY_PREFIXES = (
+    "AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk-", "sk_live_", "sk_test_", "pk_live_", "pk_test_", "rk_live_", "xoxb-", "xoxp-", "xoxa-", "xoxs-",
+    "eyJ", "ya29", "npm_", "pypi-", "hf_", "dop_v1_", "shpat_", "shpss_", "whsec_", "dckr_pat_",
+)
+DIGESTS = (32, 40, 56, 64, 96, 128)  # hexadecimal digits of common checksums
 CONTEXT = {
     "email": ("mail", "contact", "write", "correo", "courriel", "@"),
     "ip": ("ip", "addr", "host", "server", "login", "from"),
@@ -64,7 +78,12 @@ CONTEXT = {
     "phone": ("tel", "phone", "call", "fax", "mobil"),
     "secret": ("password", "passwd", "pwd", "token", "secret", "key", "auth", "bearer", "credential"),
 }
-AGAINST = ("version", "isbn", "order", "sha", "md5", "commit", "checksum", "uuid", "id=", "release", "http", "src=", "invoice", "serial")
+AGAINST = (
+    "version", "isbn", "order", "sha", "md5", "commit", "checksum", "uuid", "id=", "release", "http", "src=", "invoice", "serial", "part", "item", "sku", "model", "ticket", "case", "ref", "revision",
+    "rev ", "digest", "hash", "build", "tracking", "batch", "lot ", "number", "no.", "nr.", "merge", "blob", "tree", "parent",
+)
+# Words directly before a span that say what it is a number of, whatever it looks like.
+NAMED = re.compile(r"(?:^|[^a-z])(?:order|invoice|part|item|sku|model|ticket|case|ref|reference|revision|rev|commit|sha|sha1|sha256|md5|checksum|digest|hash|build|tracking|batch|lot|serial|isbn|issn|version|release|merge|blob|tree|parent)(?: +(?:no|nr|number|id|code))?[.:#]* *[\"'(]?$")
 
 
 @dataclass(frozen=True)
@@ -156,6 +175,15 @@ def entropy(text: str) -> float:
     return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
 
 
+def dialled(span: str, number: str) -> int:
+    """Whether a number can be dialled: a calling code after a plus, or an area and an exchange that exist where it has ten digits."""
+    if span.startswith("+"):
+        return 1 if number.startswith(CALLING) or number.startswith(CALLING_ZONES) else -1
+    if len(number) == 10:
+        return 1 if number[0] in "23456789" and number[3] in "23456789" and number[1:3] != "11" and number[4:6] != "11" else -1
+    return 0
+
+
 def votes(text: str, s: Span) -> tuple[int, ...]:
     """Each labeler's vote for a candidate: 1 personal data, -1 not, 0 no opinion."""
     span, number = text[s.start : s.end], digits(text[s.start : s.end])
@@ -173,19 +201,27 @@ def votes(text: str, s: Span) -> tuple[int, ...]:
         border = -1 if border < 0 or last in (".", "v", "V", "-") or (after == "." and text[s.end + 1 : s.end + 2].isdigit()) else 1
     elif s.kind == "phone":
         check = 1 if 9 <= len(number) <= 15 else -1
-        known = 1 if "555" in number or span.startswith("+") else 0
+        known = dialled(span, number)
         shape = 1 if any(c in span for c in "() ") else 0
         border = -1 if border < 0 or last in "#-./" and last else 1
     elif s.kind == "email":
         check = 1 if "@" in span or any(x in span for x in OBFUSCATED[:4]) else 0
-        known = 1 if re.split(r"[^A-Za-z0-9-]+", span)[-1].lower() in TOP_LEVEL else -1
+        top = re.split(r"[^A-Za-z0-9-]+", span)[-1].lower()
+        known = 1 if top in TOP_LEVEL or (len(top) == 2 and top.isalpha()) else -1
         shape = 1 if len(span) <= 80 else -1
     else:
-        check = 1 if entropy(span) >= 3 else -1
-        known = 1 if span.startswith(KEY_PREFIXES) else 0
-        mixed = span.isalnum() and (span.upper() == span or (span.lower() != span and len(number) >= 3))
-        shape = 1 if mixed or (HEX.fullmatch(span) and len(span) >= 16) else -1
-        border = -1 if last in "/.-" and last else 1 if last in "=:\"'" and last else 0
+        digest = bool(HEX.fullmatch(span)) and len(span) in DIGESTS
+        # Words and numbers joined by signs are a name or a path, whatever the entropy of their letters.
+        named = all(p.isdigit() or p.islower() and p.isalpha() for p in re.split("[-_+/]+", span) if p)
+        check = -1 if entropy(span) < 3 or named else 0 if digest else 1
+        known = 1 if span.startswith(KEY_PREFIXES) else -1 if digest or named else 0
+        mixed = span.replace("_", "").replace("-", "").isalnum() and (span.upper() == span or (span.lower() != span and len(number) >= 3))
+        border = -1 if last in "/.-" and last else 1 if last in "=:\"'" and last else -1 if digest else 0
+        # A checksum that nothing is set to is a checksum.
+        shape = min(border, 0) if digest else 1 if mixed or (HEX.fullmatch(span) and len(span) >= 16) else -1
+    if NAMED.search(before):
+        # A named number: no labeler that looks at the digits has a say against its name.
+        return min(check, 0), min(known, 0), -1, -1, -1
     words = CONTEXT[s.kind]
     context = 1 if any(w in before for w in words) else -1 if any(w in before for w in AGAINST) else 0
     return check, known, context, border, shape
