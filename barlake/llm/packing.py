@@ -66,6 +66,10 @@ def near_equal_windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
+def fit(sets: list[list[int]], pieces: list[Piece], capacity: int) -> bool:
+    return all(sum(pieces[i][2] for i in own) <= capacity for own in sets)
+
+
 def finer(pieces: list[Piece], most: int) -> Iterator[Piece]:
     """The pieces in parts of at most ``most`` ids."""
     for doc, start, length in pieces:
@@ -117,19 +121,19 @@ class Packer:
     def finish(self) -> Iterator[tuple[Piece, int, int]]:
         """Place the rest: near-equal windows of all that fills them, then the tail in sequences of a power of two.
 
-        Few pieces are seldom near-equal: where their sums exceed the capacity they are cut finer first, down to
-        the slack of a window, and only then the count rises. The tail is less than a window and gives twelve
-        short sequences at most.
+        Few pieces are seldom near-equal: where their sums exceed the capacity they are cut to an eighth first,
+        and where those sums do, the count rises. The tail is less than a window and gives twelve short
+        sequences at most.
         """
         full = self.capacity - self.slack
         k = self.size // full
         tail = self._cut_off(self.size - k * full)
         if k:
-            for most in (self.piece, self.piece // 4, self.piece // 16, max(1, self.slack)):
-                pieces = list(finer(self.pieces, max(1, most)))
+            pieces = self.pieces
+            sets = difference([p[2] for p in pieces], k)
+            if not fit(sets, pieces, self.capacity):
+                pieces = list(finer(pieces, max(1, self.piece // 8)))
                 sets = near_equal_windows([p[2] for p in pieces], self.capacity)
-                if len(sets) == k:
-                    break
             for own in sets:
                 yield from self._place(joined([pieces[i] for i in own]))
         total = sum(p[2] for p in tail)
