@@ -15,8 +15,9 @@ collides with most. What is then linked needs no more comparison, so that a grou
 few comparisons a member. Classes that reach the match threshold form a family: with their
 representatives, and block by block in the lists that hold several families yet. In a family the
 classes that are not linked are compared and confirmed block by block, once, whatever the number of
-lists they share; its largest linked group is not compared with itself. A task holds some thousand
-rows, and no pairs leave it but those that connect.
+lists they share; its largest linked group is not compared with itself. Where a family has many such
+classes, those meet only in the lists of their rarest shingles, which two linked sets cannot both lack.
+A task holds some thousand rows, and no pairs leave it but those that connect.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ COORDINATES = 48
 MISS = 1e-7
 BLOCK = 128
 ROUNDS = 1
+MOST_OPEN = 1_024  # classes of a family, beside its largest linked group, that are compared as they are
 UNIT_ROWS = 2_000
 PAIRS_AT_ONCE = 100_000
 SEED = 11
@@ -336,7 +338,7 @@ def _open_lists(lists: DataFrame, block: int) -> DataFrame:
     ).select("task", "at.*", "rep", "label")
 
 
-def links(docs: DataFrame, classes: DataFrame, percent: int, size: int, coordinates: int, miss: float, block: int, rounds: int) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, percent: int, size: int, coordinates: int, miss: float, block: int, rounds: int, most_open: int) -> DataFrame:
     """Edges (a, b) between classes: their components are those of all links."""
     matches = least_matches(coordinates, percent / 100, miss)
     lists = prefix_lists(classes, matches)
@@ -363,10 +365,52 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, size: int, coordina
     joined = components(touching).select(F.col("node").alias("family"), F.col("label").alias("whole"))
     family = by_hub.join(joined, "family", "left").select("rep", F.coalesce("whole", "family").alias("key"))
     members = durable(known.select("rep", "label").distinct().join(family, "rep").select("key", "rep", "label"), "members")
-    found.append(_run(_open_lists(members, block), sets, _confirmed(matches, percent), link, "links"))
+    # Families whose open classes are few are confirmed as they are; larger ones by the lists of their
+    # rarest shingles, of which two linked sets share one.
+    wide = durable(_wide_families(members, most_open), "wide")
+    small = members.join(wide, "key", "left_anti")
+    found.append(_run(_open_lists(small, block), sets, _confirmed(matches, percent), link, "links"))
+    if not wide.isEmpty():
+        rare = rare_lists(members.join(wide, "key"), sets, percent)
+        found.append(_run(_open_lists(rare, block), sets, _confirmed(matches, percent), link, "links"))
     return _union(found)
 
 
+def _wide_families(members: DataFrame, most_open: int) -> DataFrame:
+    """(key): families with more than ``most_open`` classes outside their largest linked group."""
+    by_label = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    return by_label.groupBy("key").agg(F.max("n").alias("largest"), F.sum("n").alias("n")).filter(F.col("n") - F.col("largest") > most_open).select("key")
+
+
+def rare_lists(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, label): lists of a family's classes that share a shingle among the rarest of both.
+
+    In a set of n shingles, ordered from rare to frequent within the family, the first n - ceil(percent * n /
+    100) + 1 hold one that every linked set has among its own first ones: what is left is too few. Pages of
+    one template differ in more shingles than that, which they share with no other, and so meet in no list.
+    """
+    own = durable(members.join(sets.select("rep", "keys"), "rep").withColumn("set", F.xxhash64("rep", "keys")).mapInArrow(_shingles, "key long, rep long, label long, set long, n int, shingle long"), "shingles")
+    times = own.groupBy("key", "shingle").agg(F.count("*").alias("times")).filter("times > 1")
+    # Shingles that no other class has come first, whatever their order: only their number counts.
+    shared = own.join(times, ["key", "shingle"])
+    places = shared.groupBy("key", "rep", "label", "set", "n").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("shared"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
+    prefix = places.filter(first > 0).select("key", "rep", "label", F.explode(F.slice("shared", F.lit(1), first.cast("int"))).alias("s"))
+    return durable(prefix.select(F.xxhash64("key", "s.shingle").alias("key"), "rep", "label").distinct(), "rare-lists")
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set, some hundred thousand a batch."""
+    for batch in batches:
+        for i in range(len(batch)):
+            row = {c: batch.column(c)[i].as_py() for c in ("key", "rep", "label", "set")}
+            keys = np.frombuffer(batch.column("keys")[i].as_buffer(), dtype=np.int64)
+            for at in range(0, len(keys), 200_000):
+                part = keys[at : at + 200_000]
+                own = [pa.array(np.full(len(part), row[c], dtype=np.int64)) for c in ("key", "rep", "label", "set")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(part), len(keys), dtype=np.int32)), pa.array(part)], names=["key", "rep", "label", "set", "n", "shingle"])
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for more in parts[1:]:
@@ -374,7 +418,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def group(docs: DataFrame, percent: int = 80, size: int = SHINGLE, coordinates: int = COORDINATES, miss: float = MISS, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+def group(docs: DataFrame, percent: int = 80, size: int = SHINGLE, coordinates: int = COORDINATES, miss: float = MISS, block: int = BLOCK, rounds: int = ROUNDS, most_open: int = MOST_OPEN) -> DataFrame:
     """Group near-duplicates: (doc_id, n_shingles, component_id, kept) for each row.
 
     Documents are linked where 100 * intersection >= percent * union of their shingle sets;
@@ -387,7 +431,7 @@ def group(docs: DataFrame, percent: int = 80, size: int = SHINGLE, coordinates:
     described = durable(describe(docs, size, coordinates), "signatures")
     usable = described.filter("doc_id IS NOT NULL AND n > 0")
     classes = durable(usable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
-    found = links(docs.filter("doc_id IS NOT NULL"), classes, percent, size, coordinates, miss, block, rounds)
+    found = links(docs.filter("doc_id IS NOT NULL"), classes, percent, size, coordinates, miss, block, rounds, most_open)
     # The classes of a document that has several texts are connected by it.
     several = usable.groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1").select("doc_id")
     own = usable.join(several, "doc_id", "left_semi").join(classes, ["f1", "f2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -134,10 +134,43 @@ def test_hot_list_is_dealt_to_small_tasks(spark):
     check(spark, rows, percent=85)
 
 
+@pytest.mark.parametrize("seed,percent", [(6, 85), (7, 80)])
+def test_wide_families_by_their_rarest_shingles(spark, seed, percent):
+    check(spark, corpus(seed), percent=percent, most_open=0)
+
+
+def template(rng, n, shared=100, own=24):
+    """Pages of one template: near one another, and none linked but the pairs at the end."""
+    head = [f"t{i}" for i in range(shared)]
+    pages = [" ".join(head + [f"u{rng.randrange(10**7)}" for _ in range(own)]) for _ in range(n)]
+    return pages + [" ".join([*pages[i].split()[:-1], "other"]) for i in range(0, n, 50)]
+
+
+def test_pages_of_a_template_meet_in_no_list(spark):
+    texts = template(random.Random(3), 300)
+    rows = list(enumerate(texts))
+    check(spark, rows, percent=85, most_open=10)
+    sets = frame(spark, rows).select("doc_id", "text").mapInArrow(neardup._with_sets(5, 48), "rep long, n int, sig binary, keys binary")
+    members = spark.createDataFrame([(1, i, i) for i, _ in rows], "key long, rep long, label long")
+    lists = neardup.rare_lists(members, sets, 85)
+    # Only a page and its copy share rare shingles; of 306 * 305 / 2 pairs few more are compared.
+    assert lists.groupBy("key").count().filter("count > 2").count() == 0 and lists.count() < 10 * len(rows)
+
+
+def test_a_very_long_text_and_its_near_copy(spark):
+    words = [f"w{i % 7919}x{i % 31}" for i in range(400_000)]  # beyond one slice of the splitter
+    near = list(words)
+    near[1000:1010] = ["changed"] * 10
+    rows = [(5, " ".join(words)), (2, " ".join(near)), (3, None), (4, "w1x1 w2x2"), (6, " ".join(words[:200_000]))]
+    assert len(rows[0][1]) > 2_000_000
+    check(spark, rows, percent=85)
+
+
 def test_null_and_repeated_ids(spark):
     rows = corpus(4)[:60]
     rows += [(rows[3][0], rows[9][1]), (rows[3][0], rows[3][1]), (None, rows[3][1]), (None, None)]
     check(spark, rows, percent=85)
+    check(spark, rows, percent=85, most_open=0)
 
 
 def test_empty_table(spark):
