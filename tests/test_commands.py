@@ -69,6 +69,22 @@ def test_research_run_and_rank(spark, root, capsys):
         assert main([root, *bad]) == 2
 
 
+def test_multiday_run_by_slices(spark, root, capsys):
+    store = warehouse.Warehouse(spark, root)
+    store.put_metadata("instruments", spark.createDataFrame([("GAPY", "stock"), ("SPY", "etf")], "instrument_id string, asset_type string"))
+    assert main([root, "research-run", "gap_recovery_multiday", "--parameters", json.dumps(PARAMETERS)]) == 0
+    run_id = capsys.readouterr().out.strip().splitlines()[-1]
+    runs = Catalog(spark, f"{root}/research")
+    rows = runs.load_observations([run_id]).collect()
+    assert {r.observation_label for r in rows} == {f"session_plus_{h}" for h in (0, 1, 2, 3, 5, 10)} and {r.asset_type for r in rows} == {"stock"}
+    found = runs.metrics(run_id).filter("metric_name = 'evaluable'").collect()
+    assert {tuple(sorted(set(r.dimensions) - {"period", "observation_label"})) for r in found} == {(), ("asset_type",), ("market_regime",), ("market_trend",)}
+    assert {r.dimensions["asset_type"] for r in found if "asset_type" in r.dimensions} == {"stock"}
+    assert main([root, "research-run", "gap_recovery_multiday", "--parameters", json.dumps(PARAMETERS | {"min_gap_volatilities": 1e9})]) == 0
+    assert runs.load_observations([capsys.readouterr().out.strip().splitlines()[-1]]).count() == 0  # a gap of so many volatilities is no event
+    assert main([root, "quality", "intraday_1hour"]) in (0, 1) and main([root, "quality", "eod", "missing_expected_sessions", "zero_volume_runs"]) in (0, 1)
+
+
 def test_group_tags_and_files(spark, root, tmp_path):
     (tmp_path / "tags.csv").write_text("ticker,group\n aa, Tech\nbb,Oil \n")
     (tmp_path / "plain.csv").write_text("cc,Gas\n")

@@ -121,7 +121,10 @@ def test_metadata_and_frames_beside_the_bars(spark, store):
         store.put_metadata("tickers", spark.createDataFrame([("A", name)], "instrument_id string, ticker string"))
     store.register_frame("wanted", [("A",)], "instrument_id string")
     assert [r.ticker for r in store.sql("SELECT ticker FROM eod JOIN meta_tickers USING (instrument_id) JOIN wanted USING (instrument_id)").collect()] == ["new"]
-    assert sum(files.footer_rows(spark, store.path("eod")).values()) == 2
+    assert files.footer_counts(spark, [store.path("eod")]) == {store.path("eod"): 2}
+    bounds = files.footers(spark, [store.path("eod")], ["instrument_id", "close", "none"]).collect()
+    assert {(r.least, r.most) for r in bounds if r.column == "instrument_id"} <= {("A", "A"), ("B", "B"), ("A", "B")} and {r.least for r in bounds if r.column == "none"} == {None}
+    assert files.footers(spark, [f"{store.root}/absent"]).count() == 0
     with pytest.raises(warehouse.SelectorError):
         store.metadata("none")
 
