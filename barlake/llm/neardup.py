@@ -390,7 +390,8 @@ def rare_lists(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one template differ in more shingles than that, which they share with no other, and so meet in no list.
     """
     own = durable(members.join(sets.select("rep", "keys"), "rep").withColumn("set", F.xxhash64("rep", "keys")).mapInArrow(_shingles, "key long, rep long, label long, set long, n int, shingle long"), "shingles")
-    times = own.groupBy("key", "shingle").agg(F.count("*").alias("times")).filter("times > 1")
+    # In a table, so that a shingle that a whole family has is split where the join finds it large.
+    times = durable(own.groupBy("key", "shingle").agg(F.count("*").alias("times")).filter("times > 1"), "shingle-counts")
     # Shingles that no other class has come first, whatever their order: only their number counts.
     shared = own.join(times, ["key", "shingle"])
     places = shared.groupBy("key", "rep", "label", "set", "n").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("shared"))
