@@ -114,7 +114,7 @@ def run(study: Study, store: Warehouse, catalog: Catalog, parameters: Mapping) -
         "selection": list(study.selection), "outcome": list(study.outcome), "lookbacks": [[x.dataset, x.start, x.end] for x in study.lookbacks],
         "gate": {"checks": list(study.gate.checks), "datasets": list(study.gate.datasets), "start": study.gate.start, "end": study.gate.end},
     }}
-    pinned = store.pin(every, store.metadata_names())
+    pinned = store.pin(every)
     with catalog.publication(study.name, study.version, declared) as draft:
         catalog.put_inputs(draft, pinned, declared, {name: pinned.metadata(name) for name in pinned.versions})
         first = Context(pinned, study.selection, parameters)

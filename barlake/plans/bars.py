@@ -114,6 +114,26 @@ def _(t):
         JOIN meta_coverage c ON c.instrument_id = b.instrument_id GROUP BY b.instrument_id, c.first_date, c.last_date""")
 
 
+_AT = "SELECT CAST({0} AS INTEGER) AS publication, b.instrument_id, CAST(count(*) AS BIGINT) AS n_bars, CAST(sum(b.volume) AS BIGINT) AS volume, c.first_date FROM ({1}) b JOIN ({2}) c ON c.instrument_id = b.instrument_id GROUP BY ALL"
+
+
+@plan("read_as_of", _AT.format(1, "SELECT * FROM eod", "SELECT * FROM coverage") + " UNION ALL "
+    + _AT.format(2, "SELECT * REPLACE (CASE WHEN instrument_id LIKE '%-1' THEN volume + 1 ELSE volume END AS volume) FROM eod", "SELECT * FROM coverage WHERE instrument_id NOT LIKE '%-2'"))
+def _(t):
+    """Bars and their coverage, published together twice and read as of each publication."""
+    w = own_warehouse(t, "as-of")
+    w.commit({"eod": t.eod}, {"coverage": t.coverage})
+    changed = t.eod.filter("instrument_id LIKE '%-1'").withColumn("volume", F.col("volume") + 1)
+    w.commit({"eod": changed}, {"coverage": t.coverage.filter("instrument_id NOT LIKE '%-2'")})
+
+    def seen(number):
+        held = w.pin(number=number)
+        sums = held.read("eod").groupBy("instrument_id").agg(F.count("*").alias("n_bars"), F.sum("volume").alias("volume"))
+        return sums.join(held.metadata("coverage").select("instrument_id", "first_date"), "instrument_id").withColumn("publication", F.lit(number))
+
+    return seen(1).unionByName(seen(2))
+
+
 @plan("footer_counts", " UNION ALL ".join(f"SELECT '{n}' AS dataset_key, CAST(count(*) AS BIGINT) AS n_rows FROM {r}" for n, r in (("eod", "eod"), ("intraday_1hour", "hourly"))))
 def _(t):
     """Rows of published datasets by their files' footers."""

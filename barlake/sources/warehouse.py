@@ -1,10 +1,11 @@
 """The bar warehouse on Parquet: buckets by id hash, loaders that fail closed, publishing by manifest.
 
-A dataset is split by bucket, intraday ones by year and bucket. A publication writes the buckets it
-touches to a folder of its own, then one numbered manifest that says for every bucket where its rows
-are. The manifest's file appears in one step and only once for each number: readers see all of a
-publication or nothing of it, a failed one leaves the old rows, and of two writers one fails. Reads
-take only the folders that ids and dates select, with an explicit schema.
+A dataset is split by bucket, intraday ones by year and bucket. A publication of one or several
+relations, bars and metadata alike, writes the buckets it touches to folders of its own, then one
+numbered manifest that says for all relations where their rows are. The manifest's file appears in
+one step and only once for each number: readers see all of a publication or nothing of it, and a
+failed one leaves the old rows. Of two writers of one relation one fails; writers of different ones
+follow one another. Reads take only the folders that ids and dates select, with an explicit schema.
 """
 
 from __future__ import annotations
@@ -48,16 +49,23 @@ class Warehouse:
     def path(self, dataset: str) -> str:
         return f"{self.root}/{dataset}"
 
-    def _manifest(self, dataset: str) -> tuple[int, dict[str, str]]:
-        """(number, folder by partition) of the last publication; 0 and nothing before the first."""
-        folder = f"{self.path(dataset)}/_manifests"
-        numbers = [int(n.removesuffix(".json")) for n in files.names(self.spark, folder) if n.endswith(".json")]
-        if not numbers:
-            return 0, {}
-        return max(numbers), json.loads(files.read_text(self.spark, f"{folder}/{max(numbers)}.json"))
+    def _last(self) -> tuple[int, dict[str, dict]]:
+        """(number, manifest) of the last publication; 0 and empty relations before the first."""
+        numbers = self.publications()
+        return (numbers[-1], self._manifest(numbers[-1])) if numbers else (0, {"datasets": {}, "metadata": {}})
+
+    def _manifest(self, number: int) -> dict[str, dict]:
+        """Where a publication's rows are: of each dataset a folder by partition, of each metadata relation a folder."""
+        if number not in self.publications():
+            raise SelectorError(f"no publication {number}")
+        return json.loads(files.read_text(self.spark, f"{self.root}/_manifests/{number}.json"))
+
+    def publications(self) -> list[int]:
+        """The numbers of the publications that can be read, the last one at the end."""
+        return sorted(int(n.removesuffix(".json")) for n in files.names(self.spark, f"{self.root}/_manifests") if n.endswith(".json"))
 
     def exists(self, dataset: str) -> bool:
-        return self._manifest(dataset)[0] > 0
+        return dataset in self._last()[1]["datasets"]
 
     def _selected(self, dataset: str, partitions: Mapping[str, str], ids: Sequence[str] | None, start: str | None, end: str | None) -> list[str]:
         """Folders of the partitions that may hold rows of the ids and dates."""
@@ -78,7 +86,7 @@ class Warehouse:
 
     def read(self, dataset: str, ids: Sequence[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
         """A dataset in canonical columns; ids and dates choose the folders, so that others are not read."""
-        return self._read_at(dataset, self._manifest(dataset)[1], ids, start, end)
+        return self._read_at(dataset, self._last()[1]["datasets"].get(dataset, {}), ids, start, end)
 
     def _read_at(self, dataset: str, partitions: Mapping[str, str], ids: Sequence[str] | None, start: str | None, end: str | None) -> DataFrame:
         df = self._read_folders(dataset, self._selected(dataset, partitions, ids, start, end))
@@ -86,47 +94,47 @@ class Warehouse:
             df = df.filter(F.col("instrument_id").isin(list(ids)))
         return in_range(df, start, end)
 
-    def pin(self, datasets: Sequence[str], metadata: Sequence[str] = ()) -> Snapshot:
-        """What the datasets and metadata relations hold now, for reads that later publications don't change."""
-        return Snapshot(self, {d: self._manifest(d)[1] for d in datasets}, {m: self._version(m) for m in metadata})
+    def pin(self, datasets: Sequence[str] | None = None, metadata: Sequence[str] | None = None, number: int | None = None) -> Snapshot:
+        """Relations as of one publication, the last or the given one, for reads that later ones don't change.
+
+        Without names, all that the publication holds; a dataset not yet published is empty.
+        """
+        if number is None:
+            number, held = self._last()
+        else:
+            held = self._manifest(number)
+        partitions = {d: held["datasets"].get(d, {}) for d in (held["datasets"] if datasets is None else datasets)}
+        missing = [m for m in metadata or () if m not in held["metadata"]]
+        if missing:
+            raise SelectorError(f"no metadata relation {', '.join(missing)}")
+        versions = {m: f"{self.root}/meta/{held['metadata'][m]}" for m in (held["metadata"] if metadata is None else metadata)}
+        return Snapshot(self, number, partitions, versions)
 
     def read_files(self, paths: Sequence[str], dataset: str = "eod") -> DataFrame:
         """Exactly the given files."""
         return self.spark.read.schema(DATASETS[dataset]).parquet(*paths)
 
-    def register_views(self) -> list[str]:
-        """A temporary view for each dataset that exists, and ``meta_<name>`` for each metadata relation."""
-        names = [d for d in DATASETS if self.exists(d)]
+    def register_views(self, number: int | None = None) -> list[str]:
+        """A temporary view for each dataset that exists, and ``meta_<name>`` for each metadata relation, all of one publication."""
+        held = self.pin(number=number)
+        names = [d for d in DATASETS if d in held.partitions]
         for d in names:
-            self.read(d).createOrReplaceTempView(d)
-        for name in self.metadata_names():
-            self.metadata(name).createOrReplaceTempView(f"meta_{name}")
+            held.read(d).createOrReplaceTempView(d)
+        for name in sorted(held.versions):
+            held.metadata(name).createOrReplaceTempView(f"meta_{name}")
             names.append(f"meta_{name}")
         return names
 
     def metadata_names(self) -> list[str]:
-        return sorted(files.names(self.spark, f"{self.root}/meta"))
+        return sorted(self._last()[1]["metadata"])
 
     def put_metadata(self, name: str, rows: DataFrame) -> None:
-        """Replace a metadata relation (aliases, coverage, universes, ...) by a new numbered version."""
-        folder = f"{self.root}/meta/{name}"
-        version = 1 + max((int(n) for n in files.names(self.spark, folder) if n.isdigit()), default=0)
-        staged = f"{folder}/.{uuid.uuid4().hex}"
-        rows.write.parquet(staged)
-        if not files.rename(self.spark, files.path_of(self.spark, staged), files.path_of(self.spark, f"{folder}/{version}"), overwrite=False):
-            files.remove(self.spark, staged)
-            raise ConflictError(f"version {version} of {name} is there already")
+        """Replace a metadata relation (aliases, coverage, universes, ...)."""
+        self.commit(metadata={name: rows})
 
     def metadata(self, name: str) -> DataFrame:
-        """The last version of a metadata relation."""
-        return self.spark.read.parquet(self._version(name))
-
-    def _version(self, name: str) -> str:
-        folder = f"{self.root}/meta/{name}"
-        versions = [int(n) for n in files.names(self.spark, folder) if n.isdigit()]
-        if not versions:
-            raise SelectorError(f"no metadata relation {name}")
-        return f"{folder}/{max(versions)}"
+        """A metadata relation as last published."""
+        return self.pin([], [name]).metadata(name)
 
     def register_frame(self, name: str, rows: Sequence[tuple], schema: str) -> DataFrame:
         """A view of rows in the driver's memory, for lists that a query joins."""
@@ -172,12 +180,39 @@ class Warehouse:
 
     def publish(self, dataset: str, incoming: DataFrame, replace_instruments: bool = False) -> None:
         """Merge rows into the buckets they touch, or replace all their instruments had, in one step."""
+        self.commit({dataset: incoming}, replace_instruments=replace_instruments)
+
+    def commit(self, datasets: Mapping[str, DataFrame] | None = None, metadata: Mapping[str, DataFrame] | None = None, replace_instruments: bool = False) -> int:
+        """Publish rows of several datasets and new versions of metadata relations together; returns the publication's number.
+
+        A fault in any of them leaves all as they were. If another writer published meanwhile, this
+        publication follows it, unless both touch one relation: then it fails. What a failed one has
+        written is named by no manifest and goes with ``vacuum``.
+        """
+        number, base = self._last()
+        own = uuid.uuid4().hex
+        new: dict[str, dict] = {"datasets": {}, "metadata": {}}
+        for dataset, incoming in (datasets or {}).items():
+            new["datasets"][dataset] = self._merged(dataset, incoming, base["datasets"].get(dataset, {}), own, replace_instruments)
+        for name, rows in (metadata or {}).items():
+            new["metadata"][name] = f"{name}/{own}"
+            rows.write.parquet(f"{self.root}/meta/{name}/{own}")
+        while True:
+            now = {kind: base[kind] | new[kind] for kind in new}
+            if files.write_new(self.spark, f"{self.root}/_manifests/{number + 1}.json", json.dumps(now, sort_keys=True)):
+                return number + 1
+            number, held = self._last()
+            both = [name for kind in new for name in new[kind] if held[kind].get(name) != base[kind].get(name)]
+            if both:
+                raise ConflictError(f"{', '.join(both)}: published by another writer meanwhile")
+            base = held
+
+    def _merged(self, dataset: str, incoming: DataFrame, partitions: Mapping[str, str], own: str, replace_instruments: bool) -> dict[str, str]:
+        """Write the buckets that rows touch, merged with what they hold, to a folder of their own; the folder of each partition then."""
         schema = DATASETS[dataset]
         key = ["instrument_id", "date" if dataset == "eod" else "ts"]
         parts = ["bucket"] if dataset == "eod" else ["year", "bucket"]
-        number, partitions = self._manifest(dataset)
-        own = uuid.uuid4().hex
-        staged = f"{self.root}/.staging-{own}"
+        staged = f"{self.root}/.staging-{own}-{dataset}"
         try:
             # Written once: it is read for its faults, for the buckets it touches, and for the merge.
             located(ingest.canonical(incoming, schema), parts).write.parquet(staged)
@@ -197,9 +232,7 @@ class Warehouse:
             folder = f"data-{own}"
             merged.hint("rebalance", *parts).sortWithinPartitions(*parts, *key).write.partitionBy(*parts).option("compression", "zstd").parquet(f"{self.path(dataset)}/{folder}")
             written = set(self._partitions(f"{self.path(dataset)}/{folder}", len(parts)))
-            now = {name: at for name, at in partitions.items() if name not in touched} | dict.fromkeys(written, folder)
-            if not files.write_new(self.spark, f"{self.path(dataset)}/_manifests/{number + 1}.json", json.dumps(now, sort_keys=True)):
-                raise ConflictError(f"{dataset} was published by another writer meanwhile")
+            return {name: at for name, at in partitions.items() if name not in touched} | dict.fromkeys(written, folder)
         finally:
             files.remove(self.spark, staged)
 
@@ -207,13 +240,24 @@ class Warehouse:
         own = [n for n in files.names(self.spark, folder) if "=" in n]
         return own if depth == 1 else [f"{n}/{m}" for n in own for m in self._partitions(f"{folder}/{n}", depth - 1)]
 
-    def vacuum(self, dataset: str) -> list[str]:
-        """Remove folders and manifests that the last publication does not name; readers must be done with them."""
-        number, partitions = self._manifest(dataset)
-        stale = [n for n in files.names(self.spark, self.path(dataset)) if n.startswith("data-") and n not in set(partitions.values())]
-        stale += [f"_manifests/{n}" for n in files.names(self.spark, f"{self.path(dataset)}/_manifests") if n != f"{number}.json"]
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Remove all but the last ``keep`` manifests and the folders that these don't name.
+
+        Readers must be done with what goes, and no writer may be at work.
+        """
+        if keep < 1:
+            raise ValueError("the last publication stays")
+        numbers = self.publications()
+        kept = [self._manifest(n) for n in numbers[-keep:]]
+        stale = [f"_manifests/{n}.json" for n in numbers[:-keep]]
+        for dataset in DATASETS:
+            named = {folder for m in kept for folder in m["datasets"].get(dataset, {}).values()}
+            stale += [f"{dataset}/{n}" for n in files.names(self.spark, self.path(dataset)) if n.startswith("data-") and n not in named]
+        named = {folder for m in kept for folder in m["metadata"].values()}
+        for name in files.names(self.spark, f"{self.root}/meta"):
+            stale += [f"meta/{name}/{n}" for n in files.names(self.spark, f"{self.root}/meta/{name}") if f"{name}/{n}" not in named]
         for name in stale:
-            files.remove(self.spark, f"{self.path(dataset)}/{name}")
+            files.remove(self.spark, f"{self.root}/{name}")
         return stale
 
     def quarantine(self, rows: DataFrame, run: str, reason: str | None = None) -> None:
@@ -232,10 +276,10 @@ class Warehouse:
 
 
 class Snapshot:
-    """Datasets and metadata relations as they were at one moment."""
+    """Datasets and metadata relations of one publication."""
 
-    def __init__(self, store: Warehouse, partitions: Mapping[str, Mapping[str, str]], versions: Mapping[str, str]):
-        self.store, self.spark, self.partitions, self.versions = store, store.spark, dict(partitions), dict(versions)
+    def __init__(self, store: Warehouse, number: int, partitions: Mapping[str, Mapping[str, str]], versions: Mapping[str, str]):
+        self.store, self.spark, self.number, self.partitions, self.versions = store, store.spark, number, dict(partitions), dict(versions)
 
     def read(self, dataset: str, ids: Sequence[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
         """As ``Warehouse.read``, of the pinned publication."""

@@ -95,16 +95,68 @@ def test_a_failed_publication_leaves_the_old_rows(spark, store):
     assert not [n for n in files.names(spark, store.root) if n.startswith(".staging")]
 
 
+def racing(monkeypatch, rival):
+    """Let another writer publish between a publication's rows and its manifest."""
+    write = files.write_new
+
+    def late(*args):
+        monkeypatch.undo()
+        rival()
+        return write(*args)
+
+    monkeypatch.setattr(files, "write_new", late)
+
+
 def test_of_two_writers_one_fails(spark, store, monkeypatch):
-    store.publish("eod", spark.createDataFrame([bar("A", day(2), 1.0, 2.0)], EOD))
-    before = store._manifest("eod")
-    store.publish("eod", spark.createDataFrame([bar("B", day(2), 1.0, 2.0)], EOD))
-    monkeypatch.setattr(store, "_manifest", lambda dataset: before)  # a writer that began before the last one ended
+    rows = {n: spark.createDataFrame([bar(n, day(2), 1.0, 2.0)], EOD) for n in "ABC"}
+    store.publish("eod", rows["A"])
+    racing(monkeypatch, lambda: store.publish("eod", rows["B"]))
     with pytest.raises(warehouse.ConflictError):
-        store.publish("eod", spark.createDataFrame([bar("C", day(2), 1.0, 2.0)], EOD))
-    monkeypatch.undo()
+        store.publish("eod", rows["C"])
     assert sorted(r.instrument_id for r in store.read("eod").collect()) == ["A", "B"]
-    assert len(store.vacuum("eod")) >= 2 and store.read("eod").count() == 2
+    assert len(store.vacuum()) >= 2 and store.read("eod").count() == 2
+
+
+def test_writers_of_different_relations_follow_one_another(spark, store, monkeypatch):
+    one = spark.createDataFrame([("A", "OLD")], TICKERS)
+    store.publish("eod", spark.createDataFrame([bar("A", day(2), 1.0, 2.0)], EOD))
+    racing(monkeypatch, lambda: store.put_metadata("tickers", one))
+    store.publish("eod", spark.createDataFrame([bar("A", day(3), 1.0, 2.0)], EOD))
+    assert store.publications() == [1, 2, 3] and store.read("eod").count() == 2 and store.metadata("tickers").first().ticker == "OLD"
+    racing(monkeypatch, lambda: store.put_metadata("tickers", one))
+    with pytest.raises(warehouse.ConflictError):
+        store.put_metadata("tickers", one.withColumn("ticker", F.lit("LOST")))
+    assert store.metadata("tickers").first().ticker == "OLD"
+
+
+TICKERS = "instrument_id string, ticker string"
+
+
+def test_relations_are_published_together_or_not_at_all(spark, store):
+    names = lambda ticker: spark.createDataFrame([("A", ticker)], TICKERS)
+    bars = lambda close: spark.createDataFrame([bar("A", day(2), 1.0, close)], EOD)
+    assert store.commit({"eod": bars(2.0)}, {"tickers": names("OLD")}) == 1
+    before = store.pin()
+    seen = lambda s: (s.read("eod").first().close, s.metadata("tickers").first().ticker)
+    faulty = names("BAD").withColumn("ticker", F.expr("IF(ticker = 'BAD', raise_error('no'), ticker)"))
+    for datasets, metadata in (({"eod": bars(9.0)}, {"tickers": faulty}), ({"eod": bars(9.0).union(bars(8.0))}, {"tickers": names("BAD")})):
+        with pytest.raises(Exception):
+            store.commit(datasets, metadata)
+        assert store.publications() == [1] and seen(store.pin()) == (2.0, "OLD")
+    assert store.commit({"eod": bars(3.0)}, {"tickers": names("NEW")}) == 2
+    assert seen(before) == (2.0, "OLD") and seen(store.pin(number=1)) == (2.0, "OLD") and seen(store.pin()) == (3.0, "NEW")
+    store.register_views(number=1)
+    assert spark.sql("SELECT close, ticker FROM eod JOIN meta_tickers USING (instrument_id)").first() == (2.0, "OLD")
+    assert store.vacuum(keep=2) != [] and seen(store.pin(number=1)) == (2.0, "OLD")  # only what the failed ones left
+    store.vacuum()
+    assert seen(store.pin()) == (3.0, "NEW")
+    for number in (1, 7):
+        with pytest.raises(warehouse.SelectorError):
+            store.pin(number=number)
+    with pytest.raises(warehouse.SelectorError):
+        store.pin([], ["none"])
+    with pytest.raises(ValueError):
+        store.vacuum(keep=0)
 
 
 def test_replacing_an_instrument_reaches_all_its_years(spark, store):
