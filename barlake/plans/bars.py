@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from barlake.functions import calendar, exprs
-from barlake.operators import catalog, health, identity, ingest, quality, reconcile
+from barlake.operators import catalog, features, health, identity, ingest, quality, reconcile
 from barlake.plans import oracle
 from barlake.plans import settings as S
 from barlake.plans.frames import own_warehouse
@@ -366,6 +366,15 @@ def _(t):
     return t.feat_l.withColumns(exprs.rounded(ROUNDED))
 
 
+@plan("features_colocated", f"SELECT {FEATURES} FROM feat_l")
+def _(t):
+    """The features of all published bars from their layout, with no exchange."""
+    w = own_warehouse(t, "layout")
+    w.publish("eod", t.long)
+    w.colocate("eod")
+    return features.eod_features(w.pin().colocated("eod"), S.LONG_LOOKBACK).withColumns(exprs.rounded(ROUNDED))
+
+
 @plan("corp_action_flag", "SELECT instrument_id, bool_or(coalesce(div_cash, 0) > 0 OR coalesce(split_factor, 1) <> 1) AS any_action, CAST(count(*) FILTER (WHERE coalesce(div_cash, 0) > 0 OR coalesce(split_factor, 1) <> 1) AS BIGINT) AS n FROM long GROUP BY 1")
 def _(t):
     return t.long.groupBy("instrument_id").agg(F.bool_or(exprs.corporate_action()).alias("any_action"), F.count_if(exprs.corporate_action()).alias("n"))

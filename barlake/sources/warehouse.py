@@ -29,6 +29,8 @@ from barlake.sources import files
 
 DATASETS = {"eod": ingest.EOD_SCHEMA, "intraday_1hour": ingest.INTRADAY_SCHEMA, "intraday_5min": ingest.INTRADAY_SCHEMA}
 
+BUCKET_BYTES = 256 << 20  # of a layout's bucket, before compression
+
 
 class SelectorError(ValueError):
     """A selection names something the warehouse cannot resolve."""
@@ -52,10 +54,10 @@ class Warehouse:
     def _last(self) -> tuple[int, dict[str, dict]]:
         """(number, manifest) of the last publication; 0 and empty relations before the first."""
         numbers = self.publications()
-        return (numbers[-1], self._manifest(numbers[-1])) if numbers else (0, {"datasets": {}, "metadata": {}})
+        return (numbers[-1], self._manifest(numbers[-1])) if numbers else (0, {"datasets": {}, "metadata": {}, "layouts": {}})
 
     def _manifest(self, number: int) -> dict[str, dict]:
-        """Where a publication's rows are: of each dataset a folder by partition, of each metadata relation a folder."""
+        """Where a publication's rows are: of each dataset a folder by partition and its layout, of each metadata relation a folder."""
         if number not in self.publications():
             raise SelectorError(f"no publication {number}")
         return json.loads(files.read_text(self.spark, f"{self.root}/_manifests/{number}.json"))
@@ -108,7 +110,7 @@ class Warehouse:
         if missing:
             raise SelectorError(f"no metadata relation {', '.join(missing)}")
         versions = {m: f"{self.root}/meta/{held['metadata'][m]}" for m in (held["metadata"] if metadata is None else metadata)}
-        return Snapshot(self, number, partitions, versions)
+        return Snapshot(self, number, partitions, versions, {d: held["layouts"][d] for d in partitions if d in held["layouts"]})
 
     def read_files(self, paths: Sequence[str], dataset: str = "eod") -> DataFrame:
         """Exactly the given files."""
@@ -191,14 +193,18 @@ class Warehouse:
         """
         number, base = self._last()
         own = uuid.uuid4().hex
-        new: dict[str, dict] = {"datasets": {}, "metadata": {}}
+        new: dict[str, dict] = {"datasets": {}, "metadata": {}, "layouts": dict.fromkeys(datasets or {})}  # a layout holds what it was made of
         for dataset, incoming in (datasets or {}).items():
             new["datasets"][dataset] = self._merged(dataset, incoming, base["datasets"].get(dataset, {}), own, replace_instruments)
         for name, rows in (metadata or {}).items():
             new["metadata"][name] = f"{name}/{own}"
             rows.write.parquet(f"{self.root}/meta/{name}/{own}")
+        return self._numbered(number, base, new)
+
+    def _numbered(self, number: int, base: dict[str, dict], new: dict[str, dict]) -> int:
+        """Write the manifest that follows ``base`` with the new relations in it; None takes one out."""
         while True:
-            now = {kind: base[kind] | new[kind] for kind in new}
+            now = {kind: {name: at for name, at in (base[kind] | new[kind]).items() if at is not None} for kind in new}
             if files.write_new(self.spark, f"{self.root}/_manifests/{number + 1}.json", json.dumps(now, sort_keys=True)):
                 return number + 1
             number, held = self._last()
@@ -236,6 +242,28 @@ class Warehouse:
         finally:
             files.remove(self.spark, staged)
 
+    def colocate(self, dataset: str, buckets: int | None = None) -> int:
+        """Add to a dataset a copy in buckets of ``instrument_id`` that Spark's plans know; returns the publication's number.
+
+        Windows, aggregates and joins by instrument over ``Snapshot.colocated`` move no bars. The next
+        publication of the dataset ends the layout. Without ``buckets`` there is a power of two, so that two
+        layouts' buckets fit into one another, of some ``BUCKET_BYTES`` each.
+        """
+        number, base = self._last()
+        if dataset not in base["datasets"]:
+            raise SelectorError(f"{dataset} was not published")
+        bars = self._read_at(dataset, base["datasets"][dataset], None, None, None)
+        if buckets is None:
+            size = files.footers(self.spark, self._selected(dataset, base["datasets"][dataset], None, None, None)).agg(F.sum("n_bytes").alias("n")).first().n
+            buckets = 1 << max(0, -(-(size or 0) // BUCKET_BYTES) - 1).bit_length()
+        layout = {"folder": f"layout-{uuid.uuid4().hex}", "buckets": buckets}
+        by = ["instrument_id", time_column(bars)]
+        # One task a bucket, so that a bucket is one sorted file.
+        write = bars.repartition(buckets, "instrument_id").write.bucketBy(buckets, "instrument_id").sortBy(*by)
+        write.option("path", f"{self.path(dataset)}/{layout['folder']}").option("compression", "zstd").saveAsTable(_table(layout))
+        # The dataset stands among what is new, unchanged: rows published meanwhile make the layout fail.
+        return self._numbered(number, base, {"datasets": {dataset: base["datasets"][dataset]}, "metadata": {}, "layouts": {dataset: layout}})
+
     def _partitions(self, folder: str, depth: int) -> list[str]:
         own = [n for n in files.names(self.spark, folder) if "=" in n]
         return own if depth == 1 else [f"{n}/{m}" for n in own for m in self._partitions(f"{folder}/{n}", depth - 1)]
@@ -251,8 +279,12 @@ class Warehouse:
         kept = [self._manifest(n) for n in numbers[-keep:]]
         stale = [f"_manifests/{n}.json" for n in numbers[:-keep]]
         for dataset in DATASETS:
-            named = {folder for m in kept for folder in m["datasets"].get(dataset, {}).values()}
-            stale += [f"{dataset}/{n}" for n in files.names(self.spark, self.path(dataset)) if n.startswith("data-") and n not in named]
+            named = {folder for m in kept for folder in m["datasets"].get(dataset, {}).values()} | {m["layouts"][dataset]["folder"] for m in kept if dataset in m["layouts"]}
+            gone = [n for n in files.names(self.spark, self.path(dataset)) if n.startswith(("data-", "layout-")) and n not in named]
+            stale += [f"{dataset}/{n}" for n in gone]
+            for name in gone:
+                if name.startswith("layout-"):
+                    self.spark.sql(f"DROP TABLE IF EXISTS {_table({'folder': name})}")
         named = {folder for m in kept for folder in m["metadata"].values()}
         for name in files.names(self.spark, f"{self.root}/meta"):
             stale += [f"meta/{name}/{n}" for n in files.names(self.spark, f"{self.root}/meta/{name}") if f"{name}/{n}" not in named]
@@ -278,8 +310,8 @@ class Warehouse:
 class Snapshot:
     """Datasets and metadata relations of one publication."""
 
-    def __init__(self, store: Warehouse, number: int, partitions: Mapping[str, Mapping[str, str]], versions: Mapping[str, str]):
-        self.store, self.spark, self.number, self.partitions, self.versions = store, store.spark, number, dict(partitions), dict(versions)
+    def __init__(self, store: Warehouse, number: int, partitions: Mapping[str, Mapping[str, str]], versions: Mapping[str, str], layouts: Mapping[str, Mapping]):
+        self.store, self.spark, self.number, self.partitions, self.versions, self.layouts = store, store.spark, number, dict(partitions), dict(versions), dict(layouts)
 
     def read(self, dataset: str, ids: Sequence[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
         """As ``Warehouse.read``, of the pinned publication."""
@@ -288,11 +320,27 @@ class Snapshot:
     def metadata(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.versions[name])
 
+    def colocated(self, dataset: str) -> DataFrame:
+        """The dataset's bars from its layout, whose buckets Spark knows; without one an error."""
+        if dataset not in self.layouts:
+            raise SelectorError(f"{dataset} has no layout of this publication")
+        layout, schema = self.layouts[dataset], DATASETS[dataset]
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+        by = f"CLUSTERED BY (instrument_id) SORTED BY (instrument_id, {schema.names[1]}) INTO {int(layout['buckets'])} BUCKETS"
+        # The table of a catalog that another session wrote with is made known to this one.
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {_table(layout)} ({columns}) USING parquet {by} LOCATION '{self.store.path(dataset)}/{layout['folder']}'")
+        return self.spark.table(_table(layout))
+
     def files(self, dataset: str) -> list[str]:
         """The folders of the pinned publication."""
         return self.store._selected(dataset, self.partitions[dataset], None, None, None)
 
 
+def _table(layout: Mapping) -> str:
+    """The catalog's name of a layout."""
+    return "bars_" + layout["folder"].replace("-", "_")
+
+
 def located(rows: DataFrame, parts: Sequence[str]) -> DataFrame:
     """Rows with the partition columns they belong to."""
     if "year" in parts:

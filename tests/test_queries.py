@@ -14,7 +14,7 @@ SAMPLE = [
     "load_eod_by_ticker", "universe_import", "merge_upsert", "snapshot_replace", "quarantine_ohlc", "q_duplicate_keys", "q_zero_volume_runs", "q_missing_sessions", "q_off_session",
     "q_coverage_summary", "quality_gate", "eod_features", "density_hourly", "density_5min", "label_sessions_5min", "coverage_gaps", "refresh_validate", "ledger_usage", "universe_rank",
     "alias_asof", "alias_segments", "identifier_segments", "interval_cover", "coalesce_segments", "episode_zero_bridge", "gap_observations", "gap_study_flagship", "opening_metrics",
-    "multiday_metrics", "multiday_path", "identifier_ranges", "plan_segments", "metadata_agreement", "metadata_relations", "read_as_of", "footer_counts", "q_zero_volume_bars", "quality_findings", "quality_scope",
+    "multiday_metrics", "multiday_path", "identifier_ranges", "plan_segments", "metadata_agreement", "metadata_relations", "read_as_of", "features_colocated", "footer_counts", "q_zero_volume_bars", "quality_findings", "quality_scope",
     "budget_ramp", "cohort_freshness", "request_rate", "retry_progress", "exclusions", "unresolved_listings", "next_session", "lookback_complete", "publish_upsert", "eligibility_audit", "event_funnel", "propensity_two_pass", "propensity_groups", "compare_agreement",
     "request_chunks", "session_schedule", "quality_run", "episode_plan", "episode_quarantine", "manifest_diff", "footer_bounds", "lookback_complete_5min", "lookback_complete_hourly", "run_audit", "reconcile_files", "slice_liquidity_year",
 ]

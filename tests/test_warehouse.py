@@ -6,7 +6,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from barlake.operators import catalog, identity, ingest, quality
+from barlake.operators import catalog, features, identity, ingest, quality
 from barlake.sources import files, warehouse
 from barlake.streaming.upsert import upsert_stream
 from tests.test_studies import EOD, bar
@@ -181,6 +181,35 @@ def test_metadata_and_frames_beside_the_bars(spark, store):
         store.metadata("none")
 
 
+def test_layouts_spare_exchanges(spark, store, monkeypatch):
+    rows = spark.createDataFrame([bar(n, day(d), 1.0, float(d)) for n in "ABCDEFGH" for d in range(2, 9)], EOD)
+    new = spark.createDataFrame([bar("A", day(2), 1.0, 99.0), bar("Z", day(2), 1.0, 5.0)], EOD)
+    with pytest.raises(warehouse.SelectorError):
+        store.colocate("eod")
+    store.publish("eod", rows)
+    with pytest.raises(warehouse.SelectorError):
+        store.pin().colocated("eod")
+    store.colocate("eod", 8)
+    held = store.pin()
+    spark.sql(f"DROP TABLE {warehouse._table(held.layouts['eod'])}")  # as in a session that did not write it
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    exact = lambda df: sorted(map(str, df.collect()))
+    wide = features.eod_features(held.colocated("eod"), 3)
+    assert "Exchange" not in plan(wide) and exact(wide) == exact(features.eod_features(held.read("eod"), 3))
+    racing(monkeypatch, lambda: store.publish("eod", new))
+    with pytest.raises(warehouse.ConflictError):
+        store.colocate("eod")  # of bars that are no longer the last ones
+    assert store.pin().layouts == {} and held.colocated("eod").count() == 56
+    store.colocate("eod")
+    last = store.pin()
+    assert last.layouts["eod"]["buckets"] == 1 and exact(last.colocated("eod")) == exact(last.read("eod"))
+    store.put_metadata("tickers", spark.createDataFrame([("A", "OLD")], TICKERS))
+    assert store.pin().layouts == last.layouts  # other relations leave it
+    store.vacuum()
+    assert [n for n in files.names(spark, store.path("eod")) if n.startswith("layout-")] == [last.layouts["eod"]["folder"]]
+    assert store.pin().colocated("eod").count() == 57
+
+
 def test_streamed_batches_merge(spark, store, tmp_path):
     schema = EOD + ", seq long"
     rows = [(*bar("A", day(2), 1.0, 2.0), 1), (*bar("A", day(2), 1.0, 3.0), 2)]
