@@ -134,3 +134,29 @@ def test_long_trusted_document_keeps_no_others_out(spark):
     assert len(got) == 60 and all(r.score is not None for r in got)
     only = [r.text for r in quality.trusted_sample(docs.filter(f"doc_id = {ids[0]}"), labels, 1000, 1000).collect()]
     assert only == ["word " * 200]
+
+
+def test_all_trusted_text_trains(spark):
+    ids = [r.id for r in spark.range(9000).selectExpr("id", "xxhash64(id) AS h").filter("h >= 0").orderBy("h").collect()]
+    assert len(ids) > 4200
+    texts = {i: "good words stand here in order" for i in range(9000)} | {ids[-1]: "quaint violets bloom under glass roofs"}
+    rows = [(i, t, "en") for i, t in texts.items()] + [(9001, "quaint violets bloom under glass roofs", "en"), (9002, "strange thistles fade beside stone walls", "en")]
+    labels = spark.range(9000).selectExpr("id AS doc_id", "1 AS quality")
+    got = {r.doc_id: r.perplexity for r in quality.classify(frame(spark, rows), labels).filter("doc_id > 9000").collect()}
+    assert got[9001] < got[9002] / 2  # the last trusted document in the order of the hash taught its words
+
+
+def test_shards_and_filters_follow_the_table_and_change_no_score(spark, monkeypatch):
+    assert quality.layout(10, 10) == (quality.SHARD_BITS, 1024)
+    bits = [quality.layout(n, 60 * n) for n in (10**6, 10**7, 10**8, 10**9)]
+    assert all(f << s <= quality.FILTER_BITS for s, f in bits) and bits[-1][1] == 0
+    assert all(10**k >> s <= quality.GROUP_GRAMS >> quality.SHARD_BITS for k, (s, _) in zip((6, 7, 8, 9), bits, strict=True))
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice([f"w{j}" for j in range(50)]) for _ in range(rng.randint(1, 40))), "en") for i in range(60)]
+    texts = durable(frame(spark, rows).select("doc_id", "text", "lang"), "texts")
+    table, unknown = quality.count_table(texts.filter("doc_id < 20"))
+    scores = lambda: {r.doc_id: round(r.nll, 9) for r in quality.perplexities(texts, table, unknown).collect()}
+    filtered = scores()
+    monkeypatch.setattr(quality, "FILTER_BITS", 1)
+    monkeypatch.setattr(quality, "GROUP_GRAMS", 50)
+    assert scores() == filtered and len(filtered) == 60
