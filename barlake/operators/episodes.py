@@ -30,7 +30,7 @@ def uuid5(name: Column) -> Column:
     return F.concat(F.substring(digest, 1, 12), F.lit("5"), F.substring(digest, 14, 3), variant, F.substring(digest, 18, 15))
 
 
-def assigned(bars: DataFrame, sources: DataFrame, indexed: DataFrame, longest: int, fewest: int = FEWEST, bridge: int | None = None) -> DataFrame:
+def assigned(bars: DataFrame, sources: DataFrame, indexed: DataFrame, longest: int, fewest: int = FEWEST, bridge: int | None = None, partitions: int | None = None) -> DataFrame:
     """Every bar with its episode: columns of ``bars`` and part, boundary, quarantine_reason, ordinal, episodes, episode_id, part_first, part_last.
 
     ``sources`` is (instrument_id, ticker, start_date, end_date), one row for each instrument that may be cut;
@@ -38,11 +38,12 @@ def assigned(bars: DataFrame, sources: DataFrame, indexed: DataFrame, longest: i
     ``longest``) without volume between traded sessions, are a boundary; it stands on the first bar after it.
     ``part`` counts boundaries up to a bar. A bar off the calendar makes no boundary and breaks no run. Invalid
     bars of every source are set aside. Where there is a boundary, parts of fewer than ``fewest`` clean bars are
-    too; with fewer than two others the instrument keeps its id (``episode_id`` is its own).
+    too; with fewer than two others the instrument keeps its id (``episode_id`` is its own). The sorts of all
+    windows are in one task's memory: ``partitions`` says how many tasks share the bars, else the session does.
     """
     s = sources.select("instrument_id", "ticker", F.col("start_date").alias("alias_start"), F.col("end_date").alias("alias_end"), F.lit(True).alias("known"))
     calendar = F.broadcast(indexed.select(F.col("session_date").alias("date"), F.col("session_index").alias("_at")))
-    rows = bars.repartition("instrument_id").join(s, "instrument_id", "left").join(calendar, "date", "left").withColumn("_on", F.col("_at").isNotNull() & F.col("known"))
+    rows = bars.repartition(*filter(None, [partitions]), "instrument_id").join(s, "instrument_id", "left").join(calendar, "date", "left").withColumn("_on", F.col("_at").isNotNull() & F.col("known"))
 
     # Bars on the calendar only, from the last day back: the next day with volume.
     back = Window.partitionBy("instrument_id", "_on").orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, -1)
