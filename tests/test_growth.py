@@ -29,3 +29,7 @@ def test_dirty_bars_are_derived_once_and_episodes_share_their_partitions(spark,
     assert plan(t.dirty).count("FileScan") == 1
     found = plan(registry.queries()["episode_quarantine"](spark, SF))
     assert "hashpartitioning(instrument_id#" in found and set(re.findall(r"hashpartitioning\(instrument_id#\d+, (\d+)\)", found)) == {str(t.partitions)}
+
+
+def test_outcomes_of_later_sessions_are_not_joined_by_day(spark):
+    assert not re.search(r"Join \[instrument_id#\d+, (target_date|event_date)", plan(Frames(spark, SF).obs_multi))
