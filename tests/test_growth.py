@@ -1,7 +1,9 @@
 """Steps whose cost must grow no faster than the tables: what their plans move and hold."""
 
+import datetime
 import re
 
+from barlake.operators import identity
 from barlake.plans import registry
 from barlake.plans.frames import Frames
 from barlake.sources import derive
@@ -33,3 +35,15 @@ def test_dirty_bars_are_derived_once_and_episodes_share_their_partitions(spark,
 
 def test_outcomes_of_later_sessions_are_not_joined_by_day(spark):
     assert not re.search(r"Join \[instrument_id#\d+, (target_date|event_date)", plan(Frames(spark, SF).obs_multi))
+
+
+def test_tickers_as_of_a_day_explode_no_spans(spark):
+    day = datetime.date
+    aliases = [("A", "x", day(2024, 1, 1), day(2024, 1, 9)), ("A", "x", day(2024, 1, 5), day(2024, 1, 12)), ("A", "y", day(2024, 1, 11), day(2024, 1, 20)), ("A", "z", day(2024, 2, 9), day(2024, 2, 1)),
+               ("B", None, day(2024, 1, 1), day(2024, 1, 9)), ("C", "x", None, day(2024, 1, 9)), (None, "x", day(2024, 1, 1), day(2024, 1, 9))]
+    bars = [("A", day(2024, 1, d), float(d)) for d in (1, 9, 10, 11, 12, 13, 20, 21, 21)] + [("A", day(2024, 2, 5), 0.0), ("B", day(2024, 1, 2), 1.0), ("C", day(2024, 1, 2), 1.0), (None, day(2024, 1, 2), 1.0), ("A", None, 1.0)]
+    got = identity.alias_asof(spark.createDataFrame(bars, "instrument_id string, date date, close double"), spark.createDataFrame(aliases, "instrument_id string, ticker string, start_date date, end_date date"))
+    assert "Generate" not in plan(got) and got.columns == ["instrument_id", "date", "close", "ticker"]
+    rows = got.collect()
+    want = {1: "x", 9: "x", 10: "x", 11: None, 12: None, 13: "y", 20: "y", 21: None}
+    assert len(rows) == len(bars) and all(r.ticker == (want[r.date.day] if r.instrument_id == "A" and r.date and r.date.month == 1 else None) for r in rows)
