@@ -3,10 +3,14 @@
 import datetime
 import re
 
-from barlake.operators import identity
+import pytest
+from pyspark.sql import functions as F
+
+from barlake.operators import identity, ingest
 from barlake.plans import registry
 from barlake.plans.frames import Frames
 from barlake.sources import derive
+from barlake.sources.warehouse import Warehouse
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +51,20 @@ def test_tickers_as_of_a_day_explode_no_spans(spark):
     rows = got.collect()
     want = {1: "x", 9: "x", 10: "x", 11: None, 12: None, 13: "y", 20: "y", 21: None}
     assert len(rows) == len(bars) and all(r.ticker == (want[r.date.day] if r.instrument_id == "A" and r.date and r.date.month == 1 else None) for r in rows)
+
+
+def test_publications_compare_whole_rows_only_where_keys_repeat(spark, tmp_path, monkeypatch):
+    def unwanted(*_):
+        raise AssertionError("rows without repeated keys are not compared")
+
+    bars = Frames(spark, SF).long.filter("instrument_id < 'S3'")
+    w = Warehouse(spark, f"file://{tmp_path}/store")
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "duplicate_conflicts", unwanted)
+        m.setattr(ingest, "merge_upsert", unwanted)
+        w.publish("eod", bars)
+    assert sorted(map(tuple, w.read("eod").collect())) == sorted(map(tuple, bars.collect()))
+    w.publish("eod", bars.union(bars))
+    assert w.read("eod").count() == bars.count()
+    with pytest.raises(ValueError, match="keys conflict"):
+        w.publish("eod", bars.union(bars.withColumn("close", F.col("close") + 1)))
