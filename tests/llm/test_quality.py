@@ -160,3 +160,46 @@ def test_shards_and_filters_follow_the_table_and_change_no_score(spark, monkeypa
     monkeypatch.setattr(quality, "FILTER_BITS", 1)
     monkeypatch.setattr(quality, "GROUP_GRAMS", 50)
     assert scores() == filtered and len(filtered) == 60
+
+
+def test_split_words_and_rare_words_change_no_score(spark, monkeypatch):
+    rng = random.Random(6)
+    vocab = ["the", "the", "the", *(f"w{i}" for i in range(40))]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 40))) for _ in range(80)]
+    tests = [*texts[:6], "the w1 the never the w2", "the", "never the", ""]
+    docs = frame(spark, [(i, t, "en") for i, t in enumerate(tests)]).repartition(3)
+    train = frame(spark, [(i, t, "en") for i, t in enumerate(texts)]).repartition(3)
+    p = brute_force_model(texts)
+    want = [-sum(math.log(p(*g)) for g in zip(w, w[1:], w[2:], strict=False)) for w in (["<s>", "<s>", *t.split()] for t in tests)]
+    for frequent, grams in ((5, 1 << 30), (5, 1600), (1 << 18, 1600)):
+        monkeypatch.setattr(quality, "FREQUENT", frequent)  # the shares of other words are joined last
+        monkeypatch.setattr(quality, "GROUP_GRAMS", grams)  # a word with more than a sixteenth of them is split
+        table, unknown = quality.count_table(train)
+        assert (table.pairs is not None) == (grams == 1600)
+        if table.pairs is not None:
+            assert len(table.deal.words) == 1 and len({shard for _, shard in table.deal.shards()}) > 1
+        got = {r.doc_id: r.nll for r in quality.perplexities(docs, table, unknown).collect()}
+        assert len(got) == len(tests) and all(abs(got[i] - x) < 1e-6 for i, x in enumerate(want))
+
+
+def test_rows_between_stages_are_packed(spark):
+    """Neither the counts nor the questions take a row for each word."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randint(0, 500)}" for _ in range(100)), "en") for i in range(200)]
+    docs = frame(spark, rows).coalesce(2)
+    table, unknown = quality.count_table(docs.filter("doc_id < 100"))
+    held = table.trigrams.collect()
+    assert len(held) <= 1 << quality.SHARD_BITS
+    packed = sum(len(r[c]) for r in held for c in ("words", "u", "v", "w", "c"))
+    assert sum(r.n for r in held) > 9000 and packed < 12 * sum(r.n for r in held)
+    assert {r.doc_id for r in quality.perplexities(docs, table, unknown).collect()} == set(range(200))
+
+
+def test_passes_change_no_score(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = [(i, " ".join(f"w{rng.randint(0, 30)}" for _ in range(20)), "en") for i in range(60)] + [(None, "w1 w2", "en"), (7, "w1", "en")]
+    docs = frame(spark, rows)
+    scores = lambda: sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, round(r.nll, 9)) for r in quality.perplexities(docs, *quality.count_table(docs.filter("doc_id < 30"), 400)).collect()))
+    once = scores()
+    monkeypatch.setattr(quality, "PASS_CHARS", 100)
+    assert scores() == once and len(once) == 62
